@@ -2,7 +2,8 @@
 
 The model file is read here (its protobuf fields are few). A normalised text
 splits into segments no merge can cross: before a space that follows another
-character, and around characters that occur in no longer piece. New segments
+character, around characters that occur in no longer piece, and between a
+letter and a character that follows a letter in no piece. New segments
 of a batch become one flat numpy array of symbols; each round takes the
 smallest pair rank of every segment that still has a pair, merges its leftmost
 occurrences at once as long as the one-by-one order would do the same, and
@@ -15,6 +16,7 @@ characters without a piece fall back to bytes; repeated rows give equal rows.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
 import struct
@@ -27,7 +29,7 @@ from . import common
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-CACHE = 100_000
+CACHE = 350_000
 NONE = np.iinfo(np.int64).max
 
 
@@ -88,65 +90,77 @@ class PieceModel:
         self.pair_rank = np.array([x[1] for x in pairs], np.int64)
         self.pair_id = np.array([x[2] for x in pairs], np.int64)
         joined = {c for p in self.ids if len(p) > 1 for c in p}
+        follows = {(x, y) for p in self.ids for x, y in zip(p, p[1:])}
+        after_letter = {y for x, y in follows if x.isalpha()}
+        letters = "".join(map(re.escape, sorted(c for c in joined if c.isalpha())))
+        ends = "".join(map(re.escape, sorted(joined - {SPACE} - after_letter)))  # no piece holds one of these behind a letter
+        runs = "".join(map(re.escape, sorted((joined - {SPACE}) & after_letter)))
         inner = "".join(map(re.escape, sorted(joined - {SPACE})))
         if any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids):
             raise ValueError("a piece holds a space behind another character")
-        self.split = re.compile(f"{SPACE}+[{inner}]*|[{inner}]+|[^{inner}{SPACE}]")
+        more = f"(?:[{runs}]|(?<![{letters}])[{ends}])*" if ends and letters else f"[{inner}]*"
+        self.split = re.compile(f"{SPACE}+{more}|[{inner}]{more}|[^{inner}{SPACE}]")
         self.store: dict[str, tuple[int, bytes, str]] = {}
+        self.old: dict[str, tuple[int, bytes, str]] = {}
+        self.id_text = [str(i).encode() for i in range(len(self.pieces))]
+        self.piece_text = [p.replace(SPACE, " ") for p in self.pieces]
+        self.plain = [k in (NORMAL, UNUSED) for k in self.kinds]
 
-    def _pairs(self, sym: np.ndarray, seg: np.ndarray):
-        """Rank and merged id of each neighbouring pair of one segment."""
-        same = seg[1:] == seg[:-1]
-        key = sym[:-1] << 32 | sym[1:]
+    def _pairs(self, left: np.ndarray, right: np.ndarray):
+        """Rank and merged id of pairs of symbols."""
+        key = left << 32 | right
         at = np.minimum(np.searchsorted(self.pair_key, key), len(self.pair_key) - 1)
-        hit = same & (self.pair_key[at] == key) & (sym[:-1] >= 0) & (sym[1:] >= 0)
+        hit = (self.pair_key[at] == key) & (left >= 0) & (right >= 0)
         return np.where(hit, self.pair_rank[at], NONE), np.where(hit, self.pair_id[at], -1)
 
     def merge(self, segments: list[str]) -> list[list[int]]:
-        """Symbol ids of each segment after all merges; characters without a piece are -1 - code point."""
+        """Symbol ids of each segment after all merges; characters without a piece are -1 - code point.
+
+        ``rank[i]`` and ``merged[i]`` belong to the pair of symbols i and i + 1;
+        after a round only the pairs beside a merged symbol are looked up again.
+        """
         flat = "".join(segments)
         points = np.frombuffer(flat.encode("utf-32-le"), "<u4").astype(np.int64)
         uniq, back = np.unique(points, return_inverse=True)
         sym = np.array([self.ids.get(chr(c), -1 - int(c)) for c in uniq], np.int64)[back] if len(points) else points
         seg = np.repeat(np.arange(len(segments)), [len(s) for s in segments])
+        rank, merged = np.full(len(sym), NONE), np.full(len(sym), -1)
+        if len(sym) > 1:
+            rank[:-1], merged[:-1] = self._pairs(sym[:-1], sym[1:])
+            cut = np.flatnonzero(seg[1:] != seg[:-1])
+            rank[cut] = NONE
         done_seg, done_sym = [], []
         while len(sym):
-            if len(sym) == 1:
-                done_seg.append(seg)
-                done_sym.append(sym)
-                break
-            rank, merged = self._pairs(sym, seg)
             starts = np.flatnonzero(np.r_[True, seg[1:] != seg[:-1]])
-            best = np.minimum.reduceat(np.r_[rank, NONE], starts)
-            which = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(sym)]))
-            live = best[which] < NONE
+            best = np.repeat(np.minimum.reduceat(rank, starts), np.diff(np.r_[starts, len(sym)]))
+            live = best < NONE
             if not live.all():  # segments without a pair leave the array
                 done_seg.append(seg[~live])
                 done_sym.append(sym[~live])
-                keep_pair = live[:-1] & live[1:]
-                index = np.flatnonzero(live)
-                if not len(index):
+                sym, seg, rank, merged, best = sym[live], seg[live], rank[live], merged[live], best[live]
+                if not len(sym):
                     break
-                rank = np.where(keep_pair, rank, NONE)
-                rank, merged = np.r_[rank, NONE][index][:-1], np.r_[merged, -1][index][:-1]
-                best, sym, seg = best[which][index], sym[index], seg[index]
-            else:
-                best = best[which]
-            hit = np.flatnonzero(rank == best[:-1])
-            hit = self._leftmost(hit, sym, seg, best, merged)
-            sym = sym.copy()
+            hit = self._leftmost(np.flatnonzero(rank == best), sym, seg, best, merged)
             sym[hit] = merged[hit]
             keep = np.ones(len(sym), bool)
             keep[hit + 1] = False
-            sym, seg = sym[keep], seg[keep]
+            at = (np.cumsum(keep) - 1)[hit]
+            sym, seg, rank, merged = sym[keep], seg[keep], rank[keep], merged[keep]
+            at = np.concatenate([at, at[at > 0] - 1])
+            inside = at + 1 < len(sym)
+            rank[at[~inside]] = NONE
+            at = at[inside]
+            r, m = self._pairs(sym[at], sym[at + 1])
+            rank[at], merged[at] = np.where(seg[at] == seg[at + 1], r, NONE), m
         out: list[list[int]] = [[] for _ in segments]
         if done_sym:
             seg, sym = np.concatenate(done_seg), np.concatenate(done_sym)
             by = np.argsort(seg, kind="stable")
-            seg, sym = seg[by], sym[by]
+            seg, flat_ids = seg[by], sym[by].tolist()
             edges = np.flatnonzero(np.r_[True, seg[1:] != seg[:-1]])
-            for s, part in zip(seg[edges].tolist(), np.split(sym, edges[1:])):
-                out[s] = part.tolist()
+            ends = np.r_[edges[1:], len(flat_ids)].tolist()
+            for s, lo, hi in zip(seg[edges].tolist(), edges.tolist(), ends):
+                out[s] = flat_ids[lo:hi]
         return out
 
     def _leftmost(self, hit, sym, seg, best, merged):
@@ -177,15 +191,31 @@ class PieceModel:
         base = np.repeat(count[start], np.diff(np.r_[start, len(hit)]))
         return hit[count - base == 0]
 
-    def learn(self, segments) -> None:
-        """Encode and decode new segments; the store holds (ids, ids as text, decoded text)."""
-        new = [s for s in segments if s not in self.store]
-        if len(self.store) + len(new) > CACHE:
-            self.store.clear()
-            new = list(segments)
+    def learn(self, segments) -> dict[str, tuple[int, bytes, str]]:
+        """The store with every one of ``segments``: (ids, ids as text, decoded text).
+
+        Two generations bound it: a full young one becomes the old one, and
+        what is still used moves back.
+        """
+        young, old = self.store, self.old
+        missing = [s for s in segments if s not in young]
+        if len(young) + len(missing) > CACHE:
+            self.old, self.store = old, young = young, {}
+            missing = list(segments)
+        new = []
+        for s in missing:
+            got = old.get(s)
+            if got is None:
+                new.append(s)
+            else:
+                young[s] = got
+        names, texts, kinds = self.id_text, self.piece_text, self.plain
         for lo in range(0, len(new), 4000):
             part = new[lo : lo + 4000]
             for s, sym in zip(part, self.merge(part)):
+                if min(sym) >= 0 and all([kinds[i] for i in sym]):
+                    young[s] = len(sym), b" ".join([names[i] for i in sym]), "".join([texts[i] for i in sym])
+                    continue
                 ids: list[int] = []
                 for x in sym:
                     if x >= 0:
@@ -193,7 +223,8 @@ class PieceModel:
                     else:
                         raw = chr(-1 - x).encode("utf-8")
                         ids.extend(self.byte_ids[c] for c in raw) if self.byte_ids else ids.append(self.unk)
-                self.store[s] = (len(ids), " ".join(map(str, ids)).encode(), self.text_of(ids))
+                young[s] = len(ids), b" ".join([names[i] for i in ids]), self.text_of(ids)
+        return young
 
     def segments(self, text: str) -> list[str]:
         if not text:
@@ -221,8 +252,8 @@ class PieceModel:
 
     def encode(self, text: str) -> list[int]:
         segments = self.segments(text)
-        self.learn(set(segments))
-        return [int(i) for s in segments for i in self.store[s][1].split()] + [self.end]
+        store = self.learn(set(segments))
+        return [int(i) for s in segments for i in store[s][1].split()] + [self.end]
 
     def decode(self, ids: list[int]) -> str:
         text = self.text_of(ids)
@@ -247,15 +278,15 @@ def piece_digest(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     common.small_batches(docs.sparkSession)
 
     def run(batches):
+        gc.set_threshold(200_000, 50, 50)  # the store is large and has no cycles
         model = PieceModel(model_path)
         end = str(model.end).encode()
         for b in batches:
             texts = b.column(1).to_pylist()
             n, enc, dec = [], [], []
-            for lo in range(0, len(texts), 64):
-                rows = [model.segments(t.decode("utf-8", "replace")) for t in texts[lo : lo + 64]]
-                model.learn(set().union(*rows))
-                store = model.store
+            for lo in range(0, len(texts), 250):
+                rows = [model.segments(t.decode("utf-8", "replace")) for t in texts[lo : lo + 250]]
+                store = model.learn(set().union(*rows))
                 for row in rows:
                     got = [store[s] for s in row]
                     n.append(sum([g[0] for g in got]) + 1)
