@@ -6,13 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, packing, pieces, topk
+from . import common, html, langid, media, packing, pieces, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = common.crc_mod(F.col("doc_id"), 4) == 2
+    return langid.language_query(_table(spark, sf_dir, "documents"), ~held_out, held_out)
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.piece_digest(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -25,14 +30,25 @@ def op6_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(_table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_query(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_table(spark, sf_dir, "pages"))
+
+
 def op10_topk_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.topk_search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_mpeg_audio": op6_mpeg_audio,
+    "op7_toxicity": op7_toxicity,
+    "op8_html_extraction": op8_html_extraction,
     "op10_topk_maxscore": op10_topk_maxscore,
 }
 
