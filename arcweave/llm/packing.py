@@ -20,6 +20,7 @@ gives no rows.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 
 import numpy as np
@@ -31,8 +32,8 @@ from pyspark.sql import functions as F
 from . import common
 
 CAPACITY, END_ID = 4096, 1
-#: Remembered chunks of one worker; the store is emptied when full.
-CACHE = 150_000
+#: Remembered chunks of one worker and generation.
+CACHE = 400_000
 
 
 class FitTree:
@@ -107,25 +108,73 @@ def best_fit_runs(histogram: dict[int, int], capacity: int) -> list[tuple[int, i
     return runs
 
 
-def tokenizer_chunks(path: str):
-    """bytes chunk -> little-endian uint32 ids, through a bounded store; ``many`` fills it in batches."""
-    from tokenizers import Tokenizer
-
-    tok = Tokenizer.from_file(path)
-    store: dict[bytes, bytes] = {}
-
-    def many(chunks) -> dict[bytes, bytes]:
-        new = [c for c in chunks if c not in store]
-        if len(store) + len(new) > CACHE:
-            store.clear()
-            new = list(chunks)
-        for i in range(0, len(new), 5000):
-            part = new[i : i + 5000]
-            for c, e in zip(part, tok.encode_batch([c.decode("utf-8", "replace") for c in part], add_special_tokens=False)):
-                store[c] = np.asarray(e.ids, "<u4").tobytes()
-        return store
-
-    return many
+def _letters(chunk: bytes) -> bool:
+    """Whether the tokenizer sees letters alone, once it has normalised the chunk."""
+    if chunk.isascii():
+        return chunk.isalpha()
+    return unicodedata.normalize("NFC", chunk.decode("utf-8", "replace")).lower().isalpha()
+
+
+class Chunks:
+    """Little-endian uint32 ids of white-space separated chunks, remembered in two generations."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tok = Tokenizer.from_file(path)
+        self.ends = np.zeros(self.tok.get_vocab_size() + 1, bool)
+        for token, i in self.tok.get_vocab().items():
+            self.ends[i] = token.endswith("</w>")
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def _encode(self, chunks: list[bytes]) -> list[bytes]:
+        got = self.tok.encode_batch_fast([c.decode("utf-8", "replace") for c in chunks], add_special_tokens=False)
+        return [np.asarray(e.ids, "<u4").tobytes() for e in got]
+
+    def _words(self, words: list[bytes]) -> list[bytes]:
+        """Words of letters alone, encoded as one text and cut at the tokens that end a word."""
+        ids = np.frombuffer(self._encode([b" ".join(words)])[0], "<u4")
+        ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+        if len(ends) != len(words) or ends[-1] != len(ids):
+            return self._encode(words)
+        raw = ids.tobytes()
+        return [raw[4 * i : 4 * j] for i, j in zip([0, *ends], ends)]
+
+    def get(self, chunks: set[bytes]) -> dict[bytes, bytes]:
+        """A dictionary that holds every one of ``chunks``."""
+        young, old = self.young, self.old
+        missing = [c for c in chunks if c not in young]
+        if len(young) + len(missing) > CACHE:
+            self.old, self.young = old, young = young, {}
+            missing = list(chunks)
+        words, other, dotted = [], [], []
+        for c in missing:
+            got = old.get(c)
+            if got is not None:
+                young[c] = got
+                continue
+            if c[-1] in b".," and len(c) > 1 and b"<|" not in c:
+                if _letters(c[:-1]):
+                    dotted.append(c)
+                    if c[:-1] not in young:
+                        words.append(c[:-1])
+                    continue
+            (words if _letters(c) else other).append(c)
+        if dotted:
+            other += [b".", b","]
+        words = list(dict.fromkeys(words))
+        for encode, part in ((self._words, words), (self._encode, other)):
+            for i in range(0, len(part), 2000):
+                young.update(zip(part[i : i + 2000], encode(part[i : i + 2000])))
+        for c in dotted:  # a mark behind a letter is a token of its own
+            young[c] = young[c[:-1]] + young[c[-1:]]
+        return young
+
+    @staticmethod
+    def split(text: bytes) -> list[bytes]:
+        """Chunks; capitals A-Z are lowered first, as the tokenizer does, unless special tokens may be in the text."""
+        return text.split() if b"<|" in text else text.lower().split()
 
 
 def _pieces(path: str, capacity: int):
@@ -134,7 +183,7 @@ def _pieces(path: str, capacity: int):
     def run(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         os.environ["RAYON_NUM_THREADS"] = "1"
-        many = tokenizer_chunks(path)
+        memory = Chunks(path)
         ranks: dict[int, int] = {}
         from pyspark import TaskContext
 
@@ -143,10 +192,10 @@ def _pieces(path: str, capacity: int):
         for b in batches:
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             out: list[list] = [[] for _ in range(6)]
-            for lo in range(0, len(ids), 100):
-                chunks = [t.split() for t in texts[lo : lo + 100]]
-                store = many(set().union(*chunks))
-                for doc, words in zip(ids[lo : lo + 100], chunks):
+            for lo in range(0, len(ids), 250):
+                chunks = [memory.split(t) for t in texts[lo : lo + 250]]
+                store = memory.get(set().union(*chunks))
+                for doc, words in zip(ids[lo : lo + 250], chunks):
                     data = memoryview(b"".join([store[w] for w in words]) + end)
                     n = len(data) // 4
                     for piece, start in enumerate(range(0, n, capacity)):
