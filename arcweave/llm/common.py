@@ -7,6 +7,7 @@ and it outlives any of them. Only Spark readers and writers touch it.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -41,6 +42,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def again(table: DataFrame) -> DataFrame:
+    """A second reading of a staged table, with columns of its own for self-joins."""
+    out = table.sparkSession.read.schema(table.schema).parquet(table._arcweave_path)
+    out._arcweave_path = table._arcweave_path
+    return out
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete staged tables that nothing reads any more."""
     for t in tables:
@@ -51,6 +59,12 @@ def discard(*tables: DataFrame) -> None:
             p.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished passes now rather than at its next collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Bound the memory of an Arrow batch; texts of any length pass through."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
