@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, html, jaccard, langid, media, packing, pieces, topk, toxicity
+from . import common, html, jaccard, langid, media, packing, pieces, substrings, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,10 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(_table(spark, sf_dir, "pages"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeated_words(_table(spark, sf_dir, "documents"))
+
+
 def op10_topk_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.topk_search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -54,6 +58,7 @@ QUERIES = {
     "op6_mpeg_audio": op6_mpeg_audio,
     "op7_toxicity": op7_toxicity,
     "op8_html_extraction": op8_html_extraction,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_topk_maxscore": op10_topk_maxscore,
 }
 
@@ -73,6 +78,18 @@ ORACLES = {
         r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
         SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, (SELECT min(b) FROM r WHERE r.a = d.doc_id) AS component_id
         FROM documents d LEFT JOIN n USING (doc_id)""",
+    "op9_substring_dedup": """
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        v AS (SELECT doc_id, unnest(range(1, len(w) - 18)) AS i, w FROM d WHERE len(w) >= 20),
+        h AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 19], ' ')) AS g FROM v),
+        l AS (SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS r FROM h) t WHERE r > 1),
+        c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM l),
+        g AS (SELECT doc_id, list(p) AS p FROM c GROUP BY doc_id)
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(g.p), 0) AS BIGINT) AS n_removed,
+               sha256(CASE WHEN g.p IS NULL THEN array_to_string(w, ' ')
+                      ELSE coalesce((SELECT string_agg(x.word, ' ' ORDER BY x.k) FROM (SELECT unnest(d.w) AS word, unnest(range(1, len(d.w) + 1)) AS k) x
+                            WHERE NOT list_contains(g.p, x.k)), '') END) AS kept_sha256
+        FROM d LEFT JOIN g USING (doc_id)""",
     "op10_topk_maxscore": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
                    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
