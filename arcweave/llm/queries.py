@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, html, jaccard, langid, media, packing, pieces, substrings, topk, toxicity
+from . import common, html, jaccard, langid, lines, media, packing, pieces, substrings, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_components(_table(spark, sf_dir, "documents"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_query(_table(spark, sf_dir, "documents"))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.piece_digest(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -53,6 +57,7 @@ def op10_topk_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_jaccard_join": op2_jaccard_join,
+    "op3_line_dedup": op3_line_dedup,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_mpeg_audio": op6_mpeg_audio,
