@@ -110,7 +110,7 @@ def _prefixes(buckets: int):
                     s = mix(s)
                     tokens.append(((*d, n), np.partition(s, p - 1)[:p] if p < n else s))
                     size += p
-            if size > 1_500_000:
+            if size > 400_000:
                 yield from flush(rows, tokens)
                 rows, tokens, size = [], [], 0
         yield from flush(rows, tokens)
@@ -351,7 +351,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     common.small_batches(spark)
     base = common.texts(docs, id_col, text_col)
-    buckets = common.parts(spark)
+    buckets = 3 * common.parts(spark)  # a bucket of a partition's data is taken whole into memory
     by_token = base.mapInArrow(_prefixes(buckets), PACKED)
     by_set = by_token.groupBy("b").applyInArrow(_shared(buckets), PACKED)
     index = common.stage(by_set.groupBy("b").applyInArrow(_index(buckets), PACKED), "index")
