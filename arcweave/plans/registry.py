@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
+MODULES = ("dictionary",)
+
+
+def _all():
+    return [q for m in MODULES for q in import_module(f"arcweave.operators.{m}").QUERIES]
+
 
 def queries() -> dict:
-    return {}
+    return {q.name: q.run for q in _all()}
 
 
 def oracles() -> dict:
-    return {}
+    return {q.name: q.oracle() for q in _all()}
+
+
+def operators() -> dict[str, str]:
+    """Inventory ids by query."""
+    return {q.name: q.ids for q in _all()}
