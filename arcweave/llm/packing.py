@@ -20,6 +20,7 @@ gives no rows.
 
 from __future__ import annotations
 
+import string
 import unicodedata
 import zlib
 
@@ -33,7 +34,9 @@ from . import common
 
 CAPACITY, END_ID = 4096, 1
 #: Remembered chunks of one worker and generation.
-CACHE = 400_000
+CACHE = 900_000
+#: ASCII punctuation.
+MARKS = string.punctuation.encode()
 
 
 class FitTree:
@@ -148,27 +151,29 @@ class Chunks:
         if len(young) + len(missing) > CACHE:
             self.old, self.young = old, young = young, {}
             missing = list(chunks)
-        words, other, dotted = [], [], []
+        words, other, tailed = [], [], []
         for c in missing:
             got = old.get(c)
             if got is not None:
                 young[c] = got
                 continue
-            if c[-1] in b".," and len(c) > 1 and b"<|" not in c:
-                if _letters(c[:-1]):
-                    dotted.append(c)
-                    if c[:-1] not in young:
-                        words.append(c[:-1])
-                    continue
-            (words if _letters(c) else other).append(c)
-        if dotted:
-            other += [b".", b","]
-        words = list(dict.fromkeys(words))
-        for encode, part in ((self._words, words), (self._encode, other)):
+            word = c.rstrip(MARKS)
+            if not _letters(word):
+                other.append(c)
+            elif len(word) == len(c):
+                words.append(c)
+            else:  # marks behind a letter are a token run of their own
+                tail = c[len(word) :]
+                tailed.append((c, word, tail))
+                if word not in young:
+                    words.append(word)
+                if tail not in young:
+                    other.append(tail)
+        for encode, part in ((self._words, list(dict.fromkeys(words))), (self._encode, list(dict.fromkeys(other)))):
             for i in range(0, len(part), 2000):
                 young.update(zip(part[i : i + 2000], encode(part[i : i + 2000])))
-        for c in dotted:  # a mark behind a letter is a token of its own
-            young[c] = young[c[:-1]] + young[c[-1:]]
+        for c, word, tail in tailed:
+            young[c] = young[word] + young[tail]
         return young
 
     @staticmethod
@@ -192,10 +197,10 @@ def _pieces(path: str, capacity: int):
         for b in batches:
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             out: list[list] = [[] for _ in range(6)]
-            for lo in range(0, len(ids), 250):
-                chunks = [memory.split(t) for t in texts[lo : lo + 250]]
+            for lo in range(0, len(ids), 1000):
+                chunks = [memory.split(t) for t in texts[lo : lo + 1000]]
                 store = memory.get(set().union(*chunks))
-                for doc, words in zip(ids[lo : lo + 250], chunks):
+                for doc, words in zip(ids[lo : lo + 1000], chunks):
                     data = memoryview(b"".join([store[w] for w in words]) + end)
                     n = len(data) // 4
                     for piece, start in enumerate(range(0, n, capacity)):
