@@ -51,6 +51,8 @@ SHARED = np.dtype([("d1", "<i8"), ("d2", "<i8"), ("n", "<u4"), ("df", "<u4"), ("
 DOC = np.dtype([("id", "<i8"), ("d1", "<i8"), ("d2", "<i8"), ("n", "<i8")])
 ENTRY = np.dtype([("sig", "<u8"), ("d1", "<i8"), ("d2", "<i8"), ("n", "<u4")])
 NODE = np.dtype([("d1", "<i8"), ("d2", "<i8")])
+ASK = np.dtype([("d1", "<i8"), ("d2", "<i8"), ("b", "<u4")])
+LABEL = np.dtype([("d1", "<i8"), ("d2", "<i8"), ("c", "<i8")])
 PAIR = np.dtype([("a1", "<i8"), ("a2", "<i8"), ("b1", "<i8"), ("b2", "<i8")])
 
 
@@ -110,7 +112,7 @@ def _prefixes(buckets: int):
                     s = mix(s)
                     tokens.append(((*d, n), np.partition(s, p - 1)[:p] if p < n else s))
                     size += p
-            if size > 400_000:
+            if size > 250_000:
                 yield from flush(rows, tokens)
                 rows, tokens, size = [], [], 0
         yield from flush(rows, tokens)
@@ -260,17 +262,22 @@ def _stars(e: np.ndarray, edges: np.ndarray) -> np.ndarray:
 
 
 def _first_pairs(buckets: int):
-    """One index bucket: star pairs (kind 1), and the sets that occur in lists of two or more (kind 2)."""
+    """One index bucket: star pairs (kind 1), sets in lists of two or more (2), those in long lists (3)."""
 
     def run(key, table):
         e, edges = _lists(unpack(table.column("payload"), ENTRY))
         pairs = _stars(e, edges)
         nodes = np.zeros(len(e), NODE)
         nodes["d1"], nodes["d2"] = e["d1"], e["d2"]
+        long = np.repeat(np.diff(edges) > SMALL, np.diff(edges))
+        crowd = np.unique(nodes[long])
+        ask = np.zeros(len(crowd), ASK)
+        ask["d1"], ask["d2"], ask["b"] = crowd["d1"], crowd["d2"], key[0].as_py()
         nodes = np.unique(nodes)
         n1, p1 = pack((mix(pairs["a1"].astype(np.uint64) ^ mix(pairs["b1"].astype(np.uint64))) % np.uint64(buckets)).astype(np.int64), pairs)
         n2, p2 = pack((mix(nodes["d1"].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64), nodes)
-        return pa.table({"kind": pa.array([1] * len(n1) + [2] * len(n2), pa.int32()), "b": pa.array(n1 + n2, pa.int32()), "payload": pa.array(p1 + p2, pa.binary())})
+        n3, p3 = pack((mix(ask["d1"].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64), ask)
+        return pa.table({"kind": pa.array([1] * len(n1) + [2] * len(n2) + [3] * len(n3), pa.int32()), "b": pa.array(n1 + n2 + n3, pa.int32()), "payload": pa.array(p1 + p2 + p3, pa.binary())})
 
     return run
 
@@ -319,31 +326,51 @@ def _verify(pairs: DataFrame, sets: DataFrame, buckets: int) -> DataFrame:
     return common.stage(links, "links")
 
 
+def _answers(buckets: int):
+    """One bucket of sets: the components that index buckets ask for, dealt by the asking bucket."""
+
+    def run(left, right):
+        asked, known = unpack(left.column("payload"), ASK), unpack(right.column("payload"), LABEL)
+        of = {(x, y): c for x, y, c in zip(known["d1"].tolist(), known["d2"].tolist(), known["c"].tolist())}
+        out = np.zeros(len(asked), LABEL)
+        out["d1"], out["d2"] = asked["d1"], asked["d2"]
+        out["c"] = [of[k] for k in zip(asked["d1"].tolist(), asked["d2"].tolist())]
+        names, payloads = pack(asked["b"].astype(np.int64), out)
+        return pa.table({"kind": pa.array([1] * len(names), pa.int32()), "b": pa.array(names, pa.int32()), "payload": pa.array(payloads, pa.binary())})
+
+    return run
+
+
 def _crossing(buckets: int):
-    """Index lists with the component of each member: pairs across components, in blocks."""
-    member = np.dtype([("sig", "<u8"), ("d1", "<i8"), ("d2", "<i8"), ("n", "<u4"), ("c", "<i8")])
+    """Index lists with the components of their members: pairs across components, in full."""
 
-    def run(key, table):
-        e = unpack(table.column("payload"), member)
-        by = np.lexsort((e["n"], e["sig"]))
-        e = e[by]
-        edges = np.flatnonzero(np.r_[True, e["sig"][1:] != e["sig"][:-1], True]) if len(e) else np.zeros(1, np.int64)
+    def run(left, right):
+        e, edges = _lists(unpack(left.column("payload"), ENTRY))
+        size = np.diff(edges)
+        e = e[np.repeat(size > SMALL, size)] if len(size) else e
+        edges = np.r_[0, np.cumsum(size[size > SMALL])]
+        known = unpack(right.column("payload"), LABEL)
+        of = {(x, y): c for x, y, c in zip(known["d1"].tolist(), known["d2"].tolist(), known["c"].tolist())}
+        label = np.array([of[k] for k in zip(e["d1"].tolist(), e["d2"].tolist())], np.int64)
         out = []
-        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
-            c, n = e["c"][lo:hi], e["n"][lo:hi].astype(np.int64)
-            if hi - lo <= SMALL or (c == c[0]).all():
-                continue
-            to = np.searchsorted(n, 4 * n // 3, side="right")
-            for i in range(hi - lo - 1):
-                j = np.arange(i + 1, to[i])
-                j = j[c[j] != c[i]]
-                if len(j):
-                    out.append(np.stack([np.full(len(j), lo + i), lo + j]))
-        pairs = _pair_table(e, *np.concatenate(out, axis=1)) if out else np.zeros(0, PAIR)
+        if len(e):
+            torn = np.minimum.reduceat(label, edges[:-1]) != np.maximum.reduceat(label, edges[:-1])
+            for k in np.flatnonzero(torn).tolist():
+                lo, hi = int(edges[k]), int(edges[k + 1])
+                c, n = label[lo:hi], e["n"][lo:hi].astype(np.int64)
+                to = np.searchsorted(n, 4 * n // 3, side="right")
+                for i in range(hi - lo - 1):
+                    j = np.arange(i + 1, to[i])
+                    j = j[c[j] != c[i]]
+                    if len(j):
+                        out.append(_pair_table(e, np.full(len(j), lo + i), lo + j))
+                if len(out) > 2000:
+                    out = [np.unique(np.concatenate(out))]
+        pairs = np.unique(np.concatenate(out)) if out else np.zeros(0, PAIR)
         names, payloads = pack((mix(pairs["a1"].astype(np.uint64) ^ mix(pairs["b1"].astype(np.uint64))) % np.uint64(buckets)).astype(np.int64), pairs)
         return pa.table({"kind": pa.array([1] * len(names), pa.int32()), "b": pa.array(names, pa.int32()), "payload": pa.array(payloads, pa.binary())})
 
-    return run, member
+    return run
 
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -351,7 +378,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     common.small_batches(spark)
     base = common.texts(docs, id_col, text_col)
-    buckets = 3 * common.parts(spark)  # a bucket of a partition's data is taken whole into memory
+    buckets = 2 * common.parts(spark)  # a bucket of a partition's data is taken whole into memory
     by_token = base.mapInArrow(_prefixes(buckets), PACKED)
     by_set = by_token.groupBy("b").applyInArrow(_shared(buckets), PACKED)
     index = common.stage(by_set.groupBy("b").applyInArrow(_index(buckets), PACKED), "index")
@@ -381,30 +408,20 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links = _verify(pairs, kept, buckets)
     groups = components(links)
 
-    # lists of more than SMALL members whose members lie in several components
-    def long_lists(key, table):
-        e, edges = _lists(unpack(table.column("payload"), ENTRY))
-        size = np.diff(edges)
-        e = e[np.repeat(size > SMALL, size)] if len(size) else e
-        return pa.table({"sig": pa.array(np.ascontiguousarray(e["sig"]).view(np.int64)), **{k: pa.array(np.ascontiguousarray(e[k]).astype(np.int64)) for k in ("d1", "d2", "n")}})
-
-    members = entries.groupBy("b").applyInArrow(long_lists, "sig long, d1 long, d2 long, n long")
+    # long lists meet the components of their members; each index bucket asks for the sets it holds, once
     of = kept.select("d1", "d2", "rep").join(groups, F.col("rep") == F.col("node"), "left").select("d1", "d2", F.coalesce("component", "rep").alias("c"))
-    members = common.stage(members.join(of, ["d1", "d2"]), "members")
-    torn = members.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("sig")
-    torn = common.stage(torn, "torn")
-    crossing, dtype = _crossing(buckets)
 
-    def repack(batches):
+    def labels(batches):
         for b in batches:
-            t = np.zeros(b.num_rows, dtype)
-            for k, name in enumerate(("sig", "d1", "d2", "n", "c")):
-                v = b.column(k).to_numpy()
-                t[name] = v.view(np.uint64) if name == "sig" else v
-            yield packed_rows(1, *pack((t["sig"] % np.uint64(buckets)).astype(np.int64), t))
-
-    again = members.join(torn, "sig").select("sig", "d1", "d2", "n", "c").mapInArrow(repack, PACKED)
-    again = again.groupBy("b").applyInArrow(crossing, PACKED)
+            t = np.zeros(b.num_rows, LABEL)
+            for k, name in enumerate(("d1", "d2", "c")):
+                t[name] = b.column(k).to_numpy()
+            yield packed_rows(1, *pack((mix(t["d1"].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64), t))
+
+    known = common.stage(of.mapInArrow(labels, PACKED), "known")
+    asked = common.again(first).where("kind = 3").select("b", "payload")
+    answers = common.stage(asked.groupBy("b").cogroup(known.groupBy("b")).applyInArrow(_answers(buckets), PACKED), "answers")
+    again = common.again(index).where("kind = 1").select("b", "payload").groupBy("b").cogroup(answers.groupBy("b")).applyInArrow(_crossing(buckets), PACKED)
     again = again.groupBy("b").applyInArrow(_unique(PAIR, "a1 a2 b1 b2"), "a1 long, a2 long, b1 long, b2 long")
     more = _verify(again, kept, buckets)
     final = components(links.union(more))
