@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Rows of one Arrow batch. Texts may be long, so batches stay small.
-BATCH_ROWS = 1000
+BATCH_ROWS = 500
 
 
 def work_dir(spark: SparkSession) -> str:

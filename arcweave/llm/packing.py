@@ -220,7 +220,7 @@ def _pieces(path: str, capacity: int):
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     spark = docs.sparkSession
-    common.small_batches(spark)
+    common.small_batches(spark, 1000)
     pieces = common.texts(docs, id_col, text_col).mapInArrow(_pieces(tokenizer_path, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long, _rank long, _slab int")
     pieces = common.stage(pieces, "pieces")
     # (slab, length) counts; a running sum over the slabs of a length gives each slab's first rank

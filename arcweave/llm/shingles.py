@@ -13,7 +13,7 @@ import pyarrow as pa
 import xxhash
 
 _P = np.uint64(0x9E3779B97F4A7C15)
-_CACHE = 200_000
+_CACHE = 120_000
 
 
 class WordHashes(dict):

@@ -78,7 +78,7 @@ def _anchor_rows(buckets: int, k: int):
                 t["pos"], t["doc"] = at, i
                 part.append(t)
                 size += len(t)
-            if size > 1_000_000:
+            if size > 200_000:
                 yield flush(part)
                 part, size = [], 0
         if part:
@@ -128,8 +128,6 @@ def _by_doc(dtype, fields):
 
 def _window_rows(buckets: int, k: int):
     """Documents with their repeated anchors: windows (kind 1), finished documents (0), others' texts (2)."""
-    none = pa.array([], pa.int32())
-
     def rows(kind, doc, n, sha, text):
         size = len(doc)
         return pa.RecordBatch.from_arrays(
@@ -173,7 +171,7 @@ def _window_rows(buckets: int, k: int):
                 yield rows(0, *done, [None] * len(done[0]))
             if open_docs[0]:
                 yield rows(2, open_docs[0], open_docs[1], [None] * len(open_docs[0]), open_docs[2])
-            if size > 500_000:
+            if size > 120_000:
                 yield packed(part)
                 part, size = [], 0
         if part:
