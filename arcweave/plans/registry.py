@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("dictionary", "rules")
+MODULES = ("dictionary", "rules", "statistics")
 
 
 def _all():
