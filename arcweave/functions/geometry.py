@@ -33,7 +33,7 @@ def norm(a: str, axes: Sequence[str] = ESSENCE) -> Column:
 def cosine(a: str, b: str, axes: Sequence[str] = ESSENCE) -> Column:
     """Clipped cosine; null where a vector has no length."""
     size = norm(a, axes) * norm(b, axes)
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b, axes) / F.when(size != 0, size)))
+    return F.when(size != 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b, axes) / F.when(size != 0, size))))
 
 
 def angle(a: str, b: str, axes: Sequence[str] = ESSENCE, zero: float | None = 0.0) -> Column:

@@ -26,7 +26,9 @@ def norm(a: str, axes) -> str:
 
 
 def cosine(a: str, b: str, axes) -> str:
-    return f"greatest(-1e0, least(1e0, {dot(a, b, axes)} / nullif({norm(a, axes)} * {norm(b, axes)}, 0e0)))"
+    """Clipped; null where a vector has no length."""
+    size = f"{norm(a, axes)} * {norm(b, axes)}"
+    return f"CASE WHEN {size} <> 0e0 THEN greatest(-1e0, least(1e0, {dot(a, b, axes)} / nullif({size}, 0e0))) END"
 
 
 def angle(a: str, b: str, axes, zero: str = "0e0") -> str:

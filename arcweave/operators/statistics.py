@@ -286,7 +286,7 @@ def leak_retest(d):
 @Q("STAT-01 STAT-03")
 def auroc_by_group(d):
     return f"""WITH {scored(d)}, t AS (SELECT stratum, y, {avg_rank('p', 'stratum')} AS rk FROM scored), s AS (SELECT stratum, count(*) AS n, sum(CAST(y AS DOUBLE)) AS pos, sum(CASE WHEN y = 1 THEN rk ELSE 0e0 END) AS rs FROM t GROUP BY stratum)
-    SELECT stratum, n, {r('(rs - pos * (pos + 1) / 2e0) / (pos * (n - pos))')} AS auroc FROM s"""
+    SELECT stratum, n, {r('(rs - pos * (pos + 1) / 2e0) / nullif(pos * (n - pos), 0e0)')} AS auroc FROM s"""
 
 
 @Q("STAT-10")
