@@ -18,9 +18,12 @@ second look. No link between different sets is lost:
     shares a rare token or a pair of one class. The number of classes grows
     with the set's size, hence the index stays linear in it even where every
     token is frequent.
-3.  Verification. In each index list every member meets one of similar size
-    (a star); verified links give components. Lists whose members then lie in
-    two or more components are compared across components, in full.
+3.  Verification. The tokens that a candidate shares with any other candidate
+    bound its overlap with each partner, which rules out most pairs of a loose
+    group of copies. In each index list every member meets the one of its size
+    that shares most (a star); verified links give components. Lists whose
+    members then lie in two or more components are compared across components,
+    in full.
 
 Sets are compared by 64-bit shingle hashes, nodes by 128-bit digests.
 
@@ -53,6 +56,7 @@ ENTRY = np.dtype([("sig", "<u8"), ("d1", "<i8"), ("d2", "<i8"), ("n", "<u4")])
 NODE = np.dtype([("d1", "<i8"), ("d2", "<i8")])
 ASK = np.dtype([("d1", "<i8"), ("d2", "<i8"), ("b", "<u4")])
 LABEL = np.dtype([("d1", "<i8"), ("d2", "<i8"), ("c", "<i8")])
+OWNED = np.dtype([("d1", "<i8"), ("d2", "<i8"), ("t", "<u8")])
 PAIR = np.dtype([("a1", "<i8"), ("a2", "<i8"), ("b1", "<i8"), ("b2", "<i8")])
 
 
@@ -237,23 +241,35 @@ def _pair_table(e: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return np.unique(out)
 
 
-def _stars(e: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    """Each member of a list paired with one not larger that it could link with; short lists in full."""
+def _admissible(n: np.ndarray, c: np.ndarray, i, j):
+    """Whether a pair can reach the threshold: both share enough tokens with any other set.
+
+    Jaccard 0.75 needs an overlap of 3/7 of both sizes together, and no overlap
+    is larger than the tokens that either set shares with others at all.
+    """
+    return 7 * np.minimum(c[i], c[j]) >= 3 * (n[i] + n[j])
+
+
+def _stars(e: np.ndarray, edges: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Each member of a list paired with the one of its size that shares most; short lists in full."""
     left, right = [], []
     n = e["n"].astype(np.int64)
     size = np.diff(edges)
     for k in np.flatnonzero(size > SMALL).tolist():
-        lo, hi = int(edges[k]), int(edges[k + 1])
-        while lo < hi:
-            to = lo + int(np.searchsorted(n[lo:hi], 4 * n[lo] // 3, side="right"))
-            left.append(np.full(to - lo - 1, lo))
-            right.append(np.arange(lo + 1, to))
-            lo = to
+        rest = np.arange(edges[k], edges[k + 1])
+        while len(rest) > 1:
+            pivot = rest[int(np.argmax(c[rest] / n[rest]))]
+            near = (3 * n[rest] <= 4 * n[pivot]) & (3 * n[pivot] <= 4 * n[rest])
+            own = rest[near]
+            own = own[(own != pivot) & _admissible(n, c, pivot, own)]
+            left.append(np.full(len(own), pivot))
+            right.append(own)
+            rest = rest[~near]
     for s in range(2, SMALL + 1):
         at = edges[:-1][size == s]
         for x in range(s):
             for y in range(x + 1, s):
-                ok = 3 * n[at + y] <= 4 * n[at + x]
+                ok = (3 * n[at + y] <= 4 * n[at + x]) & _admissible(n, c, at + x, at + y)
                 left.append(at[ok] + x)
                 right.append(at[ok] + y)
     if not left:
@@ -261,27 +277,91 @@ def _stars(e: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return _pair_table(e, np.concatenate(left).astype(np.int64), np.concatenate(right).astype(np.int64))
 
 
-def _first_pairs(buckets: int):
-    """One index bucket: star pairs (kind 1), sets in lists of two or more (2), those in long lists (3)."""
+def _packed(names: list[int], payloads: list[bytes], kind: int = 1) -> pa.Table:
+    return pa.table({"kind": pa.array([kind] * len(names), pa.int32()), "b": pa.array(names, pa.int32()), "payload": pa.array(payloads, pa.binary())})
+
+
+def _set_bucket(d1: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(d1.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _asks(buckets: int):
+    """One index bucket: the sets in its lists of two or more, with the bucket's number, dealt by set."""
+
+    def run(key, table):
+        e, _ = _lists(unpack(table.column("payload"), ENTRY))
+        node = np.zeros(len(e), NODE)
+        node["d1"], node["d2"] = e["d1"], e["d2"]
+        node = np.unique(node)
+        ask = np.zeros(len(node), ASK)
+        ask["d1"], ask["d2"], ask["b"] = node["d1"], node["d2"], key[0].as_py()
+        return _packed(*pack(_set_bucket(ask["d1"], buckets), ask))
+
+    return run
+
+
+def _set_tokens(buckets: int):
+    """Token sets as packed tokens."""
+
+    def flush(part):
+        table = np.concatenate(part)
+        return packed_rows(1, *pack((mix(table["t"]) % np.uint64(buckets)).astype(np.int64), table))
+
+    def run(batches):
+        part, size = [], 0
+        for b in batches:
+            for d1, d2, tokens in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                s = np.frombuffer(tokens, np.uint64)
+                t = np.zeros(len(s), OWNED)
+                t["d1"], t["d2"], t["t"] = d1, d2, s
+                part.append(t)
+                size += len(t)
+                if size > 200_000:
+                    yield flush(part)
+                    part, size = [], 0
+        if part:
+            yield flush(part)
+
+    return run
+
+
+def _shared_counts(buckets: int):
+    """One token bucket: how many of its tokens each set shares with another, dealt by set."""
 
     def run(key, table):
-        e, edges = _lists(unpack(table.column("payload"), ENTRY))
-        pairs = _stars(e, edges)
-        nodes = np.zeros(len(e), NODE)
-        nodes["d1"], nodes["d2"] = e["d1"], e["d2"]
-        long = np.repeat(np.diff(edges) > SMALL, np.diff(edges))
-        crowd = np.unique(nodes[long])
-        ask = np.zeros(len(crowd), ASK)
-        ask["d1"], ask["d2"], ask["b"] = crowd["d1"], crowd["d2"], key[0].as_py()
-        nodes = np.unique(nodes)
-        n1, p1 = pack((mix(pairs["a1"].astype(np.uint64) ^ mix(pairs["b1"].astype(np.uint64))) % np.uint64(buckets)).astype(np.int64), pairs)
-        n2, p2 = pack((mix(nodes["d1"].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64), nodes)
-        n3, p3 = pack((mix(ask["d1"].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64), ask)
-        return pa.table({"kind": pa.array([1] * len(n1) + [2] * len(n2) + [3] * len(n3), pa.int32()), "b": pa.array(n1 + n2 + n3, pa.int32()), "payload": pa.array(p1 + p2 + p3, pa.binary())})
+        t = unpack(table.column("payload"), OWNED)
+        t = t[np.argsort(t["t"], kind="stable")]
+        same = t["t"][1:] == t["t"][:-1]
+        t = t[np.r_[False, same] | np.r_[same, False]] if len(t) else t
+        node = np.zeros(len(t), NODE)
+        node["d1"], node["d2"] = t["d1"], t["d2"]
+        node, count = np.unique(node, return_counts=True)
+        out = np.zeros(len(node), LABEL)
+        out["d1"], out["d2"], out["c"] = node["d1"], node["d2"], count
+        return _packed(*pack(_set_bucket(out["d1"], buckets), out))
+
+    return run
+
+
+def _first_pairs(buckets: int):
+    """One index bucket and the shared counts of its sets: star pairs."""
+
+    def run(left, right):
+        e, edges = _lists(unpack(left.column("payload"), ENTRY))
+        pairs = _stars(e, edges, _look_up(e, unpack(right.column("payload"), LABEL)))
+        return _packed(*pack((mix(pairs["a1"].astype(np.uint64) ^ mix(pairs["b1"].astype(np.uint64))) % np.uint64(buckets)).astype(np.int64), pairs))
 
     return run
 
 
+def _look_up(e: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """The value of each entry's set; values of one set add up."""
+    of: dict[tuple[int, int], int] = {}
+    for x, y, c in zip(known["d1"].tolist(), known["d2"].tolist(), known["c"].tolist()):
+        of[x, y] = of.get((x, y), 0) + c
+    return np.array([of.get(k, 0) for k in zip(e["d1"].tolist(), e["d2"].tolist())], np.int64)
+
+
 def _unique(dtype, names: str):
     """One bucket of packed records: the distinct ones as rows."""
 
@@ -326,49 +406,47 @@ def _verify(pairs: DataFrame, sets: DataFrame, buckets: int) -> DataFrame:
     return common.stage(links, "links")
 
 
-def _answers(buckets: int):
-    """One bucket of sets: the components that index buckets ask for, dealt by the asking bucket."""
+def _answers(kind: int):
+    """One bucket of sets: the values that index buckets ask for, dealt by the asking bucket."""
 
     def run(left, right):
-        asked, known = unpack(left.column("payload"), ASK), unpack(right.column("payload"), LABEL)
-        of = {(x, y): c for x, y, c in zip(known["d1"].tolist(), known["d2"].tolist(), known["c"].tolist())}
+        asked = unpack(left.column("payload"), ASK)
         out = np.zeros(len(asked), LABEL)
         out["d1"], out["d2"] = asked["d1"], asked["d2"]
-        out["c"] = [of[k] for k in zip(asked["d1"].tolist(), asked["d2"].tolist())]
-        names, payloads = pack(asked["b"].astype(np.int64), out)
-        return pa.table({"kind": pa.array([1] * len(names), pa.int32()), "b": pa.array(names, pa.int32()), "payload": pa.array(payloads, pa.binary())})
+        out["c"] = _look_up(asked, unpack(right.column("payload"), LABEL))
+        return _packed(*pack(asked["b"].astype(np.int64), out), kind)
 
     return run
 
 
 def _crossing(buckets: int):
-    """Index lists with the components of their members: pairs across components, in full."""
+    """Index lists with the shared counts (1) and components (2) of their members: pairs across components, in full."""
 
     def run(left, right):
         e, edges = _lists(unpack(left.column("payload"), ENTRY))
         size = np.diff(edges)
         e = e[np.repeat(size > SMALL, size)] if len(size) else e
         edges = np.r_[0, np.cumsum(size[size > SMALL])]
-        known = unpack(right.column("payload"), LABEL)
-        of = {(x, y): c for x, y, c in zip(known["d1"].tolist(), known["d2"].tolist(), known["c"].tolist())}
-        label = np.array([of[k] for k in zip(e["d1"].tolist(), e["d2"].tolist())], np.int64)
+        kind = right.column("kind").to_numpy()
+        shared, label = (_look_up(e, unpack(right.filter(pa.array(kind == k)).column("payload"), LABEL)) for k in (1, 2))
         out = []
         if len(e):
             torn = np.minimum.reduceat(label, edges[:-1]) != np.maximum.reduceat(label, edges[:-1])
             for k in np.flatnonzero(torn).tolist():
                 lo, hi = int(edges[k]), int(edges[k + 1])
-                c, n = label[lo:hi], e["n"][lo:hi].astype(np.int64)
+                c, n, m = label[lo:hi], e["n"][lo:hi].astype(np.int64), shared[lo:hi]
                 to = np.searchsorted(n, 4 * n // 3, side="right")
-                for i in range(hi - lo - 1):
+                # the largest partner that the shared tokens allow; most members of a loose group allow none
+                to = np.minimum(to, np.searchsorted(n, 7 * m // 3 - n, side="right"))
+                for i in np.flatnonzero(to > np.arange(hi - lo) + 1).tolist():
                     j = np.arange(i + 1, to[i])
-                    j = j[c[j] != c[i]]
+                    j = j[(c[j] != c[i]) & _admissible(n, m, i, j)]
                     if len(j):
                         out.append(_pair_table(e, np.full(len(j), lo + i), lo + j))
                 if len(out) > 2000:
                     out = [np.unique(np.concatenate(out))]
         pairs = np.unique(np.concatenate(out)) if out else np.zeros(0, PAIR)
-        names, payloads = pack((mix(pairs["a1"].astype(np.uint64) ^ mix(pairs["b1"].astype(np.uint64))) % np.uint64(buckets)).astype(np.int64), pairs)
-        return pa.table({"kind": pa.array([1] * len(names), pa.int32()), "b": pa.array(names, pa.int32()), "payload": pa.array(payloads, pa.binary())})
+        return _packed(*pack((mix(pairs["a1"].astype(np.uint64) ^ mix(pairs["b1"].astype(np.uint64))) % np.uint64(buckets)).astype(np.int64), pairs))
 
     return run
 
@@ -391,37 +469,49 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     rows = common.stage(index.where("kind = 0").select("payload").mapInArrow(open_docs, "doc_id long, d1 long, d2 long, n long"), "rows")
     sets = common.stage(rows.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "sets")
-    entries = index.where("kind = 1").select("b", "payload")
-    first = common.stage(entries.groupBy("b").applyInArrow(_first_pairs(buckets), PACKED), "first")
-    nodes = first.where("kind = 2").groupBy("b").applyInArrow(_unique(NODE, "d1 d2"), "d1 long, d2 long")
-    wanted = nodes.join(sets, ["d1", "d2"]).select(F.col("rep").alias("_id"), "d1", "d2")
+    def entries():
+        return common.again(index).where("kind = 1").select("b", "payload")
+
+    asks = common.stage(entries().groupBy("b").applyInArrow(_asks(buckets), PACKED), "asks")
+    nodes = asks.select("b", "payload").groupBy("b").applyInArrow(_unique(ASK, "d1 d2"), "d1 long, d2 long")
+    wanted = nodes.distinct().join(sets, ["d1", "d2"]).select(F.col("rep").alias("_id"), "d1", "d2")
 
     def tokens(batches):
         hashes = WordHashes()
         for b in batches:
-            got = [shingle_set(hashes.of(t.lower().split()), SHINGLE).tobytes() for t in b.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), b.column(0), pa.array(got, pa.binary())], names=["d1", "d2", "rep", "tokens"])
-
-    kept = common.stage(wanted.join(base, "_id").dropDuplicates(["_id"]).select("_id", "d1", "d2", "_text").mapInArrow(tokens, "d1 long, d2 long, rep long, tokens binary"), "tokens")
+            out: tuple[list, ...] = ([], [], [], [])
+            for rep, d1, d2, t in zip(*(c.to_pylist() for c in b.columns)):
+                s = shingle_set(hashes.of(t.lower().split()), SHINGLE)
+                if set_digest(s) == (d1, d2):  # another row of a repeated id may bring another text
+                    for o, v in zip(out, (d1, d2, rep, s.tobytes())):
+                        o.append(v)
+            yield pa.RecordBatch.from_arrays([*(pa.array(o, pa.int64()) for o in out[:3]), pa.array(out[3], pa.binary())], names=["d1", "d2", "rep", "tokens"])
+
+    kept = wanted.hint("merge").join(base, "_id").select("_id", "d1", "d2", "_text").mapInArrow(tokens, "d1 long, d2 long, rep long, tokens binary")
+    kept = common.stage(kept, "tokens")
+    common.release(spark)
+    shared = kept.select("d1", "d2", "tokens").mapInArrow(_set_tokens(buckets), PACKED).groupBy("b").applyInArrow(_shared_counts(buckets), PACKED)
+    shared = common.stage(shared, "shared")
+    counts = common.stage(common.again(asks).groupBy("b").cogroup(shared.groupBy("b")).applyInArrow(_answers(1), PACKED), "counts")
     common.release(spark)
-    pairs = first.where("kind = 1").groupBy("b").applyInArrow(_unique(PAIR, "a1 a2 b1 b2"), "a1 long, a2 long, b1 long, b2 long")
+    first = entries().groupBy("b").cogroup(counts.groupBy("b")).applyInArrow(_first_pairs(buckets), PACKED)
+    pairs = first.groupBy("b").applyInArrow(_unique(PAIR, "a1 a2 b1 b2"), "a1 long, a2 long, b1 long, b2 long")
     links = _verify(pairs, kept, buckets)
     groups = components(links)
 
     # long lists meet the components of their members; each index bucket asks for the sets it holds, once
-    of = kept.select("d1", "d2", "rep").join(groups, F.col("rep") == F.col("node"), "left").select("d1", "d2", F.coalesce("component", "rep").alias("c"))
+    of = common.again(kept).select("d1", "d2", "rep").join(groups, F.col("rep") == F.col("node"), "left").select("d1", "d2", F.coalesce("component", "rep").alias("c"))
 
     def labels(batches):
         for b in batches:
             t = np.zeros(b.num_rows, LABEL)
             for k, name in enumerate(("d1", "d2", "c")):
                 t[name] = b.column(k).to_numpy()
-            yield packed_rows(1, *pack((mix(t["d1"].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64), t))
+            yield packed_rows(1, *pack(_set_bucket(t["d1"], buckets), t))
 
     known = common.stage(of.mapInArrow(labels, PACKED), "known")
-    asked = common.again(first).where("kind = 3").select("b", "payload")
-    answers = common.stage(asked.groupBy("b").cogroup(known.groupBy("b")).applyInArrow(_answers(buckets), PACKED), "answers")
-    again = common.again(index).where("kind = 1").select("b", "payload").groupBy("b").cogroup(answers.groupBy("b")).applyInArrow(_crossing(buckets), PACKED)
+    answers = common.stage(common.again(asks).groupBy("b").cogroup(known.groupBy("b")).applyInArrow(_answers(2), PACKED).union(common.again(counts)), "answers")
+    again = entries().groupBy("b").cogroup(answers.groupBy("b")).applyInArrow(_crossing(buckets), PACKED)
     again = again.groupBy("b").applyInArrow(_unique(PAIR, "a1 a2 b1 b2"), "a1 long, a2 long, b1 long, b2 long")
     more = _verify(again, kept, buckets)
     final = components(links.union(more))
