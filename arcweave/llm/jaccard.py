@@ -7,7 +7,7 @@ second look. No link between different sets is lost:
 
 1.  Extended prefixes. Tokens are ordered by hash. A pair at the threshold
     shares ``alpha = ceil(0.75 n)`` tokens at least, so the first
-    ``n - alpha + l`` tokens of both (``l = max(2, n // 4)``) share ``l`` or
+    ``n - alpha + l`` tokens of both (``l = max(2, n // 6)``) share ``l`` or
     more. Only these prefixes are shuffled; tokens seen in one set alone fall
     away, and so does every document that shares fewer prefix tokens than any
     partner would need.
@@ -25,7 +25,7 @@ second look. No link between different sets is lost:
     members then lie in two or more components are compared across components,
     in full.
 
-Sets are compared by 64-bit shingle hashes, nodes by 128-bit digests.
+Sets are compared by 64-bit shingle hashes, nodes by 96-bit digests.
 
 Defined cases: a null or empty text, or one without words, has no shingle and
 is linked with nothing; fewer than five words are one shingle; equal texts
@@ -49,14 +49,14 @@ RARE = 16
 #: Index lists of this many members or fewer are compared in full at once.
 SMALL = 6
 
-TOKEN = np.dtype([("d1", "<i8"), ("d2", "<i8"), ("n", "<u4"), ("t0", "<u4"), ("t1", "<u2")])
-SHARED = np.dtype([("d1", "<i8"), ("d2", "<i8"), ("n", "<u4"), ("df", "<u4"), ("t", "<u8")])
+TOKEN = np.dtype([("d1", "<i8"), ("d2", "<u4"), ("n", "<u4"), ("t0", "<u4"), ("t1", "<u2")])
+SHARED = np.dtype([("d1", "<i8"), ("d2", "<u4"), ("n", "<u4"), ("df", "<u4"), ("t", "<u8")])
 DOC = np.dtype([("id", "<i8"), ("d1", "<i8"), ("d2", "<i8"), ("n", "<i8")])
-ENTRY = np.dtype([("sig", "<u8"), ("d1", "<i8"), ("d2", "<i8"), ("n", "<u4")])
-NODE = np.dtype([("d1", "<i8"), ("d2", "<i8")])
-ASK = np.dtype([("d1", "<i8"), ("d2", "<i8"), ("b", "<u4")])
-LABEL = np.dtype([("d1", "<i8"), ("d2", "<i8"), ("c", "<i8")])
-OWNED = np.dtype([("d1", "<i8"), ("d2", "<i8"), ("t", "<u8")])
+ENTRY = np.dtype([("sig", "<u8"), ("d1", "<i8"), ("d2", "<u4"), ("n", "<u4")])
+NODE = np.dtype([("d1", "<i8"), ("d2", "<u4")])
+ASK = np.dtype([("d1", "<i8"), ("d2", "<u4"), ("b", "<u4")])
+LABEL = np.dtype([("d1", "<i8"), ("d2", "<u4"), ("c", "<i8")])
+OWNED = np.dtype([("d1", "<i8"), ("d2", "<u4"), ("t", "<u8")])
 PAIR = np.dtype([("a1", "<i8"), ("a2", "<i8"), ("b1", "<i8"), ("b2", "<i8")])
 
 
@@ -67,7 +67,7 @@ def alpha(n):
 
 def extra(n):
     """``l``: prefix tokens that two sets of this size share at least."""
-    return np.maximum(2, n // 4)
+    return np.maximum(2, n // 6)
 
 
 def prefix_length(n):
@@ -285,6 +285,13 @@ def _set_bucket(d1: np.ndarray, buckets: int) -> np.ndarray:
     return (mix(d1.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
 
 
+def _open_lists(key, table):
+    """One index bucket: its lists of two or more sets, in order."""
+    e, _ = _lists(unpack(table.column("payload"), ENTRY))
+    names, payloads = pack(np.full(len(e), key[0].as_py()), e)
+    return _packed(names, payloads)
+
+
 def _asks(buckets: int):
     """One index bucket: the sets in its lists of two or more, with the bucket's number, dealt by set."""
 
@@ -429,7 +436,7 @@ def _crossing(buckets: int):
         edges = np.r_[0, np.cumsum(size[size > SMALL])]
         kind = right.column("kind").to_numpy()
         shared, label = (_look_up(e, unpack(right.filter(pa.array(kind == k)).column("payload"), LABEL)) for k in (1, 2))
-        out = []
+        out, grown = [], 0
         if len(e):
             torn = np.minimum.reduceat(label, edges[:-1]) != np.maximum.reduceat(label, edges[:-1])
             for k in np.flatnonzero(torn).tolist():
@@ -443,8 +450,9 @@ def _crossing(buckets: int):
                     j = j[(c[j] != c[i]) & _admissible(n, m, i, j)]
                     if len(j):
                         out.append(_pair_table(e, np.full(len(j), lo + i), lo + j))
-                if len(out) > 2000:
+                if sum(map(len, out)) > 400_000 + grown:
                     out = [np.unique(np.concatenate(out))]
+                    grown = 2 * len(out[0])
         pairs = np.unique(np.concatenate(out)) if out else np.zeros(0, PAIR)
         return _packed(*pack((mix(pairs["a1"].astype(np.uint64) ^ mix(pairs["b1"].astype(np.uint64))) % np.uint64(buckets)).astype(np.int64), pairs))
 
@@ -456,7 +464,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     common.small_batches(spark)
     base = common.texts(docs, id_col, text_col)
-    buckets = 2 * common.parts(spark)  # a bucket of a partition's data is taken whole into memory
+    buckets = common.parts(spark)  # a partition's bucket is taken whole into memory
     by_token = base.mapInArrow(_prefixes(buckets), PACKED)
     by_set = by_token.groupBy("b").applyInArrow(_shared(buckets), PACKED)
     index = common.stage(by_set.groupBy("b").applyInArrow(_index(buckets), PACKED), "index")
@@ -469,8 +477,10 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     rows = common.stage(index.where("kind = 0").select("payload").mapInArrow(open_docs, "doc_id long, d1 long, d2 long, n long"), "rows")
     sets = common.stage(rows.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "sets")
+    lists = common.stage(index.where("kind = 1").select("b", "payload").groupBy("b").applyInArrow(_open_lists, PACKED), "lists")
+
     def entries():
-        return common.again(index).where("kind = 1").select("b", "payload")
+        return common.again(lists).select("b", "payload")
 
     asks = common.stage(entries().groupBy("b").applyInArrow(_asks(buckets), PACKED), "asks")
     nodes = asks.select("b", "payload").groupBy("b").applyInArrow(_unique(ASK, "d1 d2"), "d1 long, d2 long")

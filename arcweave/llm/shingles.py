@@ -57,8 +57,9 @@ def shingle_set(h: np.ndarray, k: int = 5) -> np.ndarray:
 
 
 def set_digest(s: np.ndarray) -> tuple[int, int]:
-    """128 bits of a sorted set, as two signed longs."""
-    return tuple(int(x) for x in np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), "<i8"))
+    """96 bits of a sorted set: a signed long and 32 bits more."""
+    a, b = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), "<i8").tolist()
+    return a, b & 0xFFFFFFFF
 
 
 def pack(bucket: np.ndarray, table: np.ndarray, most: int = 1 << 18):
