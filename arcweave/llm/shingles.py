@@ -63,24 +63,36 @@ def set_digest(s: np.ndarray) -> tuple[int, int]:
 
 
 def pack(bucket: np.ndarray, table: np.ndarray, most: int = 1 << 18):
-    """(bucket, payload) of each bucket's records in ``table``, split after ``most`` records."""
+    """(bucket, payload) of each bucket's records in ``table``, split after ``most`` records.
+
+    A payload holds one field after the other, so that runs of a field compress.
+    """
     if not len(table):
         return [], []
     by = np.argsort(bucket, kind="stable")
-    bucket, table = bucket[by], table[by]
+    bucket = bucket[by]
+    fields = [np.ascontiguousarray(table[n][by]) for n in table.dtype.names]
     edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]).tolist()
     names, payloads = [], []
     for lo, hi in zip(edges, edges[1:]):
         for at in range(lo, hi, most):
             names.append(int(bucket[lo]))
-            payloads.append(table[at : min(hi, at + most)].tobytes())
+            payloads.append(b"".join([f[at : min(hi, at + most)].tobytes() for f in fields]))
     return names, payloads
 
 
 def unpack(column, dtype) -> np.ndarray:
     """The records of a column of payloads."""
-    got = [np.frombuffer(p, dtype) for p in column.to_pylist()]
-    return np.concatenate(got) if got else np.zeros(0, dtype)
+    payloads = column.to_pylist()
+    sizes = [len(p) // dtype.itemsize for p in payloads]
+    out = np.empty(sum(sizes), dtype)
+    for name in dtype.names:
+        field, kind, at = out[name], dtype[name], 0
+        skip = sum(dtype[n].itemsize for n in dtype.names[: dtype.names.index(name)])
+        for p, n in zip(payloads, sizes):
+            field[at : at + n] = np.frombuffer(p, kind, n, skip * n)
+            at += n
+    return out
 
 
 def packed_rows(kind: int, names: list[int], payloads: list[bytes]) -> pa.RecordBatch:

@@ -12,7 +12,7 @@ A window of ``K`` words is an edge between its first and last ``K - 1`` words.
     continues a path without a branch exactly if its occurrences are the same
     ones, one word further on. Such runs compact to their head and a length.
 4.  Spans. Heads are joined back to the windows; every occurrence whose words
-    agree with those at the head's source coordinate (a second 64-bit hash) and
+    agree with those at the head's source coordinate (a second hash, of 32 bits) and
     that is not the first is a repeated span of length + K - 1 words.
 
 Defined cases: null and empty texts, and those of fewer than ``K`` words, keep
@@ -38,7 +38,7 @@ _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 ANCHOR = np.dtype([("g0", "<u4"), ("g1", "<u2"), ("pos", "<u4"), ("doc", "<i8")])
 PLACE = np.dtype([("doc", "<i8"), ("pos", "<u4")])
-WINDOW = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("pos", "<u4"), ("doc", "<i8")])
+WINDOW = np.dtype([("h1", "<u8"), ("h2", "<u4"), ("pos", "<u4"), ("doc", "<i8")])
 EDGE = np.dtype([("h1", "<u8"), ("doc", "<i8"), ("pos", "<u4"), ("count", "<u4"), ("a", "<u8"), ("b", "<u8"), ("c", "<u8")])
 HEAD = np.dtype([("h1", "<u8"), ("doc", "<i8"), ("pos", "<u4"), ("edges", "<u4")])
 SPAN = np.dtype([("doc", "<i8"), ("pos", "<u4"), ("words", "<u4")])
@@ -127,55 +127,28 @@ def _by_doc(dtype, fields):
 
 
 def _window_rows(buckets: int, k: int):
-    """Documents with their repeated anchors: windows (kind 1), finished documents (0), others' texts (2)."""
-    def rows(kind, doc, n, sha, text):
-        size = len(doc)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([kind] * size, pa.int32()), pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary()), pa.array(doc, pa.int64()), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(text, pa.binary())],
-            names=["kind", "b", "payload", "doc_id", "n_words", "sha", "text"],
-        )
-
-    def packed(part):
-        table = np.concatenate(part)
-        names, payloads = pack(_bucket(table["h1"], buckets), table)
-        size = len(names)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([1] * size, pa.int32()), pa.array(names, pa.int32()), pa.array(payloads, pa.binary()), pa.nulls(size, pa.int64()), pa.nulls(size, pa.int64()), pa.nulls(size, pa.string()), pa.nulls(size, pa.binary())],
-            names=["kind", "b", "payload", "doc_id", "n_words", "sha", "text"],
-        )
-
+    """Documents with their repeated anchors to windows (kind 1)."""
     def run(batches):
         hashes, part, size = WordHashes(), [], 0
         for b in batches:
-            done: tuple[list, list, list] = ([], [], [])
-            open_docs: tuple[list, list, list] = ([], [], [])
             for i, text, places in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                words = text.split()
-                hit = np.zeros(0, np.int64)
-                if places and len(words) >= k:
-                    h = hashes.of(words)
-                    _, named, _ = anchors(h, k)
-                    hit = np.flatnonzero(np.isin(named, np.frombuffer(places, "<u4").astype(np.int64)))
-                if not len(hit):
-                    for o, v in zip(done, (i, len(words), hashlib.sha256(b" ".join(words)).hexdigest())):
-                        o.append(v)
+                h = hashes.of(text.split())
+                if i is None or len(h) < k:
                     continue
+                _, named, _ = anchors(h, k)
+                hit = np.flatnonzero(np.isin(named, np.frombuffer(places, "<u4").astype(np.int64)))
                 t = np.zeros(len(hit), WINDOW)
-                t["h1"], t["h2"] = windows(h, k)[hit], windows(mix(h), k, salt=1)[hit]
+                t["h1"], t["h2"] = windows(h, k)[hit], windows(mix(h), k, salt=1)[hit] >> np.uint64(32)
                 t["pos"], t["doc"] = hit, i
                 part.append(t)
                 size += len(t)
-                for o, v in zip(open_docs, (i, len(words), text)):
-                    o.append(v)
-            if done[0]:
-                yield rows(0, *done, [None] * len(done[0]))
-            if open_docs[0]:
-                yield rows(2, open_docs[0], open_docs[1], [None] * len(open_docs[0]), open_docs[2])
-            if size > 120_000:
-                yield packed(part)
-                part, size = [], 0
+                if size > 120_000:
+                    table = np.concatenate(part)
+                    yield packed_rows(1, *pack(_bucket(table["h1"], buckets), table))
+                    part, size = [], 0
         if part:
-            yield packed(part)
+            table = np.concatenate(part)
+            yield packed_rows(1, *pack(_bucket(table["h1"], buckets), table))
 
     return run
 
@@ -263,8 +236,8 @@ def _covered(n: int, spans: bytes | None) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
-def _find(docs: DataFrame, id_col: str, text_col: str, k: int) -> tuple[DataFrame, DataFrame]:
-    """(staged rows of :func:`_window_rows`, spans by document)."""
+def _find(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
+    """Repeated spans by document."""
     spark = docs.sparkSession
     common.small_batches(spark)
     buckets = common.parts(spark)
@@ -273,24 +246,25 @@ def _find(docs: DataFrame, id_col: str, text_col: str, k: int) -> tuple[DataFram
     places = named.groupBy("b").applyInArrow(_repeated_anchors(buckets), PACKED).groupBy("b").applyInArrow(_by_doc(PLACE, ["pos"]), "_of long, _places binary")
     places = common.stage(places, "places")
     common.release(spark)
-    rows = base.join(places, base._id == places._of, "left").select("_id", "_text", "_places")
-    rows = common.stage(rows.mapInArrow(_window_rows(buckets, k), "kind int, b int, payload binary, doc_id long, n_words long, sha string, text binary"), "windows")
+    rows = base.join(places.hint("merge"), base._id == places._of).select("_id", "_text", "_places")
+    rows = common.stage(rows.mapInArrow(_window_rows(buckets, k), PACKED), "windows")
     common.discard(places)
     common.release(spark)
-    left = rows.where("kind = 1").select("b", "payload")
+    left = rows.select("b", "payload")
     heads = left.groupBy("b").applyInArrow(_edges(buckets), PACKED).groupBy("b").applyInArrow(_paths(buckets), PACKED)
     heads = common.stage(heads, "heads")
     common.release(spark)
-    again = common.again(rows).where("kind = 1").select("b", "payload")
+    again = common.again(rows).select("b", "payload")
     spans = again.groupBy("b").cogroup(heads.groupBy("b")).applyInArrow(_spans(buckets, k), PACKED)
     spans = common.stage(spans.groupBy("b").applyInArrow(_by_doc(SPAN, ["pos", "words"]), "_of long, _places binary"), "spans")
-    common.discard(heads)
-    return rows, spans
+    common.discard(heads, rows)
+    common.release(spark)
+    return spans
 
 
 def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256: words that a window seen earlier covers are removed."""
-    rows, spans = _find(docs, id_col, text_col, k)
+    spans = _find(docs, id_col, text_col, k)
 
     def measure(batches):
         for b in batches:
@@ -300,12 +274,11 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 gone = _covered(len(words), places)
                 n.append(len(words))
                 removed.append(int(gone.sum()))
-                sha.append(hashlib.sha256(b" ".join([w for w, x in zip(words, gone.tolist()) if not x])).hexdigest())
+                sha.append(hashlib.sha256(b" ".join([w for w, x in zip(words, gone.tolist()) if not x] if removed[-1] else words)).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    done = rows.where("kind = 0").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"))
-    rest = common.again(rows).where("kind = 2").select("doc_id", "text").join(spans, F.col("doc_id") == F.col("_of"), "left").select("doc_id", "text", "_places")
-    return done.union(rest.mapInArrow(measure, "doc_id long, n_words long, n_removed long, kept_sha256 string"))
+    base = common.texts(docs, id_col, text_col)
+    return base.join(spans.hint("merge"), base._id == spans._of, "left").select("_id", "_text", "_places").mapInArrow(measure, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def cut(text: bytes, places: bytes | None) -> bytes:
@@ -323,14 +296,19 @@ def cut(text: bytes, places: bytes | None) -> bytes:
 
 def without_repeats(docs: DataFrame, k: int = K) -> DataFrame:
     """``docs`` with the repeated words cut from ``text`` and ``n_chars`` counted anew; all rows stay."""
-    rows, spans = _find(docs, "doc_id", "text", k)
+    spans = _find(docs, "doc_id", "text", k)
+    both = docs.join(spans.hint("merge"), docs.doc_id == spans._of, "left").drop("_of")
+    names, at = docs.columns, docs.columns.index("text")
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([cut(t, p) for t, p in zip(b.column(1).to_pylist(), b.column(2).to_pylist())], pa.binary())], names=["_changed", "_kept"])
-
-    hit = common.again(rows).where("kind = 2").select("doc_id", "text").join(spans, F.col("doc_id") == F.col("_of")).select("doc_id", "text", "_places")
-    new = common.stage(hit.mapInArrow(run, "_changed long, _kept binary").select("_changed", F.col("_kept").cast("string").alias("_kept")), "kept")
-    out = docs.join(new, docs.doc_id == new._changed, "left")
-    text = F.when(F.col("_changed").isNotNull(), F.col("_kept")).otherwise(docs.text)
-    return out.select(*[text.alias("text") if c == "text" else F.when(F.col("_changed").isNotNull(), F.length("_kept").cast(docs.schema["n_chars"].dataType)).otherwise(docs.n_chars).alias("n_chars") if c == "n_chars" else docs[c] for c in docs.columns])
+            cols = list(b.columns[: len(names)])
+            text, places = cols[at].to_pylist(), b.column(len(names)).to_pylist()
+            new = [t if not p or t is None else cut(t.encode(), p).decode("utf-8", "replace") for t, p in zip(text, places)]
+            cols[at] = pa.array(new, cols[at].type)
+            if "n_chars" in names:
+                n = names.index("n_chars")
+                cols[n] = pa.array([c if not p else len(t) for t, p, c in zip(new, places, cols[n].to_pylist())], cols[n].type)
+            yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    return both.mapInArrow(run, docs.schema)
