@@ -20,6 +20,7 @@ gives no rows.
 
 from __future__ import annotations
 
+import gc
 import string
 import unicodedata
 import zlib
@@ -115,7 +116,10 @@ def _letters(chunk: bytes) -> bool:
     """Whether the tokenizer sees letters alone, once it has normalised the chunk."""
     if chunk.isascii():
         return chunk.isalpha()
-    return unicodedata.normalize("NFC", chunk.decode("utf-8", "replace")).lower().isalpha()
+    text = chunk.decode("utf-8", "replace")
+    if not text.isalpha():
+        return False
+    return max(text) < "\u0100" or unicodedata.normalize("NFC", text).lower().isalpha()
 
 
 class Chunks:
@@ -188,6 +192,7 @@ def _pieces(path: str, capacity: int):
     def run(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         os.environ["RAYON_NUM_THREADS"] = "1"
+        gc.set_threshold(200_000, 50, 50)  # the store is large and has no cycles
         memory = Chunks(path)
         ranks: dict[int, int] = {}
         from pyspark import TaskContext
