@@ -85,30 +85,25 @@ def best_fit_runs(histogram: dict[int, int], capacity: int) -> list[tuple[int, i
         while todo:
             room = tree.tightest(length)
             if room < 0:
-                per = capacity // length
-                # new bins take `per` pieces each: the emptied bin stays the tightest one that fits
-                full, rest = divmod(todo, per)
-                for part, n in ((per, full), (rest, 1 if rest else 0)):
-                    if n and part:
-                        for slot in range(part):
-                            runs.append((length, rank + slot * n, n, opened, slot * length))
-                        rank += part * n
-                        left = capacity - part * length
-                        ranges.setdefault(left, []).append((opened, n))
-                        tree.add(left, n)
-                        opened += n
-                todo = 0
-                continue
-            first, n = ranges[room].pop()
-            take = min(n, todo)
-            if take < n:
-                ranges[room].append((first + take, n - take))
-            tree.add(room, -take)
-            runs.append((length, rank, take, first, capacity - room))
-            ranges.setdefault(room - length, []).append((first, take))
-            tree.add(room - length, take)
-            rank += take
-            todo -= take
+                room, first, n = capacity, opened, -(-todo // (capacity // length))
+                opened += n
+            else:
+                first, n = ranges[room].pop()
+                tree.add(room, -n)
+            # a bin that took a piece is the tightest one while another fits, so it takes all that fit
+            per = room // length
+            full, rest = divmod(min(todo, n * per), per)
+            for part, bins in ((per, full), (rest, 1 if rest else 0), (0, n - full - (1 if rest else 0))):
+                if not bins:
+                    continue
+                for slot in range(part):
+                    runs.append((length, rank + slot * bins, bins, first, capacity - room + slot * length))
+                left = room - part * length
+                ranges.setdefault(left, []).append((first, bins))
+                tree.add(left, bins)
+                first += bins
+                rank += part * bins
+                todo -= part * bins
     return runs
 
 
