@@ -21,9 +21,10 @@ second look. No link between different sets is lost:
 3.  Verification. The tokens that a candidate shares with any other candidate
     bound its overlap with each partner, which rules out most pairs of a loose
     group of copies. In each index list every member meets the one of its size
-    that shares most (a star); verified links give components. Lists whose
-    members then lie in two or more components are compared across components,
-    in full.
+    that shares most (a star); verified links give components. Where a list's
+    members then lie in several components, they are tied into a bundle, and
+    all sets of a bundle are counted against each other through an inverted
+    index, in blocks; only links between components come out.
 
 Sets are compared by 64-bit shingle hashes, nodes by 96-bit digests.
 
@@ -48,6 +49,8 @@ SHINGLE = 5
 RARE = 16
 #: Index lists of this many members or fewer are compared in full at once.
 SMALL = 6
+#: Sets of a bundle that one task compares with the whole bundle, on average.
+BLOCK = 1024
 
 TOKEN = np.dtype([("d1", "<i8"), ("d2", "<u4"), ("n", "<u4"), ("t0", "<u4"), ("t1", "<u2")])
 SHARED = np.dtype([("d1", "<i8"), ("d2", "<u4"), ("n", "<u4"), ("df", "<u4"), ("t", "<u8")])
@@ -56,6 +59,7 @@ ENTRY = np.dtype([("sig", "<u8"), ("d1", "<i8"), ("d2", "<u4"), ("n", "<u4")])
 NODE = np.dtype([("d1", "<i8"), ("d2", "<u4")])
 ASK = np.dtype([("d1", "<i8"), ("d2", "<u4"), ("b", "<u4")])
 LABEL = np.dtype([("d1", "<i8"), ("d2", "<u4"), ("c", "<i8")])
+TIE = np.dtype([("a", "<i8"), ("b", "<i8")])
 OWNED = np.dtype([("d1", "<i8"), ("d2", "<u4"), ("t", "<u8")])
 PAIR = np.dtype([("a1", "<i8"), ("a2", "<i8"), ("b1", "<i8"), ("b2", "<i8")])
 
@@ -361,11 +365,11 @@ def _first_pairs(buckets: int):
     return run
 
 
-def _look_up(e: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """The value of each entry's set; values of one set add up."""
+def _look_up(e: np.ndarray, known: np.ndarray, add: bool = False) -> np.ndarray:
+    """The value of each entry's set; ``add`` sums the values of one set."""
     of: dict[tuple[int, int], int] = {}
     for x, y, c in zip(known["d1"].tolist(), known["d2"].tolist(), known["c"].tolist()):
-        of[x, y] = of.get((x, y), 0) + c
+        of[x, y] = of.get((x, y), 0) + c if add else c
     return np.array([of.get(k, 0) for k in zip(e["d1"].tolist(), e["d2"].tolist())], np.int64)
 
 
@@ -420,45 +424,90 @@ def _answers(kind: int):
         asked = unpack(left.column("payload"), ASK)
         out = np.zeros(len(asked), LABEL)
         out["d1"], out["d2"] = asked["d1"], asked["d2"]
-        out["c"] = _look_up(asked, unpack(right.column("payload"), LABEL))
+        out["c"] = _look_up(asked, unpack(right.column("payload"), LABEL), add=kind == 1)
         return _packed(*pack(asked["b"].astype(np.int64), out), kind)
 
     return run
 
 
-def _crossing(buckets: int):
-    """Index lists with the shared counts (1) and components (2) of their members: pairs across components, in full."""
+def _torn(buckets: int):
+    """Index lists with the shared counts (1), components (2) and representatives (3) of their members.
+
+    Where a list's members lie in several components, those that could have a
+    partner at all are tied into one bundle: a star of edges, not pairs.
+    """
 
     def run(left, right):
         e, edges = _lists(unpack(left.column("payload"), ENTRY))
-        size = np.diff(edges)
-        e = e[np.repeat(size > SMALL, size)] if len(size) else e
-        edges = np.r_[0, np.cumsum(size[size > SMALL])]
         kind = right.column("kind").to_numpy()
-        shared, label = (_look_up(e, unpack(right.filter(pa.array(kind == k)).column("payload"), LABEL)) for k in (1, 2))
-        out, grown = [], 0
-        if len(e):
-            torn = np.minimum.reduceat(label, edges[:-1]) != np.maximum.reduceat(label, edges[:-1])
-            for k in np.flatnonzero(torn).tolist():
-                lo, hi = int(edges[k]), int(edges[k + 1])
-                c, n, m = label[lo:hi], e["n"][lo:hi].astype(np.int64), shared[lo:hi]
-                to = np.searchsorted(n, 4 * n // 3, side="right")
-                # the largest partner that the shared tokens allow; most members of a loose group allow none
-                to = np.minimum(to, np.searchsorted(n, 7 * m // 3 - n, side="right"))
-                for i in np.flatnonzero(to > np.arange(hi - lo) + 1).tolist():
-                    j = np.arange(i + 1, to[i])
-                    j = j[(c[j] != c[i]) & _admissible(n, m, i, j)]
-                    if len(j):
-                        out.append(_pair_table(e, np.full(len(j), lo + i), lo + j))
-                if sum(map(len, out)) > 400_000 + grown:
-                    out = [np.unique(np.concatenate(out))]
-                    grown = 2 * len(out[0])
-        pairs = np.unique(np.concatenate(out)) if out else np.zeros(0, PAIR)
-        return _packed(*pack((mix(pairs["a1"].astype(np.uint64) ^ mix(pairs["b1"].astype(np.uint64))) % np.uint64(buckets)).astype(np.int64), pairs))
+        shared, label, rep = (_look_up(e, unpack(right.filter(pa.array(kind == k)).column("payload"), LABEL)) for k in (1, 2, 3))
+        of_list = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+        n = e["n"].astype(np.int64)
+        keep = (np.diff(edges) > SMALL)[of_list] & (4 * shared >= 3 * n) if len(e) else np.zeros(0, bool)
+        of_list, n, label, rep = of_list[keep], n[keep], label[keep], rep[keep]
+        out = np.zeros(0, TIE)
+        if len(n) > 1:
+            # members further apart in size than 3 to 4 start another star
+            start = np.flatnonzero(np.r_[True, (of_list[1:] != of_list[:-1]) | (3 * n[1:] > 4 * n[:-1])])
+            size = np.diff(np.r_[start, len(n)])
+            torn = np.repeat(np.minimum.reduceat(label, start) != np.maximum.reduceat(label, start), size)
+            head = np.repeat(rep[start], size)
+            out = np.zeros(int(torn.sum()), TIE)
+            out["a"], out["b"] = head[torn], rep[torn]
+            out = np.unique(out[out["a"] != out["b"]])
+        return _packed(*pack(_set_bucket(out["a"] ^ out["b"], buckets), out))
 
     return run
 
 
+def _bundle_links(left: pa.Table) -> pa.Table:
+    """Blocks of bundles: every row set against all sets of its bundle; links to other components."""
+    a_out, b_out = [], []
+    bundle, block = left.column("bundle").to_numpy(), left.column("block").to_numpy()
+    order = np.lexsort((left.column("rep").to_numpy(), block, bundle))
+    edges = np.flatnonzero(np.r_[True, (bundle[order][1:] != bundle[order][:-1]) | (block[order][1:] != block[order][:-1]), True]) if len(order) else np.zeros(1, np.int64)
+    data = left.column("tokens")
+    for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        at = pa.array(order[lo:hi])
+        sets = [np.frombuffer(t, np.uint64) for t in data.take(at).to_pylist()]
+        rep, comp, row = (left.column(c).take(at).to_numpy(zero_copy_only=False) for c in ("rep", "component", "is_row"))
+        n = np.array([len(x) for x in sets])
+        owner = np.repeat(np.arange(len(sets)), n)
+        token, back, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        posting = owner[np.argsort(back, kind="stable")]
+        ends = np.cumsum(df)
+        starts = np.r_[0, np.cumsum(n)]
+        for x in np.flatnonzero(row).tolist():
+            mine = back[starts[x] : starts[x + 1]]
+            mine = mine[df[mine] > 1]
+            if not len(mine):
+                continue
+            both = np.bincount(np.concatenate([posting[ends[t] - df[t] : ends[t]] for t in mine.tolist()]), minlength=len(sets))
+            hit = np.flatnonzero((100 * both >= 75 * (n[x] + n - both)) & (comp != comp[x]))
+            if len(hit):
+                hit = hit[np.unique(comp[hit], return_index=True)[1]]  # one link to each other component
+                a_out += [rep[x]] * len(hit)
+                b_out += rep[hit].tolist()
+    return pa.table({"a": pa.array(a_out, pa.int64()), "b": pa.array(b_out, pa.int64())})
+
+
+def _bundled(kept: DataFrame, groups: DataFrame, ties: DataFrame, buckets: int) -> DataFrame:
+    """Links between components inside the bundles that ``ties`` connect.
+
+    A bundle's sets meet in blocks of rows against all of its sets, whose
+    tokens are counted through one inverted index in a task; no pair is emitted.
+    """
+    bundles = components(ties).select(F.col("node").alias("rep"), F.col("component").alias("bundle"))
+    label = groups.select(F.col("node").alias("rep"), "component")
+    members = kept.join(bundles, "rep").join(label, "rep", "left").select("rep", "tokens", "bundle", F.coalesce("component", "rep").alias("component"))
+    members = common.stage(members, "members")
+    blocks = members.groupBy("bundle").agg((F.floor(F.count("*") / BLOCK) + 1).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    copies = common.again(members).join(blocks, "bundle").withColumn("own", own).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    copies = copies.select("bundle", "block", "rep", "component", "tokens", (F.col("own") == F.col("block")).alias("is_row"), F.pmod(F.xxhash64("bundle", "block"), F.lit(buckets)).cast("int").alias("w"))
+    return common.stage(copies.groupBy("w").applyInArrow(_bundle_links, "a long, b long"), "bundle-links")
+
+
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     spark = docs.sparkSession
@@ -510,7 +559,8 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     groups = components(links)
 
     # long lists meet the components of their members; each index bucket asks for the sets it holds, once
-    of = common.again(kept).select("d1", "d2", "rep").join(groups, F.col("rep") == F.col("node"), "left").select("d1", "d2", F.coalesce("component", "rep").alias("c"))
+    of = common.again(kept).select("d1", "d2", "rep").join(groups, F.col("rep") == F.col("node"), "left").select("d1", "d2", "rep", F.coalesce("component", "rep").alias("c"))
+    of = common.stage(of, "of")
 
     def labels(batches):
         for b in batches:
@@ -519,11 +569,15 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 t[name] = b.column(k).to_numpy()
             yield packed_rows(1, *pack(_set_bucket(t["d1"], buckets), t))
 
-    known = common.stage(of.mapInArrow(labels, PACKED), "known")
-    answers = common.stage(common.again(asks).groupBy("b").cogroup(known.groupBy("b")).applyInArrow(_answers(2), PACKED).union(common.again(counts)), "answers")
-    again = entries().groupBy("b").cogroup(answers.groupBy("b")).applyInArrow(_crossing(buckets), PACKED)
-    again = again.groupBy("b").applyInArrow(_unique(PAIR, "a1 a2 b1 b2"), "a1 long, a2 long, b1 long, b2 long")
-    more = _verify(again, kept, buckets)
+    def answered(kind, value):
+        known = common.again(of).select("d1", "d2", value).mapInArrow(labels, PACKED)
+        return common.again(asks).groupBy("b").cogroup(known.groupBy("b")).applyInArrow(_answers(kind), PACKED)
+
+    answers = common.stage(answered(2, "c").union(answered(3, "rep")).union(common.again(counts)), "answers")
+    ties = entries().groupBy("b").cogroup(answers.groupBy("b")).applyInArrow(_torn(buckets), PACKED)
+    ties = ties.groupBy("b").applyInArrow(_unique(TIE, "a b"), "a long, b long")
+    common.release(spark)
+    more = _bundled(common.again(kept).select("rep", "tokens"), groups, ties, buckets)
     final = components(links.union(more))
     of_set = common.stage(sets.join(final, sets.rep == final.node, "left").select("d1", "d2", F.coalesce("component", "rep").alias("component_id")), "of-set")
     out = rows.join(of_set, ["d1", "d2"], "left")
