@@ -11,9 +11,13 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _CACHE = 120_000
+#: Fields that change little from record to record.
+_RUNS = frozenset(("doc", "pos", "d1", "d2", "n", "df", "count", "words", "edges"))
+_ZSTD, _UNZSTD = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
 class WordHashes(dict):
@@ -65,7 +69,8 @@ def set_digest(s: np.ndarray) -> tuple[int, int]:
 def pack(bucket: np.ndarray, table: np.ndarray, most: int = 1 << 18):
     """(bucket, payload) of each bucket's records in ``table``, split after ``most`` records.
 
-    A payload holds one field after the other, so that runs of a field compress.
+    A payload holds the number of records, the fields' lengths, and one field
+    after the other; those that repeat from record to record are compressed.
     """
     if not len(table):
         return [], []
@@ -77,21 +82,28 @@ def pack(bucket: np.ndarray, table: np.ndarray, most: int = 1 << 18):
     for lo, hi in zip(edges, edges[1:]):
         for at in range(lo, hi, most):
             names.append(int(bucket[lo]))
-            payloads.append(b"".join([f[at : min(hi, at + most)].tobytes() for f in fields]))
+            blobs = [f[at : min(hi, at + most)].tobytes() for f in fields]
+            if len(blobs[0]) > 512:
+                blobs = [min(x, _ZSTD.compress(x), key=len) if n in _RUNS else x for n, x in zip(table.dtype.names, blobs)]
+            head = np.array([min(hi, at + most) - at, *map(len, blobs)], "<u4").tobytes()
+            payloads.append(head + b"".join(blobs))
     return names, payloads
 
 
 def unpack(column, dtype) -> np.ndarray:
     """The records of a column of payloads."""
     payloads = column.to_pylist()
-    sizes = [len(p) // dtype.itemsize for p in payloads]
-    out = np.empty(sum(sizes), dtype)
-    for name in dtype.names:
-        field, kind, at = out[name], dtype[name], 0
-        skip = sum(dtype[n].itemsize for n in dtype.names[: dtype.names.index(name)])
-        for p, n in zip(payloads, sizes):
-            field[at : at + n] = np.frombuffer(p, kind, n, skip * n)
-            at += n
+    heads = [np.frombuffer(p, "<u4", len(dtype.names) + 1).tolist() for p in payloads]
+    out, at = np.empty(sum(h[0] for h in heads), dtype), 0
+    for p, (n, *sizes) in zip(payloads, heads):
+        skip = 4 * len(sizes) + 4
+        for name, size in zip(dtype.names, sizes):
+            blob = p[skip : skip + size]
+            if size != n * dtype[name].itemsize:
+                blob = _UNZSTD.decompress(blob)
+            out[name][at : at + n] = np.frombuffer(blob, dtype[name])
+            skip += size
+        at += n
     return out
 
 

@@ -39,7 +39,7 @@ _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 ANCHOR = np.dtype([("g0", "<u4"), ("g1", "<u2"), ("pos", "<u4"), ("doc", "<i8")])
 PLACE = np.dtype([("doc", "<i8"), ("pos", "<u4")])
 WINDOW = np.dtype([("h1", "<u8"), ("h2", "<u4"), ("pos", "<u4"), ("doc", "<i8")])
-EDGE = np.dtype([("h1", "<u8"), ("doc", "<i8"), ("pos", "<u4"), ("count", "<u4"), ("a", "<u8"), ("b", "<u8"), ("c", "<u8")])
+EDGE = np.dtype([("h1", "<u8"), ("doc", "<i8"), ("pos", "<u4"), ("count", "<u4"), ("a", "<u8"), ("b", "<u4"), ("c", "<u4")])
 HEAD = np.dtype([("h1", "<u8"), ("doc", "<i8"), ("pos", "<u4"), ("edges", "<u4")])
 SPAN = np.dtype([("doc", "<i8"), ("pos", "<u4"), ("words", "<u4")])
 
@@ -167,7 +167,7 @@ def _edges(buckets: int):
         if len(start):
             d, p = mix(t["doc"].astype(np.uint64)), t["pos"].astype(np.uint64)
             for name, v in (("a", d), ("b", d * p), ("c", d * p * p)):
-                out[name] = np.add.reduceat(v, start)
+                out[name] = np.add.reduceat(v, start).astype(EDGE[name])  # the low bits
             for name in ("h1", "doc", "pos"):
                 out[name] = t[name][start]
             out["count"] = count
@@ -187,7 +187,8 @@ def _paths(buckets: int):
         if len(e):
             x, y = e[:-1], e[1:]
             goes_on = (y["doc"] == x["doc"]) & (y["pos"] == x["pos"] + np.uint32(1)) & (y["count"] == x["count"])
-            goes_on &= (y["a"] == x["a"]) & (y["b"] == x["b"] + x["a"]) & (y["c"] == x["c"] + x["b"] + x["b"] + x["a"])
+            a = x["a"].astype(np.uint32)
+            goes_on &= (y["a"] == x["a"]) & (y["b"] == x["b"] + a) & (y["c"] == x["c"] + x["b"] + x["b"] + a)
             start = np.flatnonzero(np.r_[True, ~goes_on])
             out = np.zeros(len(start), HEAD)
             for name in ("h1", "doc", "pos"):
