@@ -32,10 +32,18 @@ def work_dir(spark: SparkSession) -> str:
     return made.rstrip("/")
 
 
+#: Staged tables of this driver that are still there.
+_STAGED: set[str] = set()
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here."""
+    """Write ``df`` to the shared folder and read it back: lineage ends here.
+
+    A table that a result still reads stays until :func:`clean`.
+    """
     spark = df.sparkSession
     path = f"{work_dir(spark)}/arcweave-{uuid.uuid4().hex}-{name}"
+    _STAGED.add(path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._arcweave_path = path
@@ -49,14 +57,23 @@ def again(table: DataFrame) -> DataFrame:
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    _STAGED.discard(path)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete staged tables that nothing reads any more."""
     for t in tables:
-        path = getattr(t, "_arcweave_path", None)
-        if path:
-            jvm = t.sparkSession._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+        if getattr(t, "_arcweave_path", None):
+            _delete(t.sparkSession, t._arcweave_path)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all staged tables, once the results that read them are written."""
+    for path in sorted(_STAGED):
+        _delete(spark, path)
 
 
 def release(spark: SparkSession) -> None:
