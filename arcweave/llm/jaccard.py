@@ -397,7 +397,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, buckets: int) -> DataFrame:
     right = common.stage(right.select("a1", "a2", "b1", "b2", "w"), "spread")
     need = common.again(right).select("a1", "a2", "w").distinct()
     left = need.join(sets.select(F.col("d1").alias("a1"), F.col("d2").alias("a2"), F.col("rep").alias("a_rep"), F.col("tokens").alias("a_tokens")), ["a1", "a2"])
-    right = right.join(common.again(sets).select(F.col("d1").alias("b1"), F.col("d2").alias("b2"), F.col("rep").alias("b_rep"), F.col("tokens").alias("b_tokens")), ["b1", "b2"])
+    right_sets = right.join(common.again(sets).select(F.col("d1").alias("b1"), F.col("d2").alias("b2"), F.col("rep").alias("b_rep"), F.col("tokens").alias("b_tokens")), ["b1", "b2"])
 
     def compare(l: pa.Table, r: pa.Table) -> pa.Table:
         have = {(x, y): (rep, t) for x, y, rep, t in zip(l.column("a1").to_pylist(), l.column("a2").to_pylist(), l.column("a_rep").to_pylist(), l.column("a_tokens").to_pylist())}
@@ -413,8 +413,10 @@ def _verify(pairs: DataFrame, sets: DataFrame, buckets: int) -> DataFrame:
                 b_out.append(rep)
         return pa.table({"a": pa.array(a_out, pa.int64()), "b": pa.array(b_out, pa.int64())})
 
-    links = left.groupBy("w").cogroup(right.groupBy("w")).applyInArrow(compare, "a long, b long")
-    return common.stage(links, "links")
+    links = left.groupBy("w").cogroup(right_sets.groupBy("w")).applyInArrow(compare, "a long, b long")
+    links = common.stage(links, "links")
+    common.discard(pairs, right)
+    return links
 
 
 def _answers(kind: int):
@@ -505,7 +507,9 @@ def _bundled(kept: DataFrame, groups: DataFrame, ties: DataFrame, buckets: int)
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     copies = common.again(members).join(blocks, "bundle").withColumn("own", own).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     copies = copies.select("bundle", "block", "rep", "component", "tokens", (F.col("own") == F.col("block")).alias("is_row"), F.pmod(F.xxhash64("bundle", "block"), F.lit(buckets)).cast("int").alias("w"))
-    return common.stage(copies.groupBy("w").applyInArrow(_bundle_links, "a long, b long"), "bundle-links")
+    links = common.stage(copies.groupBy("w").applyInArrow(_bundle_links, "a long, b long"), "bundle-links")
+    common.discard(members)
+    return links
 
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -528,6 +532,8 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sets = common.stage(rows.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "sets")
     lists = common.stage(index.where("kind = 1").select("b", "payload").groupBy("b").applyInArrow(_open_lists, PACKED), "lists")
 
+    common.discard(index)
+
     def entries():
         return common.again(lists).select("b", "payload")
 
@@ -578,6 +584,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ties = ties.groupBy("b").applyInArrow(_unique(TIE, "a b"), "a long, b long")
     common.release(spark)
     more = _bundled(common.again(kept).select("rep", "tokens"), groups, ties, buckets)
+    common.discard(lists, asks, kept, shared, counts, of, answers)
     final = components(links.union(more))
     of_set = common.stage(sets.join(final, sets.rep == final.node, "left").select("d1", "d2", F.coalesce("component", "rep").alias("component_id")), "of-set")
     out = rows.join(of_set, ["d1", "d2"], "left")
