@@ -3,11 +3,11 @@
 A vector's integer components are the impacts of its terms (dimensions).
 Rows are dealt into shards of bounded size and queries into blocks of bounded
 size; each (shard, block) cell is one task's work. Within a cell the terms of
-a query are ordered by the largest score each can give in that shard. The
-leading, essential terms are traversed for all postings of the shard; the
-others are probed only for rows whose partial score plus the bound of what is
-left can still reach the query's k-th best score. The cells' short lists are
-merged by one window per query. Nothing is approximate.
+a query are split by their score bounds: terms that together cannot lift a row
+to the threshold are non-essential. The postings of the essential terms are
+traversed; the others are probed only for rows whose score so far plus the
+bound of what is left can still reach the threshold. The cells' short lists
+are merged by one window per query. Nothing is approximate.
 
 Defined cases: null vectors and vectors that hold null or non-finite
 components take no part, as queries or candidates; vectors of another length
@@ -27,38 +27,53 @@ from . import common
 #: Rows of a shard and queries of a block, at most on average: the bound of one task's memory.
 SHARD_ROWS, BLOCK_ROWS = 8192, 512
 SCALE = 256
-ESSENTIAL = 16  # terms taken together when the essential lists are traversed
+#: Rows scored in full for a first threshold, and non-essential terms probed at a time.
+SEED, PROBE = 256, 8
+
+
+def _kth(score: np.ndarray, k: int) -> int:
+    return int(np.partition(score, len(score) - k)[len(score) - k])
 
 
 def maxscore(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, k: int):
-    """Per query the k best (id, score) of the shard; x is int64 (rows, terms), sorted by id."""
+    """Per query the k best (id, score) of the shard; x is int64 (rows, terms), sorted by id.
+
+    A term's impact is what it adds beyond the least it adds to any row of the
+    shard. The threshold starts at the k-th best of ``SEED`` rows scored in
+    full. Non-essential are the terms, from the smallest bound on, whose
+    impacts together leave a row without any other impact under the threshold.
+    """
     low, high = x.min(axis=0), x.max(axis=0)
     out_q, out_id, out_s = [], [], []
     n, d = x.shape
     cols = np.ascontiguousarray(x.T)
     for row, own in zip(q, qid):
-        bound = np.maximum(row * low, row * high)
-        order = np.argsort(-(bound - np.minimum(row * low, row * high)), kind="stable")
-        rest = np.concatenate([np.cumsum(bound[order][::-1])[::-1], [0]])  # most that terms from i on can add
-        floor = np.concatenate([np.cumsum(np.minimum(row * low, row * high)[order][::-1])[::-1], [0]])
+        least, most = np.minimum(row * low, row * high), np.maximum(row * low, row * high)
+        order = np.argsort(least - most, kind="stable")  # largest impact first
+        impact = (most - least)[order]
+        rest = np.r_[np.cumsum(impact[::-1])[::-1], 0]  # impacts of the terms from i on
+        floor = int(least.sum())
         alive = np.flatnonzero(xid != own)
-        score = np.zeros(len(alive), np.int64)
-        i = 0
-        while i < d and len(alive):
-            step = order[i : i + ESSENTIAL]
-            part = cols[step] if len(alive) == n else cols[np.ix_(step, alive)]
-            score += row[step] @ part
-            i += len(step)
-            if len(alive) > k and i < d:
-                # any row ends at score + floor at least: the k-th of these is a threshold no result lies under
-                threshold = np.partition(score, len(score) - k)[len(score) - k] + floor[i]
-                keep = score + rest[i] >= threshold
-                if not keep.all():
-                    alive, score = alive[keep], score[keep]
+        threshold = np.iinfo(np.int64).min
         if len(alive) > k:
-            cut = np.partition(score, len(score) - k)[len(score) - k]
-            keep = score >= cut
-            alive, score = alive[keep], score[keep]
+            seed = alive[:: max(1, len(alive) // SEED)]
+            if len(seed) >= k:
+                threshold = _kth(x[seed] @ row, k)
+        essential = max(1, int(np.searchsorted(-(rest + floor), -threshold, side="right"))) if threshold > floor else d
+        step = order[: min(d, essential)]
+        # traverse the essential terms' postings
+        score = floor + (row[step] @ cols[step] - least[step].sum())[alive]
+        at = len(step)
+        while len(alive):
+            if len(alive) > k:  # rows that can still reach the threshold stay; it rises with what is sure
+                threshold = max(threshold, _kth(score, k))
+                keep = score + rest[at] >= threshold
+                alive, score = alive[keep], score[keep]
+            if at >= d:
+                break
+            step = order[at : at + PROBE]
+            score = score + row[step] @ cols[np.ix_(step, alive)] - least[step].sum()
+            at += len(step)
         best = np.lexsort((xid[alive], -score))[:k]
         out_q += [own] * len(best)
         out_id += xid[alive][best].tolist()
