@@ -59,6 +59,7 @@ ENTRY = np.dtype([("sig", "<u8"), ("d1", "<i8"), ("d2", "<u4"), ("n", "<u4")])
 NODE = np.dtype([("d1", "<i8"), ("d2", "<u4")])
 ASK = np.dtype([("d1", "<i8"), ("d2", "<u4"), ("b", "<u4")])
 LABEL = np.dtype([("d1", "<i8"), ("d2", "<u4"), ("c", "<i8")])
+KNOWN = np.dtype([("d1", "<i8"), ("d2", "<u4"), ("n", "<u4"), ("c", "<i8"), ("rep", "<i8")])
 TIE = np.dtype([("a", "<i8"), ("b", "<i8")])
 OWNED = np.dtype([("d1", "<i8"), ("d2", "<u4"), ("t", "<u8")])
 PAIR = np.dtype([("a1", "<i8"), ("a2", "<i8"), ("b1", "<i8"), ("b2", "<i8")])
@@ -311,6 +312,15 @@ def _asks(buckets: int):
     return run
 
 
+def _nodes(key, table):
+    """One bucket of sets: those that are asked for."""
+    asked = unpack(table.column("payload"), ASK)
+    node = np.zeros(len(asked), NODE)
+    node["d1"], node["d2"] = asked["d1"], asked["d2"]
+    node = np.unique(node)
+    return pa.table({n: pa.array(node[n].astype(np.int64), pa.int64()) for n in ("d1", "d2")})
+
+
 def _set_tokens(buckets: int):
     """Token sets as packed tokens."""
 
@@ -355,22 +365,32 @@ def _shared_counts(buckets: int):
 
 
 def _first_pairs(buckets: int):
-    """One index bucket and the shared counts of its sets: star pairs."""
+    """One index bucket and the shared counts of its sets that can have a partner: star pairs."""
 
     def run(left, right):
-        e, edges = _lists(unpack(left.column("payload"), ENTRY))
-        pairs = _stars(e, edges, _look_up(e, unpack(right.column("payload"), LABEL)))
+        known = unpack(right.column("payload"), LABEL)
+        e, at = _present(unpack(left.column("payload"), ENTRY), known)
+        c = known["c"][at]
+        size = np.diff(np.flatnonzero(np.r_[True, e["sig"][1:] != e["sig"][:-1], True])) if len(e) else np.zeros(0, np.int64)
+        keep = np.repeat(size > 1, size)
+        pairs = _stars(e[keep], np.r_[0, np.cumsum(size[size > 1])], c[keep])
         return _packed(*pack((mix(pairs["a1"].astype(np.uint64) ^ mix(pairs["b1"].astype(np.uint64))) % np.uint64(buckets)).astype(np.int64), pairs))
 
     return run
 
 
-def _look_up(e: np.ndarray, known: np.ndarray, add: bool = False) -> np.ndarray:
-    """The value of each entry's set; ``add`` sums the values of one set."""
-    of: dict[tuple[int, int], int] = {}
-    for x, y, c in zip(known["d1"].tolist(), known["d2"].tolist(), known["c"].tolist()):
-        of[x, y] = of.get((x, y), 0) + c if add else c
-    return np.array([of.get(k, 0) for k in zip(e["d1"].tolist(), e["d2"].tolist())], np.int64)
+def _present(e: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The entries of known sets, by list and size, and each one's place in ``known``."""
+    at = _find(e, known)
+    e, at = e[at >= 0], at[at >= 0]
+    by = np.lexsort((e["d2"], e["d1"], e["n"], e["sig"]))
+    return e[by], at[by]
+
+
+def _find(e: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """The place in ``known`` of each entry's set, or -1."""
+    of = {k: i for i, k in enumerate(zip(known["d1"].tolist(), known["d2"].tolist()))}
+    return np.array([of.get(k, -1) for k in zip(e["d1"].tolist(), e["d2"].tolist())], np.int64)
 
 
 def _unique(dtype, names: str):
@@ -419,34 +439,48 @@ def _verify(pairs: DataFrame, sets: DataFrame, buckets: int) -> DataFrame:
     return links
 
 
-def _answers(kind: int):
-    """One bucket of sets: the values that index buckets ask for, dealt by the asking bucket."""
+def _answers(dtype):
+    """One bucket of sets: what index buckets ask for, dealt by the asking bucket.
+
+    The right side holds shared counts by token bucket (kind 1) and the sets
+    themselves (2). A set that shares under three quarters of its tokens with
+    all others has no partner and gets no answer.
+    """
 
     def run(left, right):
         asked = unpack(left.column("payload"), ASK)
-        out = np.zeros(len(asked), LABEL)
-        out["d1"], out["d2"] = asked["d1"], asked["d2"]
-        out["c"] = _look_up(asked, unpack(right.column("payload"), LABEL), add=kind == 1)
-        return _packed(*pack(asked["b"].astype(np.int64), out), kind)
+        kind = right.column("kind").to_numpy()
+        part, known = (unpack(right.filter(pa.array(kind == k)).column("payload"), t) for k, t in ((1, LABEL), (2, KNOWN)))
+        at = _find(part, known)
+        c = np.bincount(at[at >= 0], part["c"][at >= 0], minlength=len(known)).astype(np.int64)
+        at = _find(asked, known)
+        if len(known):
+            at = np.where((at >= 0) & (4 * c[at] >= 3 * known["n"][at]), at, -1)
+        ok = at >= 0
+        out = np.zeros(int(ok.sum()), dtype)
+        for name in dtype.names:
+            out[name] = known[name][at[ok]]
+        if dtype is LABEL:
+            out["c"] = c[at[ok]]
+        return _packed(*pack(asked["b"][ok].astype(np.int64), out))
 
     return run
 
 
 def _torn(buckets: int):
-    """Index lists with the shared counts (1), components (2) and representatives (3) of their members.
+    """Index lists with the components and representatives of the members that can have a partner.
 
-    Where a list's members lie in several components, those that could have a
-    partner at all are tied into one bundle: a star of edges, not pairs.
+    Where a list's members lie in several components they are tied into one
+    bundle: a star of edges, not pairs.
     """
 
     def run(left, right):
-        e, edges = _lists(unpack(left.column("payload"), ENTRY))
-        kind = right.column("kind").to_numpy()
-        shared, label, rep = (_look_up(e, unpack(right.filter(pa.array(kind == k)).column("payload"), LABEL)) for k in (1, 2, 3))
-        of_list = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
-        n = e["n"].astype(np.int64)
-        keep = (np.diff(edges) > SMALL)[of_list] & (4 * shared >= 3 * n) if len(e) else np.zeros(0, bool)
-        of_list, n, label, rep = of_list[keep], n[keep], label[keep], rep[keep]
+        known = unpack(right.column("payload"), KNOWN)
+        e, at = _present(unpack(left.column("payload"), ENTRY), known)
+        of_list = np.cumsum(np.r_[True, e["sig"][1:] != e["sig"][:-1]]) if len(e) else np.zeros(0, np.int64)
+        long = np.bincount(of_list)[of_list] > SMALL if len(e) else np.zeros(0, bool)  # the others were compared in full
+        of_list, at = of_list[long], at[long]
+        n, label, rep = e["n"][long].astype(np.int64), known["c"][at], known["rep"][at]
         out = np.zeros(0, TIE)
         if len(n) > 1:
             # members further apart in size than 3 to 4 start another star
@@ -538,8 +572,8 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return common.again(lists).select("b", "payload")
 
     asks = common.stage(entries().groupBy("b").applyInArrow(_asks(buckets), PACKED), "asks")
-    nodes = asks.select("b", "payload").groupBy("b").applyInArrow(_unique(ASK, "d1 d2"), "d1 long, d2 long")
-    wanted = nodes.distinct().join(sets, ["d1", "d2"]).select(F.col("rep").alias("_id"), "d1", "d2")
+    nodes = asks.select("b", "payload").groupBy("b").applyInArrow(_nodes, "d1 long, d2 long")
+    wanted = nodes.join(sets, ["d1", "d2"]).select(F.col("rep").alias("_id"), "d1", "d2")
 
     def tokens(batches):
         hashes = WordHashes()
@@ -557,34 +591,39 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     common.release(spark)
     shared = kept.select("d1", "d2", "tokens").mapInArrow(_set_tokens(buckets), PACKED).groupBy("b").applyInArrow(_shared_counts(buckets), PACKED)
     shared = common.stage(shared, "shared")
-    counts = common.stage(common.again(asks).groupBy("b").cogroup(shared.groupBy("b")).applyInArrow(_answers(1), PACKED), "counts")
+
+    def known(table):
+        """(d1, d2, n, c, rep) rows, packed by set."""
+
+        def run(batches):
+            for b in batches:
+                t = np.zeros(b.num_rows, KNOWN)
+                for k, name in enumerate(KNOWN.names):
+                    t[name] = b.column(k).to_numpy()
+                yield packed_rows(2, *pack(_set_bucket(t["d1"], buckets), t))
+
+        return table.select("d1", "d2", "n", "c", "rep").mapInArrow(run, PACKED)
+
+    def answered(table, dtype):
+        right = known(table).union(common.again(shared))
+        return common.stage(common.again(asks).groupBy("b").cogroup(right.groupBy("b")).applyInArrow(_answers(dtype), PACKED), "answers")
+
+    size = (F.length("tokens") / 8).cast("long").alias("n")
+    counts = answered(common.again(kept).select("d1", "d2", size, F.lit(0).cast("long").alias("c"), "rep"), LABEL)
     common.release(spark)
     first = entries().groupBy("b").cogroup(counts.groupBy("b")).applyInArrow(_first_pairs(buckets), PACKED)
     pairs = first.groupBy("b").applyInArrow(_unique(PAIR, "a1 a2 b1 b2"), "a1 long, a2 long, b1 long, b2 long")
     links = _verify(pairs, kept, buckets)
     groups = components(links)
 
-    # long lists meet the components of their members; each index bucket asks for the sets it holds, once
-    of = common.again(kept).select("d1", "d2", "rep").join(groups, F.col("rep") == F.col("node"), "left").select("d1", "d2", "rep", F.coalesce("component", "rep").alias("c"))
-    of = common.stage(of, "of")
-
-    def labels(batches):
-        for b in batches:
-            t = np.zeros(b.num_rows, LABEL)
-            for k, name in enumerate(("d1", "d2", "c")):
-                t[name] = b.column(k).to_numpy()
-            yield packed_rows(1, *pack(_set_bucket(t["d1"], buckets), t))
-
-    def answered(kind, value):
-        known = common.again(of).select("d1", "d2", value).mapInArrow(labels, PACKED)
-        return common.again(asks).groupBy("b").cogroup(known.groupBy("b")).applyInArrow(_answers(kind), PACKED)
-
-    answers = common.stage(answered(2, "c").union(answered(3, "rep")).union(common.again(counts)), "answers")
+    # the lists meet the components of their members; each index bucket asks for the sets it holds, once
+    of = common.again(kept).select("d1", "d2", size, "rep").join(groups, F.col("rep") == F.col("node"), "left").select("d1", "d2", "n", F.coalesce("component", "rep").alias("c"), "rep")
+    answers = answered(of, KNOWN)
     ties = entries().groupBy("b").cogroup(answers.groupBy("b")).applyInArrow(_torn(buckets), PACKED)
     ties = ties.groupBy("b").applyInArrow(_unique(TIE, "a b"), "a long, b long")
     common.release(spark)
     more = _bundled(common.again(kept).select("rep", "tokens"), groups, ties, buckets)
-    common.discard(lists, asks, kept, shared, counts, of, answers)
+    common.discard(lists, asks, kept, shared, counts, answers)
     final = components(links.union(more))
     of_set = common.stage(sets.join(final, sets.rep == final.node, "left").select("d1", "d2", F.coalesce("component", "rep").alias("component_id")), "of-set")
     out = rows.join(of_set, ["d1", "d2"], "left")
