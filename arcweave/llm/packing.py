@@ -35,7 +35,7 @@ from . import common
 
 CAPACITY, END_ID = 4096, 1
 #: Remembered chunks of one worker and generation.
-CACHE = 900_000
+CACHE = 1_200_000
 #: ASCII punctuation.
 MARKS = string.punctuation.encode()
 
@@ -156,6 +156,9 @@ class Chunks:
             if got is not None:
                 young[c] = got
                 continue
+            if c.isalpha():  # ASCII letters, the usual case
+                words.append(c)
+                continue
             word = c.rstrip(MARKS)
             if not _letters(word):
                 other.append(c)
@@ -201,7 +204,7 @@ def _pieces(path: str, capacity: int):
                 chunks = [memory.split(t) for t in texts[lo : lo + 1000]]
                 store = memory.get(set().union(*chunks))
                 for doc, words in zip(ids[lo : lo + 1000], chunks):
-                    data = memoryview(b"".join([store[w] for w in words]) + end)
+                    data = memoryview(b"".join([*map(store.__getitem__, words), end]))
                     n = len(data) // 4
                     for piece, start in enumerate(range(0, n, capacity)):
                         length = min(capacity, n - start)
