@@ -107,23 +107,31 @@ def best_fit_runs(histogram: dict[int, int], capacity: int) -> list[tuple[int, i
     return runs
 
 
-def _letters(chunk: bytes) -> bool:
-    """Whether the tokenizer sees letters alone, once it has normalised the chunk."""
+def _letters(chunk: bytes) -> str:
+    """Whether the tokenizer sees letters alone once it has normalised the chunk: "" or where they are from."""
     if chunk.isascii():
-        return chunk.isalpha()
+        return "ascii" if chunk.isalpha() else ""
     text = chunk.decode("utf-8", "replace")
     if not text.isalpha():
-        return False
-    return max(text) < "\u0100" or unicodedata.normalize("NFC", text).lower().isalpha()
+        return ""
+    if max(text) < "\u0100":
+        return "latin"
+    return "any" if unicodedata.normalize("NFC", text).lower().isalpha() else ""
 
 
 class Chunks:
     """Little-endian uint32 ids of white-space separated chunks, remembered in two generations."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
+        # the same merges without the normaliser and the pattern, for words that need neither
+        ascii, latin = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        ascii.normalizer = latin.normalizer = None
+        ascii.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        latin.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.by = {"ascii": ascii, "latin": latin, "any": self.tok}
         self.ends = np.zeros(self.tok.get_vocab_size() + 1, bool)
         for token, i in self.tok.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
@@ -134,9 +142,12 @@ class Chunks:
         got = self.tok.encode_batch_fast([c.decode("utf-8", "replace") for c in chunks], add_special_tokens=False)
         return [np.asarray(e.ids, "<u4").tobytes() for e in got]
 
-    def _words(self, words: list[bytes]) -> list[bytes]:
+    def _words(self, words: list[bytes], kind: str) -> list[bytes]:
         """Words of letters alone, encoded as one text and cut at the tokens that end a word."""
-        ids = np.frombuffer(self._encode([b" ".join(words)])[0], "<u4")
+        text = b" ".join(words).decode("utf-8", "replace")
+        # ASCII and Latin letters lower one by one, as the tokenizer does it
+        e = self.by[kind].encode_batch_fast([text if kind == "any" else text.lower()], add_special_tokens=False)[0]
+        ids = np.asarray(e.ids, "<u4")
         ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
         if len(ends) != len(words) or ends[-1] != len(ids):
             return self._encode(words)
@@ -150,30 +161,34 @@ class Chunks:
         if len(young) + len(missing) > CACHE:
             self.old, self.young = old, young = young, {}
             missing = list(chunks)
-        words, other, tailed = [], [], []
+        words: dict[str, list[bytes]] = {"ascii": [], "latin": [], "any": []}
+        plain, other, tailed = words["ascii"], [], []
         for c in missing:
             got = old.get(c)
             if got is not None:
                 young[c] = got
                 continue
             if c.isalpha():  # ASCII letters, the usual case
-                words.append(c)
+                plain.append(c)
                 continue
             word = c.rstrip(MARKS)
-            if not _letters(word):
+            kind = _letters(word)
+            if not kind:
                 other.append(c)
             elif len(word) == len(c):
-                words.append(c)
+                words[kind].append(c)
             else:  # marks behind a letter are a token run of their own
                 tail = c[len(word) :]
                 tailed.append((c, word, tail))
                 if word not in young:
-                    words.append(word)
+                    words[kind].append(word)
                 if tail not in young:
                     other.append(tail)
-        for encode, part in ((self._words, list(dict.fromkeys(words))), (self._encode, list(dict.fromkeys(other)))):
+        for kind, part in (*words.items(), ("", other)):
+            part = list(dict.fromkeys(part))
             for i in range(0, len(part), 2000):
-                young.update(zip(part[i : i + 2000], encode(part[i : i + 2000])))
+                some = part[i : i + 2000]
+                young.update(zip(some, self._words(some, kind) if kind else self._encode(some)))
         for c, word, tail in tailed:
             young[c] = young[word] + young[tail]
         return young
