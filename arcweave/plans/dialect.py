@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+RANKS = frozenset(("place", "claim_id", "sym", "rk", "near", "far"))
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -175,7 +176,9 @@ class Query:
         for t in TABLES:
             if t in sql:
                 spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
-        return spark.sql(sql)
+        out = spark.sql(sql)
+        # ranks are int here and bigint there
+        return out.withColumns({c: out[c].cast("long") for c, t in out.dtypes if t == "int" and c in RANKS})
 
     def oracle(self) -> str:
         return self.text(DUCK)
