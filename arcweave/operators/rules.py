@@ -92,7 +92,7 @@ def parsed(d):
 @Q("TXT-04 SRC-10 CHK-09")
 def claim_parse(d):
     own = "(1, 'Fire is the opposite of water'), (2, 'A whale is a kind of mammal'), (3, 'Dawn comes before noon'), (4, 'Rain leads to floods'), (5, 'Harvest follows growth'), (6, 'Tomorrow lies in the future'), (7, 'Ice is a solid'), (8, 'Trees have leaves'), (9, 'Hello')"
-    return f"WITH claims AS (SELECT * FROM (VALUES {own}) AS t(claim_id, text)), {parsed(d)} SELECT claim_id, claim_type, hint, subject, predicate FROM parsed"
+    return f"WITH claims AS (SELECT * FROM (VALUES {own}) AS t(claim_id, text)), {parsed(d)} SELECT CAST(claim_id AS BIGINT) AS claim_id, claim_type, hint, subject, predicate FROM parsed"
 
 
 @Q("TXT-05 SRC-08")
