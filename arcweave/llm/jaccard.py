@@ -46,7 +46,7 @@ from .shingles import PACKED, WordHashes, mix, pack, packed_rows, set_digest, sh
 
 SHINGLE = 5
 #: A token in more sets than this is frequent.
-RARE = 16
+RARE = 256
 #: Index lists of this many members or fewer are compared in full at once.
 SMALL = 6
 #: Sets of a bundle that one task compares with the whole bundle, on average.
@@ -496,6 +496,23 @@ def _torn(buckets: int):
     return run
 
 
+def _forest(key, table):
+    """One bucket of ties: as few that connect the same members."""
+    ties = np.unique(unpack(table.column("payload"), TIE))
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for a, b in zip(ties["a"].tolist(), ties["b"].tolist()):
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    out = [(find(x), x) for x in root if find(x) != x]
+    return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+
 def _bundle_links(left: pa.Table) -> pa.Table:
     """Blocks of bundles: every row set against all sets of its bundle; links to other components."""
     a_out, b_out = [], []
@@ -620,7 +637,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     of = common.again(kept).select("d1", "d2", size, "rep").join(groups, F.col("rep") == F.col("node"), "left").select("d1", "d2", "n", F.coalesce("component", "rep").alias("c"), "rep")
     answers = answered(of, KNOWN)
     ties = entries().groupBy("b").cogroup(answers.groupBy("b")).applyInArrow(_torn(buckets), PACKED)
-    ties = ties.groupBy("b").applyInArrow(_unique(TIE, "a b"), "a long, b long")
+    ties = ties.withColumn("b", F.col("b") % (buckets // 8 + 1)).groupBy("b").applyInArrow(_forest, "a long, b long")
     common.release(spark)
     more = _bundled(common.again(kept).select("rep", "tokens"), groups, ties, buckets)
     common.discard(lists, asks, kept, shared, counts, answers)
