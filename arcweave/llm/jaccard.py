@@ -49,8 +49,8 @@ SHINGLE = 5
 RARE = 256
 #: Index lists of this many members or fewer are compared in full at once.
 SMALL = 6
-#: Sets of a bundle that one task compares with the whole bundle, on average.
-BLOCK = 1024
+#: Sets of one block of a bundle, on average; a task compares two blocks.
+BLOCK = 6000
 
 TOKEN = np.dtype([("d1", "<i8"), ("d2", "<u4"), ("n", "<u4"), ("t0", "<u4"), ("t1", "<u2")])
 SHARED = np.dtype([("d1", "<i8"), ("d2", "<u4"), ("n", "<u4"), ("df", "<u4"), ("t", "<u8")])
@@ -514,7 +514,7 @@ def _forest(key, table):
 
 
 def _bundle_links(left: pa.Table) -> pa.Table:
-    """Blocks of bundles: every row set against all sets of its bundle; links to other components."""
+    """Pairs of blocks of bundles: the sets of the first against those of both; links to other components."""
     a_out, b_out = [], []
     bundle, block = left.column("bundle").to_numpy(), left.column("block").to_numpy()
     order = np.lexsort((left.column("rep").to_numpy(), block, bundle))
@@ -547,8 +547,9 @@ def _bundle_links(left: pa.Table) -> pa.Table:
 def _bundled(kept: DataFrame, groups: DataFrame, ties: DataFrame, buckets: int) -> DataFrame:
     """Links between components inside the bundles that ``ties`` connect.
 
-    A bundle's sets meet in blocks of rows against all of its sets, whose
-    tokens are counted through one inverted index in a task; no pair is emitted.
+    A bundle's sets are dealt into blocks of bounded size, and each two blocks
+    meet in a task, whose tokens are counted through one inverted index; no
+    pair is emitted.
     """
     bundles = components(ties).select(F.col("node").alias("rep"), F.col("component").alias("bundle"))
     label = groups.select(F.col("node").alias("rep"), "component")
@@ -556,8 +557,9 @@ def _bundled(kept: DataFrame, groups: DataFrame, ties: DataFrame, buckets: int)
     members = common.stage(members, "members")
     blocks = members.groupBy("bundle").agg((F.floor(F.count("*") / BLOCK) + 1).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    copies = common.again(members).join(blocks, "bundle").withColumn("own", own).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    copies = copies.select("bundle", "block", "rep", "component", "tokens", (F.col("own") == F.col("block")).alias("is_row"), F.pmod(F.xxhash64("bundle", "block"), F.lit(buckets)).cast("int").alias("w"))
+    copies = common.again(members).join(blocks, "bundle").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    copies = copies.withColumn("block", F.least("own", "other") * F.col("blocks") + F.greatest("own", "other"))
+    copies = copies.select("bundle", "block", "rep", "component", "tokens", (F.col("own") <= F.col("other")).alias("is_row"), F.pmod(F.xxhash64("bundle", "block"), F.lit(buckets)).cast("int").alias("w"))
     links = common.stage(copies.groupBy("w").applyInArrow(_bundle_links, "a long, b long"), "bundle-links")
     common.discard(members)
     return links
@@ -637,7 +639,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     of = common.again(kept).select("d1", "d2", size, "rep").join(groups, F.col("rep") == F.col("node"), "left").select("d1", "d2", "n", F.coalesce("component", "rep").alias("c"), "rep")
     answers = answered(of, KNOWN)
     ties = entries().groupBy("b").cogroup(answers.groupBy("b")).applyInArrow(_torn(buckets), PACKED)
-    ties = ties.withColumn("b", F.col("b") % (buckets // 8 + 1)).groupBy("b").applyInArrow(_forest, "a long, b long")
+    ties = ties.withColumn("b", F.col("b") % (buckets // 128 + 1)).groupBy("b").applyInArrow(_forest, "a long, b long")
     common.release(spark)
     more = _bundled(common.again(kept).select("rep", "tokens"), groups, ties, buckets)
     common.discard(lists, asks, kept, shared, counts, answers)

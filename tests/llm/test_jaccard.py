@@ -53,6 +53,7 @@ def test_frequent_tokens_alone(spark, monkeypatch):
     """Every token frequent, every list long: pairs of classes carry the join."""
     monkeypatch.setattr(jaccard, "RARE", 1)
     monkeypatch.setattr(jaccard, "SMALL", 2)
+    monkeypatch.setattr(jaccard, "BLOCK", 7)
     texts = corpus(3)
     assert sorted(map(tuple, jaccard.similar_components(documents(spark, texts)).collect())) == brute(texts)
 
