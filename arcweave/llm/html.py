@@ -279,25 +279,25 @@ def labelled_pages(n: int = 240, seed: int = 7) -> list[str]:
         out = [f'<h{rng.choice([1, 1, 1, 2])} data-y="1">{words(2, 9)}</h1>'] if rng.random() < 0.9 else []
         for _ in range(rng.choice([0, 1, 2, 3, 5, 9, 14, 40])):
             r = rng.random()
-            if r < 0.6:
+            if r < 0.54:
                 out.append(f'<p data-y="1">{prose()}</p>')
-            elif r < 0.7:
+            elif r < 0.64:
                 out.append(f'<p data-y="1"><b>{prose(4, 30)}<br>')
-            elif r < 0.75:
+            elif r < 0.69:
                 out.append(f'<p data-y="1">{words(1, 6)}.</p>')
-            elif r < 0.8:
+            elif r < 0.74:
                 out.append(f'<h{rng.randint(2, 4)} data-y="1">{words(2, 6)}</h2>')
-            elif r < 0.85:
+            elif r < 0.79:
                 out.append('<ul data-y="1">' + "".join(f'<li data-y="1">{prose(5, 20)}</li>' for _ in range(rng.randint(2, 5))) + "</ul>")
-            elif r < 0.88:
+            elif r < 0.82:
                 out.append(f'<blockquote data-y="1"><p data-y="1">{prose()}</p></blockquote>')
-            elif r < 0.91:
+            elif r < 0.85:
                 out.append('<table data-y="1">' + "".join(f'<tr data-y="1"><td data-y="1">{words(1, 3)}</td><td data-y="1">{rng.randint(1, 999)}</td></tr>' for _ in range(3)) + "</table>")
-            elif r < 0.93:
+            elif r < 0.87:
                 out.append(f'<pre data-y="1">{words(4, 20)}</pre>')
-            elif r < 0.95:
+            elif r < 0.89:
                 out.append(f'<figure data-y="1"><img src="x.png"><figcaption data-y="1">{words(3, 9)}.</figcaption></figure>')
-            elif r < 0.97:
+            elif r < 0.955:
                 out.append(block("div", rng.choice(["ad", "advert", "promo", "sponsored", "ad-slot", "banner"]), rng.choice([prose(5, 20), f'<p data-y="0">{prose(5, 20)}</p>'])))
             elif r < 0.985:
                 out.append(block("div", rng.choice(["share", "social", "related", "newsletter", "subscribe"]), menu(3)))

@@ -130,8 +130,10 @@ def learn(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     got = rows.select("_text", "_lang").mapInArrow(sums, "lang string, v array<double>").collect()  # 16 rows a language
     langs = sorted({r.lang for r in got})
+    if not langs:
+        return [], np.zeros((0, DIM))
     table = np.array([np.sum([r.v for r in got if r.lang == x], axis=0) for x in langs]).reshape(len(langs), -1)
-    return langs, np.round(_unit(table), 6) if langs else table
+    return langs, np.round(_unit(table), 6)
 
 
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
