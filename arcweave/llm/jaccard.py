@@ -50,7 +50,7 @@ RARE = 256
 #: Index lists of this many members or fewer are compared in full at once.
 SMALL = 6
 #: Sets of one block of a bundle, on average; a task compares two blocks.
-BLOCK = 6000
+BLOCK = 2500
 
 TOKEN = np.dtype([("d1", "<i8"), ("d2", "<u4"), ("n", "<u4"), ("t0", "<u4"), ("t1", "<u2")])
 SHARED = np.dtype([("d1", "<i8"), ("d2", "<u4"), ("n", "<u4"), ("df", "<u4"), ("t", "<u8")])
@@ -416,8 +416,9 @@ def _verify(pairs: DataFrame, sets: DataFrame, buckets: int) -> DataFrame:
     right = pairs.join(degree, ["a1", "a2"]).withColumn("w", spread)
     right = common.stage(right.select("a1", "a2", "b1", "b2", "w"), "spread")
     need = common.again(right).select("a1", "a2", "w").distinct()
-    left = need.join(sets.select(F.col("d1").alias("a1"), F.col("d2").alias("a2"), F.col("rep").alias("a_rep"), F.col("tokens").alias("a_tokens")), ["a1", "a2"])
-    right_sets = right.join(common.again(sets).select(F.col("d1").alias("b1"), F.col("d2").alias("b2"), F.col("rep").alias("b_rep"), F.col("tokens").alias("b_tokens")), ["b1", "b2"])
+    # the token sets are shuffled at every size, so that costs follow the input
+    left = need.hint("merge").join(sets.select(F.col("d1").alias("a1"), F.col("d2").alias("a2"), F.col("rep").alias("a_rep"), F.col("tokens").alias("a_tokens")), ["a1", "a2"])
+    right_sets = right.hint("merge").join(common.again(sets).select(F.col("d1").alias("b1"), F.col("d2").alias("b2"), F.col("rep").alias("b_rep"), F.col("tokens").alias("b_tokens")), ["b1", "b2"])
 
     def compare(l: pa.Table, r: pa.Table) -> pa.Table:
         have = {(x, y): (rep, t) for x, y, rep, t in zip(l.column("a1").to_pylist(), l.column("a2").to_pylist(), l.column("a_rep").to_pylist(), l.column("a_tokens").to_pylist())}
@@ -553,11 +554,11 @@ def _bundled(kept: DataFrame, groups: DataFrame, ties: DataFrame, buckets: int)
     """
     bundles = components(ties).select(F.col("node").alias("rep"), F.col("component").alias("bundle"))
     label = groups.select(F.col("node").alias("rep"), "component")
-    members = kept.join(bundles, "rep").join(label, "rep", "left").select("rep", "tokens", "bundle", F.coalesce("component", "rep").alias("component"))
+    members = kept.join(bundles.hint("merge"), "rep").join(label.hint("merge"), "rep", "left").select("rep", "tokens", "bundle", F.coalesce("component", "rep").alias("component"))
     members = common.stage(members, "members")
     blocks = members.groupBy("bundle").agg((F.floor(F.count("*") / BLOCK) + 1).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    copies = common.again(members).join(blocks, "bundle").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    copies = common.again(members).join(blocks.hint("merge"), "bundle").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     copies = copies.withColumn("block", F.least("own", "other") * F.col("blocks") + F.greatest("own", "other"))
     copies = copies.select("bundle", "block", "rep", "component", "tokens", (F.col("own") <= F.col("other")).alias("is_row"), F.pmod(F.xxhash64("bundle", "block"), F.lit(buckets)).cast("int").alias("w"))
     links = common.stage(copies.groupBy("w").applyInArrow(_bundle_links, "a long, b long"), "bundle-links")
