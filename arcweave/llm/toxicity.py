@@ -65,14 +65,15 @@ def _noisy_or(z: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return -np.expm1(np.add.reduceat(-np.logaddexp(0, z), starts))
 
 
-def fit(docs: list[tuple[int, list[list[int]]]], width: int) -> tuple[np.ndarray, float]:
-    """Weights and bias by gradient descent on the document likelihood; docs are (label, feature ids by sentence)."""
+def fit(docs: list[tuple[int, bytes, bytes]], width: int) -> tuple[np.ndarray, float]:
+    """Weights and bias by gradient descent on the document likelihood; docs are (label, features by sentence, feature ids)."""
     y = np.array([d[0] for d in docs], float)
-    starts = np.cumsum([0] + [len(d[1]) for d in docs[:-1]])
-    doc_of = np.repeat(np.arange(len(docs)), [len(d[1]) for d in docs])
-    flat = [s for d in docs for s in d[1]]
-    sent = np.repeat(np.arange(len(flat)), [len(s) for s in flat])
-    feat = np.array([f for s in flat for f in s], np.int64)
+    sizes = [np.frombuffer(d[1], "<u4") for d in docs]
+    starts = np.cumsum([0] + [len(s) for s in sizes[:-1]])
+    doc_of = np.repeat(np.arange(len(docs)), [len(s) for s in sizes])
+    flat = np.concatenate(sizes)
+    sent = np.repeat(np.arange(len(flat)), flat)
+    feat = np.concatenate([np.frombuffer(d[2], "<u4") for d in docs]).astype(np.int64)
     w, b = np.zeros(width), -5.0
     m, v = np.zeros(width + 1), np.zeros(width + 1)
     for t in range(1, STEPS + 1):
@@ -166,9 +167,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     n, p = rows.agg(F.count("*"), F.avg(F.col("_y").cast("double"))).first()
     if not n or not 0 < p < 1:
-        discard_ok = Model({}, 0.0)
         common.discard(rows)
-        return discard_ok
+        return Model({}, 0.0)
     lean = rows.mapInArrow(count, "f string, n long, pos long").groupBy("f").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).where(F.col("n") >= LEAST_DOCS)
     lean = lean.withColumn("z", (F.col("pos") - F.col("n") * p) / F.sqrt(F.col("n") * F.lit(p * (1 - p)))).where(F.col("z") >= LEAST_Z)
     kept = [r.f for r in lean.orderBy(F.desc("z"), "f").limit(FEATURES).select("f").collect()]
@@ -180,11 +180,14 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for b in batches:
             out = []
             for text in b.column(0).to_pylist():
-                out.append([[index[f] for t in s for f in features(t) if f in index] for s in sentences(text.decode("utf-8", "replace"))])
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(out, pa.list_(pa.list_(pa.int32())))], names=["y", "s"])
+                own = [[index[f] for t in s for f in features(t) if f in index] for s in sentences(text.decode("utf-8", "replace"))]
+                out.append((np.array([len(s) for s in own], "<u4").tobytes(), np.array([f for s in own for f in s], "<u4").tobytes()))
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.binary())], names=["y", "n", "s"])
 
-    coded = [(r.y, r.s) for r in rows.mapInArrow(encode, "y int, s array<array<int>>").collect() if r.s]  # at most sample_rows
+    coded = [(r.y, bytes(r.n), bytes(r.s)) for r in rows.mapInArrow(encode, "y int, n binary, s binary").collect() if r.n]  # at most sample_rows
     common.discard(rows)
+    if not coded:
+        return Model({}, 0.0)
     coded.sort()
     w, b = fit(coded, len(index))
     return Model({f: round(float(x), 6) for f, x in zip(kept, w)}, round(float(b), 6))
