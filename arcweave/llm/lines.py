@@ -9,8 +9,9 @@ A template found in ``min_docs`` or more different texts is recurring; its
 lines are dropped from all documents, except for the first one of the corpus,
 so that no content is lost altogether.
 
-Counts are aggregates over all lines; exact copies of a text count as one
-document. Only the distinct masked lines of a leaf meet in one task, and of a
+Lines are assigned to templates first; then the different texts of a template
+are counted by aggregation, so that a text counts once whatever number of a
+template's lines and variants it holds, and so do its exact copies. Only the distinct masked lines of a leaf meet in one task, and of a
 leaf with more than ``LEAF`` of them none do: there the template is the most
 frequent token of each position, found by aggregation, and lines that do not
 agree with it stay templates of their own.
@@ -28,7 +29,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -65,30 +66,25 @@ def _rows(batches):
         yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["doc", "line", "m", "leaf", "whole"])
 
 
-def _templates(rows: list[tuple[int, int, tuple, np.ndarray]], min_docs: int):
-    """(m, template, docs, first place) of one leaf's masked lines, in a fixed order of frequency."""
+def _templates(rows: list[tuple[int, int, np.ndarray]]):
+    """(m, template) of one leaf's masked lines, in a fixed order of frequency; a template is named by its first one."""
     rows.sort(key=lambda r: (-r[1], r[0]))
     wild = np.uint32(0)
-    heads = np.zeros((len(rows), len(rows[0][3])), np.uint32)
+    heads = np.zeros((len(rows), len(rows[0][2])), np.uint32)
     members: list[list[int]] = []
     for at, r in enumerate(rows):
         table = heads[: len(members)]
-        same, free = (table == r[3]).mean(axis=1), ((table == wild) & (r[3] != wild)).mean(axis=1)
+        same, free = (table == r[2]).mean(axis=1), ((table == wild) & (r[2] != wild)).mean(axis=1)
         # a variable position agrees with anything, but fixed ones must carry half of the agreement
         score = np.where((same + free >= SIMILAR) & (same >= SIMILAR / 2), 2 * same + free, 0)
         if len(score) and score.max() > 0:
             where = int(score.argmax())
-            heads[where] = np.where(heads[where] == r[3], r[3], wild)
+            heads[where] = np.where(heads[where] == r[2], r[2], wild)
             members[where].append(at)
         else:
-            heads[len(members)] = r[3]
+            heads[len(members)] = r[2]
             members.append([at])
-    out = []
-    for own in members:
-        docs, first = sum(rows[k][1] for k in own), min(rows[k][2] for k in own)
-        if docs >= min_docs:
-            out.extend((rows[k][0], *first) for k in own)
-    return out
+    return [(rows[k][0], rows[own[0]][0]) for own in members for k in own]
 
 
 def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> tuple[DataFrame, DataFrame]:
@@ -102,7 +98,6 @@ def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     masked = common.stage(per.groupBy("m", "leaf").agg(F.count("*").alias("docs"), F.min("at").alias("at")), "masked")
     leaves = masked.groupBy("leaf").agg(F.sum("docs").alias("leaf_docs"), F.count("*").alias("variants")).where(F.col("leaf_docs") >= min_docs)
     leaves = common.stage(leaves, "leaves")
-    alone = masked.join(leaves.where("variants = 1").select("leaf"), "leaf").select("m", F.col("at.doc").alias("first_doc"), F.col("at.line").alias("first_line"))
 
     def fields(batches):
         for b in batches:
@@ -130,15 +125,15 @@ def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
 
     def small(key, table):
         by: dict[int, list] = {}
-        for m, leaf, n, doc, line, data in zip(*(table.column(c).to_pylist() for c in ("m", "leaf", "docs", "doc", "line", "fields"))):
-            by.setdefault(leaf, []).append((m, n, (doc, line), np.frombuffer(data, "<u4")))
-        out = [row for leaf in sorted(by) for row in _templates(by[leaf], min_docs)]
-        cols = list(zip(*out)) or [()] * 3
-        return pa.table({"m": pa.array(list(cols[0]), pa.int64()), "first_doc": pa.array(list(cols[1]), pa.int64()), "first_line": pa.array(list(cols[2]), pa.int32())})
+        for m, leaf, n, data in zip(*(table.column(c).to_pylist() for c in ("m", "leaf", "docs", "fields"))):
+            by.setdefault(leaf, []).append((m, n, np.frombuffer(data, "<u4")))
+        out = [row for leaf in sorted(by) for row in _templates(by[leaf])]
+        cols = list(zip(*out)) or [()] * 2
+        return pa.table({"m": pa.array(list(cols[0]), pa.int64()), "template": pa.array(list(cols[1]), pa.int64())})
 
     buckets = 4 * common.parts(spark)
     bounded = several.where(F.col("variants") <= LEAF).withColumn("b", F.pmod(F.xxhash64("leaf"), F.lit(buckets)))
-    near = bounded.groupBy("b").applyInArrow(small, "m long, first_doc long, first_line int")
+    near = bounded.groupBy("b").applyInArrow(small, "m long, template long")
 
     # crowded leaves: the most frequent token of each position, and the lines that agree with it
     def spread(batches):
@@ -152,13 +147,22 @@ def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     votes = crowded.groupBy("leaf", "pos", "token").agg(F.sum("docs").alias("v"))
     most = votes.groupBy("leaf", "pos").agg(F.max(F.struct("v", F.col("token").alias("t"))).alias("top")).select("leaf", "pos", F.col("top.t").alias("token"))
     agree = common.again(crowded).join(common.stage(most, "most"), ["leaf", "pos", "token"]).groupBy("m", "leaf").agg((F.count("*") / F.first("n")).alias("share")).where(F.col("share") >= SIMILAR).select("m", "leaf")
-    agree = common.again(masked).join(agree, ["m", "leaf"])
-    agree = common.stage(agree, "agree")
-    common_ = agree.groupBy("leaf").agg(F.sum("docs").alias("docs"), F.min("at").alias("at")).where(F.col("docs") >= min_docs).select("leaf", "at")
-    near_crowded = common.again(agree).select("m", "leaf").join(common_, "leaf").select("m", F.col("at.doc").alias("first_doc"), F.col("at.line").alias("first_line"))
-    own = common.again(masked).where(F.col("docs") >= min_docs).join(common.again(leaves).where(F.col("variants") > LEAF).select("leaf"), "leaf").select("m", F.col("at.doc").alias("first_doc"), F.col("at.line").alias("first_line")).join(common.again(agree).select("m"), "m", "left_anti")
-    found = common.stage(alone.unionByName(near).unionByName(near_crowded).unionByName(own), "recurring")
-    return lines, found
+    agree = agree.select("m", F.min("m").over(Window.partitionBy("leaf")).alias("template"))
+    return lines, _found(lines, masked, near.unionByName(agree), min_docs)
+
+
+def _found(lines: DataFrame, masked: DataFrame, assigned: DataFrame, min_docs: int) -> DataFrame:
+    """(m, first_doc, first_line) of the templates found in ``min_docs`` different texts; lines that are not assigned are templates of their own."""
+    place = (F.col("at.doc").alias("first_doc"), F.col("at.line").alias("first_line"))
+    assigned = common.stage(assigned, "assigned")
+    sizes = assigned.groupBy("template").agg(F.count("*").alias("members")).where("members > 1").select("template")
+    shared = common.stage(common.again(assigned).join(sizes, "template").select("m", "template"), "shared")
+    # a text counts once, with however many lines and variants of the template it holds
+    per = common.again(lines).select("m", "whole", "doc", "line").join(common.again(shared), "m").groupBy("template", "whole").agg(F.min(F.struct("doc", "line")).alias("at"))
+    many = per.groupBy("template").agg(F.count("*").alias("docs"), F.min("at").alias("at")).where(F.col("docs") >= min_docs)
+    several = common.again(shared).join(many, "template").select("m", *place)
+    own = common.again(masked).where(F.col("docs") >= min_docs).join(common.again(shared).select("m"), "m", "left_anti").select("m", *place)
+    return common.stage(own.unionByName(several), "recurring")
 
 
 def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:

@@ -24,6 +24,18 @@ def test_copies_count_once(spark):
     assert all(r.n_dropped == 0 and r.text == text for r in got)
 
 
+@pytest.mark.parametrize("leaf", [512, 3])
+def test_a_text_counts_once_per_template(spark, monkeypatch, leaf):
+    monkeypatch.setattr(lines, "LEAF", leaf)
+    w = "amber birch cedar dogwood elm fir gum hazel iris juniper kauri larch".split()
+    one = "\n".join(f"the door of {x} was shut at the end of day" for x in w)
+    got = lines.line_query(documents(spark, [one] * 12 + ["something else", one + "\nmore"])).collect()
+    assert all(r.n_dropped == 0 for r in got)
+    spread = [one] + [f"the door of {x} was shut at the end of day\nown {x}" for x in w[:9]]
+    got = [r.n_dropped for r in sorted(lines.line_query(documents(spark, spread)).collect())]
+    assert got == [11] + [1] * 9
+
+
 def test_word_fields_generalise_and_crowded_leaves_agree(spark, monkeypatch):
     t = [f"the door of {w} was shut at the end of day\nx{w}" for w in "amber birch cedar dogwood elm fir gum hazel iris juniper kauri larch".split()]
     want = [0] + [1] * 11
