@@ -3,18 +3,19 @@
 A line's fields are its white-space separated tokens; a token that holds a
 digit is a variable field. The tree has a fixed depth: token count, then the
 first three tokens (variable ones as one symbol), then a leaf. In a leaf the
-masked lines form templates: a line joins the template it agrees with in at
-least ``SIMILAR`` of the positions, and positions that differ become variable.
+masked lines form templates: in order of frequency, a line that agrees with no
+earlier lead, and that enough lines may agree with by the counts of its tokens,
+leads a template. A line joins the first lead that it agrees with in at least
+``SIMILAR`` of the positions; positions that differ are variable.
 A template found in ``min_docs`` or more different texts is recurring; its
 lines are dropped from all documents, except for the first one of the corpus,
 so that no content is lost altogether.
 
 Lines are assigned to templates first; then the different texts of a template
 are counted by aggregation, so that a text counts once whatever number of a
-template's lines and variants it holds, and so do its exact copies. Only the distinct masked lines of a leaf meet in one task, and of a
-leaf with more than ``LEAF`` of them none do: there the template is the most
-frequent token of each position, found by aggregation, and lines that do not
-agree with it stay templates of their own.
+template's lines and variants it holds, and so do its exact copies. Only the distinct masked lines of a leaf meet in one task; a leaf
+with more than ``LEAF`` of them is worked off in rounds over many tasks, to the
+same templates.
 
 Defined cases: null and empty texts have no line and come back empty; blank
 lines are never dropped; lines end at ``\\n`` and other characters are kept as
@@ -24,6 +25,7 @@ is kept whole.
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -66,25 +68,52 @@ def _rows(batches):
         yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["doc", "line", "m", "leaf", "whole"])
 
 
-def _templates(rows: list[tuple[int, int, np.ndarray]]):
-    """(m, template) of one leaf's masked lines, in a fixed order of frequency; a template is named by its first one."""
+def _need(n: int) -> int:
+    """Positions that must agree of ``n``."""
+    return math.ceil(SIMILAR * n - 1e-9)
+
+
+def _agree(leads: list[np.ndarray], table: np.ndarray) -> np.ndarray:
+    """For every line of ``table``, the place of the first lead that it agrees with, or -1."""
+    out = np.full(len(table), -1)
+    need = _need(table.shape[1])
+    for k, lead in enumerate(leads):
+        free = np.flatnonzero(out < 0)
+        if not len(free):
+            break
+        out[free[((table[free] == lead) & (lead != 0)).sum(axis=1) >= need]] = k
+    return out
+
+
+def _leads(table: np.ndarray) -> list[int]:
+    """Lines that agree with no earlier lead, in the order of ``table``."""
+    out: list[int] = []
+    open_ = np.ones(len(table), bool)
+    for k in range(len(table)):
+        if open_[k]:
+            out.append(k)
+            open_[k:] &= _agree([table[k]], table[k:]) < 0
+    return out
+
+
+def _may_lead(docs: np.ndarray, table: np.ndarray, min_docs: int) -> np.ndarray:
+    """Lines that ``min_docs`` lines may agree with, as far as the counts of their tokens tell."""
+    sums = np.zeros(len(table), np.int64)
+    for p in range(table.shape[1]):
+        _, at = np.unique(table[:, p], return_inverse=True)
+        v = np.bincount(at, weights=docs)[at].astype(np.int64)
+        sums += np.where(table[:, p] != 0, np.minimum(v, min_docs), 0)
+    return sums >= _need(table.shape[1]) * min_docs
+
+
+def _templates(rows: list[tuple[int, int, np.ndarray]], min_docs: int):
+    """(m, template) of one leaf's masked lines that agree with a lead; a template is named by its lead."""
     rows.sort(key=lambda r: (-r[1], r[0]))
-    wild = np.uint32(0)
-    heads = np.zeros((len(rows), len(rows[0][2])), np.uint32)
-    members: list[list[int]] = []
-    for at, r in enumerate(rows):
-        table = heads[: len(members)]
-        same, free = (table == r[2]).mean(axis=1), ((table == wild) & (r[2] != wild)).mean(axis=1)
-        # a variable position agrees with anything, but fixed ones must carry half of the agreement
-        score = np.where((same + free >= SIMILAR) & (same >= SIMILAR / 2), 2 * same + free, 0)
-        if len(score) and score.max() > 0:
-            where = int(score.argmax())
-            heads[where] = np.where(heads[where] == r[2], r[2], wild)
-            members[where].append(at)
-        else:
-            heads[len(members)] = r[2]
-            members.append([at])
-    return [(rows[k][0], rows[own[0]][0]) for own in members for k in own]
+    table = np.stack([r[2] for r in rows])
+    may = np.flatnonzero(_may_lead(np.array([r[1] for r in rows]), table, min_docs))
+    leads = may[_leads(table[may])]
+    of = _agree([table[k] for k in leads], table)
+    return [(rows[k][0], rows[leads[t]][0]) for k, t in enumerate(of) if t >= 0]
 
 
 def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> tuple[DataFrame, DataFrame]:
@@ -108,7 +137,7 @@ def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
                     tokens = mask(own[w["line"]]) if w["line"] < len(own) else []
                     if _long(b" ".join(tokens)) != w["m"]:
                         continue  # another row of the same id
-                    data = np.array([0 if t == WILD else xxhash.xxh32_intdigest(t) | 1 for t in tokens], "<u4").tobytes()
+                    data = np.array([2 if t == WILD else xxhash.xxh32_intdigest(t) | 1 for t in tokens], "<u4").tobytes()
                     for o, v in zip(out, (w["m"], w["leaf"], w["docs"], doc, w["line"], w["variants"], data)):
                         o.append(v)
             types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
@@ -127,7 +156,7 @@ def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
         by: dict[int, list] = {}
         for m, leaf, n, data in zip(*(table.column(c).to_pylist() for c in ("m", "leaf", "docs", "fields"))):
             by.setdefault(leaf, []).append((m, n, np.frombuffer(data, "<u4")))
-        out = [row for leaf in sorted(by) for row in _templates(by[leaf])]
+        out = [row for leaf in sorted(by) for row in _templates(by[leaf], min_docs)]
         cols = list(zip(*out)) or [()] * 2
         return pa.table({"m": pa.array(list(cols[0]), pa.int64()), "template": pa.array(list(cols[1]), pa.int64())})
 
@@ -135,20 +164,65 @@ def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     bounded = several.where(F.col("variants") <= LEAF).withColumn("b", F.pmod(F.xxhash64("leaf"), F.lit(buckets)))
     near = bounded.groupBy("b").applyInArrow(small, "m long, template long")
 
-    # crowded leaves: the most frequent token of each position, and the lines that agree with it
+    crowded = several.where(F.col("variants") > LEAF).select("m", "leaf", "docs", "variants", "fields")
+    return lines, _found(lines, masked, near.unionByName(_crowded(crowded, min_docs)), min_docs)
+
+
+def _crowded(rows: DataFrame, min_docs: int) -> DataFrame:
+    """(m, template) as of :func:`_templates`, for leaves that are too large for one task.
+
+    Each round takes a leaf's next ``LEAF`` lines that may lead, finds the leads among
+    them and compares all lines that are left with these, spread over tasks.
+    """
+    schema = "m long, leaf long, docs long, variants long, fields binary"
+    found = rows.select("m", F.col("m").alias("template")).where("false")
+
     def spread(batches):
         for b in batches:
-            data = [np.frombuffer(x, "<u4") for x in b.column(6).to_pylist()]
-            size = [len(x) for x in data]
-            at = np.repeat(np.arange(len(data)), size)
-            yield pa.RecordBatch.from_arrays([*(b.column(k).take(pa.array(at)) for k in (0, 1, 2)), pa.array(np.concatenate([np.arange(s) for s in size]) if size else [], pa.int32()), pa.array(np.concatenate(data).astype(np.int64) if data else [], pa.int64()), pa.array(np.repeat(size, size) if size else [], pa.int32())], names=["m", "leaf", "docs", "pos", "token", "n"])
-
-    crowded = common.stage(several.where(F.col("variants") > LEAF).mapInArrow(spread, "m long, leaf long, docs long, pos int, token long, n int"), "crowded")
-    votes = crowded.groupBy("leaf", "pos", "token").agg(F.sum("docs").alias("v"))
-    most = votes.groupBy("leaf", "pos").agg(F.max(F.struct("v", F.col("token").alias("t"))).alias("top")).select("leaf", "pos", F.col("top.t").alias("token"))
-    agree = common.again(crowded).join(common.stage(most, "most"), ["leaf", "pos", "token"]).groupBy("m", "leaf").agg((F.count("*") / F.first("n")).alias("share")).where(F.col("share") >= SIMILAR).select("m", "leaf")
-    agree = agree.select("m", F.min("m").over(Window.partitionBy("leaf")).alias("template"))
-    return lines, _found(lines, masked, near.unionByName(agree), min_docs)
+            data = [np.frombuffer(x, "<u4") for x in b.column("fields").to_pylist()]
+            at = np.repeat(np.arange(len(data)), [len(x) for x in data])
+            pos = np.concatenate([np.arange(len(x)) for x in data]) if data else np.array([], int)
+            need = np.array([_need(len(x)) for x in data], np.int64)[at]
+            token = np.concatenate(data).astype(np.int64) if data else np.array([], np.int64)
+            yield pa.RecordBatch.from_arrays([*(b.column(k).take(pa.array(at)) for k in ("m", "leaf", "docs")), pa.array(pos, pa.int32()), pa.array(token), pa.array(need)], names=["m", "leaf", "docs", "pos", "token", "need"])
+
+    def first(table):
+        rows = table.sort_by([("docs", "descending"), ("m", "ascending")])
+        data = np.stack([np.frombuffer(x, "<u4") for x in rows.column("fields").to_pylist()])
+        leads = _leads(data)
+        return rows.take(pa.array(leads)).append_column("place", pa.array(range(len(leads)), pa.int32())).select(["leaf", "m", "fields", "place", "variants"])
+
+    def meet(own, leads):
+        leads = leads.sort_by("place")
+        data = [np.frombuffer(x, "<u4") for x in own.column("fields").to_pylist()]
+        names = np.array(leads.column("m").to_pylist(), np.int64)
+        of = _agree([np.frombuffer(x, "<u4") for x in leads.column("fields").to_pylist()], np.stack(data)) if data else np.array([], int)
+        template = pa.array(names[of] if len(names) else np.zeros(len(of), np.int64), pa.int64(), mask=of < 0)
+        return own.select(["m", "leaf", "docs", "variants", "fields", "may"]).append_column("template", template)
+
+    rows = common.stage(rows, "crowded")
+    if not rows.limit(1).count():
+        return found
+    tokens = common.stage(common.again(rows).mapInArrow(spread, "m long, leaf long, docs long, pos int, token long, need long").where("token <> 0"), "tokens")
+    votes = tokens.groupBy("leaf", "pos", "token").agg(F.least(F.sum("docs"), F.lit(min_docs)).alias("v"))
+    may = common.again(tokens).join(votes, ["leaf", "pos", "token"]).groupBy("m").agg((F.sum("v") >= F.first("need") * min_docs).alias("may"))
+    left = common.stage(common.again(rows).join(may, "m", "left").select(*rows.columns, F.coalesce("may", F.lit(False)).alias("may")), "left")
+    common.discard(tokens, rows)
+    while left.where("may").limit(1).count():
+        order = Window.partitionBy("leaf").orderBy(F.desc("docs"), "m")
+        seeds = common.again(left).where("may").withColumn("k", F.row_number().over(order)).where(F.col("k") <= LEAF).drop("k", "may")
+        leads = common.stage(seeds.groupBy("leaf").applyInArrow(first, "leaf long, m long, fields binary, place int, variants long"), "leads")
+        # as many groups of a leaf as it has LEAF lines
+        groups = F.ceil(F.col("variants") / LEAF).cast("long")
+        own = common.again(left).withColumn("s", F.pmod(F.xxhash64("m"), groups))
+        them = common.again(leads).withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), groups - 1)))
+        step = own.groupBy("leaf", "s").cogroup(them.groupBy("leaf", "s")).applyInArrow(meet, schema + ", may boolean, template long")
+        step = common.stage(step, "step")
+        found = found.unionByName(step.where("template IS NOT NULL").select("m", "template"))
+        rest = common.stage(common.again(step).where("template IS NULL").drop("template"), "left")
+        common.discard(left, leads)
+        left = rest
+    return found
 
 
 def _found(lines: DataFrame, masked: DataFrame, assigned: DataFrame, min_docs: int) -> DataFrame:

@@ -45,6 +45,17 @@ def test_word_fields_generalise_and_crowded_leaves_agree(spark, monkeypatch):
     assert small == want and crowded == want
 
 
+def test_leaves_of_any_size_give_the_same_templates(spark, monkeypatch):
+    w = "amber birch cedar dogwood elm fir gum hazel iris juniper kauri larch".split()
+    t = [f"the door of {x} was shut at the end of day\nx{x}" for x in w]
+    t += [f"the door of gold {x} opens only when rain comes down\ny{x}" for x in w]
+    t += [f"the door of some {x} that {a} {x}{a} had {x}s {a}r before" for x, a in zip(w, reversed(w))]
+    want = [0] + [1] * 11 + [0] + [1] * 11 + [0] * 12
+    for leaf in (512, 16, 5, 1):
+        monkeypatch.setattr(lines, "LEAF", leaf)
+        assert [r.n_dropped for r in sorted(lines.line_query(documents(spark, t)).collect())] == want
+
+
 def test_stage_keeps_rows_and_columns(spark):
     docs = documents(spark, table())
     out = lines.without_recurring(docs)
