@@ -6,7 +6,8 @@ first three tokens (variable ones as one symbol), then a leaf. In a leaf the
 masked lines form templates: in order of frequency, a line that agrees with no
 earlier lead, and that enough lines may agree with by the counts of its tokens,
 leads a template. A line joins the first lead that it agrees with in at least
-``SIMILAR`` of the positions; positions that differ are variable.
+``SIMILAR`` of the positions behind the first three, by equal fixed tokens that
+are not mere punctuation; positions that differ are variable.
 A template found in ``min_docs`` or more different texts is recurring; its
 lines are dropped from all documents, except for the first one of the corpus,
 so that no content is lost altogether.
@@ -18,7 +19,8 @@ with more than ``LEAF`` of them is worked off in rounds over many tasks, to the
 same templates.
 
 Defined cases: null and empty texts have no line and come back empty; blank
-lines are never dropped; lines end at ``\\n`` and other characters are kept as
+lines and lines whose variable fields stand beside no fixed word are never
+dropped; lines end at ``\\n`` and other characters are kept as
 they are; rows that share an id count as one document, and a row without an id
 is kept whole.
 """
@@ -38,6 +40,7 @@ from . import common
 
 MIN_DOCS, DEPTH, SIMILAR, LEAF = 10, 3, 0.6, 512
 _FIELD = re.compile(rb"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*")
+_WORD = re.compile(rb"[A-Za-z\x80-\xff]")
 WILD = b"<*>"
 
 
@@ -46,13 +49,18 @@ def mask(line: bytes) -> list[bytes]:
     return _FIELD.sub(WILD, line).split()
 
 
+def _fixed(token: bytes) -> bool:
+    """Tokens that count as agreement: neither variable nor mere punctuation."""
+    return token != WILD and _WORD.search(token) is not None
+
+
 def _long(data: bytes) -> int:
     x = xxhash.xxh3_64_intdigest(data)
     return x - (1 << 64) if x >> 63 else x
 
 
 def _rows(batches):
-    """Every line that is not blank: doc, line, masked hash, leaf, text hash."""
+    """Every line that can recur: doc, line, masked hash, leaf, text hash."""
     for b in batches:
         out: tuple[list, ...] = ([], [], [], [], [])
         for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -61,7 +69,7 @@ def _rows(batches):
             whole = _long(text)
             for k, line in enumerate(text.split(b"\n")):
                 tokens = mask(line)
-                if tokens:
+                if tokens and (WILD not in tokens or any(map(_fixed, tokens))):
                     leaf = _long(b"%d " % len(tokens) + b" ".join(tokens[:DEPTH]))
                     for o, v in zip(out, (i, k, _long(b" ".join(tokens)), leaf, whole)):
                         o.append(v)
@@ -137,7 +145,7 @@ def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
                     tokens = mask(own[w["line"]]) if w["line"] < len(own) else []
                     if _long(b" ".join(tokens)) != w["m"]:
                         continue  # another row of the same id
-                    data = np.array([2 if t == WILD else xxhash.xxh32_intdigest(t) | 1 for t in tokens], "<u4").tobytes()
+                    data = np.array([xxhash.xxh32_intdigest(t) | 1 if _fixed(t) else 0 for t in tokens[DEPTH:]], "<u4").tobytes()
                     for o, v in zip(out, (w["m"], w["leaf"], w["docs"], doc, w["line"], w["variants"], data)):
                         o.append(v)
             types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())

@@ -56,6 +56,14 @@ def test_leaves_of_any_size_give_the_same_templates(spark, monkeypatch):
         assert [r.n_dropped for r in sorted(lines.line_query(documents(spark, t)).collect())] == want
 
 
+def test_lines_that_share_only_their_start_or_numbers_stay(spark):
+    w = "amber birch cedar dogwood elm fir gum hazel iris juniper kauri larch".split()
+    t = [f"there was a {x}\nthere was a {x} there\nin the end 1{i} | {x} | 5 {x}{x}\n{i} 2{i} 3{i} 4{i}\n| 7{i} | 8{i} |\ntotal of {i} 2{i} items" for i, x in enumerate(w)]
+    got = sorted(lines.line_query(documents(spark, t)).collect())
+    assert [r.n_dropped for r in got] == [0] + [1] * 11
+    assert [r.text.split("\n") for r in got[1:]] == [x.split("\n")[:5] for x in t[1:]]
+
+
 def test_stage_keeps_rows_and_columns(spark):
     docs = documents(spark, table())
     out = lines.without_recurring(docs)
