@@ -294,7 +294,7 @@ def frame_average(d):
 def fold_compose(d):
     """Left fold of ordered products along runs of five names; the witness enters the next product."""
     pw = "1e0 - greatest(-1e0, least(1e0, (s.x * c.x + s.y * c.y + s.z * c.z) / (sqrt(s.x * s.x + s.y * s.y + s.z * s.z) * sqrt(c.x * c.x + c.y * c.y + c.z * c.z) + 1e-10)))"
-    return f"""{d.rec()} {concepts(d)}, s AS (SELECT id AS k, 1 AS n, 1e0 AS w, x, y, z, e, f, g, h FROM concepts WHERE id % 10 = 0
+    return f"""{d.rec()} {concepts(d)}, s AS (SELECT id AS k, 1 AS n, 1e0 AS w, x, y, z, e, f, g, h FROM concepts
       UNION ALL SELECT s.k, s.n + 1, {pw}, s.w * c.x + s.x * 1e0 + s.y * c.z - s.z * c.y, s.w * c.y - s.x * c.z + s.y * 1e0 + s.z * c.x, s.w * c.z + s.x * c.y - s.y * c.x + s.z * 1e0,
       0.4e0 * s.e + 0.6e0 * c.e, 0.4e0 * s.f + 0.6e0 * c.f, 0.4e0 * s.g + 0.6e0 * c.g, 0.4e0 * s.h + 0.6e0 * c.h FROM s JOIN concepts c ON c.id = s.k + s.n WHERE s.n < 5)
     SELECT k, CAST(n AS BIGINT) AS n, {r('w')} AS witness, {', '.join(r(c) + f' AS {c}' for c in ESSENCE)} FROM s WHERE n = 5"""
@@ -312,7 +312,7 @@ def nary_compose(d):
 def tercile_codes(d):
     code = "concat(" + ", ".join(f"CASE WHEN {k} < -0.05e0 THEN 'L' WHEN {k} > 0.05e0 THEN 'H' ELSE 'M' END" for k in ESSENCE + FUNCTION) + ")"
     ham = " + ".join(f"CASE WHEN substr(p.code, {i}, 1) <> substr(q.code, {i}, 1) THEN 1 ELSE 0 END" for i in range(1, 15))
-    return f"""{base(d)}, k AS (SELECT id, {code} AS code FROM concepts), p AS (SELECT p.id AS i, q.id AS j, {ham} AS h FROM k p JOIN k q ON p.id <> q.id AND p.id % 5 = 0),
+    return f"""{base(d)}, k AS (SELECT id, {code} AS code FROM concepts), p AS (SELECT p.id AS i, q.id AS j, {ham} AS h FROM k p JOIN k q ON p.id <> q.id),
     m AS (SELECT i, min(h) AS h FROM p GROUP BY i)
     SELECT k.id, k.code, CAST(m.h AS BIGINT) AS least, CASE WHEN count(*) = 1 THEN min(p.j) END AS decoded FROM p JOIN m ON m.i = p.i AND m.h = p.h JOIN k ON k.id = p.i GROUP BY k.id, k.code, m.h"""
 
@@ -353,7 +353,7 @@ def relation_rework(d):
 @Q("CUR-07")
 def propose_vector(d):
     """A weighted mean over context concepts: named ones weigh 3, neighbours 1.5."""
-    return f"""{graph(d)}, w AS (SELECT id AS k, id AS src, 3e0 AS weight FROM concepts WHERE id % 10 = 0 UNION ALL SELECT me, other, 1.5e0 FROM und WHERE me % 10 = 0)
+    return f"""{graph(d)}, w AS (SELECT id AS k, id AS src, 3e0 AS weight FROM concepts UNION ALL SELECT me, other, 1.5e0 FROM und)
     SELECT k, count(*) AS sources, {', '.join(r(f'sum(weight * {c}) / sum(weight)') + f' AS {c}' for c in ESSENCE)} FROM w JOIN concepts ON id = src GROUP BY k"""
 
 
@@ -361,7 +361,7 @@ def propose_vector(d):
 def nudged_candidates(d):
     """Eight hash-drawn nudges of each concept; the one farthest from its nearest old neighbour stays."""
     draw = {k: d.hash(f"concat('{k}|', CAST(c.id AS STRING), '|', CAST(t AS STRING))") for k in CORE}
-    return f"""{base(d)}, k AS (SELECT {d.explode(d.seq(0, 7))} AS t), c AS (SELECT * FROM concepts WHERE id % 25 = 0),
+    return f"""{base(d)}, k AS (SELECT {d.explode(d.seq(0, 7))} AS t), c AS (SELECT * FROM concepts),
     n AS (SELECT c.id, t, {', '.join(f'c.{a} + ({draw[a]} / 4294967296e0 - 0.5e0) * 0.4e0 AS {a}' for a in CORE)} FROM c CROSS JOIN k),
     p AS (SELECT n.id, n.t, min({angle('n.', 'o.', CORE, '90e0')}) AS least FROM n JOIN concepts o ON o.id <> n.id GROUP BY n.id, n.t),
     b AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(least, 6) DESC, t) AS place FROM p)

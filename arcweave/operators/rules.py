@@ -253,7 +253,7 @@ def diagnosis(d):
 def coin_cast(d):
     """Three hash-drawn coins for six lines: 6 to 9 each; changing lines and both codes."""
     coin = lambda c: f"({d.hash(f"""concat('cast|', CAST(k AS STRING), '|', CAST(ln AS STRING), '|{c}')""")} % 2 + 2)"
-    return f"""WITH a AS (SELECT vec_id AS k FROM embeddings WHERE vec_id % 5 = 0), b AS (SELECT k, ln FROM a CROSS JOIN (SELECT {d.explode(d.seq(0, 5))} AS ln) z),
+    return f"""WITH a AS (SELECT vec_id AS k FROM embeddings), b AS (SELECT k, ln FROM a CROSS JOIN (SELECT {d.explode(d.seq(0, 5))} AS ln) z),
     v AS (SELECT k, ln, {coin(0)} + {coin(1)} + {coin(2)} AS v FROM b)
     SELECT k, CAST(sum(v) AS BIGINT) AS total, CAST(sum(CASE WHEN v IN (6, 9) THEN 1 ELSE 0 END) AS BIGINT) AS changing,
     CAST(sum((v % 2) * CAST(power(2, ln) AS BIGINT)) AS BIGINT) AS code, CAST(sum(CASE WHEN v IN (7, 6) THEN CAST(power(2, ln) AS BIGINT) ELSE 0 END) AS BIGINT) AS resolved FROM v GROUP BY k"""

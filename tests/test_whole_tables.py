@@ -1,10 +1,15 @@
 """Queries that once read a part of their rows, on small tables made for them."""
 
+import glob
 import math
+import os
 
+import duckdb
 import pytest
 
+from arcweave.model import concepts, relations
 from arcweave.plans import registry
+from arcweave.plans.dialect import DUCK
 
 
 def write(spark, folder, **tables):
@@ -26,3 +31,40 @@ def test_binom_tail_keeps_large_strata(spark, tmp_path):
         assert (got[lang].n, got[lang].k) == (total, k)
         assert got[lang].upper_ == pytest.approx(sum(p[k:]), abs=2e-6)
         assert got[lang].two_sided == pytest.approx(sum(x for x in p if x <= p[k] * (1 + 1e-7)), abs=2e-6)
+
+
+DIR = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def duck():
+    con = duckdb.connect()
+    for p in glob.glob(f"{DIR}/*.parquet"):
+        con.execute(f"CREATE VIEW {os.path.basename(p)[:-8]} AS SELECT * FROM '{p}'")
+    return con
+
+
+ALL = "SELECT count(*) FROM embeddings"
+LINKS = f"WITH {concepts(DUCK)}, {relations(DUCK)} SELECT count(DISTINCT (c1, c2)) FROM relations WHERE c1 <> c2"
+EDGES = "SELECT count(*) FROM (SELECT DISTINCT l_suppkey % 7, least(l_partkey % 101, l_orderkey % 101), greatest(l_partkey % 101, l_orderkey % 101){} FROM lineitem WHERE l_partkey % 101 <> l_orderkey % 101)"
+
+
+@pytest.mark.parametrize(
+    "name,of,want",
+    [
+        ("coin_cast", len, ALL),
+        ("propose_vector", len, ALL),
+        ("tercile_codes", len, ALL),
+        ("nudged_candidates", len, ALL),
+        ("fold_compose", len, "SELECT count(*) - 4 FROM embeddings"),
+        ("mantel", lambda rows: rows[0].pairs, "SELECT count(*) * (count(*) - 1) // 2 FROM embeddings"),
+        ("link_ranks", lambda rows: sum(r.n for r in rows), LINKS),
+        ("stratified_perm_hash", lambda rows: rows[0].observed, "SELECT round(avg((n_chars % 1000) / 1000e0) FILTER (quality = 1) - avg((n_chars % 1000) / 1000e0) FILTER (quality = 0), 6) FROM labels JOIN documents USING (doc_id)"),
+        ("union_degree", lambda rows: sum(r.edges for r in rows), EDGES.format(", l_returnflag")),
+        ("rater_agreement_t", lambda rows: sum(r.k * r.pairs for r in rows), EDGES.format("")),
+        ("label_consensus", len, EDGES.format(", l_returnflag").replace("SELECT count(*) FROM (SELECT DISTINCT", "SELECT count(*) FROM (SELECT 1 FROM (SELECT DISTINCT") + " v(f, a, b, kind) GROUP BY a, b HAVING count(*) >= 2)"),
+        ("isolates", lambda rows: sum(r.degree or 0 for r in rows), EDGES.format(", l_returnflag").replace("count(*)", "2 * count(*)")),
+    ],
+)
+def test_no_row_is_left_out(spark, duck, name, of, want):
+    assert of(registry.queries()[name](spark, DIR).collect()) == duck.execute(want).fetchall()[0][0]
