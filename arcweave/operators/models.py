@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from . import search
 
 
 def gram(rows: DataFrame, folds: int) -> dict[int, np.ndarray]:
@@ -274,63 +275,89 @@ def edge_swap_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.where("rep > 0").crossJoin(F.broadcast(real)).groupBy("observed").agg(F.round(F.avg("t"), 3).alias("null_mean"), F.max("t").alias("null_max"), ((1 + F.count_if(F.col("t") >= F.col("observed"))) / 41.0).alias("p_value"))
 
 
+SHIFTS, BLOCK = 60, 4096
+
+
 def relabel_null(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Held-out fit of a fixed hat matrix under cyclic derangements of the labels."""
-    c = G.concepts(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).orderBy("id").limit(500).toPandas()  # a bounded panel
-    x = np.c_[np.ones(len(c)), c[list(G.ESSENCE)].to_numpy()]
-    y = c[list(G.FUNCTION)].to_numpy()
-    hat = x @ np.linalg.solve(x.T @ x + 0.1 * np.eye(8), x.T)
-    press = lambda m: float((((m - hat @ m) / (1 - np.diag(hat))[:, None]) ** 2).sum())
-    rows = [(s, round(press(np.roll(y, s, axis=0)), 5)) for s in range(0, 60)]
-    real = rows[0][1]
-    return spark.createDataFrame([(real, round(float(np.mean([r[1] for r in rows[1:]])), 5), (1 + sum(r[1] <= real for r in rows[1:])) / 60)], "observed double, null_mean double, p_value double")
+    """Held-out fit of a fixed hat matrix under cyclic derangements of the labels, from sums over blocks of all rows."""
+    c = G.concepts(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    v = c.orderBy("id").select(F.array(F.lit(1.0), *G.ESSENCE).alias("x"), F.array(*G.FUNCTION).alias("y"))
+    v = v.rdd.zipWithIndex().map(lambda r: (r[1], [float(a) for a in r[0].x], [float(a) for a in r[0].y])).toDF("i long, x array<double>, y array<double>")
+    n = c.count()
+    a = gram(v.select(F.lit(0).alias("fold"), F.col("x").alias("v")), 1).get(0, np.zeros((8, 8))) + 0.1 * np.eye(8)
+    inverse = np.linalg.inv(a)
+    # a row goes to all blocks in which one of its shifted places lies
+    places = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(SHIFTS - 1)), lambda s: F.floor(((F.col("i") + s) % F.lit(max(1, n))) / BLOCK)))
+
+    def sums(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("i")
+        at, x, y = pdf.i.to_numpy(), np.array(pdf.x.tolist()), np.array(pdf.y.tolist())
+        own = at // BLOCK == pdf.b.iloc[0]
+        x, mine = x[own], at[own]
+        u = 1 / (1 - np.einsum("ij,jk,ik->i", x, inverse, x)) ** 2
+        out = [(u[:, None] * x).T @ x]
+        for s in range(SHIFTS):
+            ys = y[np.searchsorted(at, (mine - s) % n)]
+            out += [x.T @ ys, (u[:, None] * x).T @ ys, np.array([(u[:, None] * ys * ys).sum()])]
+        return pd.DataFrame({"g": [np.concatenate([m.ravel() for m in out]).tolist()]})
+
+    parts = v.select("*", F.explode(places).alias("b")).groupBy("b").applyInPandas(sums, "g array<double>")
+    got = parts.select(F.posexplode("g").alias("pos", "g")).groupBy("pos").agg(F.sum("g").alias("g")).orderBy("pos").collect()
+    t = np.array([r.g for r in got]) if got else np.zeros(64 + SHIFTS * 113)
+    weighted, rows = t[:64].reshape(8, 8), []
+    for b in t[64:].reshape(SHIFTS, 113):
+        w = inverse @ b[:56].reshape(8, 7)
+        rows.append(round(float(b[112] - 2 * (w * b[56:112].reshape(8, 7)).sum() + np.einsum("ij,ik,kj->", w, weighted, w)), 5))
+    return spark.createDataFrame([(rows[0], round(float(np.mean(rows[1:])), 5), (1 + sum(r <= rows[0] for r in rows[1:])) / 60)], "observed double, null_mean double, p_value double")
 
 
 def constrained_cores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cores moved, by restarts and gradient steps, to stand at 90 degrees to their complements; one task per concept group."""
+    """Cores moved, by 80 restarts and gradient steps, to stand at 90 degrees to their complements; every concept by itself."""
     c = G.concepts(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
-    anchors = {r.id: (r.x, r.y, r.z) for r in c.where("id % 50 < 3").select("id", "x", "y", "z").collect() if r.id < 500}  # 30 rows
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for r in pdf.sort_values("id").itertuples():
-            t = np.array([anchors[k] for k in ((r.id % 10) * 50 + i for i in range(3)) if k in anchors])
-            t /= np.linalg.norm(t, axis=1, keepdims=True)
-            start = np.array([r.x, r.y, r.z])
-            rng = np.random.default_rng(int(r.id))
-            best, least = start, np.inf
-            for k in range(8):
-                v = start + (rng.normal(0, 0.3, 3) if k else 0)
-                v /= max(1e-9, np.linalg.norm(v))
+    anchors = {r.id: (r.x, r.y, r.z) for r in c.where("id % 50 < 3").select("id", "x", "y", "z").where("id < 500").collect()}  # 30 rows
+
+    def solve(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples():
+                t = np.array([anchors[k] for k in ((r.id % 10) * 50 + i for i in range(3)) if k in anchors]).reshape(-1, 3)
+                t /= np.linalg.norm(t, axis=1, keepdims=True)
+                start = np.array([r.x, r.y, r.z])
+                v = start + np.r_[np.zeros((1, 3)), np.random.default_rng(int(r.id)).normal(0, 0.3, (79, 3))]
+                v /= np.maximum(1e-9, np.linalg.norm(v, axis=1, keepdims=True))
                 for _ in range(50):
-                    v = v - 0.2 * t.T @ (t @ v)
-                    v /= max(1e-9, np.linalg.norm(v))
-                loss = float(((t @ v) ** 2).sum()) + 0.001 * float(((v - start) ** 2).sum())
-                if loss < least:
-                    best, least = v, loss
-            out.append((int(r.id), *(round(float(a), 6) for a in best), round(least, 6)))
-        return pd.DataFrame(out, columns=["id", "x", "y", "z", "loss"])
+                    v = v - 0.2 * (v @ t.T) @ t
+                    v /= np.maximum(1e-9, np.linalg.norm(v, axis=1, keepdims=True))
+                loss = ((v @ t.T) ** 2).sum(axis=1) + 0.001 * ((v - start) ** 2).sum(axis=1)
+                k = int(loss.argmin())
+                out.append((int(r.id), *(round(float(a), 6) for a in v[k]), round(float(loss[k]), 6)))
+            yield pd.DataFrame(out, columns=["id", "x", "y", "z", "loss"])
 
-    return c.where("id % 25 = 0").select("id", "x", "y", "z").withColumn("g", F.col("id") % 4).groupBy("g").applyInPandas(solve, "id long, x double, y double, z double, loss double")
+    return c.select("id", "x", "y", "z").repartition("id").mapInPandas(solve, "id long, x double, y double, z double, loss double")
 
 
 def batch_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All-or-nothing check against the old rows, then rows one by one against what the batch has added."""
-    c = G.concepts(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
-    batch = c.where("id % 40 = 0").orderBy("id").limit(200)  # a batch is bounded
+    """A batch (each fortieth concept) against all old rows, all or nothing; then its rows one by one against what it has added."""
+    c = G.concepts(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).select("id", F.array(*G.ESSENCE).alias("vector"))
+    batch, old = c.where("id % 40 = 0"), c.where("id % 40 <> 0")
+    near = batch.select("id", "vector").join(search.nearest(old, batch, 1, exclude_self=False).select(F.col("query_id").alias("id"), F.col("angle").alias("old")), "id", "left")
+    if search.nearest(old, batch, 1, exclude_self=False, most=float(np.nextafter(45.0, 0))).limit(1).count():
+        return near.select("id", F.col("old").alias("nearest"), F.lit(False).alias("added"))
 
     def insert(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, kept, out = pdf.sort_values("id"), [], []
+        pdf, out = pdf.sort_values("id"), []
+        kept = np.empty((len(pdf), len(G.ESSENCE)))
+        n = 0
         for r in pdf.itertuples():
-            v = np.array([getattr(r, k) for k in G.ESSENCE])
-            near = min((float(np.degrees(np.arccos(np.clip(v @ u / (np.linalg.norm(v) * np.linalg.norm(u)), -1, 1)))) for u in kept), default=180.0)
-            ok = near >= 45.0
-            if ok:
-                kept.append(v)
-            out.append((int(r.id), round(near, 4), ok))
+            v = np.array([r.vector], float)
+            least = float(search._angles(v, kept[:n]).min()) if n else 180.0
+            if least >= 45.0:
+                kept[n] = v[0]
+                n += 1
+            out.append((int(r.id), round(min(least, r.old if r.old == r.old else 180.0), 4), least >= 45.0))
         return pd.DataFrame(out, columns=["id", "nearest", "added"])
 
-    return batch.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(insert, "id long, nearest double, added boolean")
+    return near.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(insert, "id long, nearest double, added boolean")
 
 
 def span_residual(spark: SparkSession, sf_dir: str) -> DataFrame:

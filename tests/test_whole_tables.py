@@ -5,8 +5,10 @@ import math
 import os
 
 import duckdb
+import numpy as np
 import pytest
 
+from arcweave.functions import geometry as G
 from arcweave.model import concepts, relations
 from arcweave.plans import registry
 from arcweave.plans.dialect import DUCK
@@ -68,3 +70,33 @@ EDGES = "SELECT count(*) FROM (SELECT DISTINCT l_suppkey % 7, least(l_partkey %
 )
 def test_no_row_is_left_out(spark, duck, name, of, want):
     assert of(registry.queries()[name](spark, DIR).collect()) == duck.execute(want).fetchall()[0][0]
+
+
+def vectors(spark, folder, rows):
+    return write(spark, folder, embeddings=([(i, [float(a) for a in v], i % 9) for i, v in enumerate(rows)], "vec_id long, embedding array<float>, label int"))
+
+
+def test_relabel_null_reads_all_rows(spark, tmp_path):
+    at = vectors(spark, tmp_path, np.random.default_rng(5).normal(size=(4700, 64)))
+    got = registry.queries()["relabel_null"](spark, at).collect()[0]
+    c = G.concepts(spark.read.parquet(f"{at}/embeddings.parquet")).orderBy("id").toPandas()
+    x, y = np.c_[np.ones(len(c)), c[list(G.ESSENCE)].to_numpy()], c[list(G.FUNCTION)].to_numpy()
+    half = np.linalg.solve(x.T @ x + 0.1 * np.eye(8), x.T)
+    free = 1 - np.einsum("ij,ji->i", x, half)
+    press = [float((((m - x @ (half @ m)) / free[:, None]) ** 2).sum()) for m in (np.roll(y, s, axis=0) for s in range(60))]
+    assert got.observed == pytest.approx(press[0], abs=1e-3) and got.null_mean == pytest.approx(np.mean(press[1:]), abs=1e-3)
+
+
+def test_every_core_is_solved(spark):
+    rows = registry.queries()["constrained_cores"](spark, DIR).collect()
+    assert sorted(r.id for r in rows) == list(range(500))
+
+
+def test_batch_meets_the_old_rows(spark, tmp_path):
+    base = np.zeros((81, 64))
+    base[:, :7] = np.eye(7)[6]
+    base[0, :7], base[40, :7], base[80, :7] = np.eye(7)[0], np.eye(7)[1], np.eye(7)[0]
+    run = lambda at: [tuple(r) for r in sorted(registry.queries()["batch_insert"](spark, at).collect())]
+    assert run(vectors(spark, tmp_path / "clean", base)) == [(0, 90.0, True), (40, 90.0, True), (80, 0.0, False)]
+    base[7, :7] = np.eye(7)[1]
+    assert run(vectors(spark, tmp_path / "old", base)) == [(0, 90.0, False), (40, 0.0, False), (80, 90.0, False)]
