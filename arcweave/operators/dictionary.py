@@ -308,7 +308,7 @@ def nary_compose(d):
     {r('max(CASE WHEN id = last THEN (ax + bx) / 2e0 END)')} AS x FROM p JOIN l ON l.k = p.k GROUP BY p.k"""
 
 
-@Q("GEO-27 AGG-28")
+@Q("GEO-27")
 def tercile_codes(d):
     code = "concat(" + ", ".join(f"CASE WHEN {k} < -0.05e0 THEN 'L' WHEN {k} > 0.05e0 THEN 'H' ELSE 'M' END" for k in ESSENCE + FUNCTION) + ")"
     ham = " + ".join(f"CASE WHEN substr(p.code, {i}, 1) <> substr(q.code, {i}, 1) THEN 1 ELSE 0 END" for i in range(1, 15))
@@ -340,7 +340,7 @@ def dedup_gate(d):
     FROM new n JOIN w ON w.id = n.id LEFT JOIN old o ON o.name = n.name LEFT JOIN aliases a ON a.alias = n.name"""
 
 
-@Q("CUR-04 CUR-06 CUR-12 CUR-13 CUR-14")
+@Q("CUR-04 CUR-12 CUR-13")
 def relation_rework(d):
     """Correct some cores, recompute the angles of their relations and reclassify; others stay."""
     moved = ", ".join(f"CASE WHEN id % 17 = 0 THEN -{k} ELSE {k} END AS {k}" for k in CORE)

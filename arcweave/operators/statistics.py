@@ -166,7 +166,7 @@ def ladders(d):
     SELECT g.strand, CAST(k AS BIGINT) AS k, {r('v', 3)} AS mean, {r('(v - prev) / prev')} AS gain, abs((v - prev) / prev) < 0.01e0 AS plateau, {r('slope', 3)} AS slope FROM g JOIN s ON s.strand = g.strand"""
 
 
-@Q("WIN-15 TOP-10 AGG-50")
+@Q("WIN-15 TOP-10")
 def gold_rank(d):
     """The rank of a gold neighbour among all, hits at 1 and 5, angular error."""
     return f"""WITH {concepts(d)}, q AS (SELECT *, (7 * id + 3) % 500 AS gold FROM concepts WHERE id % 10 = 0), p AS (SELECT q.id AS k, q.gold, c.id, {angle('q.', 'c.', ESSENCE, '90e0')} AS t FROM q JOIN concepts c ON c.id <> q.id),
@@ -406,7 +406,7 @@ def bootstrap_hash_ci(d):
     SELECT arm, {r(d.pct('mean', '0.025e0'), 2)} AS lo, {r(d.pct('mean', '0.975e0'), 2)} AS hi, {r('avg(mean)', 2)} AS mid FROM t GROUP BY arm"""
 
 
-@Q("STAT-20 STAT-30 STAT-31 STAT-33 STAT-35")
+@Q("STAT-20 STAT-33")
 def stratified_perm_hash(d):
     """Labels permuted within strata by the rank of a hash; the group difference against its null."""
     return f"""WITH {scored(d)}, t AS (SELECT stratum, y, p, row_number() OVER (PARTITION BY stratum ORDER BY id) AS at, id FROM scored), b AS (SELECT {d.explode(d.seq(1, 60))} AS b),
