@@ -32,6 +32,8 @@ from . import common
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript svg math template select button object audio video canvas datalist".split())
+#: Without an end tag, these hold the rest of the page.
+ENDLESS = frozenset("script style textarea title".split())
 BLOCK = frozenset("html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th blockquote pre figure figcaption header footer nav aside form fieldset address details summary center menu dialog legend label hgroup search".split())
 CLOSES_P = BLOCK - {"label", "legend", "td", "th", "tr", "caption", "html", "body"}
 #: What an opening tag ends when it is open, up to the nearest of the fences.
@@ -74,7 +76,7 @@ def parse(html: str) -> tuple[list[Node], list[tuple[Node, str]]]:
     buffer: list[str] = []
     links = 0
     at, n = 0, len(html)
-    low = None
+    unclosed: set[str] = set()
 
     def border():
         if buffer:
@@ -113,13 +115,15 @@ def parse(html: str) -> tuple[list[Node], list[tuple[Node, str]]]:
                         break
             continue
         if tag in RAW:
-            low = low or html.lower()
-            if m[3].endswith("/"):
+            if m[3].endswith("/") or tag in unclosed:
                 continue
-            end = low.find(f"</{tag}", at)
-            if end < 0:
-                break
-            end = html.find(">", end)
+            close = re.compile(f"</{tag}", re.I | re.A).search(html, at)
+            if close is None:
+                if tag in ENDLESS:
+                    break
+                unclosed.add(tag)  # only the tag goes, the text after it stays
+                continue
+            end = html.find(">", close.start())
             at = n if end < 0 else end + 1
             buffer.append(" ")
             continue

@@ -1,0 +1,22 @@
+import pytest
+
+from arcweave.llm import html
+
+
+def texts(page):
+    return " ".join(t for _, t in html.parse(page)[1])
+
+
+@pytest.mark.parametrize("tag", "button select object svg math audio video canvas template datalist".split())
+def test_unclosed_elements_do_not_end_the_page(tag):
+    assert "later words" in texts(f"<p>first</p><{tag}><{tag}><p>later words</p>")
+    assert texts(f"<p>first</p><{tag}>inner</{tag.upper()}><p>later words</p>") == "first later words"
+
+
+@pytest.mark.parametrize("tag", "script style textarea title".split())
+def test_unclosed_raw_text_holds_the_rest(tag):
+    assert texts(f"<p>first</p><{tag}><p>later</p>") == "first"
+
+
+def test_offsets_hold_on_turkish_pages():
+    assert texts("<p>" + "\u0130" * 40 + "</p><script>x</script><p>later words</p>") == "\u0130" * 40 + " later words"
