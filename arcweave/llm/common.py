@@ -11,6 +11,7 @@ import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,13 +21,15 @@ BATCH_ROWS = 500
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder; a temporary one is set only where none is named."""
+    """The shared folder; a temporary one is set only where none is named and all runs on one machine."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     made = sc.getCheckpointDir()
     if not made:
+        if not sc.master.startswith("local"):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="arcweave-"))
         made = sc.getCheckpointDir()
     return made.rstrip("/")
@@ -39,12 +42,15 @@ _STAGED: set[str] = set()
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here.
 
-    A table that a result still reads stays until :func:`clean`.
+    A table that a result still reads stays until :func:`clean`, and at the
+    latest until the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{work_dir(spark)}/arcweave-{uuid.uuid4().hex}-{name}"
     _STAGED.add(path)
     df.write.parquet(path)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
     out = spark.read.schema(df.schema).parquet(path)
     out._arcweave_path = path
     return out
@@ -108,5 +114,34 @@ def parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def buckets(docs: DataFrame, most: int = 256 << 20) -> int:
+    """Buckets for tables as large as ``docs``: the session's partitions, and more where one would hold over ``most`` bytes.
+
+    The size is the planner's estimate for the scan, which costs no job.
+    """
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return max(parts(docs.sparkSession), min(-(-size // most), 1 << 20))
+
+
+def beside(docs: DataFrame, id_col: str, side: DataFrame, key: str, value: str, change) -> DataFrame:
+    """``docs`` with rows changed by ``change(columns, values)``, where ``side`` gives a row's value by id.
+
+    ``columns`` are the Arrow columns of ``docs`` in order and ``values`` a list,
+    None where ``side`` has no row or the id is null. Inside, columns go by
+    number, so that names of ``docs`` clash with nothing.
+    """
+    n = len(docs.columns)
+    plain = docs.toDF(*[f"c{k}" for k in range(n)])
+    at = docs.columns.index(id_col)
+    both = plain.join(side.select(F.col(key).alias("s0"), F.col(value).alias("s1")).hint("merge"), F.col(f"c{at}").cast("long") == F.col("s0"), "left")
+    names = docs.columns
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays(change(list(b.columns[:n]), b.column(n).to_pylist()), names=names)
+
+    return both.select(*[f"c{k}" for k in range(n)], "s1").mapInArrow(run, docs.schema)
+
+
 def schema(ddl: str) -> T.StructType:
     return T._parse_datatype_string(ddl)

@@ -18,11 +18,14 @@ template's lines and variants it holds, and so do its exact copies. Only the dis
 with more than ``LEAF`` of them is worked off in rounds over many tasks, to the
 same templates.
 
-Defined cases: null and empty texts have no line and come back empty; blank
-lines and lines whose variable fields stand beside no fixed word are never
-dropped; lines end at ``\\n`` and other characters are kept as
-they are; rows that share an id count as one document, and a row without an id
-is kept whole.
+Defined cases: null and empty texts have no line and come back empty (null in
+the pipeline's stage); blank lines and lines whose variable fields stand beside
+no fixed word are never dropped; lines end at ``\\n`` and other characters are
+kept as they are; lines that are equally frequent lead in the order of their
+masked hash; rows that share an id count as one document, and of such a row
+only lines go that recur themselves; a row without an id is kept whole; texts of
+any length are read whole; an empty table gives no rows; other columns pass
+unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -247,32 +250,41 @@ def _found(lines: DataFrame, masked: DataFrame, assigned: DataFrame, min_docs: i
     return common.stage(own.unionByName(several), "recurring")
 
 
-def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
-    """(_id, _text bytes, _lines, _dropped) of every document, without recurring lines."""
+def _gone(docs: DataFrame, id_col: str, text_col: str, min_docs: int) -> DataFrame:
+    """(doc, gone): the places and masked hashes of the lines that go, by document."""
     lines, found = recurring(docs, id_col, text_col, min_docs)
-    gone = common.again(lines).select("doc", "line", "m").join(found, "m").where("doc <> first_doc OR line <> first_line").select("doc", "line")
-    gone = gone.groupBy("doc").agg(F.array_sort(F.collect_set("line")).alias("_gone"))
-    gone = common.stage(gone, "gone")
+    gone = common.again(lines).select("doc", "line", "m").join(found, "m").where("doc <> first_doc OR line <> first_line").select("doc", "line", "m")
+    gone = common.stage(gone.groupBy("doc").agg(F.collect_set(F.struct("line", "m")).alias("gone")), "gone")
+    common.discard(lines, found)
     common.release(docs.sparkSession)
+    return gone
 
-    def run(batches):
-        for b in batches:
-            text, n, dropped = [], [], []
-            for t, g in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                own = t.split(b"\n") if t else []
-                n.append(len(own))
-                if g:
-                    g = set(g)
-                    kept = [x for k, x in enumerate(own) if k not in g]
-                    dropped.append(len(own) - len(kept))
-                    t = b"\n".join(kept)
-                else:
-                    dropped.append(0)
-                text.append(t)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(text, pa.binary()), pa.array(n, pa.int64()), pa.array(dropped, pa.int64())], names=["_id", "_text", "_lines", "_dropped"])
 
-    base = common.texts(docs, id_col, text_col)
-    return base.join(gone.hint("merge"), base._id == gone.doc, "left").select("_id", "_text", "_gone").mapInArrow(run, "_id long, _text binary, _lines long, _dropped long")
+def cut(text: bytes, gone: list) -> tuple[bytes, int]:
+    """The text without the named lines, and their number; a line whose masked hash is another one belongs to another row of the id and stays."""
+    named = {(g["line"], g["m"]) for g in gone}
+    places = {k for k, _ in named}
+    own = text.split(b"\n")
+    kept = [x for k, x in enumerate(own) if k not in places or (k, _long(b" ".join(mask(x)))) not in named]
+    return b"\n".join(kept), len(own) - len(kept)
+
+
+def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
+    """(_id, _text bytes, _lines, _dropped) of every document, without recurring lines."""
+    gone = _gone(docs, id_col, text_col, min_docs)
+
+    def change(columns, values):
+        text, n, dropped = [], [], []
+        for t, g in zip(columns[1].to_pylist(), values):
+            n.append(t.count(b"\n") + 1 if t else 0)
+            t, k = cut(t, g) if g else (t, 0)
+            text.append(t)
+            dropped.append(k)
+        return [columns[0], pa.array(text, pa.binary()), pa.array(n, pa.int64()), pa.array(dropped, pa.int64())]
+
+    none = F.lit(0).cast("long")
+    base = common.texts(docs, id_col, text_col).withColumns({"_lines": none, "_dropped": none})
+    return common.beside(base, "_id", gone, "doc", "gone", change)
 
 
 def line_query(docs: DataFrame) -> DataFrame:
@@ -282,12 +294,18 @@ def line_query(docs: DataFrame) -> DataFrame:
 
 
 def without_recurring(docs: DataFrame) -> DataFrame:
-    """``docs`` with recurring lines cut from ``text`` and ``n_chars`` counted anew; all rows stay."""
-    lines, found = recurring(docs)
-    gone = common.again(lines).select("doc", "line", "m").join(found, "m").where("doc <> first_doc OR line <> first_line").groupBy("doc").agg(F.array_sort(F.collect_set("line")).alias("_gone"))
-    gone = common.stage(gone.withColumnRenamed("doc", "_of"), "gone")
-    common.release(docs.sparkSession)
-    both = docs.join(gone.hint("merge"), docs.doc_id == gone._of, "left")
-    kept = F.array_join(F.transform(F.filter(F.transform(F.split(docs.text, "\n", -1), lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains("_gone", s["i"])), lambda s: s["x"]), "\n")
-    text = F.when(F.col("_gone").isNotNull(), kept).otherwise(docs.text)
-    return both.select(*[text.alias("text") if c == "text" else F.when(F.col("_gone").isNotNull(), F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(docs.n_chars).alias("n_chars") if c == "n_chars" else docs[c] for c in docs.columns])
+    """``docs`` with recurring lines cut from ``text`` and ``n_chars`` counted anew; all rows and other columns stay."""
+    gone = _gone(docs, "doc_id", "text", MIN_DOCS)
+    at, count = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+
+    def change(columns, values):
+        if any(values):
+            text = columns[at].to_pylist()
+            new = [cut(t.encode(), g)[0].decode() if g and t is not None else t for t, g in zip(text, values)]
+            columns[at] = pa.array(new, columns[at].type)
+            if count is not None:
+                columns[count] = pa.array([len(t) if g and t is not None else c for t, g, c in zip(new, values, columns[count].to_pylist())], columns[count].type)
+        return columns
+
+    common.small_batches(docs.sparkSession)
+    return common.beside(docs, "doc_id", gone, "doc", "gone", change)

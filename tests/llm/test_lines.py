@@ -81,3 +81,78 @@ def test_edges(spark):
 def test_threshold(spark, docs, dropped):
     t = [f"same words in all\nown {'abcdefghij'[i]}" for i in range(docs)]
     assert sum(r.n_dropped for r in lines.line_query(documents(spark, t)).collect()) == dropped
+
+
+def brute(texts, min_docs=10, depth=3, similar=0.6):
+    """The template tree as one loop over all lines of distinct texts, one template at a time."""
+    import math
+    import re
+
+    def fields(line):
+        return ["<*>" if re.search("[0-9]", t) else t for t in re.split(r"[\x20\x09-\x0D]+", line) if t]
+
+    def fixed(t):
+        return t != "<*>" and re.search(r"[A-Za-z\x80-￿]", t)
+
+    def agree(a, b):
+        rest = list(zip(a[depth:], b[depth:]))
+        return sum(x == y and bool(fixed(x)) for x, y in rest) >= math.ceil(similar * len(rest) - 1e-9)
+
+    docs, place = {}, {}
+    for i, t in enumerate(texts):
+        for k, line in enumerate((t or "").split("\n")):
+            f = tuple(fields(line))
+            if f and ("<*>" not in f or any(map(fixed, f))):
+                docs.setdefault(f, set()).add(t)
+                place.setdefault(f, []).append((i, k))
+    leaves = {}
+    for f in docs:
+        leaves.setdefault((len(f), f[:depth]), []).append(f)
+    gone = set()
+    for rows in leaves.values():
+        rows.sort(key=lambda f: (-len(docs[f]), lines._long(" ".join(f).encode())))
+        leads, of = [], {}
+
+        def may(f):
+            need = math.ceil(similar * len(f[depth:]) - 1e-9)
+            return sum(min(min_docs, sum(len(docs[g]) for g in rows if g[p] == f[p])) for p in range(depth, len(f)) if fixed(f[p])) >= need * min_docs
+
+        for f in rows:
+            if may(f) and not any(agree(f, lead) for lead in leads):
+                leads.append(f)
+        for f in rows:
+            of[f] = next((lead for lead in leads if agree(f, lead)), f)
+        for lead in set(of.values()):
+            own = [f for f in rows if of[f] == lead]
+            if len(set().union(*(docs[f] for f in own))) >= min_docs:
+                gone |= set(sorted(p for f in own for p in place[f])[1:])
+    return ["\n".join(x for k, x in enumerate((t or "").split("\n")) if (i, k) not in gone) for i, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize("leaf", [512, 3])
+def test_equals_brute_force(spark, monkeypatch, leaf):
+    import random
+
+    monkeypatch.setattr(lines, "LEAF", leaf)
+    rng = random.Random(4)
+    kinds = ["all rights are reserved by {a} and {b} for now", "posted on {n} by {a}", "the {a} of {b} was shut", "{a}", "read more about {a} {b} here | {n}", "- {n}, {n}"]
+    one = lambda: rng.choice(kinds).format(a=rng.choice("ash bay cedar elm fir".split()), b=rng.choice("gum hazel iris".split()), n=rng.randrange(99))
+    texts = ["\n".join([*(one() for _ in range(rng.randint(0, 6))), f"own line {'abcdefgh'[i % 8]}{'abcdefgh'[i // 8]} of text"]) for i in range(60)]
+    texts += [texts[3], texts[3], None, ""]
+    got = [r.text for r in sorted(lines.line_query(documents(spark, texts)).collect())]
+    assert got == brute(texts) and got != texts
+
+
+def test_other_rows_of_an_id_keep_their_lines(spark):
+    t = [f"All rights reserved.\nown {w}" for w in "amber birch cedar dogwood elm fir gum hazel iris juniper kauri larch".split()]
+    docs = documents(spark, [*t, "precious unique content\nmore of it", "no id\nAll rights reserved."], ids=[*range(12), 5, None])
+    got = {(r.doc_id, r.text) for r in lines.line_query(docs).collect()}
+    assert (5, "precious unique content\nmore of it") in got and (5, "own fir") in got and (None, "no id\nAll rights reserved.") in got
+    assert {(r.doc_id, r.text) for r in lines.without_recurring(docs).collect()} == got
+
+
+def test_names_of_other_columns_do_not_clash(spark):
+    docs = documents(spark, table()).withColumnsRenamed({"_id": "_gone", "_text": "gone", "kind": "doc", "b": "_of"})
+    out = lines.without_recurring(docs)
+    assert out.columns == docs.columns and {(r._gone, r.gone, r.doc) for r in out.collect()} == {("x", "y", 7)}
+    assert {r.n_dropped for r in lines.line_query(docs).collect()} != {0}
