@@ -12,8 +12,11 @@ label of each element in an attribute that the extractor never sees.
 
 Defined cases: null and empty pages give an empty text; broken markup is
 closed by the rules of its tags; an unfinished tag or comment at the end is no
-text; white space (also no-break and other Unicode spaces) in a block becomes
-one space; blocks are joined in page order.
+text; a quote left open ends with its tag; white space (also no-break and other
+Unicode spaces) in a block becomes one space; blocks are joined in page order; a
+block whose marginal is exactly one half is kept; pages of any length are read
+whole, in linear time; repeated rows give equal rows, null ids stay null, an empty
+table gives no rows, and other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,9 +34,10 @@ from pyspark.sql import functions as F
 from . import common
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript svg math template select button object audio video canvas datalist".split())
-#: Without an end tag, these hold the rest of the page.
-ENDLESS = frozenset("script style textarea title".split())
+#: Raw text: nothing inside is markup but the end tag; without one, these hold the rest of the page.
+RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
+#: Elements whose inside is no text; they nest, and without an end tag only the tag itself goes.
+SKIP = frozenset("noscript svg math template select button object audio video canvas datalist".split())
 BLOCK = frozenset("html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th blockquote pre figure figcaption header footer nav aside form fieldset address details summary center menu dialog legend label hgroup search".split())
 CLOSES_P = BLOCK - {"label", "legend", "td", "th", "tr", "caption", "html", "body"}
 #: What an opening tag ends when it is open, up to the nearest of the fences.
@@ -41,7 +45,10 @@ IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "
 KINDS = {"p": 1, "pre": 1, "blockquote": 1, "h1": 2, "h2": 2, "h3": 2, "h4": 2, "h5": 2, "h6": 2, "ul": 3, "ol": 3, "li": 3, "dl": 3, "dt": 3, "dd": 3, "menu": 3, "header": 4, "footer": 4, "nav": 4, "aside": 4, "form": 4, "dialog": 4, "address": 4, "main": 5, "article": 5, "section": 6, "div": 6, "figure": 6, "table": 6}
 N_KINDS = 7
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
+_MARK = re.compile(r"<(?:!--|[!?]|/?[a-zA-Z])")
+_TAG = re.compile(r"[^\s/>]+")
+_INSIDE = re.compile(r">|=\s*([\"'])")
+_RAW_END = {t: re.compile(f"</{t}(?=[\\s/>])", re.I | re.A) for t in RAW}
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|data-y)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _NAME = re.compile(r"[a-z]+")
 
@@ -68,6 +75,81 @@ def _names(attrs: str) -> tuple[tuple[str, ...], str | None]:
     return tuple(dict.fromkeys(names)), label
 
 
+def _tag_end(html: str, at: int) -> int:
+    """The place behind a tag's ``>``, or -1; ``at`` is behind its name.
+
+    A quoted value holds whatever stands up to the next quote of its kind. If
+    there is none, or it opens another value (``=`` before it), the quote was
+    left open and the tag ends at the next ``>``.
+    """
+    while True:
+        m = _INSIDE.search(html, at)
+        if m is None:
+            return -1
+        if m[1] is None:
+            return m.end()
+        close = html.find(m[1], m.end())
+        if close < 0 or close > m.end() and html[close - 1] == "=":
+            return html.find(">", m.end()) + 1 or -1
+        at = close + 1
+
+
+def _tokens(html: str) -> list[tuple[str, str, str]]:
+    """(kind, tag, body) in page order: text, open and close; comments and raw text are left out."""
+    out: list[tuple[str, str, str]] = []
+    at, n = 0, len(html)
+    while at < n:
+        m = _MARK.search(html, at)
+        if m is None:
+            out.append(("text", "", html[at:]))
+            break
+        if m.start() > at:
+            out.append(("text", "", html[at : m.start()]))
+        if m[0][1] in "!?":
+            end = html.find("-->", m.end()) + 3 if m[0] == "<!--" else html.find(">", m.end()) + 1
+            at = end if end > m.end() - 1 and end > 2 else n
+            continue
+        name = _TAG.match(html, m.end() - 1)
+        end = _tag_end(html, name.end())
+        if end < 0:
+            break  # an unfinished tag ends the page
+        tag, at = name[0].lower(), end
+        if m[0][1] == "/":
+            out.append(("close", tag, ""))
+            continue
+        attrs = html[name.end() : end - 1]
+        if tag not in RAW:
+            out.append(("open", tag, attrs))
+        elif not attrs.endswith("/") or tag in ("script", "style"):
+            close = _RAW_END[tag].search(html, at)
+            if close is None:
+                break
+            at = html.find(">", close.end()) + 1 or n
+    return out
+
+
+def _visible(tokens: list[tuple[str, str, str]]) -> list[tuple[str, str, str]]:
+    """The tokens without skipped elements: each open tag is matched with the end tag that nests with it."""
+    ends: dict[int, int] = {}
+    stacks: dict[str, list[int]] = {}
+    for k, (kind, tag, body) in enumerate(tokens):
+        if tag in SKIP:
+            if kind == "open" and not body.endswith("/"):
+                stacks.setdefault(tag, []).append(k)
+            elif kind == "close" and stacks.get(tag):
+                ends[stacks[tag].pop()] = k
+    if not ends:
+        return tokens
+    out, k = [], 0
+    while k < len(tokens):
+        if k in ends:
+            k = ends[k]
+        else:
+            out.append(tokens[k])
+        k += 1
+    return out
+
+
 def parse(html: str) -> tuple[list[Node], list[tuple[Node, str]]]:
     """Block nodes in page order (the root first) and the (node, text) runs between block borders."""
     root = Node("html", (), None)
@@ -75,8 +157,6 @@ def parse(html: str) -> tuple[list[Node], list[tuple[Node, str]]]:
     runs: list[tuple[Node, str]] = []
     buffer: list[str] = []
     links = 0
-    at, n = 0, len(html)
-    unclosed: set[str] = set()
 
     def border():
         if buffer:
@@ -86,22 +166,12 @@ def parse(html: str) -> tuple[list[Node], list[tuple[Node, str]]]:
                 stack[-1].text.append(text)
             buffer.clear()
 
-    while at < n:
-        m = _TOKEN.search(html, at)
-        if m is None:
-            buffer.append(html[at:])
-            break
-        if m.start() > at:
-            buffer.append(html[at : m.start()])
+    for kind, tag, body in _visible(_tokens(html)):
+        if kind == "text":
+            buffer.append(body)
             if links:
-                stack[-1].linked += m.start() - at
-        at = m.end()
-        if m[2] is None:
-            continue
-        tag = m[2].lower()
-        if not m[4]:
-            break  # an unfinished tag ends the page
-        if m[1]:
+                stack[-1].linked += len(body)
+        elif kind == "close":
             if tag == "a":
                 links = max(0, links - 1)
             elif tag in BLOCK:
@@ -113,33 +183,18 @@ def parse(html: str) -> tuple[list[Node], list[tuple[Node, str]]]:
                         break
                     if tag in ("p", "li") and stack[k].tag in ("article", "section", "main", "body", "table", "div", "td"):
                         break
-            continue
-        if tag in RAW:
-            if m[3].endswith("/") or tag in unclosed:
-                continue
-            close = re.compile(f"</{tag}", re.I | re.A).search(html, at)
-            if close is None:
-                if tag in ENDLESS:
-                    break
-                unclosed.add(tag)  # only the tag goes, the text after it stays
-                continue
-            end = html.find(">", close.start())
-            at = n if end < 0 else end + 1
-            buffer.append(" ")
-            continue
-        if tag == "br":
+        elif tag == "br":
             buffer.append(" ")
-        if tag == "hr":
+        elif tag == "hr":
             border()
-        if tag in VOID or m[3].endswith("/") and tag not in BLOCK:
-            continue
-        if tag == "a":
+        elif tag in VOID or tag in SKIP or body.endswith("/") and tag not in BLOCK:
+            pass
+        elif tag == "a":
             links += 1
         elif tag in BLOCK:
+            border()
             if tag in ("html", "body") and len(stack) == 1:
-                border()
                 continue
-            border()
             links = 0
             if tag in CLOSES_P:
                 for k in range(len(stack) - 1, 0, -1):
@@ -158,7 +213,7 @@ def parse(html: str) -> tuple[list[Node], list[tuple[Node, str]]]:
                         cut = k
                 if cut:
                     del stack[cut:]
-            names, label = _names(m[3])
+            names, label = _names(body)
             node = Node(tag, names, stack[-1], label)
             nodes.append(node)
             stack.append(node)
