@@ -117,9 +117,10 @@ def parts(spark: SparkSession) -> int:
 def buckets(docs: DataFrame, most: int = 256 << 20) -> int:
     """Buckets for tables as large as ``docs``: the session's partitions, and more where one would hold over ``most`` bytes.
 
-    The size is the planner's estimate for the scan, which costs no job.
+    The size is the planner's estimate for the scan, which costs no job; it is not known for rows made in memory.
     """
-    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    size = 0 if size > 1 << 56 else size
     return max(parts(docs.sparkSession), min(-(-size // most), 1 << 20))
 
 

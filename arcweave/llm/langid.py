@@ -14,7 +14,8 @@ bound vectors of just the trigrams that occur in one matrix product.
 Defined cases: a null text, or one without a letter, is ``und`` with score 0;
 the score is the cosine, at least 0, rounded to 6 digits; equal cosines go to
 the alphabetically first language; without any training row every text is
-``und``; repeated rows give equal rows.
+``und``; repeated rows give equal rows, and rows without an id are predicted too;
+an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,32 +27,45 @@ from pyspark.sql import functions as F
 
 from . import common
 
-DIM, SYMBOLS, SEED = 1024, 128, 20_011
+DIM, SEED = 1024, 20_011
+#: Letters whose vectors are remembered, and bits of a code point.
+LETTERS, POINT = 20_000, 21
 #: Labelled rows that prototypes are learned from, at most.
 SAMPLE_ROWS = 20_000
 WINDOW = 1 << 20  # characters handled at once
 UNDETERMINED = "und"
 
 
+def letter_vector(point: int, dim: int = DIM) -> np.ndarray:
+    """The random vector of a letter; its code point is the seed."""
+    return np.random.default_rng([SEED, point]).choice(np.array([-1, 1], np.int8), dim)
+
+
 class Encoder:
     """Texts to sums of bound trigram vectors."""
 
     def __init__(self, dim: int = DIM):
-        letters = np.random.default_rng(SEED).choice(np.array([-1, 1], np.int8), (SYMBOLS, dim))
-        self.bound = [np.roll(letters, 2, axis=1), np.roll(letters, 1, axis=1), letters]
         self.dim = dim
-        self.symbol = np.full(0x110000, -1, np.int16)
+        self.letter: dict[int, np.ndarray] = {0: letter_vector(0, dim)}
+        self.symbol = np.full(0x110000, -1, np.int32)
 
     def _symbols(self, points: np.ndarray) -> np.ndarray:
-        """0 for what is no letter, 1 to 26 for a to z, a hashed symbol for other letters."""
+        """0 for what is no letter, else the code point."""
         got = self.symbol[points]
         if (got < 0).any():
             for c in np.unique(points[got < 0]).tolist():
-                ch = chr(c)
-                self.symbol[c] = 0 if not ch.isalpha() else c - 96 if 97 <= c <= 122 else 27 + (c * 2654435761 >> 16) % (SYMBOLS - 27)
+                self.symbol[c] = c if chr(c).isalpha() else 0
             got = self.symbol[points]
         return got
 
+    def _letters(self, points: np.ndarray) -> np.ndarray:
+        if len(self.letter) > LETTERS:
+            self.letter = {0: self.letter[0]}
+        for c in points.tolist():
+            if c not in self.letter:
+                self.letter[c] = letter_vector(c, self.dim)
+        return np.stack([self.letter[c] for c in points.tolist()])
+
     def vectors(self, texts: list[str]) -> np.ndarray:
         """One float32 vector per text; zeros where there is no letter."""
         out = np.zeros((len(texts), self.dim), np.float32)
@@ -83,18 +97,18 @@ class Encoder:
         sym, of = sym[keep], of[keep]
         if len(sym) < 3:
             return
-        code = (sym[:-2] * SYMBOLS + sym[1:-1]) * SYMBOLS + sym[2:]
+        code = sym[:-2] << 2 * POINT | sym[1:-1] << POINT | sym[2:]
         ok = (of[:-2] == of[2:]) & (code != 0)
-        key = np.sort(of[:-2][ok] * SYMBOLS**3 + code[ok])
-        if not len(key):
+        if not ok.any():
             return
-        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        counts = np.diff(np.r_[first, len(key)])
-        row, code = np.divmod(key[first], SYMBOLS**3)
-        grams, col = np.unique(code, return_inverse=True)
-        a, rest = np.divmod(grams, SYMBOLS * SYMBOLS)
-        b, c = np.divmod(rest, SYMBOLS)
-        vectors = (self.bound[0][a] * self.bound[1][b] * self.bound[2][c]).astype(np.float32)
+        grams, col = np.unique(code[ok], return_inverse=True)
+        key, counts = np.unique(of[:-2][ok] * len(grams) + col, return_counts=True)
+        row, col = np.divmod(key, len(grams))
+        last = (1 << POINT) - 1
+        points, at = np.unique(np.concatenate([grams >> 2 * POINT, grams >> POINT & last, grams & last]), return_inverse=True)
+        letters = self._letters(points)
+        a, b, c = at.reshape(3, -1)
+        vectors = (np.roll(letters, 2, axis=1)[a] * np.roll(letters, 1, axis=1)[b] * letters[c]).astype(np.float32)
         for lo in range(0, len(part), 128):
             here = (row >= lo) & (row < lo + 128)
             if here.any():
