@@ -30,4 +30,6 @@ def components(edges: DataFrame) -> DataFrame:
         if not labels.where("label <> old").limit(1).count():
             break
     common.discard(edges)
-    return labels.select("node", F.col("label").alias("component"))
+    out = labels.select("node", F.col("label").alias("component"))
+    out._arcweave_path = labels._arcweave_path
+    return out

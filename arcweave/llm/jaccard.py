@@ -23,14 +23,25 @@ second look. No link between different sets is lost:
     group of copies. In each index list every member meets the one of its size
     that shares most (a star); verified links give components. Where a list's
     members then lie in several components, they are tied into a bundle, and
-    all sets of a bundle are counted against each other through an inverted
-    index, in blocks; only links between components come out.
+    the sets outside the bundle's largest component are counted against all of
+    it through an inverted index, in blocks; only links between components
+    come out.
+
+Hot keys. A sample of the texts names the tokens that very many of them hold.
+These are known to be shared and frequent, so they go straight to their sets
+and meet in no task. Index lists of more than ``LIST`` sets are split into
+sub-lists by set; all of a split list's members join one bundle, so that links
+between sub-lists are found too. Copies of a set send its tokens once a task.
+Neither the sample nor ``LIST`` changes a result.
 
 Sets are compared by 64-bit shingle hashes, nodes by 96-bit digests.
 
 Defined cases: a null or empty text, or one without words, has no shingle and
-is linked with nothing; fewer than five words are one shingle; equal texts
-link; ids that repeat keep their rows.
+is linked with nothing; fewer than five words are one shingle; texts of any
+length are read whole; equal texts link; ids that repeat keep their rows; a row
+without an id has its size, no component, and is kept by :func:`keep_one`; an
+empty table gives no rows; other columns are not read, and pass unchanged
+through :func:`keep_one`.
 """
 
 from __future__ import annotations
@@ -51,6 +62,10 @@ RARE = 256
 SMALL = 6
 #: Sets of one block of a bundle, on average; a task compares two blocks.
 BLOCK = 2500
+#: Index lists of more sets are split into sub-lists of about this size.
+LIST = 16_384
+#: One text in ``SAMPLE`` tells hot tokens: those in one of ``SHARE`` sampled texts or more, and in ``LEAST`` at least.
+SAMPLE, SHARE, LEAST = 64, 4096, 32
 
 TOKEN = np.dtype([("d1", "<i8"), ("d2", "<u4"), ("n", "<u4"), ("t0", "<u4"), ("t1", "<u2")])
 SHARED = np.dtype([("d1", "<i8"), ("d2", "<u4"), ("n", "<u4"), ("df", "<u4"), ("t", "<u8")])
@@ -89,25 +104,66 @@ def classes(n: int) -> int:
     return 1 << max(0, (n // 16).bit_length() - 1)
 
 
-def _prefixes(buckets: int):
-    """Documents to packed prefix tokens (kind 1) and document rows (kind 0)."""
+def hot_tokens(base: DataFrame) -> np.ndarray:
+    """Mixed hashes, in order, of the tokens that very many sampled texts hold; ``SHARE`` times the mean set size at most."""
+
+    def count(batches):
+        hashes, seen, own = WordHashes(), set(), []
+
+        def out():
+            t, n = np.unique(mix(np.concatenate(own)), return_counts=True) if own else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            return pa.RecordBatch.from_arrays([pa.array(t.astype(np.int64)), pa.array(n.astype(np.int64))], names=["t", "n"])
+
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                s = shingle_set(hashes.of(text.lower().split()), SHINGLE)
+                d = set_digest(s)
+                if d not in seen:
+                    seen.add(d)
+                    own.append(s)
+            if sum(map(len, own)) > 500_000:
+                yield out()
+                seen, own = set(), []
+        yield out()
+
+    least = max(LEAST, base.count() // (SAMPLE * SHARE))
+    counts = base.where(F.pmod(F.xxhash64("_text"), F.lit(SAMPLE)) == 0).select("_text").mapInArrow(count, "t long, n long")
+    got = counts.groupBy("t").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("t").collect()
+    return np.sort(np.array([r.t for r in got], np.int64).astype(np.uint64))
+
+
+def _is_hot(t: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    if not len(hot):
+        return np.zeros(len(t), bool)
+    return hot[np.minimum(np.searchsorted(hot, t), len(hot) - 1)] == t
+
 
-    def flush(rows, tokens):
+def _prefixes(buckets: int, hot):
+    """Documents to packed prefix tokens (kind 1), hot ones by set (2), and document rows (0)."""
+
+    def flush(rows, tokens, hot):
         if rows:
             docs = np.array(rows, DOC)
-            yield packed_rows(0, *pack((mix(docs["id"].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64), docs))
+            by = mix(docs["id"].astype(np.uint64) + np.arange(len(docs), dtype=np.uint64))  # a repeated id is spread
+            yield packed_rows(0, *pack((by % np.uint64(buckets)).astype(np.int64), docs))
         if tokens:
             size = [len(t) for _, t in tokens]
-            table = np.zeros(sum(size), TOKEN)
-            t = np.concatenate([t for _, t in tokens]) if size else np.zeros(0, np.uint64)
-            for name, values in zip(("d1", "d2", "n"), zip(*[h for h, _ in tokens])):
-                table[name] = np.repeat(np.array(values, np.int64), size)
+            t = np.concatenate([t for _, t in tokens])
+            head = {name: np.repeat(np.array(values, np.int64), size) for name, values in zip(("d1", "d2", "n"), zip(*[h for h, _ in tokens]))}
+            known = _is_hot(t, hot)
+            table, shared = np.zeros(int((~known).sum()), TOKEN), np.zeros(int(known.sum()), SHARED)
+            for name, v in head.items():
+                table[name], shared[name] = v[~known], v[known]
+            shared["df"], shared["t"] = 1 << 31, t[known] & np.uint64(0xFFFFFFFFFFFF)
+            t = t[~known]
             table["t0"] = (t & np.uint64(0xFFFFFFFF)).astype(np.uint32)
             table["t1"] = (t >> np.uint64(32) & np.uint64(0xFFFF)).astype(np.uint16)
             yield packed_rows(1, *pack((mix(t) % np.uint64(buckets)).astype(np.int64), table))
+            if len(shared):
+                yield packed_rows(2, *pack(_set_bucket(shared["d1"], buckets), shared))
 
     def run(batches):
-        hashes = WordHashes()
+        hashes, seen, hot_ = WordHashes(), set(), hot.value
         rows, tokens, size = [], [], 0
         for b in batches:
             for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -115,16 +171,19 @@ def _prefixes(buckets: int):
                 n = len(s)
                 d = set_digest(s) if n else (0, 0)
                 rows.append((i, *d, n))
-                if n > 2:  # smaller sets link with equal ones alone
+                if n > 2 and d not in seen:  # smaller sets link with equal ones alone
+                    seen.add(d)
                     # order by a hash of the hash: the low tokens of a set are a random choice
                     p = int(prefix_length(n))
                     s = mix(s)
                     tokens.append(((*d, n), np.partition(s, p - 1)[:p] if p < n else s))
                     size += p
-            if size > 250_000:
-                yield from flush(rows, tokens)
+            if size > 250_000 or len(rows) > 100_000:
+                yield from flush(rows, tokens, hot_)
                 rows, tokens, size = [], [], 0
-        yield from flush(rows, tokens)
+                if len(seen) > 200_000:
+                    seen.clear()
+        yield from flush(rows, tokens, hot_)
 
     return run
 
@@ -135,6 +194,8 @@ def _shared(buckets: int):
     def run(key, table):
         kind = table.column("kind").to_numpy()
         docs = table.filter(pa.array(kind == 0)).select(["kind", "b", "payload"])
+        hot = table.filter(pa.array(kind == 2))
+        hot = _packed(hot.column("b").to_pylist(), hot.column("payload").to_pylist())
         t = unpack(table.filter(pa.array(kind == 1)).column("payload"), TOKEN)
         names, payloads = [], []
         if len(t):
@@ -154,7 +215,7 @@ def _shared(buckets: int):
             out = out[by]
             names, payloads = pack((mix(out["d1"].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64), out)
         got = pa.table({"kind": pa.array([1] * len(names), pa.int32()), "b": pa.array(names, pa.int32()), "payload": pa.array(payloads, pa.binary())})
-        return pa.concat_tables([got, docs])
+        return pa.concat_tables([got, hot, docs])
 
     return run
 
@@ -199,8 +260,8 @@ def _index(buckets: int):
         t = unpack(table.filter(pa.array(kind == 1)).column("payload"), SHARED)
         names, payloads = [], []
         if len(t):
-            by = np.lexsort((t["d2"], t["d1"]))
-            t = t[by]
+            t = t[np.lexsort((t["t"], t["d2"], t["d1"]))]
+            t = t[np.r_[True, t[1:] != t[:-1]]]  # copies of a set bring its hot tokens more than once
             edges = np.flatnonzero(np.r_[True, (t["d1"][1:] != t["d1"][:-1]) | (t["d2"][1:] != t["d2"][:-1]), True])
             sizes = np.diff(edges)
             n = t["n"][edges[:-1]].astype(np.int64)
@@ -214,16 +275,67 @@ def _index(buckets: int):
             if parts:
                 size = [len(x) for x in parts]
                 out = np.zeros(sum(size), ENTRY)
-                out["sig"] = np.concatenate(parts)
+                out["sig"] = np.concatenate(parts) & ~np.uint64(1)
                 for name in ("d1", "d2", "n"):
                     out[name] = np.repeat(t[name][heads], size)
-                names, payloads = pack((out["sig"] % np.uint64(buckets)).astype(np.int64), out)
+                names, payloads = pack(_list_bucket(out["sig"], buckets), out)
         got = pa.table({"kind": pa.array([1] * len(names), pa.int32()), "b": pa.array(names, pa.int32()), "payload": pa.array(payloads, pa.binary())})
         return pa.concat_tables([got, docs])
 
     return run
 
 
+def _list_bucket(sig: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(sig) % np.uint64(buckets)).astype(np.int64)
+
+
+#: A split list's entries carry an odd key: the list's own upper bits, and the sub-list's number in the lower 16.
+SUB = np.uint64(0x1FFFF)
+
+
+def hot_lists(index: DataFrame, sets: int) -> dict[int, int]:
+    """Sub-lists to make of each list that is too long; a million lists at most, as a list counts as long from a millionth of all entries on."""
+
+    def count(batches):
+        for b in batches:
+            sig, n = np.unique(unpack(b.column(0), ENTRY)["sig"], return_counts=True)
+            sig, n = sig[n > 1], n[n > 1]
+            yield pa.RecordBatch.from_arrays([pa.array(sig.astype(np.int64)), pa.array(n.astype(np.int64))], names=["sig", "n"])
+
+    least = max(LIST, 20 * sets >> 20)
+    got = index.where("kind = 1").select("payload").mapInArrow(count, "sig long, n long").groupBy("sig").agg(F.sum("n").alias("n")).where(F.col("n") > least).collect()
+    return {r.sig: min(1 << 16, -(-r.n // least)) for r in got}
+
+
+def _split(buckets: int, hot):
+    """Packed entries, those of long lists dealt anew by sub-list."""
+
+    def run(batches):
+        parts = hot.value
+        sigs = np.sort(np.array(list(parts), np.int64).astype(np.uint64))
+        salts = np.array([parts[int(x)] for x in sigs.astype(np.int64)], np.uint64)
+        for b in batches:
+            names, payloads = [], []
+            for bucket, payload in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                e = unpack(pa.array([payload], pa.binary()), ENTRY)
+                known = _is_hot(e["sig"], sigs)
+                if known.any():
+                    k = e[known]
+                    own = mix(k["d1"].astype(np.uint64) + np.uint64(5)) % salts[np.searchsorted(sigs, k["sig"])]
+                    k["sig"] = k["sig"] & ~SUB | own << np.uint64(1) | np.uint64(1)
+                    more = pack(_list_bucket(k["sig"], buckets), k)
+                    names += more[0]
+                    payloads += more[1]
+                    e = e[~known]
+                    (payload,) = pack(np.full(len(e), bucket), e)[1] or [None]
+                if payload is not None:
+                    names.append(bucket)
+                    payloads.append(payload)
+            yield packed_rows(1, names, payloads)
+
+    return run
+
+
 def _lists(entries: np.ndarray):
     """(entries sorted by key and size, list borders) of the lists with two or more sets."""
     by = np.lexsort((entries["d2"], entries["d1"], entries["n"], entries["sig"]))
@@ -321,12 +433,27 @@ def _nodes(key, table):
     return pa.table({n: pa.array(node[n].astype(np.int64), pa.int64()) for n in ("d1", "d2")})
 
 
-def _set_tokens(buckets: int):
-    """Token sets as packed tokens."""
+def _counted(part: np.ndarray) -> np.ndarray:
+    """(d1, d2, c): the records of each set."""
+    node = np.zeros(len(part), NODE)
+    node["d1"], node["d2"] = part["d1"], part["d2"]
+    node, count = np.unique(node, return_counts=True)
+    out = np.zeros(len(node), LABEL)
+    out["d1"], out["d2"], out["c"] = node["d1"], node["d2"], count
+    return out
+
+
+def _set_tokens(buckets: int, hot):
+    """Token sets as packed tokens (kind 1); hot tokens count as shared at once (2, by set)."""
 
     def flush(part):
         table = np.concatenate(part)
-        return packed_rows(1, *pack((mix(table["t"]) % np.uint64(buckets)).astype(np.int64), table))
+        t = mix(table["t"])
+        known = _is_hot(t, hot.value)
+        yield packed_rows(1, *pack((t[~known] % np.uint64(buckets)).astype(np.int64), table[~known]))
+        if known.any():
+            own = _counted(table[known])
+            yield packed_rows(2, *pack(_set_bucket(own["d1"], buckets), own))
 
     def run(batches):
         part, size = [], 0
@@ -338,10 +465,10 @@ def _set_tokens(buckets: int):
                 part.append(t)
                 size += len(t)
                 if size > 200_000:
-                    yield flush(part)
+                    yield from flush(part)
                     part, size = [], 0
         if part:
-            yield flush(part)
+            yield from flush(part)
 
     return run
 
@@ -350,16 +477,15 @@ def _shared_counts(buckets: int):
     """One token bucket: how many of its tokens each set shares with another, dealt by set."""
 
     def run(key, table):
-        t = unpack(table.column("payload"), OWNED)
+        kind = table.column("kind").to_numpy()
+        hot = table.filter(pa.array(kind == 2))
+        t = unpack(table.filter(pa.array(kind == 1)).column("payload"), OWNED)
         t = t[np.argsort(t["t"], kind="stable")]
         same = t["t"][1:] == t["t"][:-1]
         t = t[np.r_[False, same] | np.r_[same, False]] if len(t) else t
-        node = np.zeros(len(t), NODE)
-        node["d1"], node["d2"] = t["d1"], t["d2"]
-        node, count = np.unique(node, return_counts=True)
-        out = np.zeros(len(node), LABEL)
-        out["d1"], out["d2"], out["c"] = node["d1"], node["d2"], count
-        return _packed(*pack(_set_bucket(out["d1"], buckets), out))
+        out = _counted(t)
+        got = _packed(*pack(_set_bucket(out["d1"], buckets), out))
+        return pa.concat_tables([got, _packed(hot.column("b").to_pylist(), hot.column("payload").to_pylist())])
 
     return run
 
@@ -472,14 +598,18 @@ def _torn(buckets: int):
     """Index lists with the components and representatives of the members that can have a partner.
 
     Where a list's members lie in several components they are tied into one
-    bundle: a star of edges, not pairs.
+    bundle: a star of edges, not pairs. The members of a split list are tied to
+    a node that stands for the list, as no task sees it whole.
     """
 
     def run(left, right):
         known = unpack(right.column("payload"), KNOWN)
         e, at = _present(unpack(left.column("payload"), ENTRY), known)
         of_list = np.cumsum(np.r_[True, e["sig"][1:] != e["sig"][:-1]]) if len(e) else np.zeros(0, np.int64)
-        long = np.bincount(of_list)[of_list] > SMALL if len(e) else np.zeros(0, bool)  # the others were compared in full
+        split = e["sig"] & np.uint64(1) == 1
+        whole = np.zeros(int(split.sum()), TIE)
+        whole["a"], whole["b"] = (e["sig"][split] & ~SUB).astype(np.int64), known["rep"][at[split]]
+        long = (np.bincount(of_list)[of_list] > SMALL) & ~split if len(e) else np.zeros(0, bool)  # the others were compared in full
         of_list, at = of_list[long], at[long]
         n, label, rep = e["n"][long].astype(np.int64), known["c"][at], known["rep"][at]
         out = np.zeros(0, TIE)
@@ -491,7 +621,8 @@ def _torn(buckets: int):
             head = np.repeat(rep[start], size)
             out = np.zeros(int(torn.sum()), TIE)
             out["a"], out["b"] = head[torn], rep[torn]
-            out = np.unique(out[out["a"] != out["b"]])
+            out = out[out["a"] != out["b"]]
+        out = np.unique(np.concatenate([out, whole]))
         return _packed(*pack(_set_bucket(out["a"] ^ out["b"], buckets), out))
 
     return run
@@ -514,55 +645,70 @@ def _forest(key, table):
     return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
 
-def _bundle_links(left: pa.Table) -> pa.Table:
-    """Pairs of blocks of bundles: the sets of the first against those of both; links to other components."""
+def _bundle_links(cells: pa.Table) -> pa.Table:
+    """Cells of two blocks of a bundle: the sets of the left one against those of the right one; links to other components."""
     a_out, b_out = [], []
-    bundle, block = left.column("bundle").to_numpy(), left.column("block").to_numpy()
-    order = np.lexsort((left.column("rep").to_numpy(), block, bundle))
+    bundle, block = cells.column("bundle").to_numpy(), cells.column("block").to_numpy()
+    order = np.lexsort((cells.column("rep").to_numpy(), block, bundle))
     edges = np.flatnonzero(np.r_[True, (bundle[order][1:] != bundle[order][:-1]) | (block[order][1:] != block[order][:-1]), True]) if len(order) else np.zeros(1, np.int64)
-    data = left.column("tokens")
+    data = cells.column("tokens")
     for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
         at = pa.array(order[lo:hi])
         sets = [np.frombuffer(t, np.uint64) for t in data.take(at).to_pylist()]
-        rep, comp, row = (left.column(c).take(at).to_numpy(zero_copy_only=False) for c in ("rep", "component", "is_row"))
+        rep, comp, left, right = (cells.column(c).take(at).to_numpy(zero_copy_only=False) for c in ("rep", "component", "is_left", "is_right"))
+        asked, held = np.flatnonzero(left), np.flatnonzero(right)
+        if not len(asked) or not len(held):
+            continue
         n = np.array([len(x) for x in sets])
-        owner = np.repeat(np.arange(len(sets)), n)
-        token, back, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        posting = owner[np.argsort(back, kind="stable")]
+        token, back, df = np.unique(np.concatenate([sets[k] for k in held]), return_inverse=True, return_counts=True)
+        posting = np.repeat(np.arange(len(held)), n[held])[np.argsort(back, kind="stable")]
         ends = np.cumsum(df)
-        starts = np.r_[0, np.cumsum(n)]
-        for x in np.flatnonzero(row).tolist():
-            mine = back[starts[x] : starts[x + 1]]
-            mine = mine[df[mine] > 1]
+        for x in asked.tolist():
+            mine = np.minimum(np.searchsorted(token, sets[x]), len(token) - 1)
+            mine = mine[token[mine] == sets[x]]
+            if right[x]:
+                mine = mine[df[mine] > 1]
             if not len(mine):
                 continue
-            both = np.bincount(np.concatenate([posting[ends[t] - df[t] : ends[t]] for t in mine.tolist()]), minlength=len(sets))
-            hit = np.flatnonzero((100 * both >= 75 * (n[x] + n - both)) & (comp != comp[x]))
+            both = np.bincount(np.concatenate([posting[ends[t] - df[t] : ends[t]] for t in mine.tolist()]), minlength=len(held))
+            hit = np.flatnonzero((100 * both >= 75 * (n[x] + n[held] - both)) & (comp[held] != comp[x]))
             if len(hit):
-                hit = hit[np.unique(comp[hit], return_index=True)[1]]  # one link to each other component
+                hit = held[hit[np.unique(comp[held[hit]], return_index=True)[1]]]  # one link to each other component
                 a_out += [rep[x]] * len(hit)
                 b_out += rep[hit].tolist()
     return pa.table({"a": pa.array(a_out, pa.int64()), "b": pa.array(b_out, pa.int64())})
 
 
+#: Bundles of several components whose plan may be broadcast; beyond, the plan is joined by shuffling.
+PLANS = 200_000
+
+
 def _bundled(kept: DataFrame, groups: DataFrame, ties: DataFrame, buckets: int) -> DataFrame:
     """Links between components inside the bundles that ``ties`` connect.
 
-    A bundle's sets are dealt into blocks of bounded size, and each two blocks
-    meet in a task, whose tokens are counted through one inverted index; no
-    pair is emitted.
+    Sets of a bundle's largest component need to meet the others only, not each
+    other. They and the rest are dealt into blocks of bounded size; each block of
+    the rest meets every block in a task of its own, where tokens are counted
+    through one inverted index. A bundle of one component has nothing to find.
     """
-    bundles = components(ties).select(F.col("node").alias("rep"), F.col("component").alias("bundle"))
+    bundles = components(ties)
     label = groups.select(F.col("node").alias("rep"), "component")
-    members = kept.join(bundles.hint("merge"), "rep").join(label.hint("merge"), "rep", "left").select("rep", "tokens", "bundle", F.coalesce("component", "rep").alias("component"))
+    members = kept.join(bundles.select(F.col("node").alias("rep"), F.col("component").alias("bundle")).hint("merge"), "rep").join(label.hint("merge"), "rep", "left").select("rep", "tokens", "bundle", F.coalesce("component", "rep").alias("component"))
     members = common.stage(members, "members")
-    blocks = members.groupBy("bundle").agg((F.floor(F.count("*") / BLOCK) + 1).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    copies = common.again(members).join(blocks.hint("merge"), "bundle").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    copies = copies.withColumn("block", F.least("own", "other") * F.col("blocks") + F.greatest("own", "other"))
-    copies = copies.select("bundle", "block", "rep", "component", "tokens", (F.col("own") <= F.col("other")).alias("is_row"), F.pmod(F.xxhash64("bundle", "block"), F.lit(buckets)).cast("int").alias("w"))
-    links = common.stage(copies.groupBy("w").applyInArrow(_bundle_links, "a long, b long"), "bundle-links")
-    common.discard(members)
+    sizes = members.groupBy("bundle", "component").agg(F.count("*").alias("n"))
+    plan = sizes.groupBy("bundle").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    plan = common.stage(plan.select("bundle", F.col("top.component").alias("main"), blocks(F.col("n") - F.col("top.n")).alias("rows"), blocks(F.col("top.n")).alias("cols")), "plan")
+    rest, h = F.col("component") != F.col("main"), F.xxhash64("rep")
+    own = F.when(rest, F.pmod(h, F.col("rows"))).otherwise(F.col("rows") + F.pmod(h, F.col("cols"))).cast("int")
+    last = F.when(rest, F.col("rows") + F.col("cols")).otherwise(F.col("rows")) - 1
+    small = plan.count() <= PLANS
+    cells = common.again(members).join(F.broadcast(common.again(plan)) if small else common.again(plan).hint("merge"), "bundle")
+    cells = cells.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    cells = cells.withColumn("block", F.least("own", "other").cast("long") * (F.col("rows") + F.col("cols")) + F.greatest("own", "other"))
+    cells = cells.select("bundle", "block", "rep", "component", "tokens", (F.col("own") <= F.col("other")).alias("is_left"), (F.col("own") >= F.col("other")).alias("is_right"), F.pmod(F.xxhash64("bundle", "block"), F.lit(buckets)).cast("int").alias("w"))
+    links = common.stage(cells.groupBy("w").applyInArrow(_bundle_links, "a long, b long"), "bundle-links")
+    common.discard(members, plan, bundles)
     return links
 
 
@@ -570,9 +716,11 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """doc_id, n_shingles, component_id of every document."""
     spark = docs.sparkSession
     common.small_batches(spark)
-    base = common.texts(docs, id_col, text_col)
-    buckets = common.parts(spark)  # a partition's bucket is taken whole into memory
-    by_token = base.mapInArrow(_prefixes(buckets), PACKED)
+    every = common.texts(docs, id_col, text_col)
+    base = every.where("_id IS NOT NULL")
+    buckets = common.buckets(docs)  # a bucket is taken whole into memory
+    hot = spark.sparkContext.broadcast(hot_tokens(base))
+    by_token = base.mapInArrow(_prefixes(buckets, hot), PACKED)
     by_set = by_token.groupBy("b").applyInArrow(_shared(buckets), PACKED)
     index = common.stage(by_set.groupBy("b").applyInArrow(_index(buckets), PACKED), "index")
     common.release(spark)
@@ -584,7 +732,11 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     rows = common.stage(index.where("kind = 0").select("payload").mapInArrow(open_docs, "doc_id long, d1 long, d2 long, n long"), "rows")
     sets = common.stage(rows.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "sets")
-    lists = common.stage(index.where("kind = 1").select("b", "payload").groupBy("b").applyInArrow(_open_lists, PACKED), "lists")
+    entered = index.where("kind = 1").select("b", "payload")
+    long_lists = hot_lists(index, rows.count())
+    if long_lists:
+        entered = entered.mapInArrow(_split(buckets, spark.sparkContext.broadcast(long_lists)), PACKED).select("b", "payload")
+    lists = common.stage(entered.groupBy("b").applyInArrow(_open_lists, PACKED), "lists")
 
     common.discard(index)
 
@@ -609,7 +761,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     kept = wanted.hint("merge").join(base, "_id").select("_id", "d1", "d2", "_text").mapInArrow(tokens, "d1 long, d2 long, rep long, tokens binary")
     kept = common.stage(kept, "tokens")
     common.release(spark)
-    shared = kept.select("d1", "d2", "tokens").mapInArrow(_set_tokens(buckets), PACKED).groupBy("b").applyInArrow(_shared_counts(buckets), PACKED)
+    shared = kept.select("d1", "d2", "tokens").mapInArrow(_set_tokens(buckets, hot), PACKED).groupBy("b").applyInArrow(_shared_counts(buckets), PACKED)
     shared = common.stage(shared, "shared")
 
     def known(table):
@@ -640,18 +792,27 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     of = common.again(kept).select("d1", "d2", size, "rep").join(groups, F.col("rep") == F.col("node"), "left").select("d1", "d2", "n", F.coalesce("component", "rep").alias("c"), "rep")
     answers = answered(of, KNOWN)
     ties = entries().groupBy("b").cogroup(answers.groupBy("b")).applyInArrow(_torn(buckets), PACKED)
-    ties = ties.withColumn("b", F.col("b") % (buckets // 128 + 1)).groupBy("b").applyInArrow(_forest, "a long, b long")
+    ties = ties.groupBy("b").applyInArrow(_forest, "a long, b long")
     common.release(spark)
     more = _bundled(common.again(kept).select("rep", "tokens"), groups, ties, buckets)
     common.discard(lists, asks, kept, shared, counts, answers)
     final = components(links.union(more))
     of_set = common.stage(sets.join(final, sets.rep == final.node, "left").select("d1", "d2", F.coalesce("component", "rep").alias("component_id")), "of-set")
+    common.discard(sets, links, more, groups, final)
     out = rows.join(of_set, ["d1", "d2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+    def sizes(batches):
+        hashes = WordHashes()
+        for b in batches:
+            n = [len(shingle_set(hashes.of(t.lower().split()), SHINGLE)) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), b.column(0)], names=["doc_id", "n_shingles", "component_id"])
+
+    return out.union(every.where("_id IS NULL").mapInArrow(sizes, "doc_id long, n_shingles long, component_id long"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, unchanged, that are the first of their component; unlinked ones all stay."""
+    """The rows of ``docs``, unchanged, that are the first of their component; unlinked ones and those without an id all stay."""
     groups = similar_components(docs)
     first = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_keep"))
-    return docs.join(first, docs.doc_id == first._keep, "left_semi").select(*docs.columns)
+    return docs.join(first, docs.doc_id == first._keep, "left_semi").union(docs.where(docs.doc_id.isNull()))

@@ -58,6 +58,24 @@ def test_frequent_tokens_alone(spark, monkeypatch):
     assert sorted(map(tuple, jaccard.similar_components(documents(spark, texts)).collect())) == brute(texts)
 
 
+def test_hot_keys_change_nothing(spark, monkeypatch):
+    """Every shared token hot, every list split, every bundle in blocks."""
+    for name, value in dict(RARE=1, SMALL=2, BLOCK=3, LIST=3, SAMPLE=1, LEAST=3, PLANS=0).items():
+        monkeypatch.setattr(jaccard, name, value)
+    texts = corpus(6)
+    docs = documents(spark, texts)
+    assert len(jaccard.hot_tokens(jaccard.common.texts(docs, "doc_id", "text"))) > 50
+    assert sorted(map(tuple, jaccard.similar_components(docs).collect())) == brute(texts)
+
+
+def test_rows_without_an_id(spark):
+    docs = documents(spark, ["a b c d e f", "a b c d e f", "a b c d e f", None], ids=[3, None, 4, None])
+    got = sorted(map(tuple, jaccard.similar_components(docs).collect()), key=str)
+    assert got == [(3, 2, 3), (4, 2, 3), (None, 0, None), (None, 2, None)]
+    kept = jaccard.keep_one(docs.withColumnRenamed("_id", "_keep"))
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == [(3, "a b c d e f"), (None, "a b c d e f"), (None, None)]
+
+
 def test_edges(spark):
     assert jaccard.similar_components(documents(spark, ["x"]).limit(0)).count() == 0
     got = jaccard.similar_components(documents(spark, ["a b c d e f", "a b c d e f", "other words"], ids=[5, 5, 2])).collect()
