@@ -4,13 +4,18 @@ Writing: a text's bytes are padded to a multiple of 64 and laid into the
 ancillary bytes of silent MPEG-1 Layer III frames (mono, 32 kHz, CRC
 protected). The stream opens with an ID3v2.4 tag that names the unpadded and
 padded lengths and a variable-bitrate table ("Xing"), and ends with an ID3v1
-tag. Reading: :func:`parse` finds the first frame behind any tag, checks each
-header and CRC-16, resynchronises where bytes were lost, reads the
-variable-bitrate table and gives exact duration and the seek offset of every
+tag. Reading: :func:`parse` takes MPEG-1, MPEG-2 and MPEG-2.5 of Layers I, II
+and III; it finds the first frame behind any tag, checks each header and
+CRC-16, resynchronises where bytes were lost, reads a variable-bitrate table
+("Xing", "Info" or "VBRI") and gives exact duration and the seek offset of every
 frame. :func:`payload` reads the stored bytes back.
 
-Defined cases: null and empty texts store 64 zero bytes; equal texts give
-equal streams; a stream without any frame parses to zero frames.
+Defined cases: null and empty texts store 64 zero bytes; equal texts give equal
+streams, and repeated rows equal rows; null ids stay null; texts of any length are
+stored whole; an empty table gives no rows; other columns are not read. A stream
+without any frame parses to zero frames; a frame whose CRC fails keeps its place
+and offset and is listed in ``bad``; frames of free format (no stated bitrate) are
+skipped like lost bytes.
 """
 
 from __future__ import annotations
@@ -19,15 +24,26 @@ import hashlib
 import struct
 import zlib
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import common
 
-#: Fixed values of ISO/IEC 11172-3: kbit/s of Layer III by index, Hz by index.
-BITRATES = [0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320]
+#: Fixed values of ISO/IEC 11172-3 and 13818-3: kbit/s by index, for MPEG-1 by layer, and for the lower rates.
+KBPS = {
+    (1, 1): [0, 32, 64, 96, 128, 160, 192, 224, 256, 288, 320, 352, 384, 416, 448],
+    (1, 2): [0, 32, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320, 384],
+    (1, 3): [0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320],
+    (2, 1): [0, 32, 48, 56, 64, 80, 96, 112, 128, 144, 160, 176, 192, 224, 256],
+    (2, 2): [0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160],
+    (2, 3): [0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160],
+}
+#: Hz of MPEG-1 by index; MPEG-2 has half and MPEG-2.5 a quarter of it.
 RATES = [44100, 48000, 32000]
+#: Bits of the allocation of each Layer II subband, as (bits, subbands) runs, by table.
+ALLOCATION = {"a": [(4, 11), (3, 12), (2, 4)], "b": [(4, 11), (3, 12), (2, 7)], "c": [(4, 2), (3, 6)], "d": [(4, 2), (3, 10)], "lsf": [(4, 4), (3, 7), (2, 19)]}
 SAMPLES = 1152
 SIDE_MONO, SIDE_STEREO = 17, 32
 RATE_INDEX = 2  # 32 kHz: the largest frames
@@ -55,7 +71,8 @@ def crc16(data: bytes) -> int:
 
 
 def _frame_size(bitrate_index: int, rate_index: int, padding: int) -> int:
-    return 144 * BITRATES[bitrate_index] * 1000 // RATES[rate_index] + padding
+    """Bytes of a frame of MPEG-1 Layer III."""
+    return 144 * KBPS[1, 3][bitrate_index] * 1000 // RATES[rate_index] + padding
 
 
 def _head(bitrate_index: int) -> bytes:
@@ -110,6 +127,7 @@ class Stream:
     vbr: dict = field(default_factory=dict)
     offsets: list = field(default_factory=list)  # seek offset of every audio frame
     sizes: list = field(default_factory=list)
+    bad: list = field(default_factory=list)  # places, among the frames, of those whose CRC fails
     samples: int = 0
     rate: int = 0
     bitrate_sum: int = 0
@@ -123,27 +141,119 @@ class Stream:
         return self.samples / self.rate if self.rate else 0.0
 
 
-def _header(data: bytes, at: int):
-    """(size, rate, kbps, protected, side length) of a Layer III header, else None."""
-    if at + 4 > len(data) or data[at] != 0xFF or data[at + 1] & 0xFE != 0xFA:
-        return None
-    b2, b3 = data[at + 2], data[at + 3]
+@dataclass(frozen=True)
+class Header:
+    version: int  # 1 for MPEG-1, 2 for MPEG-2, 4 for MPEG-2.5: what the rates are divided by
+    layer: int
+    size: int
+    rate: int
+    kbps: int
+    samples: int
+    protected: bool
+    mono: bool
+    bound: int  # subbands of both channels under joint coding
+
+    @property
+    def side(self) -> int:
+        """Bytes of the side information of Layer III."""
+        if self.version == 1:
+            return SIDE_MONO if self.mono else SIDE_STEREO
+        return 9 if self.mono else SIDE_MONO
+
+
+@lru_cache(maxsize=4096)
+def _decoded(b1: int, b2: int, b3: int) -> Header | None:
+    version, layer = {3: 1, 2: 2, 0: 4}.get(b1 >> 3 & 3), 4 - (b1 >> 1 & 3)
     bi, ri = b2 >> 4, b2 >> 2 & 3
-    if not 1 <= bi <= 14 or ri == 3:
+    if b1 & 0xE0 != 0xE0 or version is None or layer == 4 or not 1 <= bi <= 14 or ri == 3:
+        return None
+    kbps, rate, padding = KBPS[min(version, 2), layer][bi], RATES[ri] // version, b2 >> 1 & 1
+    if layer == 1:
+        size, samples = (12_000 * kbps // rate + padding) * 4, 384
+    else:
+        samples = 576 if layer == 3 and version > 1 else SAMPLES
+        size = samples * 125 * kbps // rate + padding
+    mode = b3 >> 6
+    return Header(version, layer, size, rate, kbps, samples, not b1 & 1, mode == 3, 4 * (b3 >> 4 & 3) + 4 if mode == 1 else 32)
+
+
+def _header(data: bytes, at: int) -> Header | None:
+    """The header of a frame at ``at``, if there is one."""
+    if at + 4 > len(data) or data[at] != 0xFF:
         return None
-    side = SIDE_MONO if b3 >> 6 == 3 else SIDE_STEREO
-    return _frame_size(bi, ri, b2 >> 1 & 1), RATES[ri], BITRATES[bi], not data[at + 1] & 1, side
+    return _decoded(data[at + 1], data[at + 2], data[at + 3])
 
 
-def _sound(data: bytes, at: int, end: int):
+def _crc_bits(data: bytes, bits: int) -> int:
+    """CRC-16 of the first ``bits`` bits."""
+    c = crc16(data[: bits // 8])
+    for k in range(bits // 8 * 8, bits):
+        bit = (data[k // 8] >> 7 - k % 8 & 1) ^ c >> 15
+        c = (c << 1 & 0xFFFF) ^ (0x8005 if bit else 0)
+    return c
+
+
+def _protected_bits(h: Header, body: bytes) -> int:
+    """How many bits behind the CRC it covers: side information, or the allocation and, in Layer II, the scale factor selectors."""
+    channels = 1 if h.mono else 2
+    if h.layer == 3:
+        return 8 * h.side
+    if h.layer == 1:
+        bound = min(h.bound, 32)
+        return 4 * (32 if h.mono else 2 * bound + 32 - bound)
+    if h.version > 1:
+        table = "lsf"
+    else:
+        per = h.kbps // channels
+        table = ("c" if h.rate != 32000 else "d") if per <= 48 else "a" if h.rate == 48000 or per <= 80 else "b"
+    widths = [w for w, n in ALLOCATION[table] for _ in range(n)]
+    at, used = 0, 0
+    whole = int.from_bytes(body[:64].ljust(64, b"\0"), "big")
+    for sb, w in enumerate(widths):
+        for _ in range(channels if sb < h.bound else 1):
+            used += (1 if sb < h.bound else channels) * bool(whole >> 512 - at - w & (1 << w) - 1)
+            at += w
+    return at + 2 * used
+
+
+def _crc_holds(h: Header, data: bytes, at: int) -> bool:
+    bits = _protected_bits(h, data[at + 6 : at + 70])
+    if at + 6 + (bits + 7) // 8 > len(data):
+        return False
+    return _crc_bits(data[at + 2 : at + 4] + data[at + 6 : at + 6 + (bits + 7) // 8], 16 + bits) == data[at + 4] << 8 | data[at + 5]
+
+
+def _sound(data: bytes, at: int, end: int) -> Header | None:
     """The header at ``at`` if the frame ends where the stream or another header does."""
     h = _header(data, at)
-    if h is None or at + h[0] > end:
+    if h is None or at + h.size > end:
         return None
-    nxt = at + h[0]
+    nxt = at + h.size
     return h if nxt == end or _header(data, nxt) is not None else None
 
 
+def _vbr(data: bytes, at: int, h: Header) -> dict:
+    """The variable-bitrate table of a first frame, or nothing."""
+    body = at + (6 if h.protected else 4)
+    x = body + h.side
+    if h.layer == 3 and data[x : x + 4] in (b"Xing", b"Info") and x + 8 <= len(data):
+        out: dict = {}
+        flags, p = struct.unpack_from(">I", data, x + 4)[0], x + 8
+        for bit, name in ((1, "frames"), (2, "bytes")):
+            if flags & bit and p + 4 <= len(data):
+                out[name] = struct.unpack_from(">I", data, p)[0]
+                p += 4
+        if flags & 4:
+            out["toc"] = data[p : p + 100]
+        return out or {"frames": 0}
+    x = at + 36  # always 32 bytes behind the header
+    if h.layer == 3 and data[x : x + 4] == b"VBRI" and x + 26 <= len(data):
+        size, frames, entries, scale, width, step = struct.unpack_from(">IIHHHH", data, x + 10)
+        toc = [scale * int.from_bytes(data[x + 26 + width * k : x + 26 + width * (k + 1)], "big") for k in range(entries)]
+        return {"frames": frames, "bytes": size, "entries": toc, "step": step}
+    return {}
+
+
 def parse(data: bytes) -> Stream:
     """Tags, the variable-bitrate table, and every frame of a stream.
 
@@ -181,42 +291,37 @@ def parse(data: bytes) -> Stream:
                 else:
                     at += 1
             continue
-        size, rate, kbps, protected, side = h
-        body = at + (6 if protected else 4)
-        if first and data[body + side : body + side + 4] in (b"Xing", b"Info"):
-            x = body + side + 4
-            flags, p = struct.unpack_from(">I", data, x)[0], x + 4
-            for bit, name in ((1, "frames"), (2, "bytes")):
-                if flags & bit:
-                    s.vbr[name] = struct.unpack_from(">I", data, p)[0]
-                    p += 4
-            if flags & 4:
-                s.vbr["toc"] = data[p : p + 100]
-            first, at = False, at + size
-            continue
-        first = False
+        if first:
+            first = False
+            s.vbr = _vbr(data, at, h)
+            if s.vbr:
+                at += h.size
+                continue
         ok = True
-        if protected:
-            key = data[at + 2 : body + side]
+        if h.protected:
+            # frames of one header, CRC and side information are checked once
+            key = data[at + 1 : at + 6 + h.side] if h.layer == 3 else data[at + 1 : at + 70]
             ok = checked.get(key)
             if ok is None:
-                ok = crc16(key[:2] + key[4:]) == key[2] << 8 | key[3]
-                checked[key] = ok
+                ok = checked[key] = _crc_holds(h, data, at)
         s.crc_ok += ok
         s.crc_bad += not ok
-        s.offsets.append(at if ok else -at - 1)
-        s.sizes.append(size)
-        s.samples += SAMPLES
-        s.rate = rate
-        s.bitrate_sum += kbps
-        at += size
+        if not ok:
+            s.bad.append(len(s.offsets))
+        s.offsets.append(at)
+        s.sizes.append(h.size)
+        s.samples += h.samples
+        s.rate = h.rate
+        s.bitrate_sum += h.kbps
+        at += h.size
     return s
 
 
 def payload(data: bytes, s: Stream | None = None) -> tuple[bytes, int]:
     """The padded payload and the unpadded length, read from the stream's bytes."""
     s = s or parse(data)
-    body = b"".join(data[o + HEAD_LEN : o + z] for o, z in zip(s.offsets, s.sizes) if o >= 0)
+    bad = set(s.bad)
+    body = b"".join(data[o + HEAD_LEN : o + z] for k, (o, z) in enumerate(zip(s.offsets, s.sizes)) if k not in bad)
     for v in s.tags.get("TXXX", []):
         name, _, value = v[1:].rstrip(b"\0").partition(b"\0")
         if name == b"arcweave":
