@@ -129,3 +129,83 @@ def test_page_edges(spark):
     assert got[2].text == got[3].text == got[4].text == "" and got[2].url is None and got[6].n_chars == 799_999
     assert all(r.n_chars == len(r.text) for r in got.values())
     assert html.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string").limit(0)).count() == 0
+
+
+def test_language_equals_a_naive_encoder(spark):
+    """Letter by letter and trigram by trigram: the same prototypes, predictions and scores."""
+    import zlib
+
+    import numpy as np
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = docs.select("doc_id", "text", "lang").collect()
+    rng = random.Random(1)
+    odd = ["Ünïcödé Straße", "日本 語の文", "Ελλάδα και θάλασσα", "a", "ab", "İstanbul", None, "12 3"]
+    letter = {}
+
+    def encode(text):
+        sym = [c if c.isalpha() else " " for c in f" {text.lower()} "]
+        sym = [c for k, c in enumerate(sym) if c != " " or k == 0 or sym[k - 1] != " "]
+        out = np.zeros(langid.DIM)
+        for x, y, z in zip(sym, sym[1:], sym[2:]):
+            if (x, y, z) != (" ", " ", " "):
+                v = [letter.setdefault(c, langid.letter_vector(0 if c == " " else ord(c)).astype(int)) for c in (x, y, z)]
+                out += np.roll(v[0], 2) * np.roll(v[1], 1) * v[2]
+        return out / (np.linalg.norm(out) or 1)
+
+    train = [r for r in rows if r.lang is not None and r.text is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2]
+    langs = sorted({r.lang for r in train})
+    proto = np.array([sum(encode(r.text) for r in train if r.lang == x) for x in langs])
+    proto /= np.linalg.norm(proto, axis=1, keepdims=True)
+    got = {r.doc_id: r for r in queries.op1_language_id(spark, "/root/testdata/sf0.001").collect()}
+    model = langid.learn(docs.where("crc32(cast(cast(doc_id as string) as binary)) % 4 <> 2"))
+    extra = {r.doc_id: r for r in langid.identify(documents(spark, odd), model).collect()}
+    for text, r in [(x.text, got[x.doc_id]) for x in rng.sample(rows, 60)] + [(t, extra[i]) for i, t in enumerate(odd)]:
+        v = encode(text or "")
+        cos = proto @ v
+        assert r.score == pytest.approx(max(0, cos.max()) if v.any() else 0, abs=2e-5)
+        assert r.lang_pred == (langs[int(cos.argmax())] if v.any() else "und") or np.sort(cos)[-2:].ptp() < 1e-5
+
+
+def test_toxicity_gradient_and_scores():
+    """The gradient against differences, and a score sentence by sentence."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    docs = []
+    for _ in range(30):
+        sizes = rng.integers(1, 5, rng.integers(0, 4)).astype("<u4")
+        docs.append((int(rng.random() < 0.4), int(rng.integers(0, 3)), sizes.tobytes(), rng.integers(0, 6, int(sizes.sum())).astype("<u4").tobytes()))
+    theta = rng.normal(0, 0.5, 7)
+    value, g = toxicity.loss(theta, docs)
+    for k in range(7):
+        step = np.zeros(7)
+        step[k] = 1e-5
+        assert g[k] == pytest.approx((toxicity.loss(theta + step, docs)[0] - toxicity.loss(theta - step, docs)[0]) / 2e-5, abs=1e-6)
+    naive = 0.0
+    for y, empty, n, f in docs:
+        f, p, at = np.frombuffer(f, "<u4"), (1 / (1 + np.exp(theta[-1]))) ** empty, 0
+        for size in np.frombuffer(n, "<u4"):
+            p *= 1 / (1 + np.exp(theta[-1] + theta[f[at : at + size]].sum()))
+            at += size
+        naive -= np.log(1 - p if y else p) / len(docs) if 0 < p < 1 or not y else np.log(1e-9) / len(docs)
+    assert value == pytest.approx(naive, abs=1e-6)
+    model = toxicity.Model({"=vile": 3.0, "^vile": 1.0, "=kind": -2.0}, -2.0)
+    text = "A vile word. A kind, vilest one! plain\nVILE kind words"
+    z = [-2 + 3, -2 - 2 + 1, -2, -2 + 3 - 2]
+    want = 1 - np.prod([1 - 1 / (1 + np.exp(-x)) for x in z])
+    assert model.scores([text, ""]).tolist() == pytest.approx([want, 0.0], abs=1e-5)
+    assert model.sentence_scores(text) == pytest.approx([1 / (1 + np.exp(-x)) for x in z])
+
+
+def test_toxicity_bounds_and_odd_rows(spark):
+    texts, toxic = planted(300)
+    docs = documents(spark, [*texts, "vile thing.", None, "zornig " * 50_000], ids=[*range(300), None, None, 5]).withColumnsRenamed({"_id": "score", "_text": "_y"})
+    labels = spark.createDataFrame([(i, y) for i, y in enumerate(toxic)] + [(None, 1)], "doc_id long, toxic int")
+    model = toxicity.learn(docs, labels, sample_bytes=20_000)
+    assert model.weights and all(w for w in model.weights)
+    got = toxicity.score(docs, model)
+    assert got.count() == 303 and got.where("doc_id IS NULL").count() == 2
+    kept = toxicity.keep_clean(docs, labels)
+    assert kept.columns == docs.columns and {(r.score, r._y) for r in kept.collect()} == {("x", "y")}
+    assert toxicity.score(docs.limit(0), model).count() == 0 and toxicity.learn(docs, labels, sample_rows=0).weights == {}
