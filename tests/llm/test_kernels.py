@@ -140,7 +140,7 @@ def test_topk(spark):
     rows += [(300 + i, rows[i][1]) for i in range(40)]  # ties
     rows += [(400, None), (401, [1.0, None] * 8), (402, [float("nan")] * 16), (403, [float("inf")] * 16), (404, [1.0] * 3), (450, [2.0] * 3)]
     v = spark.createDataFrame([(i, x, 1, "q") for i, x in rows], "vec_id long, embedding array<float>, label int, score string")
-    for shards, blocks in ((8192, 512), (50, 3)):
+    for shards, blocks in ((8192, 512), (50, 3)):  # one block; three blocks
         got = sorted(map(tuple, topk.topk_search(v, F.col("vec_id") % 50 == 0, 5, shard_rows=shards, block_rows=blocks).collect()))
         x = {r.vec_id: [int(np.floor(256 * float(a))) for a in r.embedding] for r in v.collect() if r.vec_id < 400 or r.vec_id in (404, 450)}
         want = []
@@ -150,3 +150,82 @@ def test_topk(spark):
                 want += [(q, k + 1, c, -t) for k, (t, c) in enumerate(s[:5])]
         assert got == sorted(want)
     assert topk.topk_search(v.limit(0), F.lit(True)).count() == 0
+
+
+def frame(version, layer, kbps, rate_index, mode=3, extension=0, protected=True, rng=random.Random(1)):
+    """A frame by the standard's own rules, its CRC bit by bit."""
+    v, lay = {1: 3, 2: 2, 4: 0}[version], 4 - layer
+    bi = media.KBPS[min(version, 2), layer].index(kbps)
+    head = bytes([0xFF, 0xE0 | v << 3 | lay << 1 | (not protected), bi << 4 | rate_index << 2, mode << 6 | extension << 4])
+    rate = media.RATES[rate_index] // version
+    n = 384 if layer == 1 else 576 if layer == 3 and version > 1 else 1152
+    size = 4 * (12 * kbps * 1000 // rate) if layer == 1 else n // 8 * kbps * 1000 // rate
+    body = bytes(rng.randrange(256) for _ in range(size - 4 - 2 * protected))
+    if not protected:
+        return head + body, n, rate
+    h = media._decoded(*head[1:])
+    bits = media._protected_bits(h, body)
+    c = 0xFFFF
+    for k, byte in enumerate(head[2:] + body):
+        for j in range(8):
+            if 8 * k + j < 16 + bits:
+                c = (c << 1 & 0xFFFF) ^ (0x8005 if (byte >> 7 - j & 1) ^ c >> 15 else 0)
+    return head + c.to_bytes(2, "big") + body, n, rate
+
+
+@pytest.mark.parametrize("version,layer,kbps,rate,mode", [(1, 1, 384, 0, 0), (1, 1, 192, 2, 1), (1, 2, 192, 1, 0), (1, 2, 48, 0, 3), (1, 2, 384, 2, 1), (2, 2, 64, 0, 0), (1, 3, 128, 0, 1), (2, 3, 64, 1, 3), (4, 3, 32, 2, 0), (2, 1, 128, 0, 3)])
+def test_all_versions_and_layers(version, layer, kbps, rate, mode):
+    frames = [frame(version, layer, kbps, rate, mode, k % 2, protected=k != 3) for k in range(7)]
+    data = b"".join(f for f, _, _ in frames)
+    s = media.parse(b"\x00junk" + data)
+    assert s.offsets == [5 + sum(len(f) for f, _, _ in frames[:k]) for k in range(7)] and s.crc_bad == 0 and s.resyncs == 1
+    assert s.samples == sum(n for _, n, _ in frames) and s.rate == frames[0][2] and s.duration == s.samples / s.rate
+    hurt = bytearray(data)
+    hurt[7] ^= 0x80
+    bad = media.parse(bytes(hurt))
+    assert bad.bad == [0] and bad.offsets[0] == 0 and len(bad.offsets) == 7
+
+
+def test_allocation_widths():
+    h = media._decoded(*frame(1, 1, 384, 0, 0)[0][1:4])
+    assert media._protected_bits(h, bytes(64)) == 256 and media._protected_bits(media._decoded(*frame(1, 1, 384, 0, 3)[0][1:4]), bytes(64)) == 128
+    h = media._decoded(*frame(1, 2, 192, 1, 3)[0][1:4])  # 27 subbands: 11 of 4 bits, 12 of 3, 4 of 2
+    assert media._protected_bits(h, bytes(64)) == 88 and media._protected_bits(h, b"\xff" * 64) == 88 + 54
+
+
+def test_vbri_table():
+    first = bytearray(frame(1, 3, 128, 0, 1, protected=False)[0])
+    first[36:62] = b"VBRI" + bytes(6) + (5000).to_bytes(4, "big") + (3).to_bytes(4, "big") + (2).to_bytes(2, "big") + (4).to_bytes(2, "big") + (2).to_bytes(2, "big") + (1).to_bytes(2, "big")
+    first[62:66] = (100).to_bytes(2, "big") + (150).to_bytes(2, "big")
+    s = media.parse(bytes(first) + frame(1, 3, 128, 0, 1)[0] * 3)
+    assert s.vbr == {"frames": 3, "bytes": 5000, "entries": [400, 600], "step": 1} and len(s.offsets) == 3
+
+
+def test_tables_of_any_shape(spark):
+    """Null and repeated ids, repeated rows, no rows, and long texts, for the operators that keep one row a document."""
+    long = "alpha beta. " * 60_000
+    docs = documents(spark, ["a b", "a b", None, long, ""], ids=[1, 1, None, 4, None])
+    for run, same in ((lambda d: media.media_digest(d), "media_sha256"), (lambda d: pieces.piece_digest(d, P.path("piece_bpe_32k.model")), "ids_sha256"), (lambda d: packing.pack(d, P.path("word_bpe_49k.json"), capacity=1 << 20), "ids_crc32")):
+        rows = run(docs).collect()
+        assert sorted(str(r.doc_id) for r in rows) == ["1", "1", "4", "None", "None"]
+        assert len({r[same] for r in rows if r.doc_id == 1}) == 1 and len({r[same] for r in rows if r.doc_id is None}) == 1
+        assert run(docs.limit(0)).count() == 0
+
+
+def test_topk_odd_rows(spark):
+    rows = [(0, [1.0, 2.0]), (0, [1.0, 2.0]), (1, [3.0, 1.0]), (1, [3.0, 1.0]), (None, [9.0, 9.0]), (50, [0.5, 0.5]), (7, [])]
+    v = spark.createDataFrame([(i, x, "q", 1) for i, x in rows], "vec_id long, embedding array<float>, _id string, rank int")
+    got = sorted(map(tuple, topk.topk_search(v, F.col("vec_id") % 50 == 0, 2).collect()))
+    assert got == [(0, 1, 1, 327680), (0, 2, 1, 327680), (50, 1, 1, 131072), (50, 2, 1, 131072)]
+
+
+def test_thresholds_carry_over(spark, monkeypatch):
+    """Every row in the head, none in it, and many shards of one task: the same lists."""
+    rng = np.random.default_rng(8)
+    v = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=8)]) for i in range(400)], "vec_id long, embedding array<float>")
+    want = None
+    for head, shard in ((64, 8192), (1, 7), (10**6, 5)):
+        monkeypatch.setattr(topk, "HEAD", head)
+        got = sorted(map(tuple, topk.topk_search(v, F.col("vec_id") % 10 == 0, 5, shard_rows=shard, block_rows=16).collect()))
+        want = want or got
+        assert got == want and len(got) == 200
