@@ -38,6 +38,25 @@ def test_equals_brute_force(spark, seed):
     assert sorted(map(tuple, substrings.repeated_words(documents(spark, t)).collect())) == brute(t)
 
 
+def test_hot_keys_and_borders_change_nothing(spark, monkeypatch):
+    """Every repeated gram and window hot, source documents in blocks of seven words."""
+    for name, value in dict(SPLIT=7, SAMPLE=1, LEAST=2, SPREAD=3).items():
+        monkeypatch.setattr(substrings, name, value)
+    t = texts(5)
+    docs = documents(spark, t)
+    assert all(len(x) > 50 for x in substrings.hot_keys(substrings.common.texts(docs, "doc_id", "text")))
+    assert sorted(map(tuple, substrings.repeated_words(docs).collect())) == brute(t)
+
+
+def test_other_rows_of_an_id_keep_their_words(spark):
+    rng = random.Random(7)
+    p, q = prose(rng, 40), prose(rng, 45)
+    docs = documents(spark, [p, "own " + p, q, p, None], ids=[1, 2, 2, None, 3]).withColumnsRenamed({"_id": "_places", "_text": "_of", "kind": "s0"})
+    out = substrings.without_repeats(docs)
+    assert out.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted([(1, p), (2, "own "), (2, q), (None, p), (3, None)], key=str)
+
+
 def test_cut_keeps_the_rest(spark):
     rng = random.Random(9)
     p = prose(rng, 40)
