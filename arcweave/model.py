@@ -80,14 +80,12 @@ def undirected(d) -> str:
     return "und AS (SELECT c1 AS me, c2 AS other, rel_type, angle4, angle8 FROM relations UNION ALL SELECT c2, c1, rel_type, angle4, angle8 FROM relations)"
 
 
-#: A small calendar of our own: a frame in strict order, and two wheels.
-FRAME = ("ORIGIN", "ANCESTRY", "HISTORY", "YESTERDAY", "PRESENT", "TOMORROW", "PROSPECT", "HORIZON")
-CYCLES = {"year": ("SOWING", "GROWTH", "HARVEST", "FALLOW"), "day": ("DAWN", "NOON", "DUSK", "MIDNIGHT")}
+#: The region that stands for the present.
+PRESENT = 2
 
 
 def succession(d) -> str:
-    rows = [(a, b, "frame", "", 0) for a, b in zip(FRAME, FRAME[1:])]
-    for name, stations in CYCLES.items():
-        rows += [(a, b, "cycle", name, 0) for a, b in zip(stations, stations[1:])] + [(stations[-1], stations[0], "cycle", name, 1)]
-    values = ", ".join(f"('{a}', '{b}', '{k}', '{c}', {w})" for a, b, k, c, w in rows)
-    return f"succession AS (SELECT * FROM (VALUES {values}) AS t(earlier, later, regime, cycle_name, wrap))"
+    """Regions in the order of their keys are the frame; the nations of a region are a wheel whose last station leads back to the first."""
+    return """stations AS (SELECT n_name, r_name, lead(n_name) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS next_, first_value(n_name) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS first_ FROM nation JOIN region ON r_regionkey = n_regionkey),
+    succession AS (SELECT a.r_name AS earlier, b.r_name AS later, 'frame' AS regime, '' AS cycle_name, 0 AS wrap FROM region a JOIN region b ON b.r_regionkey = a.r_regionkey + 1
+      UNION ALL SELECT n_name, coalesce(next_, first_), 'cycle', r_name, CASE WHEN next_ IS NULL THEN 1 ELSE 0 END FROM stations WHERE n_name <> coalesce(next_, first_))"""

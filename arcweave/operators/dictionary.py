@@ -42,7 +42,7 @@ def level_names(d):
     return f"{base(d)} SELECT id, name, level, {level_name('level')} AS level_name FROM concepts"
 
 
-@Q("PRJ-03 PRJ-04 GEO-34")
+@Q("PRJ-03 PRJ-04")
 def by_trigram_and_level(d):
     return f"{base(d)} SELECT name, trigram, level FROM concepts WHERE trigram = upper('qian') OR level = 6"
 
@@ -126,16 +126,7 @@ def crowding(d):
     SELECT trigram, i, min_by(j, place) AS nearest, {r('min(t)', 4)} AS least, min(t) < 35e0 AS crowded FROM o GROUP BY trigram, i"""
 
 
-@Q("JOIN-11 JOIN-12 CUR-05")
-def alias_resolved_relations(d):
-    return f"""{base(d)}, {aliases(d)}, raw AS (SELECT id, concat('A', {d.left_pad('id', 5)}) AS n1, concat('C', {d.left_pad('(id * 7) % 700', 5)}) AS n2 FROM concepts),
-    m AS (SELECT r.id, a.concept_id AS c1, c.id AS c2 FROM raw r LEFT JOIN aliases a ON a.alias = n1 LEFT JOIN concepts c ON c.name = n2),
-    u AS (SELECT least(c1, c2) AS lo, greatest(c1, c2) AS hi FROM m WHERE c1 IS NOT NULL AND c2 IS NOT NULL AND c1 <> c2)
-    SELECT (SELECT count(*) FROM m) AS rows_in, (SELECT count(*) FROM m WHERE c1 IS NULL OR c2 IS NULL) AS unresolved,
-    (SELECT count(*) FROM u) AS usable, (SELECT count(*) FROM (SELECT DISTINCT lo, hi FROM u) t) AS kept"""
-
-
-@Q("AGG-01 AGG-03")
+@Q("AGG-01")
 def distributions(d):
     return f"""{graph(d)} SELECT 'trigram' AS kind, trigram AS value, count(*) AS n FROM concepts GROUP BY trigram
     UNION ALL SELECT 'level', CAST(level AS STRING), count(*) FROM concepts GROUP BY level
@@ -164,13 +155,6 @@ def relation_angle_stats(d):
     FROM t GROUP BY rel_type"""
 
 
-@Q("VAL-05")
-def anchor_angles(d):
-    return f"""{base(d)}, a AS (SELECT * FROM concepts WHERE id % 25 = 0)
-    SELECT p.id AS i, q.id AS j, {r(angle('p.', 'q.', ESSENCE), 4)} AS now, {r(angle('p.', 'q.', ESSENCE), 1)} AS pinned,
-    abs({angle('p.', 'q.', ESSENCE)} - round({angle('p.', 'q.', ESSENCE)}, 1)) > 0.04e0 AS drifted FROM a p JOIN a q ON p.id < q.id"""
-
-
 @Q("AGG-10 AGG-11 VAL-09")
 def trigram_pair_angles(d):
     t = angle("p.", "q.", DOMAIN)
@@ -187,7 +171,7 @@ def knn_angle_3d(d):
     SELECT query_id, place, id, {r('t', 4)} AS angle FROM k WHERE place <= 10"""
 
 
-@Q("TOP-02 GEO-25 GEO-37")
+@Q("TOP-02 GEO-25")
 def analogy_topk(d):
     probe = ", ".join(f"c.{k} + (b.{k} - a.{k}) AS {k}" for k in ESSENCE)
     return f"""{base(d)}, w AS (SELECT a.id AS k, {probe} FROM concepts a JOIN concepts b ON b.id = a.id + 1 JOIN concepts c ON c.id = a.id + 2 WHERE a.id % 20 = 0),
@@ -206,7 +190,7 @@ def complement_search(d):
     SELECT query_id, place, id, {r('t', 4)} AS angle, {r('score')} AS score FROM o WHERE place <= 5"""
 
 
-@Q("TOP-05 ORC-06")
+@Q("TOP-05")
 def centroid_nearest(d):
     cents = ", ".join(f"avg({k}) AS {k}" for k in ESSENCE)
     return f"""{base(d)}, m AS (SELECT id % 16 AS card, {cents} FROM concepts GROUP BY id % 16),
@@ -250,7 +234,7 @@ def pair_witness(d):
     CASE WHEN w < 0.5e0 THEN 'low' WHEN w < 1.2e0 THEN 'coherent' ELSE 'tense' END AS coherence FROM t"""
 
 
-@Q("GEO-10 GEO-17 GEO-20")
+@Q("GEO-10 GEO-17")
 def hamilton_product(d):
     return f"""{graph(d)} SELECT c1, c2, {r('1e0 - p.x * q.x - p.y * q.y - p.z * q.z')} AS w, {r('q.x + p.x + p.y * q.z - p.z * q.y')} AS x,
     {r('q.y - p.x * q.z + p.y + p.z * q.x')} AS y, {r('q.z + p.x * q.y - p.y * q.x + p.z')} AS z,
@@ -274,7 +258,7 @@ def semantic_compose(d):
     FROM relations JOIN concepts p ON p.id = c1 JOIN concepts q ON q.id = c2"""
 
 
-@Q("GEO-15 GEO-16 GEO-21")
+@Q("GEO-15 GEO-16")
 def pair_slerp(d):
     t = f"acos({cosine('p.', 'q.', CORE)})"
     cols = ", ".join(r(f"(sin(0.75e0 * t) * px{k} + sin(0.25e0 * t) * qx{k}) / sin(t)") + f" AS {k}" for k in CORE)
@@ -290,7 +274,7 @@ def frame_average(d):
     return f"{base(d)} SELECT level, count(*) AS n, {cols} FROM concepts GROUP BY level"
 
 
-@Q("GEO-19 WIN-03 GEO-35")
+@Q("GEO-19 WIN-03")
 def fold_compose(d):
     """Left fold of ordered products along runs of five names; the witness enters the next product."""
     pw = "1e0 - greatest(-1e0, least(1e0, (s.x * c.x + s.y * c.y + s.z * c.z) / (sqrt(s.x * s.x + s.y * s.y + s.z * s.z) * sqrt(c.x * c.x + c.y * c.y + c.z * c.z) + 1e-10)))"
@@ -324,13 +308,13 @@ def cross_leg_and_direction(d):
     FROM relations JOIN concepts p ON p.id = c1 JOIN concepts q ON q.id = c2"""
 
 
-@Q("GEO-39 VAL-08")
+@Q("GEO-39")
 def angle_matrix_summary(d):
     return f"""{base(d)}, p AS (SELECT {angle('a.', 'b.', ESSENCE)} AS t FROM concepts a JOIN concepts b ON a.id < b.id)
     SELECT count(*) AS pairs, {r('avg(t)', 4)} AS mean, {r(d.pct('t', '0.05e0'), 4)} AS p05, {r(d.pct('t', '0.95e0'), 4)} AS p95, CAST(sum(CASE WHEN t < 35e0 THEN 1 ELSE 0 END) AS BIGINT) AS near FROM p"""
 
 
-@Q("CUR-01 CUR-18 CUR-02 AGG-44")
+@Q("CUR-01 CUR-18 CUR-02")
 def dedup_gate(d):
     return f"""{base(d)}, {aliases(d)}, old AS (SELECT * FROM concepts WHERE id % 4 <> 0),
     new AS (SELECT CASE WHEN id % 12 = 0 THEN concat('A', {d.left_pad('id + 3', 5)}) WHEN id % 20 = 0 THEN concat('C', {d.left_pad('id + 1', 5)}) ELSE name END AS name, id, {', '.join(ESSENCE)} FROM concepts WHERE id % 4 = 0),
@@ -340,7 +324,7 @@ def dedup_gate(d):
     FROM new n JOIN w ON w.id = n.id LEFT JOIN old o ON o.name = n.name LEFT JOIN aliases a ON a.alias = n.name"""
 
 
-@Q("CUR-04 CUR-12 CUR-13")
+@Q("CUR-04 CUR-12")
 def relation_rework(d):
     """Correct some cores, recompute the angles of their relations and reclassify; others stay."""
     moved = ", ".join(f"CASE WHEN id % 17 = 0 THEN -{k} ELSE {k} END AS {k}" for k in CORE)
@@ -350,14 +334,7 @@ def relation_rework(d):
     FROM relations JOIN fixed p ON p.id = c1 JOIN fixed q ON q.id = c2"""
 
 
-@Q("CUR-07")
-def propose_vector(d):
-    """A weighted mean over context concepts: named ones weigh 3, neighbours 1.5."""
-    return f"""{graph(d)}, w AS (SELECT id AS k, id AS src, 3e0 AS weight FROM concepts UNION ALL SELECT me, other, 1.5e0 FROM und)
-    SELECT k, count(*) AS sources, {', '.join(r(f'sum(weight * {c}) / sum(weight)') + f' AS {c}' for c in ESSENCE)} FROM w JOIN concepts ON id = src GROUP BY k"""
-
-
-@Q("CUR-08 CUR-09 CUR-11")
+@Q("CUR-08")
 def nudged_candidates(d):
     """Eight hash-drawn nudges of each concept; the one farthest from its nearest old neighbour stays."""
     draw = {k: d.hash(f"concat('{k}|', CAST(c.id AS STRING), '|', CAST(t AS STRING))") for k in CORE}

@@ -1,8 +1,8 @@
-"""Rule pipelines: text functions, claim parsing and verdicts, temporal, self-claim and diagnosis layers."""
+"""Rule pipelines over texts and sequences: word gaps, firewall, diagnosis, casting, plans and pools."""
 
 from __future__ import annotations
 
-from ..model import CORE, CYCLES, DOMAIN, ESSENCE, FUNCTION, angle, concepts, cosine, norm, r, relations, succession, undirected
+from ..model import CORE, DOMAIN, angle, concepts, cosine, r, relations, undirected
 from ..plans.dialect import query
 
 QUERIES: list = []
@@ -21,7 +21,7 @@ def words(d):
     return f"words AS (SELECT doc_id, {d.explode(d.rall('lower(text)', '[a-z]+'))} AS w FROM documents), content AS (SELECT doc_id, w FROM words WHERE length(w) > 2 AND w NOT IN ({_STOP}))"
 
 
-@Q("TXT-01 SET-01 SET-02 TOP-07 VAL-06 VAL-07")
+@Q("TXT-01 SET-01 SET-02 TOP-07 VAL-06")
 def content_word_gap(d):
     """Words of texts that the vocabulary (words of the benchmark) lacks, with one document each."""
     return f"""WITH {words(d)}, vocab AS (SELECT DISTINCT w FROM (SELECT {d.explode(d.rall('lower(text)', '[a-z]+'))} AS w FROM benchmark) t),
@@ -39,206 +39,26 @@ def self_containment(d):
 
 @Q("TXT-06 JOIN-17")
 def shingle_firewall(d):
-    """Documents that share a run of eight words with a benchmark item."""
-    def grams(table, key):
-        return f"""{table}_w AS (SELECT {key} AS k, {d.split("trim(" + d.rr("lower(text)", "[^a-z0-9]+", " ") + ")", " ")} AS w FROM {table}),
-        {table}_g AS (SELECT DISTINCT k, {d.concat('g', ' ')} AS s FROM (SELECT k, {d.explode(d.map(d.seq(1, f"{d.size('w')} - 7"), 'i', "slice(w, i, 8)" if d.name == "spark" else "w[i:i + 7]"))} AS g FROM {table}_w WHERE {d.size('w')} >= 8) t)"""
-    return f"""WITH {grams('documents', 'doc_id')}, {grams('benchmark', 'item_id')}
-    SELECT a.k AS doc_id, b.k AS item_id, count(*) AS shared FROM documents_g a JOIN benchmark_g b ON a.s = b.s GROUP BY a.k, b.k"""
-
-
-@Q("TXT-02 TXT-03")
-def term_resolver(d):
-    """Candidates of each term in order: the name, an article cut, a suffix cut; the first hit stays."""
-    cut = [("name", "t"), ("article", d.rr("t", "^(THE|A|AN) ", "")), ("plural", d.rr("t", "(ES|S)$", "")), ("ing", d.rr("t", "ING$", "")), ("ing+e", d.rr("t", "ING$", "E")), ("ness", d.rr("t", "NESS$", "")), ("ily", d.rr("t", "ILY$", "Y")), ("ed", d.rr("t", "ED$", ""))]
-    arms = " UNION ALL ".join(f"SELECT k, t, {i} AS prio, '{n}' AS rule, {e} AS cand FROM asked" for i, (n, e) in enumerate(cut))
-    names = "('STORM', 1), ('RIVER', 2), ('MAKE', 3), ('HAPPY', 4), ('KIND', 5), ('WALK', 6), ('BOX', 7)"
-    terms = "('the storm', 1), ('rivers', 2), ('making', 3), ('happily', 4), ('kindness', 5), ('walked', 6), ('boxes', 7), ('walking', 8), ('unknown', 9), ('river', 10), ('a box', 11)"
-    return f"""WITH asked AS (SELECT k, upper(t0) AS t FROM (VALUES {terms}) AS a(t0, k)), names AS (SELECT * FROM (VALUES {names}) AS n(name, id)), cand AS ({arms}),
-    hit AS (SELECT c.k, c.t, prio, rule, id, row_number() OVER (PARTITION BY c.k ORDER BY prio) AS place FROM cand c JOIN names ON name = cand)
-    SELECT a.k, a.t AS term, h.id, h.rule FROM asked a LEFT JOIN (SELECT * FROM hit WHERE place = 1) h ON h.k = a.k"""
-
-
-#: Claim patterns in order; the first that matches gives type and hint. Groups 1 and 2 are subject and predicate.
-CLAIM_RULES = (
-    ("opposition", "opposition", r"(?i)^(.+?)\s+(?:is|are)\s+(?:the\s+)?opposite\s+of\s+(.+)$"),
-    ("taxonomic", "affinity", r"(?i)^(.+?)\s+(?:is|are)\s+(?:a\s+)?(?:type|kind|form|sort|category)\s+of\s+(.+)$"),
-    ("temporal", "order_before", r"(?i)^(.+?)\s+(?:(?:comes?|came|happens?|happened|is|are|was|were)\s+)?(?:before|prior\s+to|earlier\s+than)\s+(.+)$"),
-    ("temporal", "order_after", r"(?i)^(.+?)\s+(?:(?:comes?|came|happens?|happened|is|are|was|were)\s+)?(?:after|later\s+than)\s+(.+)$"),
-    ("temporal", "order_before", r"(?i)^(.+?)\s+(?:precedes?|preceded)\s+(.+)$"),
-    ("temporal", "order_after", r"(?i)^(.+?)\s+(?:follows?|followed)\s+(.+)$"),
-    ("temporal", "locative", r"(?i)^(.+?)\s+(?:is|are|was|were|lies?|lay)\s+in\s+the\s+(past|future|present)$"),
-    ("causal", "affinity", r"(?i)^(.+?)\s+(?:causes?|leads?\s+to|produces?|creates?|results?\s+in|generates?)\s+(.+)$"),
-    ("identity", "synonym", r"(?i)^(.+?)\s+(?:is|are)\s+(?:(?:a|an|the)\s+)?(.+)$"),
-    ("freeform", "", r"(?i)^(.+?)\s+(?:can|will|should|must|has|have|means?|requires?|contains?|includes?)\s+(.+)$"),
-)
-
-
-def claims(d):
-    """Claims over relation pairs, in five forms and some others, as text."""
-    forms = ["' is the opposite of '", "' is a kind of '", "' causes '", "' comes before '", "' is '"]
-    arms = " ".join(f"WHEN {i} THEN {f}" for i, f in enumerate(forms))
-    return f"""claims AS (SELECT row_number() OVER (ORDER BY c1, c2) AS claim_id, c1, c2, rel_type,
-      concat(p.name, CASE (c1 + c2) % 5 {arms} END, q.name) AS text FROM relations JOIN concepts p ON p.id = c1 JOIN concepts q ON q.id = c2)"""
-
-
-def parsed(d):
-    def pick(i):
-        return " ".join(f"WHEN {d.rx('text', p)} THEN {v(i, t, h, p)}" for t, h, p in CLAIM_RULES for v in (lambda i, t, h, p: (f"'{t}'", f"'{h}'", f"trim({d.rg('text', p, 1)})", f"trim({d.rg('text', p, 2)})")[i],))
-    return f"""parsed AS (SELECT *, CASE {pick(0)} ELSE 'freeform' END AS claim_type, CASE {pick(1)} ELSE '' END AS hint,
-      CASE {pick(2)} ELSE text END AS subject, CASE {pick(3)} ELSE text END AS predicate FROM claims)"""
-
-
-@Q("TXT-04 SRC-10 CHK-09")
-def claim_parse(d):
-    own = "(1, 'Fire is the opposite of water'), (2, 'A whale is a kind of mammal'), (3, 'Dawn comes before noon'), (4, 'Rain leads to floods'), (5, 'Harvest follows growth'), (6, 'Tomorrow lies in the future'), (7, 'Ice is a solid'), (8, 'Trees have leaves'), (9, 'Hello')"
-    return f"WITH claims AS (SELECT * FROM (VALUES {own}) AS t(claim_id, text)), {parsed(d)} SELECT CAST(claim_id AS BIGINT) AS claim_id, claim_type, hint, subject, predicate FROM parsed"
-
-
-@Q("TXT-05 SRC-08")
-def question_to_claim(d):
-    own = "(1, 'What is the opposite of hot?', 'cold;cool'), (2, 'What causes rain?', 'Clouds'), (3, 'Is a whale a fish?', 'No, a mammal'), (4, 'Who comes first?', 'Ada')"
-    subject = d.rr("q", "[?]$", "")
-    return f"""WITH t AS (SELECT * FROM (VALUES {own}) AS v(id, q, answers)), a AS (SELECT id, q, {d.explode(d.split('answers', ';'))} AS answer FROM t)
-    SELECT id, trim(answer) AS answer, CASE WHEN {d.rx('q', '^What is ')} THEN concat({d.rr(subject, '^What is ', '')}, ' is ', trim(answer))
-      WHEN {d.rx('q', '^What causes ')} THEN concat(trim(answer), ' causes ', {d.rr(subject, '^What causes ', '')})
-      ELSE concat({subject}, ': ', trim(answer)) END AS claim FROM a"""
-
-
-def evidence(d):
-    """Stage by stage: parsed claims, angle of the pair, top-5 lists, contrary and friendly pairs in the graph."""
-    return f"""{graph(d)}, {claims(d)}, {parsed(d)},
-    res AS (SELECT p.*, a.id AS i, b.id AS j, {angle('a.', 'b.', ESSENCE, '90e0')} AS t FROM parsed p JOIN concepts a ON a.name = p.subject JOIN concepts b ON b.name = p.predicate),
-    ends AS (SELECT DISTINCT i AS id FROM res UNION SELECT DISTINCT j FROM res),
-    near0 AS (SELECT e.id, c.id AS n, {angle('q.', 'c.', ESSENCE, '90e0')} AS t FROM ends e JOIN concepts q ON q.id = e.id CROSS JOIN concepts c),
-    near AS (SELECT id, n, t, greatest(0e0, 1e0 - t / 60e0) AS w FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(t, 9), n) AS place FROM near0) z WHERE place <= 5),
-    sig AS (SELECT s.claim_id, CAST(sum(CASE WHEN u.rel_type = 'complement' THEN 1 ELSE 0 END) AS BIGINT) AS n_comp, CAST(sum(CASE WHEN u.rel_type = 'opposition' THEN 1 ELSE 0 END) AS BIGINT) AS n_opp,
-        CAST(sum(CASE WHEN u.rel_type = 'synonym' THEN 1 ELSE 0 END) AS BIGINT) AS n_syn, CAST(sum(CASE WHEN u.rel_type = 'affinity' THEN 1 ELSE 0 END) AS BIGINT) AS n_aff
-      FROM res s JOIN near x ON x.id = s.i JOIN near y ON y.id = s.j JOIN und u ON u.me = x.n AND u.other = y.n WHERE x.w >= 0.1e0 AND y.w >= 0.1e0 GROUP BY s.claim_id),
-    ev AS (SELECT s.claim_id, s.claim_type, s.rel_type, s.t, coalesce(n_comp, 0) AS n_comp, coalesce(n_opp, 0) AS n_opp, coalesce(n_syn, 0) AS n_syn, coalesce(n_aff, 0) AS n_aff FROM res s LEFT JOIN sig g ON g.claim_id = s.claim_id)"""
-
-
-@Q("JOIN-10 CHK-02 CHK-03 CHK-04 TOP-03")
-def graph_signal(d):
-    return f"""WITH {evidence(d)} SELECT claim_id, claim_type, {r('t', 4)} AS angle, n_comp, n_opp, n_syn, n_aff,
-    CASE WHEN n_opp > 0 THEN 'opposition' WHEN n_comp > 0 THEN 'complement' WHEN n_syn > 0 THEN 'synonym' WHEN n_aff > 0 THEN 'affinity' ELSE 'none' END AS strongest,
-    CASE WHEN claim_type IN ('identity', 'causal', 'freeform') THEN n_comp + n_opp > 0 WHEN claim_type = 'taxonomic' THEN n_comp + n_opp >= 2 ELSE false END AS inverted FROM ev"""
-
-
-#: Angle limits by claim type: consistent, plausible, suspicious. Opposition reads them the other way round.
-LIMITS = {"identity": (35, 55, 75), "causal": (45, 65, 80), "taxonomic": (40, 60, 78), "opposition": (60, 45, 30), "freeform": (40, 60, 78)}
-
-
-def verdict(d):
-    """Stages 1 and 2 of the verdict, clause by clause; the floor of a positive number is its truncation."""
-    rows = ", ".join(f"('{k}', {a}e0, {b}e0, {c}e0)" for k, (a, b, c) in LIMITS.items())
-    whole = lambda x: f"CAST(floor({x}) AS BIGINT)"
-    far = f"""CASE WHEN t >= ok THEN least(95, 60 + {whole('(t - ok) * 1.5e0')}) WHEN t >= pl THEN 50 + {whole('(t - pl) / (ok - pl) * 25e0')}
-      WHEN t >= su THEN 35 + {whole('(t - su) / (pl - su) * 20e0')} ELSE least(90, 55 + {whole('(su - t) * 2e0')}) END"""
-    near = f"""CASE WHEN t <= ok THEN least(95, 60 + {whole('(ok - t) * 1.5e0')}) WHEN t <= pl THEN 40 + {whole('(pl - t) / (pl - ok) * 25e0')}
-      WHEN t <= su THEN 35 + {whole('(su - t) / (su - pl) * 20e0')} ELSE least(90, 55 + {whole('t - su')}) END"""
-    return f"""lim AS (SELECT * FROM (VALUES {rows}) AS l(kind, ok, pl, su)),
-    s1 AS (SELECT ev.*, claim_type = 'opposition' AS opp,
-       CASE WHEN claim_type = 'opposition' THEN CASE WHEN t >= ok THEN 'CONSISTENT' WHEN t >= pl THEN 'PLAUSIBLE' WHEN t >= su THEN 'SUSPICIOUS' ELSE 'INCONSISTENT' END
-            ELSE CASE WHEN t <= ok THEN 'CONSISTENT' WHEN t <= pl THEN 'PLAUSIBLE' WHEN t <= su THEN 'SUSPICIOUS' ELSE 'INCONSISTENT' END END AS l1,
-       CASE WHEN claim_type = 'opposition' THEN {far} ELSE {near} END AS c1
-       FROM ev JOIN lim ON kind = CASE WHEN claim_type IN ('identity', 'causal', 'taxonomic', 'opposition') THEN claim_type ELSE 'freeform' END),
-    s2 AS (SELECT *, CASE WHEN opp THEN CASE WHEN n_opp > 0 THEN 15 WHEN n_comp > 0 THEN 10 WHEN n_syn + n_aff > 0 THEN -15 ELSE 0 END
-       ELSE CASE WHEN n_syn > 0 THEN 20 WHEN n_aff > 0 THEN 20 WHEN n_comp > 0 THEN -10 WHEN n_opp > 0 THEN -20 ELSE 0 END END AS bonus FROM s1),
-    s3 AS (SELECT *, greatest(5, least(99, c1 + bonus)) AS c2, CASE WHEN NOT opp AND bonus >= 15 AND l1 = 'SUSPICIOUS' THEN 'PLAUSIBLE' WHEN NOT opp AND bonus >= 20 AND l1 = 'INCONSISTENT' THEN 'SUSPICIOUS' ELSE l1 END AS l2,
-       n_comp + n_opp AS contrary, CASE WHEN claim_type IN ('identity', 'causal', 'freeform') THEN n_comp + n_opp > 0 WHEN claim_type = 'taxonomic' THEN n_comp + n_opp >= 2 ELSE false END AS inv FROM s2),
-    s4 AS (SELECT *, CASE WHEN inv AND contrary >= 3 THEN 'INCONSISTENT' WHEN inv AND l2 IN ('CONSISTENT', 'PLAUSIBLE') THEN 'SUSPICIOUS' ELSE l2 END AS l3,
-       CASE WHEN inv AND contrary >= 3 THEN least(95, 70 + contrary * 3) WHEN inv AND l2 IN ('CONSISTENT', 'PLAUSIBLE') THEN greatest(c2, 55 + contrary * 10) ELSE c2 END AS c3 FROM s3),
-    s5 AS (SELECT *, CASE WHEN opp AND contrary > 0 AND l3 IN ('SUSPICIOUS', 'INCONSISTENT') THEN 'CONSISTENT' ELSE l3 END AS l4,
-       CASE WHEN opp AND contrary > 0 AND l3 IN ('SUSPICIOUS', 'INCONSISTENT') THEN least(95, 65 + contrary * 5) ELSE c3 END AS c4 FROM s4),
-    verdicts AS (SELECT claim_id, claim_type, rel_type, t, contrary, CASE WHEN opp AND n_syn > 0 AND l4 IN ('CONSISTENT', 'PLAUSIBLE') THEN 'INCONSISTENT' ELSE l4 END AS label,
-       CAST(greatest(5, least(99, CASE WHEN opp AND n_syn > 0 AND l4 IN ('CONSISTENT', 'PLAUSIBLE') THEN least(90, 60 + n_syn * 10) ELSE c4 END)) AS BIGINT) AS confidence FROM s5)"""
-
-
-@Q("CHK-01 CHK-05 CHK-06 CHK-07 CHK-08 CHK-10")
-def claim_verdicts(d):
-    return f"WITH {evidence(d)}, {verdict(d)} SELECT claim_id, claim_type, {r('t', 4)} AS angle, label, confidence FROM verdicts"
-
-
-@Q("AGG-06 AGG-07 AGG-08 AGG-33")
-def verdict_metrics(d):
-    truth = "CASE claim_type WHEN 'opposition' THEN rel_type = 'opposition' WHEN 'identity' THEN rel_type = 'synonym' WHEN 'taxonomic' THEN rel_type IN ('affinity', 'synonym') ELSE rel_type IN ('affinity', 'synonym', 'adjacent') END"
-    n = lambda c: f"CAST(sum(CASE WHEN {c} THEN 1 ELSE 0 END) AS BIGINT)"
-    return f"""WITH {evidence(d)}, {verdict(d)}, m AS (SELECT claim_type, label IN ('CONSISTENT', 'PLAUSIBLE') AS said, {truth} AS true_, contrary FROM verdicts)
-    SELECT claim_type, count(*) AS n, {n('said = true_')} AS right_, {n('said AND true_')} AS tp, {n('said AND NOT true_')} AS fp, {n('NOT said AND true_')} AS fn,
-    {r('avg(CASE WHEN said = true_ THEN 1e0 ELSE 0e0 END)')} AS accuracy, {r(f"{n('said AND true_')} / nullif(CAST({n('said')} AS DOUBLE), 0e0)")} AS precision_,
-    {r(f"{n('NOT said AND NOT true_')} / nullif(CAST({n('NOT true_')} AS DOUBLE), 0e0)")} AS violation_recall, {r(f"{n('contrary > 0 AND NOT true_')} / nullif(CAST({n('contrary > 0')} AS DOUBLE), 0e0)")} AS signal_precision FROM m GROUP BY claim_type"""
-
-
-def closure(d):
-    return f"{succession(d)}, walk AS (SELECT earlier AS a, later AS b, 1 AS depth FROM succession WHERE wrap = 0 UNION ALL SELECT walk.a, s.later, walk.depth + 1 FROM walk JOIN succession s ON s.earlier = walk.b AND s.wrap = 0 WHERE walk.depth < 64), reach AS (SELECT DISTINCT a, b FROM walk)"
-
-
-@Q("TMP-01 TMP-02 TMP-07")
-def succession_closure(d):
-    return f"{d.rec()} {closure(d)} SELECT a, b FROM reach"
-
-
-@Q("TMP-03 TMP-05 SET-03")
-def order_verdicts(d):
-    return f"""{d.rec()} {closure(d)}, names AS (SELECT earlier AS n FROM succession UNION SELECT later FROM succession), mem AS (SELECT earlier AS n, cycle_name AS c FROM succession WHERE regime = 'cycle' UNION SELECT later, cycle_name FROM succession WHERE regime = 'cycle'),
-    p AS (SELECT x.n AS first_, y.n AS second_ FROM names x CROSS JOIN names y WHERE x.n <> y.n),
-    j AS (SELECT first_, second_, (SELECT min(m.c) FROM mem m JOIN mem k ON k.c = m.c WHERE m.n = first_ AND k.n = second_) AS wheel FROM p)
-    SELECT first_, second_, wheel, CASE WHEN wheel IS NOT NULL THEN 'PLAUSIBLE' WHEN f.a IS NOT NULL THEN 'CONSISTENT' WHEN g.a IS NOT NULL THEN 'INCONSISTENT' ELSE 'ABSTAIN' END AS verdict,
-    CASE WHEN wheel IS NOT NULL THEN 70 WHEN f.a IS NOT NULL THEN 90 WHEN g.a IS NOT NULL THEN 95 ELSE 0 END AS confidence
-    FROM j LEFT JOIN reach f ON f.a = first_ AND f.b = second_ LEFT JOIN reach g ON g.a = second_ AND g.b = first_"""
-
-
-@Q("TMP-04 TMP-06")
-def locative_verdicts(d):
-    return f"""{d.rec()} {closure(d)}, names AS (SELECT earlier AS n FROM succession UNION SELECT later FROM succession),
-    side AS (SELECT n, CASE WHEN n = 'PRESENT' THEN 'present' WHEN EXISTS (SELECT 1 FROM reach WHERE a = n AND b = 'PRESENT') THEN 'past' WHEN EXISTS (SELECT 1 FROM reach WHERE a = 'PRESENT' AND b = n) THEN 'future' END AS s FROM names)
-    SELECT x.n AS subject, y.n AS landmark, x.s AS subject_side, y.s AS landmark_side, CASE WHEN x.s IS NULL OR y.s IS NULL THEN 'ABSTAIN' WHEN x.s = y.s THEN 'CONSISTENT' ELSE 'INCONSISTENT' END AS verdict FROM side x CROSS JOIN side y WHERE x.n <> y.n"""
-
-
-#: The declared capabilities, and our own marker patterns.
-PROFILE = {"cross_session_memory": False, "vision": False, "audio": False, "persistent_processing": False, "online_learning": False, "embodiment": False}
-FIRST = r"(?i)\b(i|my|me|i'm)\b"
-NOT = r"\b(not|never|cannot|can't|don't|no)\b"
-MARKS = (
-    ("in_context", None, r"\b(remember|recall)\b.*\b(this conversation|so far|you just said)\b"),
-    ("cross_session_memory", "cap", r"\b(remember|recall|talked|discussed)\b.*\b(last (week|time|session)|yesterday|before today)\b"),
-    ("vision", "cap", r"\b(see|look at|watch)\b.*\b(photo|picture|face|screen|sunset)\b"),
-    ("audio", "cap", r"\b(hear|listen)\b.*\b(song|voice|sound|music)\b"),
-    ("reading", "def", r"\b(read|process)\b.*\b(text|tokens?|words?)\b"),
-    ("persistent_processing", "cap", r"\b(think|dream|wait)\b.*\b(while you|between|overnight)\b"),
-    ("online_learning", "cap", r"\b(learn|update|train)\b.*\b(from you|as we talk|weights)\b"),
-    ("embodiment", "cap", r"\b(walk|ate|eat|touch|hands?|body)\b"),
-    ("fact", "fact", r"\b(language model|neural network|trained on text)\b"),
-)
-SELF_CLAIMS = ("I remember what you just said so far.", "I never recall this conversation.", "I remember our talk from last week.", "I do not remember you from yesterday.", "I see your face in the photo.", "I cannot see any picture.", "I hear the music.", "I read text as tokens.", "I do not process words.", "I think about you overnight while you sleep.", "I learn from you as we talk.", "My weights do not update from you.", "I ate lunch.", "I have no body.", "I am a language model.", "I am not a neural network.", "The sky is blue.", "I see what you mean.")
-
-
-@Q("MCH-01 MCH-02 MCH-03 MCH-04")
-def self_claim_verdicts(d):
-    """The first marker that matches decides; capabilities are judged against the declared profile."""
-    esc = lambda s: s.replace("'", "''")
-    own = ", ".join(f"({i}, '{esc(t)}')" for i, t in enumerate(SELF_CLAIMS))
-    rx = lambda x, p: f"regexp_like({x}, {esc_lit(d, p)})" if d.name == "spark" else f"regexp_matches({x}, '{esc(p)}')"
-    hit = "CASE " + " ".join(f"WHEN {rx('low', p)} THEN '{n}'" for n, _, p in MARKS) + " END"
-    has = ", ".join(f"'{k}'" for k, v in PROFILE.items() if v) or "''"
-    return f"""WITH t AS (SELECT id, text, lower(text) AS low FROM (VALUES {own}) AS v(id, text)),
-    m AS (SELECT id, text, CASE WHEN {rx('text', FIRST)} THEN {hit} END AS mark, {rx('low', NOT)} AS negated FROM t)
-    SELECT id, mark, negated, CASE WHEN mark IS NULL THEN 'ABSTAIN' WHEN mark IN ('in_context', 'reading', 'fact') THEN CASE WHEN negated THEN 'INCONSISTENT' ELSE 'CONSISTENT' END
-      WHEN mark IN ({has}) THEN CASE WHEN negated THEN 'PLAUSIBLE' ELSE 'CONSISTENT' END ELSE CASE WHEN negated THEN 'CONSISTENT' ELSE 'INCONSISTENT' END END AS verdict,
-    CASE WHEN mark IS NULL THEN 0 WHEN mark = 'in_context' THEN CASE WHEN negated THEN 75 ELSE 82 END WHEN mark = 'reading' THEN CASE WHEN negated THEN 85 ELSE 82 END WHEN mark = 'fact' THEN CASE WHEN negated THEN 85 ELSE 78 END
-      WHEN mark IN ({has}) THEN CASE WHEN negated THEN 60 ELSE 75 END ELSE CASE WHEN negated THEN 85 ELSE 88 END END AS confidence FROM m"""
-
-
-def esc_lit(d, p):
-    return '"' + p.replace("\\", "\\\\") + '"'
+    """Documents that share runs of eight words with a benchmark item, equal it or contain it; runs meet by hash first, and only hits are spelled out."""
+    def tokens(table, key):
+        text = f'trim({d.rr("lower(text)", "[^a-z0-9]+", " ")})'
+        return f"{table}_w AS (SELECT {key} AS k, {text} AS t, {d.split(text, ' ')} AS w FROM {table})"
+    run, at = d.concat(d.slice("w", "i", "8"), " "), d.seq(1, f"{d.size('w')} - 7")
+    if d.name == "spark":
+        hashed = lambda t: f"{t}_h AS (SELECT k, h.pos + 1 AS i, h.col AS h FROM {t}_w LATERAL VIEW posexplode(CASE WHEN size(w) >= 8 THEN transform(sequence(1, size(w) - 7), i -> xxhash64(slice(w, i, 8))) END) h AS pos, col)"
+        grams = f"""{hashed('benchmark')}, {hashed('documents')}, hits AS (SELECT k, i FROM documents_h LEFT SEMI JOIN benchmark_h ON benchmark_h.h = documents_h.h),
+        documents_g AS (SELECT DISTINCT w.k, {run} AS s FROM hits JOIN documents_w w ON w.k = hits.k), benchmark_g AS (SELECT DISTINCT w.k, {run} AS s FROM benchmark_h b JOIN benchmark_w w ON w.k = b.k)"""
+    else:
+        grams = ", ".join(f"{t}_g AS (SELECT DISTINCT k, {run} AS s FROM (SELECT k, w, {d.explode(at)} AS i FROM {t}_w WHERE {d.size('w')} >= 8) z)" for t in ("documents", "benchmark"))
+    return f"""WITH {tokens('documents', 'doc_id')}, {tokens('benchmark', 'item_id')}, {grams}, m AS (SELECT a.k AS doc_id, b.k AS item_id, count(*) AS shared FROM documents_g a JOIN benchmark_g b ON a.s = b.s GROUP BY a.k, b.k)
+    SELECT m.doc_id, m.item_id, shared, x.t = y.t AS equal_, position(y.t IN x.t) > 0 AS contains_ FROM m JOIN documents_w x ON x.k = doc_id JOIN benchmark_w y ON y.k = item_id"""
 
 
 #: Lines of each class, bottom first, as bits; the number of a pair (lower, upper) in our tables is 8 * lower + upper + 1.
 LINES = {"QIAN": 7, "DUI": 3, "LI": 5, "ZHEN": 1, "XUN": 6, "KAN": 2, "GEN": 4, "KUN": 0}
 
 
-@Q("ORC-01 ORC-02 ORC-09 JSN-01")
+@Q("ORC-01 ORC-02 JSN-01")
 def diagnosis(d):
     """Every tenth concept as a question: its class, best complement, hexagram code, profile and witness, as JSON."""
     code = lambda x: "CASE " + x + " " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in LINES.items()) + " END"
@@ -249,7 +69,7 @@ def diagnosis(d):
     concat('{{"k":', CAST(k AS STRING), ',"class":"', lower_, '","complement":', CAST(id AS STRING), '}}') AS json FROM s WHERE place = 1"""
 
 
-@Q("ORC-03 ORC-04 ORC-05 HSH-02")
+@Q("ORC-04 ORC-05 HSH-02")
 def coin_cast(d):
     """Three hash-drawn coins for six lines: 6 to 9 each; changing lines and both codes."""
     coin = lambda c: f"({d.hash(f"""concat('cast|', CAST(k AS STRING), '|', CAST(ln AS STRING), '|{c}')""")} % 2 + 2)"
@@ -269,18 +89,6 @@ def sequence_corpus(d):
     FROM u LEFT JOIN f ON f.sym = u.sym LEFT JOIN top ON top.prev = u.sym AND place = 1"""
 
 
-@Q("TXT-07 TXT-08 TXT-09 TXT-12 TXT-13 TXT-17")
-def reply_parsers(d):
-    own = "(1, 'PAIR: STORM + RIVER'), (2, 'SINGLE: STORM'), (3, 'NONE'), (4, 'it is river then storm'), (5, 'ANSWER: 12 CONFIDENCE: 40 ... ANSWER: 1,234 CONFIDENCE: 130'), (6, '{\"a\": 1} text {\"choice\": \"b\", \"p\": 2}')"
-    pos = lambda w: f"nullif(position('{w}' IN upper(t)), 0)"
-    last = lambda p: d.rg("t", f".*{p}", 1)
-    return f"""WITH r AS (SELECT * FROM (VALUES {own}) AS v(id, t))
-    SELECT id, CASE WHEN {d.rx('t', '^NONE')} THEN 'NONE' WHEN {d.rx('t', '^PAIR: *[A-Z]+ *[+] *[A-Z]+')} THEN 'PAIR' WHEN {d.rx('t', '^SINGLE: *[A-Z]+')} THEN 'SINGLE' ELSE 'INVALID' END AS kind,
-    {d.rg('t', '^[A-Z]+: *([A-Z]+)', 1)} AS first_, CASE WHEN coalesce({pos('STORM')}, 9999) < coalesce({pos('RIVER')}, 9999) THEN 'STORM' WHEN {pos('RIVER')} IS NOT NULL THEN 'RIVER' ELSE '' END AS first_named,
-    {d.rr(last('ANSWER: *([0-9,]+)'), ',', '')} AS answer, CASE WHEN {d.rx('t', 'CONFIDENCE')} THEN greatest(50, least(100, CAST({last('CONFIDENCE: *([0-9]+)')} AS INT))) END AS confidence,
-    {last('([{][^{}]*"choice"[^{}]*[}])')} AS json FROM r"""
-
-
 @Q("TXT-10 PRJ-12")
 def pos_heuristics(d):
     return f"""WITH {words(d)}, v AS (SELECT DISTINCT w FROM content)
@@ -288,34 +96,7 @@ def pos_heuristics(d):
     {d.hash('w')} % 9 AS level FROM v WHERE {d.rx('w', '^th')}"""
 
 
-@Q("TXT-11 TXT-16 TXT-14 TXT-15 AGG-19 AGG-20 AGG-39")
-def text_shape(d):
-    mass = f"length({d.rr(d.rr('text', '[*_#>|~-]+', ''), '[ ]+', '')})"
-    return f"""SELECT role, count(*) AS n, {r('avg(length(text))')} AS chars, {r(f'avg({mass})')} AS mass, {r(f"avg(length(text) - length({d.rr('text', '[aeiou]', '')}))")} AS vowels,
-    {r(f"avg(CASE WHEN {d.rx('text', '[.!?]')} THEN 1e0 ELSE 0e0 END)")} AS with_sentence, {r(f"avg({d.size(d.rall('lower(text)', '[a-z]{4,}'))})")} AS long_words,
-    {r(f"avg({d.size(d.rall('text', '[0-9]{3,}'))})")} AS digit_runs FROM conversations GROUP BY role"""
-
-
-@Q("TXT-18 TXT-19 HSH-01 JSN-02 STR-12 STR-06")
-def trial_plan(d):
-    """A plan as the product of its factors, option order rotated, each call hashed; the plan's own hash over ordered lines."""
-    return f"""WITH a AS (SELECT {d.explode(d.seq(0, 11))} AS item), b AS (SELECT {d.explode(d.seq(0, 3))} AS rep), p AS (SELECT item, rep, (item + rep) % 4 AS first_option, concat('c-', CAST(item AS STRING), '-', CAST(rep AS STRING)) AS call_id FROM a CROSS JOIN b),
-    h AS (SELECT *, {d.sha("concat(call_id, '|', CAST(first_option AS STRING))")} AS body FROM p),
-    s AS (SELECT {d.sha(d.join("concat(call_id, ' ', body)", ';', "concat(call_id, ' ', body)"))} AS plan FROM h)
-    SELECT call_id, CAST(item AS BIGINT) AS item, CAST(rep AS BIGINT) AS rep, CAST(first_option AS BIGINT) AS first_option, body, plan, {d.hash("concat('seed|', call_id)")} AS seed FROM h CROSS JOIN s"""
-
-
-@Q("SRC-07 SRC-13 SRC-14")
-def line_grammars(d):
-    own = "(1, 'FOG | grey mist | KAN'), (2, '# note'), (3, 'STONE | hard thing'), (4, 'REL storm calm OPP 120'), (5, 'POL storm NEG'), (6, 'noise line'), (7, '')"
-    part = lambda i: f"nullif(trim({d.rg('t', '^([^|]*)[|]?([^|]*)[|]?([^|]*)$', i)}), '')"
-    return f"""WITH l AS (SELECT * FROM (VALUES {own}) AS v(id, t))
-    SELECT id, CASE WHEN t = '' OR {d.rx('t', '^#')} THEN 'skip' WHEN {d.rx('t', '^REL ')} THEN 'rel' WHEN {d.rx('t', '^POL ')} THEN 'pol' WHEN {d.rx('t', '[|]')} THEN 'entry' ELSE 'dropped' END AS kind,
-    CASE WHEN {d.rx('t', '[|]')} THEN {part(1)} END AS name, CASE WHEN {d.rx('t', '[|]')} THEN {part(2)} END AS description, CASE WHEN {d.rx('t', '[|]')} THEN coalesce({part(3)}, 'QIAN') END AS class,
-    {d.rg('t', '^REL ([a-z]+) ([a-z]+) ([A-Z]+)', 3)} AS rel FROM l"""
-
-
-@Q("CUR-16 CUR-17 SET-04 JOIN-18 AGG-46")
+@Q("CUR-16 SET-04")
 def pool_build(d):
     """One entry per (axis, pole) with merged members, banned names left out, keys missing or extra against a table."""
     return f"""WITH {concepts(d)}, s AS (SELECT id, name, CASE WHEN x > 0e0 THEN 'high' ELSE 'low' END AS pole, trigram AS axis FROM concepts WHERE NOT {d.rx('name', '7$')}),

@@ -29,11 +29,12 @@ def _angles(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where((norm(q) < 1e-10)[:, None] | (norm(x) < 1e-10)[None, :], 90.0, t)
 
 
-def nearest(items: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vector_col: str = "vector", exclude_self: bool = True, most: float | None = None) -> DataFrame:
+def nearest(items: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vector_col: str = "vector", exclude_self: bool = True, most: float | None = None, digits: int | None = 4) -> DataFrame:
     """(query_id, place, id, angle): the ``k`` items of least angle, ties to the smaller id.
 
     ``most`` leaves out items beyond that angle. Vectors without length stand
-    at 90 degrees to everything. Null vectors take no part.
+    at 90 degrees to everything. Null vectors take no part. Angles are rounded to
+    ``digits`` unless it is None.
     """
     spark = items.sparkSession
     items, queries = (t.select(F.col(id_col).cast("long").alias("_id"), F.col(vector_col).alias("_x")).where("_id IS NOT NULL AND _x IS NOT NULL") for t in (items, queries))
@@ -63,7 +64,7 @@ def nearest(items: DataFrame, queries: DataFrame, k: int, id_col: str = "id", ve
 
     lists = x.groupBy("_s", "_b").cogroup(q.groupBy("_s", "_b")).applyInArrow(cell, "query_id long, id long, angle double")
     w = Window.partitionBy("query_id").orderBy(F.round("angle", 9), "id")
-    return lists.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select("query_id", "place", "id", F.round("angle", 4).alias("angle"))
+    return lists.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select("query_id", "place", "id", (F.col("angle") if digits is None else F.round("angle", digits)).alias("angle"))
 
 
 def knn_angle_7d(spark: SparkSession, sf_dir: str) -> DataFrame:

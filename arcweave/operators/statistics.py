@@ -80,7 +80,7 @@ def twin_calls(d):
     SELECT a.user_id, a.event_id AS asked, b.event_id AS answered FROM f a LEFT JOIN f b ON b.user_id = a.user_id AND b.event_type = 'purchase' WHERE a.event_type = 'click'"""
 
 
-@Q("AGG-12 AGG-40")
+@Q("AGG-12")
 def status_rates(d):
     return f"""WITH {runlog(d)} SELECT event_type, count(*) AS n, {n_if("status = 'ok'")} AS ok, {n_if("status = 'retry'")} AS retries, {r(share("status = 'invalid'"))} AS invalid_rate,
     {share("status <> 'ok'")} > 0.1e0 AS flagged FROM runlog GROUP BY event_type"""
@@ -98,12 +98,6 @@ def spend_stop(d):
     SELECT count(*) AS calls, CAST(max(spent) AS BIGINT) AS spent FROM s CROSS JOIN c WHERE spent <= cap"""
 
 
-@Q("STR-08 STR-09 STR-10 AGG-34")
-def response_validation(d):
-    k = d.json("props", "k")
-    return f"""SELECT event_id, CAST({k} AS BIGINT) AS k, {d.json('props', 'nope')} IS NULL AS lacks_key, CAST({k} AS BIGINT) BETWEEN 0 AND 100 AS in_range, coalesce(CAST({d.json('props', 'cost')} AS DOUBLE), 0e0) AS cost, {d.sha('props')} AS blob FROM events"""
-
-
 @Q("STR-04 STR-05 STR-11")
 def staged_plan(d):
     """The second stage takes the users whose first stage ended ok, in rounds of bounded size."""
@@ -144,13 +138,13 @@ def first_right(d):
     return f"""SELECT user_id, count(*) AS n, min(CASE WHEN event_type <> 'error' THEN event_id END) AS first_right, min(CASE WHEN event_type = 'error' THEN event_id END) AS first_wrong, min_by(event_type, event_id) AS first_kind FROM events GROUP BY user_id"""
 
 
-@Q("WIN-11 STAT-39")
+@Q("WIN-11")
 def base_vs_terminal(d):
     return f"""WITH {series(d)}, l AS (SELECT rep, max(turn) AS last FROM series GROUP BY rep)
     SELECT s.rep, {r('avg(CASE WHEN turn < 2 THEN v END)')} AS base_, {r('avg(CASE WHEN turn > last - 2 THEN v END)')} AS terminal, {r('var_pop(v)')} AS spread FROM series s JOIN l ON l.rep = s.rep GROUP BY s.rep"""
 
 
-@Q("WIN-12 STAT-18")
+@Q("WIN-12")
 def double_centre(d):
     w = "v - avg(v) OVER (PARTITION BY row_) - avg(v) OVER (PARTITION BY col_) + avg(v) OVER ()"
     u = w.replace("v ", "n ").replace("(v)", "(n)").replace("v - avg(n) OVER (PARTITION BY row_)", "n - avg(n) OVER (PARTITION BY row_)")
@@ -158,7 +152,7 @@ def double_centre(d):
     k AS (SELECT corr(cv, cn) AS rho FROM c) SELECT row_, col_, {r('cv', 2)} AS centred, {r('rho')} AS rho FROM c CROSS JOIN k"""
 
 
-@Q("WIN-13 WIN-14 STAT-24")
+@Q("WIN-13 WIN-14")
 def ladders(d):
     """Mean per step of each strand, its relative change, and the slope along the ladder."""
     return f"""WITH m AS (SELECT o_orderpriority AS strand, year(o_orderdate) AS k, avg(o_totalprice) AS v FROM orders GROUP BY o_orderpriority, year(o_orderdate)),
@@ -177,7 +171,7 @@ def gold_rank(d):
 # -- aggregates -----------------------------------------------------------------------------
 
 
-@Q("AGG-13 AGG-14 STR-12")
+@Q("AGG-13")
 def cell_means(d):
     """Means over complete cells only: those with every line status present."""
     return f"""WITH c AS (SELECT l_suppkey % 13 AS cell, l_returnflag AS arm, l_linestatus AS rot, avg(l_quantity) AS v FROM lineitem GROUP BY l_suppkey % 13, l_returnflag, l_linestatus)
@@ -190,7 +184,7 @@ def modal_value(d):
     SELECT k, v, n FROM o WHERE place = 1"""
 
 
-@Q("AGG-16 STAT-09 STAT-55")
+@Q("AGG-16 STAT-09")
 def repeat_distance(d):
     """Total variation and agreement of two nations' segment shares; entropy of each."""
     return f"""WITH t AS (SELECT c_nationkey AS k, c_mktsegment AS v, count(*) / CAST(sum(count(*)) OVER (PARTITION BY c_nationkey) AS DOUBLE) AS p FROM customer GROUP BY c_nationkey, c_mktsegment),
@@ -204,7 +198,7 @@ def label_shares(d):
     SELECT u.lang, m, count(*) AS docs, {r('count(*) / CAST(max(n.n) AS DOUBLE)')} AS share, row_number() OVER (PARTITION BY u.lang ORDER BY count(*) DESC, m) <= 3 AS top3 FROM u JOIN n ON n.lang = u.lang GROUP BY u.lang, m"""
 
 
-@Q("AGG-21 AGG-32 STAT-47")
+@Q("AGG-21 AGG-32")
 def union_degree(d):
     return f"""WITH {raters(d)} SELECT a AS axis, count(DISTINCT fam) AS families, count(*) AS edges, count(DISTINCT fam) >= 4 AS converged FROM raters GROUP BY a"""
 
@@ -215,7 +209,7 @@ def rater_agreement_t(d):
     SELECT k, count(*) AS pairs, {total('k * (k - 1) / 2')} AS t FROM p GROUP BY k"""
 
 
-@Q("AGG-23 STAT-57")
+@Q("AGG-23")
 def label_consensus(d):
     return f"""WITH {raters(d)}, l AS (SELECT a, b, kind, count(DISTINCT fam) AS votes FROM raters GROUP BY a, b, kind), t AS (SELECT a, b, sum(votes) AS n, max(votes) AS top, max_by(kind, votes * 1000 + ascii(kind)) AS kind FROM l GROUP BY a, b)
     SELECT a, b, CAST(n AS BIGINT) AS n, CASE WHEN top * 2 > n THEN kind ELSE 'TIE' END AS consensus FROM t WHERE n > 1"""
@@ -233,13 +227,13 @@ def isolates(d):
     SELECT CAST(u.n AS BIGINT) AS n, coalesce(f, 0) AS families, coalesce(deg, 0) AS degree, f IS NULL AS isolate, coalesce(f, 0) = 1 AS singleton FROM u LEFT JOIN g ON g.n = u.n"""
 
 
-@Q("AGG-26 AGG-27 AGG-41")
+@Q("AGG-26 AGG-27")
 def dose_curve(d):
     return f"""WITH {scored(d)}, t AS (SELECT CAST(floor(p * 5) AS BIGINT) AS dose, y, toxic, card FROM scored), c AS (SELECT dose, card, count(*) AS n FROM t GROUP BY dose, card), m AS (SELECT dose, max_by(card, n * 100 - card) AS mode_ FROM c GROUP BY dose)
     SELECT t.dose, count(*) AS n, {r('avg(y)')} AS claim_rate, {r(share('y = 1 AND toxic = 0'))} AS exact_rate, {r(share('toxic = 1'))} AS invalid_rate, max(mode_) AS mode_ FROM t JOIN m ON m.dose = t.dose GROUP BY t.dose"""
 
 
-@Q("AGG-29 AGG-31 AGG-48")
+@Q("AGG-29")
 def accuracy_by_density(d):
     return f"""WITH {scored(d)}, t AS (SELECT card AS fields, CASE WHEN (p >= 0.5e0) = (y = 1) THEN 1 ELSE 0 END AS right_, grp FROM scored), g AS (SELECT fields, grp, max(right_) AS some_, min(right_) AS all_ FROM t GROUP BY fields, grp), m AS (SELECT fields, {n_if('some_ <> all_')} AS mixed FROM g GROUP BY fields)
     SELECT t.fields, count(*) AS n, {r('avg(right_)')} AS accuracy, max(mixed) AS mixed FROM t JOIN m ON m.fields = t.fields GROUP BY t.fields"""
@@ -260,7 +254,7 @@ def contrast_by_factor(d):
     f AS (SELECT 'arm' AS factor_, arm AS level_, d FROM c UNION ALL SELECT 'parity', CAST(item % 2 AS STRING), d FROM c) SELECT factor_, level_, count(*) AS n, {r('avg(d)', 3)} AS contrast FROM f GROUP BY factor_, level_"""
 
 
-@Q("AGG-38 AGG-45 JOIN-15 JOIN-16")
+@Q("AGG-38 JOIN-15 JOIN-16")
 def paired_arms(d):
     """Items seen under both arms, joined; the lean of each and how often they agree."""
     return f"""WITH {items(d)}, m AS (SELECT item, avg(CASE WHEN arm = '1-URGENT' THEN v END) AS a, avg(CASE WHEN arm = '5-LOW' THEN v END) AS b FROM items GROUP BY item)
@@ -269,11 +263,12 @@ def paired_arms(d):
 
 @Q("AGG-42 GEO-40")
 def catch_scores(d):
-    return f"""WITH {scored(d)}, t AS (SELECT grp, 10e0 * p AS target, CASE WHEN id % 2 = 1 THEN 10e0 - (10e0 - card) ELSE card END AS report FROM scored)
-    SELECT grp, count(*) AS n, {n_if('abs(report - target) <= 1.5e0')} AS caught, {r('var_pop(report)')} AS spread FROM t WHERE report IS NOT NULL GROUP BY grp"""
+    """Half of the reports were written on a scale turned round: they are turned back before they are scored against the target."""
+    return f"""WITH {scored(d)}, w AS (SELECT grp, id, 10e0 * p AS target, CASE WHEN id % 2 = 1 THEN concat(' ', CAST(10 - card AS STRING), ' ') ELSE CAST(card AS STRING) END AS written FROM scored), t AS (SELECT grp, target, id % 2 AS flipped, CASE WHEN id % 2 = 1 THEN 10e0 - CAST(trim(written) AS DOUBLE) ELSE CAST(trim(written) AS DOUBLE) END AS report FROM w)
+    SELECT grp, flipped, count(*) AS n, {n_if('abs(report - target) <= 1.5e0')} AS caught, {r('avg(report)')} AS mean, {r('var_pop(report)')} AS spread FROM t GROUP BY grp, flipped"""
 
 
-@Q("AGG-43 AGG-47")
+@Q("AGG-47")
 def leak_retest(d):
     """Documents with a word of their partner's text, and the mean without them."""
     return f"""WITH {scored(d)}, b AS (SELECT DISTINCT w FROM (SELECT {d.explode(d.rall('lower(text)', '[a-z]{9,}'))} AS w FROM benchmark) t), g AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, {d.explode(d.rall('lower(text)', '[a-z]{9,}'))} AS w FROM documents) z JOIN b ON b.w = z.w)
@@ -307,21 +302,21 @@ def mutual_info_bins(d):
     m AS (SELECT n, CAST(sum(n) OVER (PARTITION BY y) AS DOUBLE) AS ny, CAST(sum(n) OVER (PARTITION BY bin) AS DOUBLE) AS nb, CAST(sum(n) OVER () AS DOUBLE) AS nn FROM j) SELECT {r('sum(n / nn * ln(n * nn / (ny * nb))) / ln(2e0)')} AS bits FROM m"""
 
 
-@Q("STAT-15 STAT-13")
+@Q("STAT-15")
 def matched_hit_rate(d):
     """False alarms at the threshold that gives a hit rate of three quarters."""
     return f"""WITH {scored(d)}, c AS (SELECT stratum, {d.pct('p', '0.25e0')} AS cut FROM scored WHERE y = 1 GROUP BY stratum)
     SELECT s.stratum, {r('max(cut)')} AS cut, {r('avg(CASE WHEN y = 1 THEN CASE WHEN p >= cut THEN 1e0 ELSE 0e0 END END)')} AS hits, {r('avg(CASE WHEN y = 0 THEN CASE WHEN p >= cut THEN 1e0 ELSE 0e0 END END)')} AS false_alarms FROM scored s JOIN c ON c.stratum = s.stratum GROUP BY s.stratum"""
 
 
-@Q("STAT-17 STAT-44 STAT-54 STAT-56")
+@Q("STAT-17")
 def interval_verdicts(d):
     """Mean, its normal interval and the three-way reading against a bar."""
     return f"""WITH {scored(d)}, s AS (SELECT grp, count(*) AS n, avg(CAST(y AS DOUBLE)) AS m, stddev_pop(CAST(y AS DOUBLE)) / sqrt(count(*)) AS se FROM scored GROUP BY grp)
     SELECT grp, n, {r('m')} AS mean, {r('m - 1.96e0 * se')} AS lo, {r('m + 1.96e0 * se')} AS hi, CASE WHEN m + 1.96e0 * se <= 0.9e0 THEN 'below' WHEN m - 1.96e0 * se > 0.9e0 THEN 'above' ELSE 'unclear' END AS reading FROM s"""
 
 
-@Q("STAT-25 STAT-66")
+@Q("STAT-66")
 def level_table(d):
     return f"""WITH {scored(d)} SELECT card AS level, count(*) AS n, {r('avg(y)')} AS accuracy, {r('ln(1e0 + card)')} AS log_level, {r('exp(-card / 3e0)')} AS decay FROM scored GROUP BY card"""
 
@@ -335,13 +330,13 @@ def spearman_by_group(d):
     s AS (SELECT g, count(*) AS n, corr(ra, rb) AS rho FROM k GROUP BY g) SELECT g, n, {r('rho')} AS rho, {r('0.5e0 * ln((1e0 + rho) / (1e0 - rho))')} AS fisher_z FROM s"""
 
 
-@Q("STAT-29 STAT-32")
+@Q("STAT-29")
 def pooled_rank_corr(d):
     return f"""WITH {items(d)}, k AS (SELECT arm, pol, {avg_rank('v', 'arm')} AS ra, {avg_rank('item', 'arm')} AS rb, count(*) OVER (PARTITION BY arm) AS n FROM items), z AS (SELECT arm, pol, (ra - 1) / (n - 1) AS a, (rb - 1) / (n - 1) AS b FROM k)
     SELECT 'all' AS part_, {r('corr(a, b)')} AS rho, count(*) AS n FROM z UNION ALL SELECT concat('pol', CAST(pol AS STRING)), {r('corr(a, b)')}, count(*) FROM z GROUP BY pol"""
 
 
-@Q("STAT-46 STAT-49")
+@Q("STAT-46")
 def calibration_line(d):
     """Line of each arm, and the error of the line from all other arms."""
     return f"""WITH {items(d)}, t AS (SELECT arm, item / 1000e0 AS x, v / 100000e0 AS y FROM items), a AS (SELECT arm, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(x * y) AS sxy, regr_slope(y, x) AS b, regr_intercept(y, x) AS c FROM t GROUP BY arm),
@@ -350,29 +345,14 @@ def calibration_line(d):
     SELECT m.arm, {r('max(b)')} AS slope, {r('max(c)')} AS intercept, {r('max(ob)')} AS other_slope, {r('avg(abs(y - oc - ob * x)) - avg(abs(y - c - b * x))')} AS penalty FROM t JOIN m ON m.arm = t.arm GROUP BY m.arm"""
 
 
-@Q("STAT-21 STAT-41")
-def two_source_weights(d):
-    """Least-squares weights of two sources, from sums."""
-    return f"""WITH t AS (SELECT l_quantity AS a, l_discount * 100 AS b, l_extendedprice / 1000e0 AS y FROM lineitem), s AS (SELECT sum(a * a) AS aa, sum(b * b) AS bb, sum(a * b) AS ab, sum(a * y) AS ay, sum(b * y) AS by_ FROM t)
-    SELECT {r('(ay * bb - by_ * ab) / (aa * bb - ab * ab)')} AS wa, {r('(by_ * aa - ay * ab) / (aa * bb - ab * ab)')} AS wb, {r('ay / aa')} AS alone FROM s"""
-
-
-@Q("STAT-40 STAT-42 STAT-68")
-def movement_split(d):
-    """Shares of content and label in a two-by-two movement, their interaction, and a sham ratio."""
-    return f"""WITH {items(d)}, m AS (SELECT item, avg(CASE WHEN arm = '1-URGENT' AND pol = 0 THEN v END) AS tt, avg(CASE WHEN arm = '1-URGENT' AND pol = 1 THEN v END) AS tp, avg(CASE WHEN arm = '5-LOW' AND pol = 0 THEN v END) AS pt, avg(CASE WHEN arm = '5-LOW' AND pol = 1 THEN v END) AS pp FROM items GROUP BY item),
-    s AS (SELECT ((tt - pt) + (tp - pp)) / 2e0 AS c, ((tt - tp) + (pt - pp)) / 2e0 AS l, tt - tp - pt + pp AS k FROM m WHERE tt IS NOT NULL AND tp IS NOT NULL AND pt IS NOT NULL AND pp IS NOT NULL)
-    SELECT count(*) AS n, {r('sum(c * c) / (sum(c * c) + sum(l * l))')} AS content, {r('sum(l * l) / (sum(c * c) + sum(l * l))')} AS label, {r('avg(k)', 2)} AS interaction FROM s"""
-
-
-@Q("STAT-37 GEO-29")
+@Q("STAT-37")
 def mantel(d):
     """Correlation of two distance matrices by ordinal ranks."""
     return f"""WITH {concepts(d)}, c AS (SELECT * FROM concepts), p AS (SELECT a.id AS i, b.id AS j, {angle('a.', 'b.', CORE)} AS s, {angle('a.', 'b.', FUNCTION)} AS t FROM c a JOIN c b ON a.id < b.id),
     k AS (SELECT row_number() OVER (ORDER BY round(s, 9), i, j) AS rs, row_number() OVER (ORDER BY round(t, 9), i, j) AS rt FROM p) SELECT count(*) AS pairs, {r('corr(CAST(rs AS DOUBLE), CAST(rt AS DOUBLE))')} AS rho FROM k"""
 
 
-@Q("STAT-63 STAT-64 STAT-65")
+@Q("STAT-63 STAT-64")
 def reference_half(d):
     """Means and covariances of two components over one half, after collapsing equal rounded states."""
     return f"""WITH {concepts(d)}, s AS (SELECT round(x, 2) AS x, round(y, 2) AS y, min(id) AS id, count(*) AS n FROM concepts GROUP BY round(x, 2), round(y, 2))
@@ -391,14 +371,14 @@ def signflip_exact(d):
     SELECT count(*) AS patterns, {r('max(obs) / 12', 2)} AS observed, {r(f"{n_if('abs(t) >= obs - 1e-6')} / 4096e0")} AS p_value FROM s CROSS JOIN o"""
 
 
-@Q("STAT-07 STAT-36")
+@Q("STAT-07")
 def signflip_hash(d):
     return f"""WITH {items(d)}, p AS (SELECT item % 60 AS i, avg(CASE WHEN pol = 0 THEN v END) - avg(CASE WHEN pol = 1 THEN v END) AS diff FROM items GROUP BY item % 60), b AS (SELECT {d.explode(d.seq(1, 400))} AS b),
     s AS (SELECT b, sum(CASE WHEN {d.hash("concat('flip|', CAST(b AS STRING), '|', CAST(i AS STRING))")} % 2 = 0 THEN diff ELSE -diff END) AS t FROM b CROSS JOIN p GROUP BY b), o AS (SELECT sum(diff) AS obs FROM p)
     SELECT {r('max(obs)', 2)} AS observed, {n_if('t >= obs')} AS hits, {r(f"(1e0 + {n_if('t >= obs')}) / 401e0")} AS p_value FROM s CROSS JOIN o"""
 
 
-@Q("STAT-06 STAT-16 STAT-43 STAT-45 STAT-58")
+@Q("STAT-06 STAT-43")
 def bootstrap_hash_ci(d):
     """Stratified cluster bootstrap: sums per cluster first, then drawn clusters per replicate."""
     return f"""WITH {items(d)}, c AS (SELECT arm, item % 40 AS cl, sum(v) AS s, count(*) AS n FROM items GROUP BY arm, item % 40), k AS (SELECT *, row_number() OVER (PARTITION BY arm ORDER BY cl) - 1 AS pos, count(*) OVER (PARTITION BY arm) AS m FROM c), b AS (SELECT {d.explode(d.seq(1, 200))} AS b),
@@ -406,7 +386,7 @@ def bootstrap_hash_ci(d):
     SELECT arm, {r(d.pct('mean', '0.025e0'), 2)} AS lo, {r(d.pct('mean', '0.975e0'), 2)} AS hi, {r('avg(mean)', 2)} AS mid FROM t GROUP BY arm"""
 
 
-@Q("STAT-20 STAT-33")
+@Q("STAT-20")
 def stratified_perm_hash(d):
     """Labels permuted within strata by the rank of a hash; the group difference against its null."""
     return f"""WITH {scored(d)}, t AS (SELECT stratum, y, p, row_number() OVER (PARTITION BY stratum ORDER BY id) AS at, id FROM scored), b AS (SELECT {d.explode(d.seq(1, 60))} AS b),
@@ -420,14 +400,6 @@ def balanced_accuracy(d):
     return f"""WITH {scored(d)} SELECT stratum, {r(f"({share('y = 1 AND p >= 0.5e0')} / nullif({share('y = 1')}, 0e0) + {share('y = 0 AND p < 0.5e0')} / nullif({share('y = 0')}, 0e0)) / 2e0")} AS balanced, {r(d.pct('p', '0.5e0'))} AS median_p, {r(share('y = 1 AND p >= 0.5e0'))} AS detected FROM scored GROUP BY stratum"""
 
 
-@Q("STAT-05 STAT-73 STAT-69")
-def holm_stepdown(d):
-    """Three forms: step-down thresholds, fixed .05, adjusted values; two tests wait for the second one."""
-    own = ", ".join(f"('P{i}', {p}e0)" for i, p in enumerate((0.003, 0.02, 0.011, 0.2, 0.049), 1))
-    return f"""WITH t AS (SELECT * FROM (VALUES {own}) AS v(name, p)), k AS (SELECT *, row_number() OVER (ORDER BY p, name) AS i, count(*) OVER () AS m FROM t), a AS (SELECT *, least(1e0, max(p * (m - i + 1)) OVER (ORDER BY i)) AS adj, max(CASE WHEN p > 0.05e0 / (m - i + 1) THEN 1 ELSE 0 END) OVER (ORDER BY i) AS failed FROM k)
-    SELECT name, {r('p')} AS p, {r('adj')} AS adjusted, failed = 0 AS step_down, adj <= 0.05e0 AS fixed_, CASE WHEN name IN ('P3', 'P4') AND (SELECT adj FROM a z WHERE z.name = 'P2') > 0.05e0 THEN 'not judged' WHEN adj <= 0.05e0 THEN 'moves' ELSE 'holds' END AS verdict FROM a"""
-
-
 def log_factorial(x: str) -> str:
     """ln of x! by Stirling's series ten places up, so that no table bounds x."""
     z = f"({x} + 10e0)"
@@ -442,7 +414,7 @@ def binom_tail(d):
     SELECT x.stratum, max(n) AS n, CAST(max(k) AS BIGINT) AS k, {r('sum(CASE WHEN i >= k THEN exp(lp) ELSE 0e0 END)')} AS upper_, {r('sum(CASE WHEN lp <= lk + 1e-7 THEN exp(lp) ELSE 0e0 END)')} AS two_sided, {r('(max(k) + 1e0) / (max(n) + 2e0)')} AS laplace FROM x JOIN o ON o.stratum = x.stratum GROUP BY x.stratum"""
 
 
-@Q("STAT-52 STAT-72 SET-07 SET-08 JOIN-18")
+@Q("STAT-52 SET-08")
 def stratified_draw(d):
     """A proportional draw with a floor, by largest remainder, and a hash split per type with word-disjoint ends."""
     return f"""WITH c AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang), q AS (SELECT lang, n, 100e0 * n / sum(n) OVER () AS want FROM c), f AS (SELECT *, greatest(5e0, floor(want)) AS base_, want - floor(want) AS rest FROM q),
@@ -451,28 +423,21 @@ def stratified_draw(d):
     SELECT k.doc_id, k.lang, CAST(quota AS BIGINT) AS quota, {d.hash("concat('split|', CAST(k.doc_id AS STRING))")} % 5 = 0 AS held FROM k JOIN z ON z.lang = k.lang WHERE place <= quota"""
 
 
-@Q("STAT-53 STAT-60 STAT-61 STAT-70 STAT-74")
-def gates(d):
-    """Counts against what is expected, the largest residual, and the reasons of each failed gate."""
-    return f"""WITH c AS (SELECT (SELECT count(*) FROM nation) AS nations, (SELECT count(DISTINCT l_linenumber) FROM lineitem) AS lines_, (SELECT max(abs(l_discount - round(l_discount, 2))) FROM lineitem) AS residual, (SELECT count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)) AS stray)
-    SELECT nations, lines_, residual < 1e-9 AS exact_, stray, concat(CASE WHEN nations <> 25 THEN 'nations ' ELSE '' END, CASE WHEN lines_ <> 7 THEN 'lines ' ELSE '' END, CASE WHEN stray > 0 THEN 'stray' ELSE '' END) AS reasons FROM c"""
-
-
-@Q("STAT-71 STAT-67")
+@Q("STAT-71")
 def training_rows(d):
     """Quantile labels with flipped twins."""
     return f"""WITH {concepts(d)}, k AS (SELECT id, {avg_rank('x')} AS rk, count(*) OVER () AS n FROM concepts), f AS (SELECT {d.explode(d.seq(0, 1))} AS flip)
     SELECT id, CAST(flip AS BIGINT) AS flip, CASE WHEN flip = 1 THEN 10 - CAST(floor(10 * (rk - 1) / (n - 1) + 0.5e0) AS BIGINT) ELSE CAST(floor(10 * (rk - 1) / (n - 1) + 0.5e0) AS BIGINT) END AS label FROM k CROSS JOIN f"""
 
 
-@Q("PRJN-05 PRJN-07 TOP-06 TOP-09")
+@Q("TOP-06 TOP-09")
 def residual_ranks(d):
     """Regression residuals of price on size; closest and farthest five, and counts of compressed pairs."""
     return f"""WITH m AS (SELECT regr_slope(p_retailprice, p_size) AS b, regr_intercept(p_retailprice, p_size) AS c FROM part), e AS (SELECT p_partkey, abs(p_retailprice - c - b * p_size) AS res FROM part CROSS JOIN m),
     k AS (SELECT *, row_number() OVER (ORDER BY round(res, 6), p_partkey) AS near, row_number() OVER (ORDER BY round(res, 6) DESC, p_partkey) AS far FROM e) SELECT p_partkey, {r('res', 4)} AS residual, near, far FROM k WHERE near <= 5 OR far <= 5"""
 
 
-@Q("PRJN-10 PRJN-11 STAT-59")
+@Q("PRJN-10")
 def link_ranks(d):
     """Filtered rank of each stored relation's end among all concepts, by a dot score: MRR and hits by type."""
     s = " + ".join(f"p.{k} * q.{k}" for k in ESSENCE)
@@ -481,7 +446,7 @@ def link_ranks(d):
     SELECT rel_type, count(*) AS n, {r('avg(1e0 / rk)')} AS mrr, {r(share('rk <= 1'))} AS hits1, {r(share('rk <= 3'))} AS hits3, {r(share('rk <= 10'))} AS hits10 FROM k GROUP BY rel_type"""
 
 
-@Q("PRJN-19 PRJN-09")
+@Q("PRJN-19")
 def ideal_observer(d):
     """Softmax posterior over eight codes by distance; the nearest code."""
     return f"""WITH {concepts(d)}, m AS (SELECT trigram, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM concepts GROUP BY trigram), s AS (SELECT c.id, m.trigram, -20e0 * ((c.x - m.x) * (c.x - m.x) + (c.y - m.y) * (c.y - m.y) + (c.z - m.z) * (c.z - m.z)) AS l FROM concepts c CROSS JOIN m WHERE c.id % 5 = 0),

@@ -94,6 +94,36 @@ class Spark:
     def left_pad(self, x, n):
         return f"lpad(CAST({x} AS STRING), {n}, '0')"
 
+    def slice(self, a, i, n):
+        return f"slice({a}, {i}, {n})"
+
+    def last(self, a):
+        return f"try_element_at({a}, -1)"
+
+    def overlap(self, a, b):
+        return f"arrays_overlap({a}, {b})"
+
+    def distinct(self, a):
+        return f"array_distinct({a})"
+
+    def sorted(self, a):
+        return f"array_sort({a})"
+
+    def fold(self, a, x, y, e):
+        """Left fold of a non-empty array of doubles."""
+        return f"aggregate(slice({a}, 2, size({a})), element_at({a}, 1), ({x}, {y}) -> {e})"
+
+    def gather(self, x, order):
+        """Values of a group in order, as an array."""
+        return f"transform(array_sort(collect_list(named_struct('o', {order}, 'v', {x}))), s -> s.v)"
+
+    def try_double(self, x):
+        return f"try_cast({x} AS DOUBLE)"
+
+    def rand(self, x):
+        """A hash-drawn number in [0, 1)."""
+        return f"({self.hash(x)} / 4294967296e0)"
+
 
 class Duck(Spark):
     name = "duck"
@@ -161,6 +191,27 @@ class Duck(Spark):
     def shr(self, a, b):
         return f"({a} >> {b})"
 
+    def slice(self, a, i, n):
+        return f"({a})[({i}):({i}) + ({n}) - 1]"
+
+    def last(self, a):
+        return f"({a})[-1]"
+
+    def overlap(self, a, b):
+        return f"list_has_any({a}, {b})"
+
+    def distinct(self, a):
+        return f"list_distinct({a})"
+
+    def sorted(self, a):
+        return f"list_sort({a})"
+
+    def fold(self, a, x, y, e):
+        return f"list_reduce({a}, lambda {x}, {y}: {e})"
+
+    def gather(self, x, order):
+        return f"list({x} ORDER BY {order})"
+
 
 SPARK, DUCK = Spark(), Duck()
 
@@ -170,12 +221,16 @@ class Query:
     name: str
     ids: str  # operators of the inventory that the query exercises
     text: Callable[[Spark], str]
+    #: Views that a DataFrame program fills here and a common table expression of the twin's text there.
+    views: tuple[tuple[str, Callable[[SparkSession, str], DataFrame]], ...] = ()
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         sql = self.text(SPARK)
         for t in TABLES:
             if t in sql:
                 spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+        for name, fill in self.views:
+            fill(spark, sf_dir).createOrReplaceTempView(name)
         out = spark.sql(sql)
         # ranks are int here and bigint there
         return out.withColumns({c: out[c].cast("long") for c, t in out.dtypes if t == "int" and c in RANKS})
@@ -184,11 +239,11 @@ class Query:
         return self.text(DUCK)
 
 
-def query(registry: list, ids: str):
+def query(registry: list, ids: str, **views: Callable[[SparkSession, str], DataFrame]):
     """Register a dialect function as a query of its own name."""
 
     def wrap(f):
-        registry.append(Query(f.__name__, ids, f))
+        registry.append(Query(f.__name__, ids, f, tuple(views.items())))
         return f
 
     return wrap

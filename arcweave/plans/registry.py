@@ -9,7 +9,7 @@ from ..operators import models, search
 from ..streaming import runlog
 from .dialect import DUCK
 
-MODULES = ("dictionary", "rules", "statistics")
+MODULES = ("dictionary", "rules", "replies", "claims", "curation", "statistics", "inference")
 
 #: Queries that are DataFrame programs: (ids, function, DuckDB twin or None).
 NATIVE = {
