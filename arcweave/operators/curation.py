@@ -223,6 +223,18 @@ def register_read(d):
     SELECT id, {r('da')} AS to_first, {r('db')} AS to_second, da <= db AS nearer_first FROM e"""
 
 
+@Q("GEO-30")
+def span_residual(d):
+    """Energy of each vector outside the span of its class's first three, by Gram-Schmidt."""
+    ip = lambda a, b: "(" + " + ".join(f"{a}{k} * {b}{k}" for k in ESSENCE) + ")"
+    first = ", ".join(f"max(CASE WHEN place = {n} THEN {k} END) AS v{n}{k}" for n in (1, 2, 3) for k in ESSENCE)
+    unit = lambda a: ", ".join(f"{a}{k} / nullif(sqrt({ip(a, a)}), 0e0) AS {a[0].replace('v', 'q').replace('w', 'q')}{a[1:]}{k}" for k in ESSENCE)
+    less = lambda v, qs, o: ", ".join(f"{v}{k} - " + " - ".join(f"coalesce({ip(v, q)} * {q}{k}, 0e0)" for q in qs) + f" AS {o}{k}" for k in ESSENCE)
+    return f"""WITH {concepts(d)}, p AS (SELECT *, row_number() OVER (PARTITION BY trigram ORDER BY id) AS place FROM concepts), f AS (SELECT trigram, {first} FROM p WHERE place <= 3 GROUP BY trigram),
+    a AS (SELECT *, {unit('v1')} FROM f), b0 AS (SELECT *, {less('v2', ['q1'], 'w2')} FROM a), b AS (SELECT *, {unit('w2')} FROM b0), c0 AS (SELECT *, {less('v3', ['q1', 'q2'], 'w3')} FROM b), c AS (SELECT *, {unit('w3')} FROM c0)
+    SELECT t.id, t.trigram, {r('(' + ip('t.', 't.') + ' - ' + ' - '.join(f"coalesce({ip('t.', f'q{n}')} * {ip('t.', f'q{n}')}, 0e0)" for n in (1, 2, 3)) + ') / greatest(1e-12, ' + ip('t.', 't.') + ')')} AS residual FROM concepts t JOIN c ON c.trigram = t.trigram"""
+
+
 @Q("ORC-03 ORC-09")
 def cross_map(d):
     """A second system's sixty-four numbers beside the first's, both ways: each number's pair of classes, its place in the other list, and the way back."""

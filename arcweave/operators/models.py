@@ -1,21 +1,24 @@
 """Fitted models: regressions from Gram sums, iterative fits and sampled nulls.
 
 Sums over rows are taken by Spark, as partial Gram matrices of each partition;
-what comes to the driver is a matrix of the feature count. Small groups are
-fitted inside one task each.
+what comes to the driver is a matrix of the feature count, or counts of a few
+levels; no group of rows is taken into one task.
 """
 
 from __future__ import annotations
 
-import hashlib
+import math
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..plans.dialect import DUCK, SPARK
+from ..sources.workspace import keep
 from . import search
 
 
@@ -81,23 +84,125 @@ def ridge_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ridge_bridge_loo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ridge with a free intercept within each level; leave-one-out residuals from the hat matrix, in one task a level."""
-    c = G.concepts(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).select("id", "level", *G.ESSENCE, *G.FUNCTION)
+    """Ridge with a free intercept within each level; leave-one-out residuals from the hat matrix, whose middle comes from sums by level."""
+    c = G.concepts(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).select("id", "level", F.array(F.lit(1.0), *G.ESSENCE, *G.FUNCTION).alias("v"))
+    reg = np.diag([0.0] + [0.1] * 7)
+    sums = gram(c.select(F.col("level").cast("int").alias("fold"), "v"), 9)
+    middle = {k: np.linalg.inv(g[:8, :8] + reg) for k, g in sums.items()}
+    shared = spark.sparkContext.broadcast({k: (m, m @ sums[k][:8, 8:]) for k, m in middle.items()})  # two small matrices a level
+
+    def residuals(batches):
+        for pdf in batches:
+            v = np.array(pdf.v.tolist(), float).reshape(len(pdf), -1)
+            loo, pred = np.zeros((len(pdf), 7)), np.zeros((len(pdf), 7))
+            for k, (m, w) in shared.value.items():
+                at = (pdf.level == k).to_numpy()
+                x, y = v[at, :8], v[at, 8:]
+                loo[at] = (y - x @ w) / (1 - np.einsum("ij,jk,ik->i", x, m, x))[:, None]
+                pred[at] = y - loo[at]
+            y = v[:, 8:]
+            size = np.linalg.norm(pred, axis=1) * np.linalg.norm(y, axis=1)
+            t = np.degrees(np.arccos(np.clip((pred * y).sum(axis=1) / np.where(size == 0, 1, size), -1, 1)))
+            yield pd.DataFrame({"id": pdf.id, "level": pdf.level, "loo_error": np.round(np.linalg.norm(loo, axis=1), 5), "own_angle": np.round(t, 3)})
+
+    return c.mapInPandas(residuals, "id long, level long, loo_error double, own_angle double")
+
+
+def axis_r2_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held-out R2 of each axis over five contiguous folds, ridge of strength one, against the axis's mean."""
+    rows = _projection_rows(spark, sf_dir, 5).select("fold", F.concat("v", F.array(F.lit(1.0))).alias("v"))
+    grams = gram(rows, 5)
+    total = sum(grams.values())
+    err = np.zeros(14)
+    for g in grams.values():
+        w = _solve((total - g)[:64, :64], 50, 1.0)
+        err += _sse(g[:64, :64], w)
+    n = total[64, 64]
+    sst = np.diag(total)[50:64] - total[64, 50:64] ** 2 / n
+    return spark.createDataFrame([(k, round(float(1 - e / t), 5)) for k, e, t in zip(G.ESSENCE + G.FUNCTION, err, sst)], "axis string, r2 double")
+
+
+def heldout_transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Function vectors predicted from essences by a ridge fitted without their fold: angle to the own one, the nearest of all by blocked search, and hits at one and five."""
+    e = G.concepts(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    rows = e.select("id", F.pmod(F.col("id"), F.lit(5)).cast("int").alias("fold"), F.array(F.lit(1.0), *G.ESSENCE, *G.FUNCTION).alias("v"))
+    grams = gram(rows.select("fold", "v"), 5)
+    total, reg = sum(grams.values()), np.diag([0.0] + [0.1] * 7)
+    w = {f: np.linalg.solve((total - g)[:8, :8] + reg, (total - g)[:8, 8:]) for f, g in grams.items()}
+    x = F.slice("v", 1, 8)
+    pred = None
+    for f, m in w.items():
+        one = F.array(*[F.aggregate(F.zip_with(x, F.array(*map(F.lit, m[:, k].tolist())), lambda a, b: a * b), F.lit(0.0), lambda s, y: s + y) for k in range(7)])
+        pred = F.when(F.col("fold") == f, one) if pred is None else pred.when(F.col("fold") == f, one)
+    got = rows.select("id", pred.alias("vector"), F.slice("v", 9, 7).alias("own"))
+    near = search.nearest(e.select("id", F.array(*G.FUNCTION).alias("vector")), got, 5, exclude_self=False)
+    hits = near.groupBy("query_id").agg(F.min_by("id", "place").alias("nearest"), F.max((F.col("id") == F.col("query_id")) & (F.col("place") == 1)).alias("hit1"), F.max(F.col("id") == F.col("query_id")).alias("hit5"))
+    return got.join(hits, got.id == hits.query_id).select("id", "nearest", "hit1", "hit5", F.round(G.array_angle(F.col("vector"), F.col("own")), 3).alias("own_angle"))
+
+
+def probe_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ridge probe of the first axis, read out of fold, its isotonic calibration from sums over fifty levels, and error by band of the read value."""
+    rows = _projection_rows(spark, sf_dir, 5)
+    grams = gram(rows, 5)
+    total = sum(grams.values())
+    w = {f: _solve((total - g)[:64, :64], 50, 1.0)[:, 0] for f, g in grams.items()}
+    read = None
+    for f, m in w.items():
+        one = F.aggregate(F.zip_with(F.slice("v", 1, 50), F.array(*map(F.lit, m.tolist())), lambda a, b: a * b), F.lit(0.0), lambda s, y: s + y)
+        read = F.when(F.col("fold") == f, one) if read is None else read.when(F.col("fold") == f, one)
+    t = rows.select(read.alias("read"), F.element_at("v", 51).alias("y"))
+    t = t.withColumn("level", F.greatest(F.lit(-25), F.least(F.lit(24), F.floor(F.col("read") * 100))))
+    g = t.groupBy("level").agg(F.avg("y").alias("y"), F.count("*").alias("n"), F.avg("read").alias("read"), F.avg(F.abs(F.col("y") - F.col("read"))).alias("error")).orderBy("level").collect()  # 50 levels
+    fitted = pav(np.array([r.y for r in g]), np.array([float(r.n) for r in g])) if g else []
+    return spark.createDataFrame([(int(r.level), r.n, round(r.read, 5), round(float(a), 5), round(r.error, 5), "low" if r.read < -0.05 else "high" if r.read > 0.05 else "middle") for r, a in zip(g, fitted)], "level long, n long, read double, calibrated double, error double, band string")
+
+
+#: Vectors that the small network is trained on, at most.
+MLP_ROWS = 4000
+
+
+def mlp_fit(x: np.ndarray, y: np.ndarray, xv: np.ndarray, yv: np.ndarray, hidden: int = 32, epochs: int = 300, patience: int = 20):
+    """Weights of a network of one tanh layer by Adam, those of the epoch with the least validation error."""
+    rng = np.random.default_rng(3)
+    p = [rng.normal(0, x.shape[1] ** -0.5, (x.shape[1], hidden)), np.zeros(hidden), rng.normal(0, hidden**-0.5, (hidden, y.shape[1])), np.zeros(y.shape[1])]
+    m, v = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p]
+    best, kept, since = np.inf, [a.copy() for a in p], 0
+    for t in range(1, epochs + 1):
+        h = np.tanh(x @ p[0] + p[1])
+        d = 2 * (h @ p[2] + p[3] - y) / len(x)
+        back = (d @ p[2].T) * (1 - h * h)
+        for k, g in enumerate((x.T @ back, back.sum(axis=0), h.T @ d, d.sum(axis=0))):
+            m[k], v[k] = 0.9 * m[k] + 0.1 * g, 0.999 * v[k] + 0.001 * g * g
+            p[k] = p[k] - 0.01 * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-9)
+        err = float(((np.tanh(xv @ p[0] + p[1]) @ p[2] + p[3] - yv) ** 2).mean())
+        best, kept, since = (err, [a.copy() for a in p], 0) if err < best else (best, kept, since + 1)
+        if since >= patience:
+            break
+    return kept
+
+
+def mlp_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R2 of each component by a small network beside the linear map, both trained on a bounded sample and read on all rows outside of it, from sums."""
+    rows = _projection_rows(spark, sf_dir, 1).withColumn("part", F.pmod(F.xxhash64("v"), F.lit(5)))
+    sample = rows.where("part < 4").orderBy(F.xxhash64("v", F.lit(1))).limit(MLP_ROWS).select("v", "part").toPandas()  # at most MLP_ROWS
+    v = np.array(sample.v.tolist(), float).reshape(-1, 64)
+    fit, val = v[sample.part.to_numpy() < 3], v[sample.part.to_numpy() == 3]
+    net = mlp_fit(fit[:, :50], fit[:, 50:], val[:, :50], val[:, 50:])
+    linear = np.linalg.lstsq(fit[:, :50], fit[:, 50:], rcond=None)[0]
+    shared = spark.sparkContext.broadcast((net, linear))
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        x = np.c_[np.ones(len(pdf)), pdf[list(G.ESSENCE)].to_numpy()]
-        y = pdf[list(G.FUNCTION)].to_numpy()
-        reg = 0.1 * np.eye(x.shape[1])
-        reg[0, 0] = 0
-        hat = x @ np.linalg.solve(x.T @ x + reg, x.T)
-        loo = (y - hat @ y) / (1 - np.diag(hat))[:, None]
-        pred = y - loo
-        size = np.linalg.norm(pred, axis=1) * np.linalg.norm(y, axis=1)
-        t = np.degrees(np.arccos(np.clip((pred * y).sum(axis=1) / np.where(size == 0, 1, size), -1, 1)))
-        return pd.DataFrame({"id": pdf.id, "level": pdf.level, "loo_error": np.round(np.linalg.norm(loo, axis=1), 5), "own_angle": np.round(t, 3)})
+    def errors(batches):
+        net, linear = shared.value
+        for b in batches:
+            v = np.array(b.column(0).to_pylist(), float).reshape(-1, 64)
+            x, y = v[:, :50], v[:, 50:]
+            e1 = ((np.tanh(x @ net[0] + net[1]) @ net[2] + net[3] - y) ** 2).sum(axis=0)
+            e2 = ((x @ linear - y) ** 2).sum(axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(range(14), pa.int32()), pa.array(e1), pa.array(e2), pa.array(y.sum(axis=0)), pa.array((y * y).sum(axis=0)), pa.array([len(y)] * 14, pa.int64())], names=["j", "e1", "e2", "s", "ss", "n"])
 
-    return c.groupBy("level").applyInPandas(fit, "id long, level long, loo_error double, own_angle double")
+    t = rows.where("part = 4").select("v").mapInArrow(errors, "j int, e1 double, e2 double, s double, ss double, n long").groupBy("j").agg(*[F.sum(c).alias(c) for c in ("e1", "e2", "s", "ss", "n")])
+    sst = F.col("ss") - F.col("s") * F.col("s") / F.col("n")
+    return t.select(F.element_at(F.array(*map(F.lit, G.ESSENCE + G.FUNCTION)), F.col("j") + 1).alias("axis"), "n", F.round(1 - F.col("e1") / sst, 4).alias("network_r2"), F.round(1 - F.col("e2") / sst, 4).alias("linear_r2"))
 
 
 def _irls(x: np.ndarray, y: np.ndarray, ridge: float = 1e-6, steps: int = 25):
@@ -119,29 +224,122 @@ def _auroc(s: np.ndarray, y: np.ndarray) -> float:
     return float((r[y == 1].sum() - pos * (pos + 1) / 2) / max(1, pos * (len(y) - pos)))
 
 
+def logistic_fits(rows: DataFrame, steps: int = 12, ridge: float = 1e-3) -> dict[tuple, tuple[np.ndarray, np.ndarray]]:
+    """(weights, inverse Hessian) by group and held-out fold (-1: none) of (g, fold, x array, y), by Newton steps whose sums Spark takes."""
+    spark, d = rows.sparkSession, 3
+    models = rows.select("g", F.explode(F.array(*[F.lit(f) for f in range(-1, 5)])).alias("out"), "fold", "x", "y").where("out <> fold")
+    keys = [(r.g, r.out) for r in models.select("g", "out").distinct().collect()]  # groups x 6
+    w = {k: np.zeros(d) for k in keys}
+    h = {k: np.eye(d) for k in keys}
+    for _ in range(steps):
+        table = F.broadcast(spark.createDataFrame([(*k, [float(a) for a in v]) for k, v in w.items()], "g string, out int, w array<double>"))  # groups x 6
+        z = sum((F.col("w")[i] * F.col("x")[i] for i in range(1, d)), F.col("w")[0] * F.col("x")[0])
+        t = models.join(table, ["g", "out"]).withColumn("p", 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z)))))
+        sums = [F.sum(F.col("x")[i] * (F.col("y") - F.col("p"))).alias(f"g{i}") for i in range(d)] + [F.sum(F.col("x")[i] * F.col("x")[j] * F.col("p") * (1 - F.col("p"))).alias(f"h{i}{j}") for i in range(d) for j in range(i, d)]
+        most = 0.0
+        for r in t.groupBy("g", "out").agg(*sums).collect():
+            k = (r.g, r.out)
+            h[k] = np.array([[r[f"h{min(i, j)}{max(i, j)}"] for j in range(d)] for i in range(d)]) + ridge * np.eye(d)
+            step = np.linalg.solve(h[k], np.array([r[f"g{i}"] for i in range(d)]) - ridge * w[k])
+            w[k] = w[k] + step
+            most = max(most, float(np.abs(step).max()))
+        if most < 1e-8:
+            break
+    return {k: (w[k], np.linalg.inv(h[k])) for k in keys}
+
+
 def logistic_oof_auroc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Out-of-fold AUROC of a logistic fit per language, folds by hash of the source, with Wald z and a permuted null."""
+    """Out-of-fold AUROC of a logistic fit per language, folds by hash of the source, with Wald z and a null of labels permuted by hash."""
     l, d = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("labels", "documents"))
-    rows = d.join(l, "doc_id").select("lang", "doc_id", F.col("quality").alias("y"), F.log1p(F.col("n_chars").cast("double")).alias("a"), (F.length("text") - F.length(F.regexp_replace("text", "[.,]", ""))).cast("double").alias("b"), F.pmod(F.xxhash64("source"), F.lit(5)).alias("fold"))
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("doc_id")
-        x = np.c_[np.ones(len(pdf)), pdf.a, np.log1p(pdf.b)]
-        y, fold = pdf.y.to_numpy(float), pdf.fold.to_numpy()
-        oof = np.zeros(len(y))
-        for f in np.unique(fold):
-            m = fold == f
-            if y[~m].min() == y[~m].max():
-                oof[m] = y[~m].mean()
-            else:
-                oof[m] = x[m] @ _irls(x[~m], y[~m], 1e-3)[0]
-        w, cov = _irls(x, y, 1e-3)
-        rng = np.random.default_rng(7)
-        real = _auroc(oof, y)
-        hits = sum(_auroc(oof, rng.permutation(y)) >= real for _ in range(200))
-        return pd.DataFrame({"lang": [pdf.lang.iloc[0]], "n": [len(y)], "auroc": [round(real, 5)], "z_length": [round(float(w[1] / np.sqrt(cov[1, 1])), 3)], "p_value": [(1 + hits) / 201]})
+    marks = (F.length("text") - F.length(F.regexp_replace("text", "[.,]", ""))).cast("double")
+    x = F.array(F.lit(1.0), F.log1p(F.coalesce("n_chars", F.lit(0)).cast("double")), F.log1p(F.coalesce(marks, F.lit(0.0))))
+    rows = keep(d.join(l, "doc_id").where("quality IS NOT NULL").select("doc_id", F.coalesce("lang", F.lit("")).alias("g"), F.pmod(F.xxhash64("source"), F.lit(5)).cast("int").alias("fold"), x.alias("x"), F.col("quality").cast("double").alias("y")), "logistic")
+    fits = logistic_fits(rows.select("g", "fold", "x", "y"))
+    table = spark.createDataFrame([(g, f, [float(a) for a in w], float(w[1] / np.sqrt(c[1, 1]))) for (g, f), (w, c) in fits.items()], "g string, fold int, w array<double>, z double")  # groups x 6
+    oof = rows.join(F.broadcast(table), ["g", "fold"]).select("doc_id", "g", "y", sum((F.col("w")[i] * F.col("x")[i] for i in range(1, 3)), F.col("w")[0] * F.col("x")[0]).alias("s"))
+    same = Window.partitionBy("g").orderBy("s")
+    ranked = oof.withColumn("rk", F.rank().over(same) + (F.count("*").over(Window.partitionBy("g", "s")) - 1) / 2).withColumn("at", F.row_number().over(Window.partitionBy("g").orderBy("doc_id")))
+    drawn = ranked.select("g", "rk", "at", "doc_id", F.explode(F.sequence(F.lit(0), F.lit(40))).alias("b"))
+    drawn = drawn.withColumn("to", F.row_number().over(Window.partitionBy("g", "b").orderBy(F.when(F.col("b") == 0, F.col("doc_id")).otherwise(F.xxhash64("b", "doc_id")), "doc_id")))
+    t = drawn.select("g", "b", "rk", F.col("to").alias("at")).join(ranked.select("g", "at", "y"), ["g", "at"]).groupBy("g", "b").agg(F.count("*").alias("n"), F.sum("y").alias("pos"), F.sum(F.col("rk") * F.col("y")).alias("rs"))
+    t = t.withColumn("auroc", (F.col("rs") - F.col("pos") * (F.col("pos") + 1) / 2) / F.nullif(F.col("pos") * (F.col("n") - F.col("pos")), F.lit(0.0)))
+    out = t.groupBy("g").agg(F.max("n").alias("n"), F.max(F.when(F.col("b") == 0, F.col("auroc"))).alias("real"), F.sort_array(F.collect_list(F.when(F.col("b") > 0, F.col("auroc")))).alias("null"))
+    z = table.where("fold = -1").select("g", F.round("z", 3).alias("z_length"))
+    return out.join(F.broadcast(z), "g").select(F.col("g").alias("lang"), "n", F.round("real", 5).alias("auroc"), "z_length", F.when(F.col("real").isNotNull(), (1 + F.size(F.filter("null", lambda a: a >= F.col("real")))) / 41).alias("p_value"))
+
+
+def act_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where acting becomes likelier than holding: a logistic fit of each arm over the rungs, from counts, and the rung where it crosses a half."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type", F.get_json_object("props", "$.k").cast("long").alias("k"), "event_id")
+    c = e.groupBy("event_type", (F.col("k") % 10).alias("rung")).agg(F.count("*").alias("n"), F.count_if((F.col("event_id") * 7 + F.col("k")) % 13 < F.col("k") % 10 + 2).alias("acts")).where("rung IS NOT NULL").collect()  # ten rungs an arm
+    out = []
+    for arm in sorted({r.event_type for r in c}):
+        own = sorted((r.rung, r.n, r.acts) for r in c if r.event_type == arm)
+        x, n, k = (np.array(v, float) for v in zip(*own))
+        w, cov = _irls_counts(np.c_[np.ones(len(x)), x], n, k)
+        out.append((arm, int(n.sum()), round(float(w[1]), 5), round(float(w[1] / np.sqrt(cov[1, 1])), 3), round(float(-w[0] / w[1]), 4) if w[1] else None))
+    return spark.createDataFrame(out, "arm string, n long, slope double, z double, boundary double")
+
+
+def _irls_counts(x: np.ndarray, n: np.ndarray, k: np.ndarray, ridge: float = 1e-6, steps: int = 50):
+    """Logistic weights and inverse Hessian from (trials, successes) by row."""
+    w = np.zeros(x.shape[1])
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        h = (x * (n * p * (1 - p))[:, None]).T @ x + ridge * np.eye(x.shape[1])
+        step = np.linalg.solve(h, x.T @ (k - n * p) - ridge * w)
+        w = w + step
+        if np.abs(step).max() < 1e-10:
+            break
+    return w, np.linalg.inv(h)
+
+
+def _phi(z):
+    return np.vectorize(lambda a: 0.5 * math.erfc(-a / math.sqrt(2)))(z)
+
+
+def meta_loss(p: np.ndarray, counts: np.ndarray, ratio: float) -> float:
+    """Negative log-likelihood of confidence given stimulus and answer; counts[stimulus, answer, confidence], p is meta-d' and the steps of the type-2 criteria on both sides."""
+    k = counts.shape[2]
+    mid = p[0] * ratio
+    up = mid + np.r_[0, np.cumsum(np.exp(p[1:k]))]
+    down = mid - np.r_[0, np.cumsum(np.exp(p[k : 2 * k - 1]))]
+    total = 0.0
+    for s, mean in enumerate((-p[0] / 2, p[0] / 2)):
+        yes = np.diff(np.r_[_phi(up - mean), 1.0]) / max(1e-9, 1 - _phi(mid - mean))
+        no = -np.diff(np.r_[_phi(down - mean), 0.0]) / max(1e-9, float(_phi(mid - mean)))
+        total -= (counts[s, 1] * np.log(np.clip(yes, 1e-9, 1))).sum() + (counts[s, 0] * np.log(np.clip(no, 1e-9, 1))).sum()
+    return float(total)
+
 
-    return rows.groupBy("lang").applyInPandas(fit, "lang string, n long, auroc double, z_length double, p_value double")
+def meta_fit(counts: np.ndarray) -> tuple[float, float, float]:
+    """(d', criterion, meta-d') of counts[stimulus, answer, confidence], by maximum likelihood."""
+    c = counts + 0.5 / counts.shape[2]
+    hit, fa = (c[s, 1].sum() / c[s].sum() for s in (1, 0))
+    inv = NormalDist().inv_cdf
+    d, crit = inv(hit) - inv(fa), -0.5 * (inv(hit) + inv(fa))
+    k = counts.shape[2]
+    ratio = crit / d if abs(d) > 1e-6 else 0.0
+    best = _simplex(lambda p: meta_loss(p, c, ratio), np.r_[d, np.full(2 * k - 2, -0.7)], 1500)
+    return float(d), float(crit), float(best[0])
+
+
+def meta_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sensitivity and metacognitive sensitivity of labels by language, from counts of four levels of confidence."""
+    l, d = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("labels", "documents"))
+    p = (F.col("n_chars") % 1000) / 1000 * 0.5 + F.col("quality") * 0.25
+    t = d.join(l, "doc_id").where("quality IS NOT NULL AND n_chars IS NOT NULL").select(F.coalesce("lang", F.lit("")).alias("lang"), F.col("quality").alias("s"), (p >= 0.5).cast("int").alias("a"), F.least(F.lit(3), F.floor(F.abs(p - 0.5) * 16)).alias("c"))
+    rows = t.groupBy("lang", "s", "a", "c").agg(F.count("*").alias("n")).collect()  # 16 a language
+    out = []
+    for lang in sorted({r.lang for r in rows}):
+        counts = np.zeros((2, 2, 4))
+        for r in rows:
+            if r.lang == lang:
+                counts[int(r.s), int(r.a), int(r.c)] = r.n
+        if counts[0].sum() and counts[1].sum():
+            d1, c1, m = meta_fit(counts)
+            out.append((lang, int(counts.sum()), round(d1, 3), round(c1, 3), round(m, 2), round(m / d1, 2) if abs(d1) > 1e-6 else None))
+    return spark.createDataFrame(out, "lang string, n long, d_prime double, criterion double, meta_d double, ratio double")
 
 
 def pav(y: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -157,18 +355,36 @@ def pav(y: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 def isotonic_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Isotonic curve of quality on the score, from sums per level; entropy-matched sharpening by bisection beside it."""
+    """Isotonic curve of quality on the score, from sums per level."""
     l, d = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("labels", "documents"))
     g = d.join(l, "doc_id").groupBy(F.floor((F.col("n_chars") % 1000) / 20).alias("level")).agg(F.avg("quality").alias("y"), F.count("*").alias("n")).orderBy("level").collect()  # 50 levels
     y = pav(np.array([r.y for r in g]), np.array([float(r.n) for r in g]))
-    p = np.array([r.n for r in g], float) / sum(r.n for r in g)
-    want, lo, hi = -(p * np.log(p)).sum() * 0.9, 1.0, 64.0
+    return spark.createDataFrame([(int(r.level), round(float(a), 6) + 0.0) for r, a in zip(g, y)], "level long, fitted double")
+
+
+#: The same curve by its min-max form: the largest, over starts, of the smallest mean over ends.
+ISOTONIC = """WITH g AS (SELECT CAST(floor((n_chars % 1000) / 20) AS BIGINT) AS level, sum(CAST(quality AS DOUBLE)) AS s, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY 1),
+    c AS (SELECT level, sum(s) OVER w AS cs, sum(n) OVER w AS cn, s, n FROM g WINDOW w AS (ORDER BY level)), m AS (SELECT i.level AS i, j.level AS j, (j.cs - i.cs + i.s) / (j.cn - i.cn + i.n) AS a FROM c i JOIN c j ON i.level <= j.level),
+    e AS (SELECT k.level, m.i, min(a) AS a FROM g k JOIN m ON m.i <= k.level AND m.j >= k.level GROUP BY k.level, m.i) SELECT level, round(max(a), 6) + 0e0 AS fitted FROM e GROUP BY level"""
+
+
+def entropy_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of the score's levels sharpened by bisection until their entropy is nine tenths of what it was."""
+    g = spark.read.parquet(f"{sf_dir}/documents.parquet").where("n_chars IS NOT NULL").groupBy(F.floor((F.col("n_chars") % 1000) / 20).alias("level")).agg(F.count("*").alias("n")).orderBy("level").collect()  # 50 levels
+    p = np.array([r.n for r in g], float) / max(1, sum(r.n for r in g))
+    q = sharpened(p, 0.9)
+    return spark.createDataFrame([(int(r.level), round(float(a), 6), round(float(b), 6)) for r, a, b in zip(g, p, q)], "level long, share double, sharpened double")
+
+
+def sharpened(p: np.ndarray, part: float) -> np.ndarray:
+    """Shares to a power, by bisection, whose entropy is ``part`` of that of ``p``."""
+    entropy = lambda a: float(-(a[a > 0] * np.log(a[a > 0])).sum())
+    want, lo, hi = entropy(p) * part, 1.0, 64.0
     for _ in range(60):
         mid = (lo + hi) / 2
         q = p**mid / (p**mid).sum()
-        lo, hi = (mid, hi) if -(q * np.log(q)).sum() > want else (lo, mid)
-    q = p**lo / (p**lo).sum()
-    return spark.createDataFrame([(int(r.level), round(float(a), 6), round(float(b), 6)) for r, a, b in zip(g, y, q)], "level long, fitted double, sharpened double")
+        lo, hi = (mid, hi) if entropy(q) > want else (lo, mid)
+    return p**lo / (p**lo).sum()
 
 
 def softmax_bar(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -244,35 +460,43 @@ def psychometric_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(round(float(p[2] * 10), 2), round(float(p[3]), 3), round(at, 2), round(float(loss(p) / n.sum()), 5))], "midpoint double, slope double, at_75 double, loss double")
 
 
+SWAP_REPS, SWAP_ROUNDS = 10, 3
+
+
+def _first_edges(d) -> str:
+    """Rater graphs: each line number a family, its edges parts with suppliers; copies of all for the replicates, 0 being the real ones."""
+    return f"SELECT rep, fam, a, b FROM (SELECT DISTINCT l_linenumber AS fam, l_partkey AS a, l_suppkey AS b FROM lineitem) f CROSS JOIN (SELECT {d.explode(d.seq(0, SWAP_REPS))} AS rep) r"
+
+
+def _swap_round(d, e: str, k: int) -> str:
+    """Edges after a round: they are drawn into pairs by hash, a pair swaps its suppliers, and a swap that would make an edge twice is taken back; degrees stay."""
+    h = d.hash(f"concat('swap{k}|', CAST(rep AS STRING), '|', CAST(fam AS STRING), '|', CAST(a AS STRING), '|', CAST(b AS STRING))")
+    same = lambda x, y, *c: " AND ".join(f"{x}.{n} = {y}.{n}" for n in ("rep", "fam", *c))
+    return f"""WITH p{k} AS (SELECT rep, fam, a, b, h % 64 AS part, row_number() OVER (PARTITION BY rep, fam, h % 64 ORDER BY h, a, b) - 1 AS k FROM (SELECT *, {h} AS h FROM {e}) z),
+    q{k} AS (SELECT x.rep, x.fam, x.part, x.k, x.a AS a1, x.b AS b1, y.a AS a2, y.b AS b2 FROM p{k} x JOIN p{k} y ON {same('x', 'y', 'part')} AND y.k = x.k + 1 WHERE x.k % 2 = 0 AND x.rep > 0),
+    n{k} AS (SELECT rep, fam, part, k, a1 AS a, b2 AS b FROM q{k} UNION ALL SELECT rep, fam, part, k, a2, b1 FROM q{k}), c{k} AS (SELECT rep, fam, a, b FROM n{k} GROUP BY rep, fam, a, b HAVING count(*) > 1),
+    bad{k} AS (SELECT n.rep, n.fam, n.part, n.k FROM n{k} n JOIN c{k} c ON {same('n', 'c', 'a', 'b')} UNION SELECT n.rep, n.fam, n.part, n.k FROM n{k} n JOIN {e} e ON {same('n', 'e', 'a', 'b')}),
+    good{k} AS (SELECT q.* FROM q{k} q LEFT JOIN bad{k} z ON {same('q', 'z', 'part', 'k')} WHERE z.k IS NULL)
+    SELECT rep, fam, a1 AS a, b2 AS b FROM good{k} UNION ALL SELECT rep, fam, a2, b1 FROM good{k} UNION ALL SELECT p.rep, p.fam, p.a, p.b FROM p{k} p LEFT JOIN good{k} g ON {same('p', 'g', 'part')} AND g.k = p.k - p.k % 2 WHERE g.k IS NULL"""
+
+
+def _swap_result(e: str) -> str:
+    return f"""SELECT max(CASE WHEN rep = 0 THEN t END) AS observed, round(avg(CASE WHEN rep > 0 THEN t END), 3) + 0e0 AS null_mean, max(CASE WHEN rep > 0 THEN t END) AS null_max, round((1e0 + sum(CASE WHEN rep > 0 AND t >= real_ THEN 1 ELSE 0 END)) / {SWAP_REPS + 1}e0, 6) + 0e0 AS p_value
+      FROM (SELECT rep, t, max(CASE WHEN rep = 0 THEN t END) OVER () AS real_ FROM (SELECT rep, CAST(sum(k * (k - 1) / 2) AS BIGINT) AS t FROM (SELECT rep, a, b, count(*) AS k FROM {e} GROUP BY rep, a, b) x GROUP BY rep) y) z"""
+
+
 def edge_swap_null(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Agreement of rater graphs against degree-preserving double edge swaps, one task per replicate and family."""
-    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_orderkey % 50 = 0 AND l_partkey % 101 <> l_orderkey % 101")
-    a, b = F.col("l_partkey") % 101, F.col("l_orderkey") % 101
-    edges = li.select((F.col("l_suppkey") % 7).alias("fam"), F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
-    reps = spark.range(0, 41).select(F.col("id").alias("rep"))
-    copies = edges.crossJoin(F.broadcast(reps))  # 41 rows
-
-    def swap(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["a", "b"])
-        e = list(zip(pdf.a, pdf.b))
-        rep, fam = int(pdf.rep.iloc[0]), int(pdf.fam.iloc[0])
-        if rep:
-            rng = np.random.default_rng(int(hashlib.sha256(f"{rep}|{fam}".encode()).hexdigest()[:8], 16))
-            have = set(e)
-            for i, j, flip in zip(rng.integers(0, len(e), 10 * len(e)), rng.integers(0, len(e), 10 * len(e)), rng.integers(0, 2, 10 * len(e))):
-                (p, q), (r, s) = e[i], e[j] if flip else e[j][::-1]
-                x, y = (min(p, s), max(p, s)), (min(r, q), max(r, q))
-                if i != j and x[0] != x[1] and y[0] != y[1] and x not in have and y not in have and x != y:
-                    have -= {e[i], e[j]}
-                    have |= {x, y}
-                    e[i], e[j] = x, y
-        return pd.DataFrame({"rep": rep, "fam": fam, "a": [x[0] for x in e], "b": [x[1] for x in e]})
-
-    moved = copies.groupBy("rep", "fam").applyInPandas(swap, "rep long, fam long, a long, b long")
-    k = moved.groupBy("rep", "a", "b").agg(F.count("*").alias("k"))
-    t = k.groupBy("rep").agg(F.sum(F.col("k") * (F.col("k") - 1) / 2).cast("long").alias("t"))
-    real = t.where("rep = 0").select(F.col("t").alias("observed"))
-    return t.where("rep > 0").crossJoin(F.broadcast(real)).groupBy("observed").agg(F.round(F.avg("t"), 3).alias("null_mean"), F.max("t").alias("null_max"), ((1 + F.count_if(F.col("t") >= F.col("observed"))) / 41.0).alias("p_value"))
+    """Agreement of rater graphs against degree-preserving double edge swaps, in rounds over all families and replicates at once."""
+    spark.read.parquet(f"{sf_dir}/lineitem.parquet").createOrReplaceTempView("lineitem")
+    e = keep(spark.sql(_first_edges(SPARK)), "edges")
+    for k in range(SWAP_ROUNDS):
+        e.createOrReplaceTempView("swap_edges")
+        e = keep(spark.sql(_swap_round(SPARK, "swap_edges", k)), "edges")
+    e.createOrReplaceTempView("swap_edges")
+    return spark.sql(_swap_result("swap_edges"))
+
+
+EDGE_SWAPS = f"WITH e0 AS ({_first_edges(DUCK)}), " + ", ".join(f"e{k + 1} AS ({_swap_round(DUCK, f'e{k}', k)})" for k in range(SWAP_ROUNDS)) + " " + _swap_result(f"e{SWAP_ROUNDS}")
 
 
 SHIFTS, BLOCK = 60, 4096
@@ -360,31 +584,23 @@ def batch_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(insert, "id long, nearest double, added boolean")
 
 
-def span_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Energy of each vector outside the span of its class's first three, by QR in one task per class."""
-    c = G.concepts(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
-
-    def residual(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        v = pdf[list(G.ESSENCE)].to_numpy()
-        q, _ = np.linalg.qr(v[:3].T)
-        left = v - (v @ q) @ q.T
-        return pd.DataFrame({"id": pdf.id, "trigram": pdf.trigram, "residual": np.round((left**2).sum(axis=1) / np.maximum(1e-12, (v**2).sum(axis=1)), 6)})
-
-    return c.groupBy("trigram").applyInPandas(residual, "id long, trigram string, residual double")
-
-
 QUERIES = {
-    "ols_projection_r2": ("PRJN-01 PRJN-02 PRJN-04 PRJN-06", ols_projection_r2),
-    "ridge_cv": ("PRJN-03 PRJN-14", ridge_cv),
-    "ridge_bridge_loo": ("PRJN-12 PRJN-13 PRJN-15", ridge_bridge_loo),
-    "logistic_oof_auroc": ("STAT-02 STAT-03 STAT-04 STAT-26", logistic_oof_auroc),
-    "isotonic_fit": ("STAT-19 STAT-22 PRJN-16", isotonic_fit),
-    "softmax_bar": ("PRJN-17", softmax_bar),
-    "psychometric_fit": ("PRJN-18 STAT-13", psychometric_fit),
-    "edge_swap_null": ("STAT-48", edge_swap_null),
-    "relabel_null": ("STAT-38", relabel_null),
-    "constrained_cores": ("CUR-10 CUR-15", constrained_cores),
-    "batch_insert": ("CUR-03 CUR-09", batch_insert),
-    "span_residual": ("GEO-30", span_residual),
+    "ols_projection_r2": ("PRJN-02", ols_projection_r2, None),
+    "ridge_cv": ("PRJN-03", ridge_cv, None),
+    "axis_r2_cv": ("PRJN-14", axis_r2_cv, None),
+    "ridge_bridge_loo": ("PRJN-12 PRJN-13", ridge_bridge_loo, None),
+    "heldout_transfer": ("PRJN-15", heldout_transfer, None),
+    "probe_calibration": ("PRJN-16", probe_calibration, None),
+    "mlp_projection": ("PRJN-08", mlp_projection, None),
+    "logistic_oof_auroc": ("STAT-02 STAT-03 STAT-26", logistic_oof_auroc, None),
+    "act_boundary": ("STAT-25", act_boundary, None),
+    "meta_sensitivity": ("STAT-13", meta_sensitivity, None),
+    "isotonic_fit": ("STAT-19", isotonic_fit, ISOTONIC),
+    "entropy_matched": ("STAT-22", entropy_matched, None),
+    "softmax_bar": ("PRJN-17", softmax_bar, None),
+    "psychometric_fit": ("PRJN-18", psychometric_fit, None),
+    "edge_swap_null": ("STAT-48", edge_swap_null, EDGE_SWAPS),
+    "relabel_null": ("STAT-38", relabel_null, None),
+    "constrained_cores": ("CUR-10", constrained_cores, None),
+    "batch_insert": ("CUR-03 CUR-09", batch_insert, None),
 }

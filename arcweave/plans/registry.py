@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 from ..model import ESSENCE, angle, concepts, r
-from ..operators import models, search
+from ..operators import exchange, models, search
 from ..streaming import runlog
 from .dialect import DUCK
 
@@ -21,7 +21,9 @@ NATIVE = {
         SELECT query_id, place, id, {r('t', 4)} AS angle FROM k WHERE place <= 10""",
     ),
     "stream_final_records": ("STR-01 STR-02 SNK-06", runlog.stream_final_records, runlog.ORACLE),
-    **{name: (ids, f, None) for name, (ids, f) in models.QUERIES.items()},
+    "stream_window_rates": ("STR-01", runlog.stream_window_rates, runlog.RATES_ORACLE),
+    **exchange.QUERIES,
+    **models.QUERIES,
 }
 
 

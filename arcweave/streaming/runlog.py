@@ -1,17 +1,21 @@
-"""The run log as a stream: every record is offered, final ones are kept once per key."""
+"""The run log as a stream: final records are kept once per key, rates come by window of event time. Results go to tables in the shared folder, never to the driver."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..sources.workspace import new_path
 
-#: The same result by DuckDB over the whole table.
+#: The same results by DuckDB over the whole table.
 ORACLE = """
     SELECT call_id, count(*) AS records, min(event_id) AS first_id, max(event_id) AS last_id FROM
       (SELECT concat(CAST(user_id AS STRING), '-', event_type) AS call_id, event_id FROM events WHERE event_type <> 'error') t
     GROUP BY call_id"""
+RATES_ORACLE = """
+    WITH t AS (SELECT date_trunc('hour', ts) AS start_, event_type, value FROM events), last_ AS (SELECT max(ts) - INTERVAL 10 MINUTE AS mark FROM events)
+    SELECT epoch_us(start_) AS start_us, event_type, count(*) AS n, round(avg(value), 6) + 0e0 AS mean FROM t, last_ WHERE start_ + INTERVAL 1 HOUR <= mark GROUP BY start_, event_type"""
 
 
 def final_stream(events: DataFrame) -> DataFrame:
@@ -21,22 +25,44 @@ def final_stream(events: DataFrame) -> DataFrame:
 
 
 def windowed_rates(events: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
-    """Records and errors by hour of event time, with a watermark for late ones."""
+    """Records and their mean value by window of event time, with a watermark for late ones."""
     t = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     return t.groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
 
 
-def run_to_table(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """Drain what is available into a memory table and return it."""
-    name = f"t{uuid.uuid4().hex}"
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+def latest(stream: DataFrame, keys: list[str]) -> DataFrame:
+    """Drain what is available of an aggregated stream: each batch writes the rows it changed, and the last row of a key is its result."""
+    spark, path = stream.sparkSession, new_path(stream.sparkSession, "changes")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/batch={number}")  # a batch that runs again replaces its rows
+
+    q = stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", new_path(spark, "checkpoint")).trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    rows = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("_batch", T.IntegerType())])).parquet(f"{path}/batch=*")
+    values = [c for c in stream.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "_batch").alias("_v")).select(*keys, *[F.col(f"_v.{c}").alias(c) for c in values])
+
+
+def closed_windows(stream: DataFrame) -> DataFrame:
+    """Drain a windowed stream into a Parquet sink: windows that the watermark has closed, each written once."""
+    spark, path = stream.sparkSession, new_path(stream.sparkSession, "windows")
+    q = stream.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", new_path(spark, "checkpoint")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
 
 
 def stream_final_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The file stream of events, drained; equal to the batch query over the same rows."""
-    path = f"{sf_dir}/events.parquet"
-    schema = spark.read.parquet(path).schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
-    return run_to_table(final_stream(stream))
+    return latest(final_stream(_events(spark, sf_dir)), ["call_id"])
+
+
+def stream_window_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly rates of the stream, of the windows that the watermark has closed."""
+    t = closed_windows(windowed_rates(_events(spark, sf_dir)))
+    return t.select(F.unix_micros("window.start").alias("start_us"), "event_type", "n", (F.round("mean", 6) + F.lit(0.0)).alias("mean"))

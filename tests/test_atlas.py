@@ -103,7 +103,11 @@ def test_models_run(spark, name):
 
 
 def test_stream_windows(spark, tmp_path):
-    schema = spark.read.parquet(f"{SF}/events.parquet").schema
-    s = spark.readStream.schema(schema).parquet(f"{SF}/events.parquet*")
-    got = runlog.run_to_table(runlog.windowed_rates(s))
-    assert got.agg(F.sum("n")).first()[0] == spark.read.parquet(f"{SF}/events.parquet").count()
+    """All windows of a drained stream, and a second run over more files that goes on from the first one's state."""
+    e = spark.read.parquet(f"{SF}/events.parquet")
+    e.where("event_id % 2 = 0").coalesce(1).write.parquet(f"{tmp_path}/e")
+    e.where("event_id % 2 = 1").coalesce(1).write.mode("append").parquet(f"{tmp_path}/e")
+    s = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/e")
+    got = runlog.latest(runlog.final_stream(s), ["call_id"])
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, runlog.final_stream(e).collect()))
+    assert runlog.latest(runlog.windowed_rates(s, late="400 days"), ["window", "event_type"]).agg(F.sum("n")).first()[0] == e.count()

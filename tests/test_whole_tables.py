@@ -55,7 +55,11 @@ EDGES = "SELECT count(*) FROM (SELECT DISTINCT l_suppkey % 7, least(l_partkey %
     "name,of,want",
     [
         ("coin_cast", len, ALL),
-        ("propose_vector", len, ALL),
+        ("state_round_trip", len, ALL),
+        ("self_claim_verdicts", len, "SELECT count(*) FROM events"),
+        ("response_checks", len, "SELECT count(*) FROM events"),
+        ("trial_plan", len, "SELECT 4 * count(*) * (SELECT count(DISTINCT s_suppkey % 3) FROM supplier) FROM part"),
+        ("full_check", lambda rows: sum(r.claim_id.startswith("vector:") for r in rows), LINKS),
         ("tercile_codes", len, ALL),
         ("nudged_candidates", len, ALL),
         ("fold_compose", len, "SELECT count(*) - 4 FROM embeddings"),
