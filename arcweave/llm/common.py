@@ -8,33 +8,18 @@ and it outlives any of them. Only Spark readers and writers touch it.
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.workspace import new_path
+
 #: Rows of one Arrow batch. Texts may be long, so batches stay small.
 BATCH_ROWS = 500
 
 
-def work_dir(spark: SparkSession) -> str:
-    """The shared folder; a temporary one is set only where none is named and all runs on one machine."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    made = sc.getCheckpointDir()
-    if not made:
-        if not sc.master.startswith("local"):
-            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="arcweave-"))
-        made = sc.getCheckpointDir()
-    return made.rstrip("/")
-
-
 #: Staged tables of this driver that are still there.
 _STAGED: set[str] = set()
 
@@ -46,11 +31,9 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     latest until the driver's JVM ends.
     """
     spark = df.sparkSession
-    path = f"{work_dir(spark)}/arcweave-{uuid.uuid4().hex}-{name}"
+    path = new_path(spark, name)
     _STAGED.add(path)
     df.write.parquet(path)
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
     out = spark.read.schema(df.schema).parquet(path)
     out._arcweave_path = path
     return out
@@ -76,9 +59,14 @@ def discard(*tables: DataFrame) -> None:
             _delete(t.sparkSession, t._arcweave_path)
 
 
-def clean(spark: SparkSession) -> None:
-    """Delete all staged tables, once the results that read them are written."""
-    for path in sorted(_STAGED):
+def staged() -> frozenset[str]:
+    """The paths of staged tables that are still there."""
+    return frozenset(_STAGED)
+
+
+def clean(spark: SparkSession, but: frozenset[str] = frozenset()) -> None:
+    """Delete staged tables other than ``but``, once the results that read them are written."""
+    for path in sorted(_STAGED - but):
         _delete(spark, path)
 
 

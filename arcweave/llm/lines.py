@@ -176,7 +176,9 @@ def recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     near = bounded.groupBy("b").applyInArrow(small, "m long, template long")
 
     crowded = several.where(F.col("variants") > LEAF).select("m", "leaf", "docs", "variants", "fields")
-    return lines, _found(lines, masked, near.unionByName(_crowded(crowded, min_docs)), min_docs)
+    found = _found(lines, masked, near.unionByName(_crowded(crowded, min_docs)), min_docs)
+    common.discard(masked, leaves, several)
+    return lines, found
 
 
 def _crowded(rows: DataFrame, min_docs: int) -> DataFrame:
@@ -247,7 +249,9 @@ def _found(lines: DataFrame, masked: DataFrame, assigned: DataFrame, min_docs: i
     many = per.groupBy("template").agg(F.count("*").alias("docs"), F.min("at").alias("at")).where(F.col("docs") >= min_docs)
     several = common.again(shared).join(many, "template").select("m", *place)
     own = common.again(masked).where(F.col("docs") >= min_docs).join(common.again(shared).select("m"), "m", "left_anti").select("m", *place)
-    return common.stage(own.unionByName(several), "recurring")
+    out = common.stage(own.unionByName(several), "recurring")
+    common.discard(assigned, shared)
+    return out
 
 
 def _gone(docs: DataFrame, id_col: str, text_col: str, min_docs: int) -> DataFrame:

@@ -14,8 +14,10 @@ turns each piece's local rank into a global one with a prefix sum over tasks,
 and a lookup in the runs gives its bin. No piece is ever gathered.
 
 Defined cases: null and empty texts pack as the end id alone; a full piece
-fills a sequence of its own; repeated rows are separate pieces; an empty table
-gives no rows.
+fills a sequence of its own; repeated rows, rows that share an id and rows
+without one are separate pieces; pieces of equal length are placed in the order
+of their tasks; texts of any length are encoded whole; an empty table gives no
+rows; other columns are not read.
 """
 
 from __future__ import annotations

@@ -11,7 +11,9 @@ compacts the array, until no pair remains. A document is the concatenation of
 its segments' ids.
 
 Defined cases: null is empty; an empty text encodes as the end id alone;
-characters without a piece fall back to bytes; repeated rows give equal rows.
+characters without a piece fall back to bytes; equal pair ranks merge from the
+left; repeated rows give equal rows, and null ids stay null; texts of any length
+are encoded whole; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations

@@ -28,5 +28,33 @@ def test_staged_tables(spark):
     t = common.stage(spark.range(5), "five")
     path = t._arcweave_path.removeprefix("file:")
     assert t.count() == 5 and common.again(t).count() == 5 and os.path.isdir(path)
+    kept = common.staged()
+    u = common.stage(spark.range(3), "three")
+    common.clean(spark, but=kept)
+    assert os.path.exists(path) and not os.path.exists(u._arcweave_path.removeprefix("file:"))
     common.clean(spark)
-    assert not os.path.exists(path)
+    assert not os.path.exists(path) and not common.staged()
+
+
+def test_a_cluster_must_name_its_folder(spark, monkeypatch):
+    import pytest
+
+    from arcweave.sources import workspace
+
+    class Context:
+        master = "spark://host:7077"
+        getConf = staticmethod(lambda: {})
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext, conf = Context, {}
+
+    with pytest.raises(ValueError):
+        workspace.shared_folder(Session)
+
+
+def test_beside_goes_by_number(spark):
+    docs = spark.createDataFrame([(1, "a", "x"), (None, "b", "y"), (2, "c", "z")], "c1 int, s0 string, s1 string")
+    side = spark.createDataFrame([(1, "one")], "k long, v string")
+    out = common.beside(docs, "c1", side, "k", "v", lambda columns, values: [columns[0], columns[1], pa.array([v or "-" for v in values])])
+    assert out.columns == docs.columns and sorted((r.s0, r.s1) for r in out.collect()) == [("a", "one"), ("b", "-"), ("c", "-")]
