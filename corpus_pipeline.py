@@ -52,7 +52,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each one's rows written before the next reads them."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), common.staged()
     for name, stage in STAGES[:-1]:
         docs = common.stage(stage(spark, docs, sf_dir), f"stage-{name}")
+        common.clean(spark, but=before | {docs._arcweave_path})  # what the stage kept, and the stage before it
     return STAGES[-1][1](spark, docs, sf_dir)
