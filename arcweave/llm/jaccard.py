@@ -594,7 +594,7 @@ def _answers(dtype):
     return run
 
 
-def _torn(buckets: int):
+def _torn():
     """Index lists with the components and representatives of the members that can have a partner.
 
     Where a list's members lie in several components they are tied into one
@@ -622,15 +622,14 @@ def _torn(buckets: int):
             out = np.zeros(int(torn.sum()), TIE)
             out["a"], out["b"] = head[torn], rep[torn]
             out = out[out["a"] != out["b"]]
-        out = np.unique(np.concatenate([out, whole]))
-        return _packed(*pack(_set_bucket(out["a"] ^ out["b"], buckets), out))
+        out = _spanning(np.unique(np.concatenate([out, whole])))
+        return pa.table({"a": pa.array(np.ascontiguousarray(out["a"])), "b": pa.array(np.ascontiguousarray(out["b"]))})
 
     return run
 
 
-def _forest(key, table):
-    """One bucket of ties: as few that connect the same members."""
-    ties = np.unique(unpack(table.column("payload"), TIE))
+def _spanning(ties: np.ndarray) -> np.ndarray:
+    """As few ties as connect the same members."""
     root: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -641,8 +640,33 @@ def _forest(key, table):
     for a, b in zip(ties["a"].tolist(), ties["b"].tolist()):
         a, b = sorted((find(a), find(b)))
         root[b] = a
-    out = [(find(x), x) for x in root if find(x) != x]
-    return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+    return np.array([(find(x), x) for x in list(root) if find(x) != x], TIE)
+
+
+def _forest(key, table):
+    """A part of all ties, thinned."""
+    ties = np.zeros(table.num_rows, TIE)
+    ties["a"], ties["b"] = table.column("a").to_numpy(), table.column("b").to_numpy()
+    out = _spanning(ties)
+    return pa.table({"a": pa.array(np.ascontiguousarray(out["a"])), "b": pa.array(np.ascontiguousarray(out["b"]))})
+
+
+#: Ties that one task thins, on average.
+TIES = 1 << 20
+
+
+def _thinned(ties: DataFrame) -> DataFrame:
+    """Ties that connect the same members: parts of bounded size are thinned, in as many levels as it takes until one part is left or a level brings little."""
+    ties = common.stage(ties, "ties")
+    left = ties.count()
+    while left:
+        parts = -(-left // TIES)
+        fewer = common.stage(ties.withColumn("g", F.pmod(F.xxhash64("a", "b"), F.lit(parts))).groupBy("g").applyInArrow(_forest, "a long, b long"), "ties")
+        common.discard(ties)
+        ties, before, left = fewer, left, fewer.count()
+        if parts == 1 or left > 0.8 * before:
+            break
+    return ties
 
 
 def _bundle_links(cells: pa.Table) -> pa.Table:
@@ -791,11 +815,10 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # the lists meet the components of their members; each index bucket asks for the sets it holds, once
     of = common.again(kept).select("d1", "d2", size, "rep").join(groups, F.col("rep") == F.col("node"), "left").select("d1", "d2", "n", F.coalesce("component", "rep").alias("c"), "rep")
     answers = answered(of, KNOWN)
-    ties = entries().groupBy("b").cogroup(answers.groupBy("b")).applyInArrow(_torn(buckets), PACKED)
-    ties = ties.groupBy("b").applyInArrow(_forest, "a long, b long")
+    ties = _thinned(entries().groupBy("b").cogroup(answers.groupBy("b")).applyInArrow(_torn(), "a long, b long"))
     common.release(spark)
     more = _bundled(common.again(kept).select("rep", "tokens"), groups, ties, buckets)
-    common.discard(lists, asks, kept, shared, counts, answers)
+    common.discard(lists, asks, kept, shared, counts, answers, ties)
     final = components(links.union(more))
     of_set = common.stage(sets.join(final, sets.rep == final.node, "left").select("d1", "d2", F.coalesce("component", "rep").alias("component_id")), "of-set")
     common.discard(sets, links, more, groups, final)

@@ -60,7 +60,7 @@ def test_frequent_tokens_alone(spark, monkeypatch):
 
 def test_hot_keys_change_nothing(spark, monkeypatch):
     """Every shared token hot, every list split, every bundle in blocks."""
-    for name, value in dict(RARE=1, SMALL=2, BLOCK=3, LIST=3, SAMPLE=1, LEAST=3, PLANS=0).items():
+    for name, value in dict(RARE=1, SMALL=2, BLOCK=3, LIST=3, SAMPLE=1, LEAST=3, PLANS=0, TIES=20).items():
         monkeypatch.setattr(jaccard, name, value)
     texts = corpus(6)
     docs = documents(spark, texts)
