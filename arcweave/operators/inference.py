@@ -37,8 +37,9 @@ def p_value(c: str, n: int) -> str:
     return r(f"(1e0 + {n_if(c)}) / {n + 1}e0")
 
 
-def ci(d, x: str, name: str) -> str:
-    return f"{r(d.pct(x, '0.025e0'))} AS {name}_lo, {r(d.pct(x, '0.975e0'))} AS {name}_hi"
+def ci(d, x: str, name: str, digits: int = 5) -> str:
+    """Ends of the percentile interval; interpolated, so one digit fewer than the statistics have."""
+    return f"{r(d.pct(x, '0.025e0'), digits)} AS {name}_lo, {r(d.pct(x, '0.975e0'), digits)} AS {name}_hi"
 
 
 @Q("STAT-30")
