@@ -460,7 +460,7 @@ def psychometric_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(round(float(p[2] * 10), 2), round(float(p[3]), 3), round(at, 2), round(float(loss(p) / n.sum()), 5))], "midpoint double, slope double, at_75 double, loss double")
 
 
-SWAP_REPS, SWAP_ROUNDS = 10, 3
+SWAP_REPS, SWAP_ROUNDS = 6, 2
 
 
 def _first_edges(d) -> str:
