@@ -165,7 +165,7 @@ def trigram_pair_angles(d):
 
 @Q("TOP-01 JOIN-07 GEO-03")
 def knn_angle_3d(d):
-    return f"""{base(d)}, q AS (SELECT * FROM concepts WHERE id % 10 = 0),
+    return f"""{base(d)}, q AS (SELECT * FROM concepts),
     p AS (SELECT q.id AS query_id, c.id AS id, {angle('q.', 'c.', CORE, '90e0')} AS t FROM q JOIN concepts c ON q.name <> c.name),
     k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(t, 9), id) AS place FROM p)
     SELECT query_id, place, id, {r('t', 4)} AS angle FROM k WHERE place <= 10"""
@@ -174,7 +174,7 @@ def knn_angle_3d(d):
 @Q("TOP-02 GEO-25")
 def analogy_topk(d):
     probe = ", ".join(f"c.{k} + (b.{k} - a.{k}) AS {k}" for k in ESSENCE)
-    return f"""{base(d)}, w AS (SELECT a.id AS k, {probe} FROM concepts a JOIN concepts b ON b.id = a.id + 1 JOIN concepts c ON c.id = a.id + 2 WHERE a.id % 20 = 0),
+    return f"""{base(d)}, w AS (SELECT a.id AS k, {probe} FROM concepts a JOIN concepts b ON b.id = a.id + 1 JOIN concepts c ON c.id = a.id + 2),
     p AS (SELECT w.k, c.id, {angle('w.', 'c.', ESSENCE, '90e0')} AS t FROM w CROSS JOIN concepts c),
     o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY round(t, 9), id) AS place FROM p)
     SELECT k, place, id, {r('t', 4)} AS angle FROM o WHERE place <= 5"""
@@ -182,7 +182,7 @@ def analogy_topk(d):
 
 @Q("TOP-04 JOIN-08")
 def complement_search(d):
-    return f"""{base(d)}, q AS (SELECT * FROM concepts WHERE id % 10 = 0),
+    return f"""{base(d)}, q AS (SELECT * FROM concepts),
     p AS (SELECT q.id AS query_id, c.id, {angle('q.', 'c.', CORE, '90e0')} AS t, {dot('q.', 'c.', DOMAIN)} / ({norm('q.', DOMAIN)} * {norm('c.', DOMAIN)} + 1e-10) AS sim,
           greatest(0.3e0, least(1e0, c.level / 7e0)) AS weight FROM q CROSS JOIN concepts c),
     s AS (SELECT query_id, id, t, greatest(-1e0, least(1e0, sim)) * 0.5e0 + weight * 0.3e0 - abs(t - 90e0) / 90e0 * 0.2e0 AS score FROM p WHERE abs(t - 90e0) < 30e0),

@@ -60,9 +60,9 @@ LINES = {"QIAN": 7, "DUI": 3, "LI": 5, "ZHEN": 1, "XUN": 6, "KAN": 2, "GEN": 4,
 
 @Q("ORC-01 ORC-02 JSN-01")
 def diagnosis(d):
-    """Every tenth concept as a question: its class, best complement, hexagram code, profile and witness, as JSON."""
+    """Every concept as a question: its class, best complement, hexagram code, profile and witness, as JSON."""
     code = lambda x: "CASE " + x + " " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in LINES.items()) + " END"
-    return f"""WITH {concepts(d)}, q AS (SELECT * FROM concepts WHERE id % 10 = 0),
+    return f"""WITH {concepts(d)}, q AS (SELECT * FROM concepts),
     p AS (SELECT q.id AS k, q.trigram AS lower_, c.id, c.trigram AS upper_, {angle('q.', 'c.', CORE, '90e0')} AS t, {cosine('q.', 'c.', DOMAIN)} AS sim, greatest(0.3e0, least(1e0, c.level / 7e0)) AS wt FROM q CROSS JOIN concepts c),
     s AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY round(sim * 0.5e0 + wt * 0.3e0 - abs(t - 90e0) / 90e0 * 0.2e0, 9) DESC, id) AS place FROM p WHERE abs(t - 90e0) < 30e0)
     SELECT k, lower_, id AS complement, upper_, CAST(8 * {code('lower_')} + {code('upper_')} + 1 AS BIGINT) AS hexagram, {r('1e0 - cos(radians(t))')} AS witness,

@@ -163,7 +163,7 @@ def ladders(d):
 @Q("WIN-15 TOP-10")
 def gold_rank(d):
     """The rank of a gold neighbour among all, hits at 1 and 5, angular error."""
-    return f"""WITH {concepts(d)}, q AS (SELECT *, (7 * id + 3) % 500 AS gold FROM concepts WHERE id % 10 = 0), p AS (SELECT q.id AS k, q.gold, c.id, {angle('q.', 'c.', ESSENCE, '90e0')} AS t FROM q JOIN concepts c ON c.id <> q.id),
+    return f"""WITH {concepts(d)}, q AS (SELECT *, (7 * id + 3) % 500 AS gold FROM concepts), p AS (SELECT q.id AS k, q.gold, c.id, {angle('q.', 'c.', ESSENCE, '90e0')} AS t FROM q JOIN concepts c ON c.id <> q.id),
     o AS (SELECT k, gold, id, t, rank() OVER (PARTITION BY k ORDER BY round(t, 9)) AS rk, min(t) OVER (PARTITION BY k) AS best FROM p)
     SELECT k, gold, rk, rk <= 1 AS hit1, rk <= 5 AS hit5, {r('t - best', 4)} AS error FROM o WHERE id = gold"""
 
@@ -449,7 +449,7 @@ def link_ranks(d):
 @Q("PRJN-19")
 def ideal_observer(d):
     """Softmax posterior over eight codes by distance; the nearest code."""
-    return f"""WITH {concepts(d)}, m AS (SELECT trigram, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM concepts GROUP BY trigram), s AS (SELECT c.id, m.trigram, -20e0 * ((c.x - m.x) * (c.x - m.x) + (c.y - m.y) * (c.y - m.y) + (c.z - m.z) * (c.z - m.z)) AS l FROM concepts c CROSS JOIN m WHERE c.id % 5 = 0),
+    return f"""WITH {concepts(d)}, m AS (SELECT trigram, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM concepts GROUP BY trigram), s AS (SELECT c.id, m.trigram, -20e0 * ((c.x - m.x) * (c.x - m.x) + (c.y - m.y) * (c.y - m.y) + (c.z - m.z) * (c.z - m.z)) AS l FROM concepts c CROSS JOIN m),
     p AS (SELECT id, trigram, exp(l) / sum(exp(l)) OVER (PARTITION BY id) AS p FROM s), k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(p, 9) DESC, trigram) AS place FROM p) SELECT id, trigram, {r('p')} AS p FROM k WHERE place = 1"""
 
 
