@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..model import CORE, ESSENCE, FUNCTION, PRESENT, angle, concepts, r, relations, succession, undirected
+from ..model import ESSENCE, FUNCTION, PRESENT, angle, concepts, r, relations, succession, undirected
 from ..plans.dialect import query
 from . import search
 

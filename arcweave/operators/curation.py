@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..model import CORE, DOMAIN, ESSENCE, FUNCTION, aliases, angle, band, concepts, cosine, dot, norm, r, relations, undirected
+from ..model import CORE, DOMAIN, ESSENCE, FUNCTION, aliases, angle, band, concepts, cosine, norm, r, relations, undirected
 from ..plans.dialect import SPARK, query
 from . import search
 from .claims import NEAR, nearest5

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..model import FUNCTION, ESSENCE, concepts, r
+from ..model import concepts, r
 from ..plans.dialect import query
 
 QUERIES: list = []
