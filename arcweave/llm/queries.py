@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, html, jaccard, langid, lines, media, packing, pieces, substrings, topk, toxicity
+from . import common, html, jaccard, langid, leaks, lines, media, packing, pieces, substrings, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,10 @@ def op10_topk_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.topk_search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_jaccard_join": op2_jaccard_join,
@@ -65,11 +69,15 @@ QUERIES = {
     "op8_html_extraction": op8_html_extraction,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_topk_maxscore": op10_topk_maxscore,
+    "op13_decontamination": op13_decontamination,
 }
 
 #: Lower-cased words of a document; the class is what the contract names.
 _WORDS = """regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"""
 
+#: Words of letters, digits and what lies beyond ASCII, A-Z lower-cased.
+_PLAIN = _WORDS.replace("[^\\x20\\x09-\\x0D]+", "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+")
+
 ORACLES = {
     "op2_jaccard_join": f"""
         WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
@@ -103,4 +111,16 @@ ORACLES = {
               FROM v q, v c WHERE q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
         r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op13_decontamination": f"""
+        WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_PLAIN} AS w FROM documents),
+        b AS (SELECT item_id, {_PLAIN} AS w FROM benchmark),
+        i AS (SELECT DISTINCT item_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 10 THEN [w] ELSE list_transform(range(1, len(w) - 8), lambda i: w[i:i + 9]) END) AS win FROM b),
+        v AS (SELECT item_id, len(win) AS k, array_to_string(win, ' ') AS g FROM i),
+        p AS (SELECT rid, k, unnest(range(1, len(w) - k + 2)) AS s, w FROM d, (SELECT DISTINCT k FROM v) z WHERE len(w) >= k),
+        h AS (SELECT rid, p.k, s, item_id FROM p JOIN v ON v.k = p.k AND v.g = array_to_string(p.w[s:s + p.k - 1], ' ')),
+        n AS (SELECT rid, count(DISTINCT x) AS n_hit FROM (SELECT rid, unnest(range(s, s + k)) AS x FROM h) t GROUP BY rid),
+        o AS (SELECT rid, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS item_id FROM h WHERE item_id IS NOT NULL) t GROUP BY rid)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN n USING (rid) LEFT JOIN o USING (rid)""",
 }
