@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, html, jaccard, langid, leaks, lines, media, packing, pieces, substrings, topk, toxicity
+from . import common, html, jaccard, langid, leaks, lines, media, packing, pieces, repair, sessions, substrings, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,14 @@ def op10_topk_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.topk_search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op11_gap_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.sessions(_table(spark, sf_dir, "clicks"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(repair.damaged(_table(spark, sf_dir, "conversations")))
+
+
 def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -69,6 +77,8 @@ QUERIES = {
     "op8_html_extraction": op8_html_extraction,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_topk_maxscore": op10_topk_maxscore,
+    "op11_gap_sessions": op11_gap_sessions,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_decontamination": op13_decontamination,
 }
 
@@ -111,6 +121,26 @@ ORACLES = {
               FROM v q, v c WHERE q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
         r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op11_gap_sessions": """
+        WITH RECURSIVE k AS (SELECT click_id, epoch_us(ts) AS us, client_id, coalesce(epoch_us(arrived_at) - epoch_us(ts) > 900000000, false) AS late,
+                    coalesce(value >= 60 AND kind IN ('purchase', 'signup'), false) AS final, CASE WHEN isfinite(value) THEN CAST(floor(100 * value + 0.5) AS BIGINT) ELSE 0 END AS cents
+             FROM clicks WHERE click_id IS NOT NULL AND ts IS NOT NULL AND client_id IS NOT NULL),
+        d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY click_id ORDER BY us, client_id, late, final, cents) AS one FROM k) t WHERE one = 1),
+        c AS (SELECT *, row_number() OVER w AS pos, CASE WHEN lag(final) OVER w THEN 'end' WHEN us - lag(us) OVER w < 900000000 THEN NULL ELSE 'gap' END AS why
+              FROM d WHERE NOT late WINDOW w AS (PARTITION BY client_id ORDER BY us, click_id)),
+        t AS (SELECT client_id, us, min(pos) AS pos FROM c GROUP BY client_id, us),
+        b AS (SELECT *, min(CASE WHEN why IS NOT NULL THEN pos END) OVER (PARTITION BY client_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS hard FROM c),
+        n AS (SELECT b.*, least(hard, t.pos) AS nxt FROM b ASOF LEFT JOIN t ON t.client_id = b.client_id AND b.us + 3600000000 < t.us),
+        s AS (SELECT client_id, pos, nxt FROM n WHERE why IS NOT NULL
+              UNION ALL SELECT n.client_id, n.pos, n.nxt FROM s JOIN n ON n.client_id = s.client_id AND n.pos = s.nxt WHERE n.why IS NULL),
+        m AS (SELECT c.client_id, s.pos AS spos, s.nxt, min(us) AS start_us, max(us) AS end_us, count(*) AS n_clicks, CAST(sum(cents) AS BIGINT) AS value_cents,
+                     first(click_id ORDER BY c.pos) AS session_id, last(final ORDER BY c.pos) AS final, sha256(string_agg(CAST(click_id AS VARCHAR), ',' ORDER BY c.pos)) AS path_sha256
+              FROM c ASOF JOIN s ON s.client_id = c.client_id AND c.pos >= s.pos GROUP BY c.client_id, s.pos, s.nxt),
+        o AS (SELECT client_id, start_us, max(spos) AS spos FROM m GROUP BY client_id, start_us),
+        l AS (SELECT o.client_id, o.spos, count(*) AS n FROM (SELECT * FROM d WHERE late) d ASOF JOIN o ON o.client_id = d.client_id AND d.us >= o.start_us GROUP BY o.client_id, o.spos)
+        SELECT m.client_id, m.session_id, start_us, end_us, n_clicks, coalesce(l.n, 0) AS n_late, value_cents,
+               CASE WHEN m.final THEN 'end' WHEN x.pos IS NULL THEN 'none' ELSE coalesce(x.why, 'length') END AS closed_by, path_sha256
+        FROM m LEFT JOIN l ON l.client_id = m.client_id AND l.spos = m.spos LEFT JOIN c x ON x.client_id = m.client_id AND x.pos = m.nxt""",
     "op13_decontamination": f"""
         WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_PLAIN} AS w FROM documents),
         b AS (SELECT item_id, {_PLAIN} AS w FROM benchmark),
