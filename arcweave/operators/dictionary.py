@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import geometry as G
 from ..model import CORE, DOMAIN, ESSENCE, FUNCTION, aliases, angle, concepts, cosine, dot, level_name, norm, r, relations, undirected
-from ..plans.dialect import query
+from ..plans.dialect import SPARK, query
+from . import search
 
 QUERIES: list = []
-Q = lambda ids: query(QUERIES, ids)
+Q = lambda ids, **views: query(QUERIES, ids, **views)
+
+
+def vectors(spark: SparkSession, sf_dir: str, axes=ESSENCE) -> DataFrame:
+    """(id, trigram, vector) of all concepts."""
+    return G.concepts(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).select("id", "trigram", F.array(*axes).alias("vector"))
 
 
 def base(d):
@@ -117,13 +128,20 @@ def orphans(d):
     SELECT id, name FROM concepts WHERE NOT EXISTS (SELECT 1 FROM kept WHERE me = id)"""
 
 
-@Q("JOIN-09 VAL-04")
+def near_own(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = vectors(spark, sf_dir)
+    got = search.nearest(v, v, 3, group="trigram", zero=0.0, ties=6, digits=None)
+    return got.select(F.col("query_id").alias("i"), "place", F.col("id").alias("j"), F.col("angle").alias("t"))
+
+
+@Q("JOIN-09 VAL-04", near_own=near_own)
 def crowding(d):
-    return f"""{graph(d)}, s AS (SELECT me, other FROM und WHERE rel_type = 'synonym'),
-    p AS (SELECT a.trigram, a.id AS i, b.id AS j, {angle('a.', 'b.', ESSENCE)} AS t FROM concepts a JOIN concepts b ON a.trigram = b.trigram AND a.id <> b.id),
-    k AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY round(t, 6), j) AS place FROM p),
-    o AS (SELECT * FROM k WHERE place <= 3 AND NOT EXISTS (SELECT 1 FROM s WHERE me = i AND other = j))
-    SELECT trigram, i, min_by(j, place) AS nearest, {r('min(t)', 4)} AS least, min(t) < 35e0 AS crowded FROM o GROUP BY trigram, i"""
+    """The three nearest of each concept in its class, from the pivot index; those that are no synonyms crowd it."""
+    k = f"""p AS (SELECT a.id AS i, b.id AS j, {angle('a.', 'b.', ESSENCE)} AS t FROM concepts a JOIN concepts b ON a.trigram = b.trigram AND a.id <> b.id),
+    near_own AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY round(t, 6), j) AS place FROM p),"""
+    return f"""{graph(d)}, s AS (SELECT me, other FROM und WHERE rel_type = 'synonym'), {'' if d.name == 'spark' else k}
+    o AS (SELECT * FROM near_own WHERE place <= 3 AND NOT EXISTS (SELECT 1 FROM s WHERE me = i AND other = j))
+    SELECT trigram, i, min_by(j, place) AS nearest, {r('min(t)', 4)} AS least, min(t) < 35e0 AS crowded FROM o JOIN concepts c ON c.id = i GROUP BY trigram, i"""
 
 
 @Q("AGG-01")
@@ -163,21 +181,39 @@ def trigram_pair_angles(d):
     CAST(sum(CASE WHEN angle4 BETWEEN 80e0 AND 105e0 THEN 1 ELSE 0 END) AS BIGINT) AS valid FROM t GROUP BY t1, t2"""
 
 
-@Q("TOP-01 JOIN-07 GEO-03")
+def near3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = vectors(spark, sf_dir, CORE)
+    return search.nearest(v, v, 10, digits=None).withColumnRenamed("angle", "t")
+
+
+@Q("TOP-01 JOIN-07 GEO-03", near3=near3)
 def knn_angle_3d(d):
-    return f"""{base(d)}, q AS (SELECT * FROM concepts),
+    """Ten nearest by the core, from the pivot index."""
+    k = f"""{base(d)}, q AS (SELECT * FROM concepts),
     p AS (SELECT q.id AS query_id, c.id AS id, {angle('q.', 'c.', CORE, '90e0')} AS t FROM q JOIN concepts c ON q.name <> c.name),
-    k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(t, 9), id) AS place FROM p)
-    SELECT query_id, place, id, {r('t', 4)} AS angle FROM k WHERE place <= 10"""
+    near3 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(t, 9), id) AS place FROM p)"""
+    return f"{'' if d.name == 'spark' else k} SELECT query_id, place, id, {r('t', 4)} AS angle FROM near3 WHERE place <= 10"
 
 
-@Q("TOP-02 GEO-25")
-def analogy_topk(d):
+def probes(d):
+    """``w``: the fourth term of the analogy of each concept and the two after it."""
     probe = ", ".join(f"c.{k} + (b.{k} - a.{k}) AS {k}" for k in ESSENCE)
-    return f"""{base(d)}, w AS (SELECT a.id AS k, {probe} FROM concepts a JOIN concepts b ON b.id = a.id + 1 JOIN concepts c ON c.id = a.id + 2),
-    p AS (SELECT w.k, c.id, {angle('w.', 'c.', ESSENCE, '90e0')} AS t FROM w CROSS JOIN concepts c),
-    o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY round(t, 9), id) AS place FROM p)
-    SELECT k, place, id, {r('t', 4)} AS angle FROM o WHERE place <= 5"""
+    return f"{base(d)}, w AS (SELECT a.id AS k, {probe} FROM concepts a JOIN concepts b ON b.id = a.id + 1 JOIN concepts c ON c.id = a.id + 2)"
+
+
+def near_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = vectors(spark, sf_dir)  # binds nothing by name
+    spark.read.parquet(f"{sf_dir}/embeddings.parquet").createOrReplaceTempView("embeddings")
+    w = spark.sql(f"{probes(SPARK)} SELECT k AS id, array({', '.join(ESSENCE)}) AS vector FROM w")
+    return search.nearest(v, w, 5, exclude_self=False, digits=None).select(F.col("query_id").alias("k"), "place", "id", F.col("angle").alias("t"))
+
+
+@Q("TOP-02 GEO-25", near_probes=near_probes)
+def analogy_topk(d):
+    """The five concepts nearest to each analogy's fourth term, from the pivot index."""
+    o = f"""{probes(d)}, p AS (SELECT w.k, c.id, {angle('w.', 'c.', ESSENCE, '90e0')} AS t FROM w CROSS JOIN concepts c),
+    near_probes AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY round(t, 9), id) AS place FROM p)"""
+    return f"{'' if d.name == 'spark' else o} SELECT k, place, id, {r('t', 4)} AS angle FROM near_probes WHERE place <= 5"
 
 
 @Q("TOP-04 JOIN-08")
@@ -199,13 +235,40 @@ def centroid_nearest(d):
     SELECT id, card, {r('t', 4)} AS angle, {r('t3', 4)} AS core_angle FROM o WHERE place = 1"""
 
 
-@Q("TOP-08 SET-06")
+BEST_PAIRS = 150
+
+
+def pair_score(d):
+    return f"{cosine('a.', 'b.', ESSENCE)} + {cosine('a.', 'b.', DOMAIN)}"
+
+
+def close_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(i, j): all pairs that can be among the best.
+
+    The scores of each concept's nearest neighbours give a floor: the best pairs
+    score at least that. A score is the sum of two cosines, so the full vectors of such a pair have a
+    cosine of the floor less one, and a range join finds them all.
+    """
+    spark.read.parquet(f"{sf_dir}/embeddings.parquet").createOrReplaceTempView("embeddings")
+    v = vectors(spark, sf_dir)
+    index = search.AngularIndex.build(v)
+    index.nearest(v, 2, digits=None).select(F.least("query_id", "id").alias("i"), F.greatest("query_id", "id").alias("j")).distinct().createOrReplaceTempView("first_pairs")
+    floor = spark.sql(f"""{graph(SPARK)} SELECT min(score) AS floor, count(*) AS n FROM (SELECT {pair_score(SPARK)} AS score FROM first_pairs p JOIN concepts a ON a.id = p.i JOIN concepts b ON b.id = p.j
+        LEFT ANTI JOIN relations ON c1 = i AND c2 = j ORDER BY round(score, 9) DESC NULLS LAST LIMIT {BEST_PAIRS}) z""").first()
+    least = floor.floor - 1 if floor.n == BEST_PAIRS and floor.floor is not None else -1.0
+    far = float(np.degrees(np.arccos(np.clip(least, -1, 1)))) + 1e-4
+    return index.within(v, 0.0, far, once=True).select(F.col("query_id").alias("i"), F.col("id").alias("j"))
+
+
+@Q("TOP-08 SET-06", close_pairs=close_pairs)
 def candidate_pairs(d):
-    return f"""{graph(d)}, p AS (SELECT a.id AS i, b.id AS j, {cosine('a.', 'b.', ESSENCE)} + {cosine('a.', 'b.', DOMAIN)} AS score, {angle('a.', 'b.', CORE)} AS t
-         FROM concepts a JOIN concepts b ON a.id < b.id),
+    """The best pairs that no relation joins; each task keeps its own best before they meet."""
+    pairs = "close_pairs x JOIN concepts a ON a.id = x.i JOIN concepts b ON b.id = x.j" if d.name == "spark" else "concepts a JOIN concepts b ON a.id < b.id"
+    return f"""{graph(d)}, p AS (SELECT a.id AS i, b.id AS j, {pair_score(d)} AS score, {angle('a.', 'b.', CORE)} AS t FROM {pairs}),
     n AS (SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM relations WHERE c1 = i AND c2 = j)),
-    k AS (SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, i, j) AS place FROM n)
-    SELECT place, i, j, {r('score')} AS score, {r('t', 4)} AS angle, t BETWEEN 80e0 AND 105e0 AS in_band FROM k WHERE place <= 150"""
+    best AS (SELECT * FROM n ORDER BY round(score, 9) DESC NULLS LAST, i, j LIMIT {BEST_PAIRS}),
+    k AS (SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC NULLS LAST, i, j) AS place FROM best)
+    SELECT place, i, j, {r('score')} AS score, {r('t', 4)} AS angle, t BETWEEN 80e0 AND 105e0 AS in_band FROM k"""
 
 
 @Q("GEO-01 GEO-02 GEO-04 GEO-05 GEO-06 GEO-07 GEO-08 GEO-33 GEO-36")
@@ -314,12 +377,20 @@ def angle_matrix_summary(d):
     SELECT count(*) AS pairs, {r('avg(t)', 4)} AS mean, {r(d.pct('t', '0.05e0'), 4)} AS p05, {r(d.pct('t', '0.95e0'), 4)} AS p95, CAST(sum(CASE WHEN t < 35e0 THEN 1 ELSE 0 END) AS BIGINT) AS near FROM p"""
 
 
-@Q("CUR-01 CUR-18 CUR-02")
+def nearest_old(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = vectors(spark, sf_dir)
+    got = search.nearest(v.where("id % 4 <> 0"), v.where("id % 4 = 0"), 1, exclude_self=False, digits=None)
+    return got.select(F.col("query_id").alias("id"), F.concat(F.lit("C"), F.lpad(F.col("id").cast("string"), 5, "0")).alias("near"), F.col("angle").alias("t"))
+
+
+@Q("CUR-01 CUR-18 CUR-02", nearest_old=nearest_old)
 def dedup_gate(d):
+    """New concepts against old ones: by name, by alias, then by the nearest old vector, from the pivot index."""
+    near = "w AS (SELECT * FROM nearest_old)" if d.name == "spark" else f"""p AS (SELECT n.id, o.name AS near, {angle('n.', 'o.', ESSENCE, '90e0')} AS t FROM new n CROSS JOIN old o),
+    m AS (SELECT id, min(t) AS t FROM p GROUP BY id), w AS (SELECT p.id, min(near) AS near, m.t FROM p JOIN m ON m.id = p.id AND m.t = p.t GROUP BY p.id, m.t)"""
     return f"""{base(d)}, {aliases(d)}, old AS (SELECT * FROM concepts WHERE id % 4 <> 0),
     new AS (SELECT CASE WHEN id % 12 = 0 THEN concat('A', {d.left_pad('id + 3', 5)}) WHEN id % 20 = 0 THEN concat('C', {d.left_pad('id + 1', 5)}) ELSE name END AS name, id, {', '.join(ESSENCE)} FROM concepts WHERE id % 4 = 0),
-    p AS (SELECT n.id, o.name AS near, {angle('n.', 'o.', ESSENCE, '90e0')} AS t FROM new n CROSS JOIN old o),
-    m AS (SELECT id, min(t) AS t FROM p GROUP BY id), w AS (SELECT p.id, min(near) AS near, m.t FROM p JOIN m ON m.id = p.id AND m.t = p.t GROUP BY p.id, m.t)
+    {near}
     SELECT n.id, n.name, CASE WHEN o.id IS NOT NULL THEN 'name' WHEN a.concept_id IS NOT NULL THEN 'alias' WHEN w.t < 30e0 THEN 'near' ELSE 'accept' END AS verdict, w.near, {r('w.t', 4)} AS angle
     FROM new n JOIN w ON w.id = n.id LEFT JOIN old o ON o.name = n.name LEFT JOIN aliases a ON a.alias = n.name"""
 
@@ -334,12 +405,25 @@ def relation_rework(d):
     FROM relations JOIN fixed p ON p.id = c1 JOIN fixed q ON q.id = c2"""
 
 
-@Q("CUR-08")
-def nudged_candidates(d):
-    """Eight hash-drawn nudges of each concept; the one farthest from its nearest old neighbour stays."""
+def nudges(d):
+    """``n``: eight hash-drawn nudges t of each concept's core."""
     draw = {k: d.hash(f"concat('{k}|', CAST(c.id AS STRING), '|', CAST(t AS STRING))") for k in CORE}
     return f"""{base(d)}, k AS (SELECT {d.explode(d.seq(0, 7))} AS t), c AS (SELECT * FROM concepts),
-    n AS (SELECT c.id, t, {', '.join(f'c.{a} + ({draw[a]} / 4294967296e0 - 0.5e0) * 0.4e0 AS {a}' for a in CORE)} FROM c CROSS JOIN k),
-    p AS (SELECT n.id, n.t, min({angle('n.', 'o.', CORE, '90e0')}) AS least FROM n JOIN concepts o ON o.id <> n.id GROUP BY n.id, n.t),
-    b AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(least, 6) DESC, t) AS place FROM p)
+    n AS (SELECT c.id, t, {', '.join(f'c.{a} + ({draw[a]} / 4294967296e0 - 0.5e0) * 0.4e0 AS {a}' for a in CORE)} FROM c CROSS JOIN k)"""
+
+
+def nudge_clearance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, t, least): the angle to the nearest concept but the nudged one, which is among the two nearest."""
+    spark.read.parquet(f"{sf_dir}/embeddings.parquet").createOrReplaceTempView("embeddings")
+    n = spark.sql(f"{nudges(SPARK)} SELECT id * 8 + t AS id, array({', '.join(CORE)}) AS vector FROM n")
+    got = search.nearest(vectors(spark, sf_dir, CORE), n, 2, exclude_self=False, digits=None)
+    own = F.floor(F.col("query_id") / 8).cast("long")
+    return got.where(F.col("id") != own).groupBy(own.alias("id"), F.pmod("query_id", F.lit(8)).alias("t")).agg(F.min("angle").alias("least"))
+
+
+@Q("CUR-08", nudge_clearance=nudge_clearance)
+def nudged_candidates(d):
+    """Eight hash-drawn nudges of each concept; the one farthest from its nearest old neighbour stays."""
+    p = f"""{nudges(d)}, nudge_clearance AS (SELECT n.id, n.t, min({angle('n.', 'o.', CORE, '90e0')}) AS least FROM n JOIN concepts o ON o.id <> n.id GROUP BY n.id, n.t),"""
+    return f"""{'WITH' if d.name == 'spark' else p} b AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(least, 6) DESC, t) AS place FROM nudge_clearance)
     SELECT id, CAST(t AS BIGINT) AS draw, {r('least', 4)} AS clearance FROM b WHERE place = 1"""

@@ -1,70 +1,291 @@
-"""Exact angular nearest neighbours in blocks.
+"""Exact angular search: a pivot index with pruning by the triangle inequality, kept on insert.
 
-Items are dealt into shards and queries into blocks of bounded size; a cell of
-the two is one task. Cosines are computed term by term in the order of the
-components, so that equal inputs give equal angles in any engine; the angle is
-taken of the survivors alone. The cells' short lists are merged per query.
+Angles are distances on the sphere. Every item lies in the cell of its nearest
+pivot, and a cell knows its least and greatest distance to the pivot; what is
+farther from a query than those bounds allow is never compared. Nearest
+neighbours take two rounds: the home cell of a query gives a first bound, and
+then the cells that the bound does not rule out are met. Range joins meet
+each cell that can hold an angle of the wanted band; a pair meets in one cell only.
+
+Items stay where they are stored, in shards of bounded size; copies of queries
+go to cells, in blocks of bounded size. The driver holds the pivots and one line of
+statistics a cell, whose numbers have fixed bounds. Cosines are summed
+in the order of the components, so that equal inputs give equal angles in any engine.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..sources.workspace import new_path
+
+#: Items a cell is made for, items of a shard, queries of a block, and the most cells.
+CELL_ROWS, SHARD_ROWS, BLOCK_ROWS, MOST_CELLS = 1024, 4096, 512, 2048
+#: Degrees by which bounds give way, for what arc cosines round off.
+SLACK = 1e-5
+#: The cell of vectors without length.
+LOST = -1
 
-SHARD_ROWS, BLOCK_ROWS = 4096, 512
 
+def _norms(m: np.ndarray) -> np.ndarray:
+    return np.sqrt(sum((m[:, k] * m[:, k] for k in range(m.shape[1])), np.zeros(len(m))))
 
-def _angles(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+
+def _angles(q: np.ndarray, x: np.ndarray, zero: float = 90.0) -> np.ndarray:
     dot = np.zeros((len(q), len(x)))
     for k in range(q.shape[1]):
         dot += q[:, k, None] * x[None, :, k]
-    norm = lambda m: np.sqrt(sum(m[:, k] * m[:, k] for k in range(m.shape[1])))
-    size = norm(q)[:, None] * norm(x)[None, :]
+    a, b = _norms(q), _norms(x)
     with np.errstate(divide="ignore", invalid="ignore"):
-        t = np.degrees(np.arccos(np.clip(dot / size, -1, 1)))
-    return np.where((norm(q) < 1e-10)[:, None] | (norm(x) < 1e-10)[None, :], 90.0, t)
+        t = np.degrees(np.arccos(np.clip(dot / (a[:, None] * b[None, :]), -1, 1)))
+    return np.where((a < 1e-10)[:, None] | (b < 1e-10)[None, :], zero, t)
+
+
+def _matrix(column) -> np.ndarray:
+    """The vectors of an Arrow list column."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), float).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
+def _spread_out(x: np.ndarray, n: int) -> np.ndarray:
+    """``n`` rows of ``x``, each the farthest from those before it."""
+    unit = x / _norms(x)[:, None]
+    picked, best = [0], np.full(len(x), 2.0)
+    while len(picked) < min(n, len(x)):
+        best = np.minimum(best, 1 - unit @ unit[picked[-1]])
+        if best.max() < 1e-12:
+            break
+        picked.append(int(best.argmax()))
+    return x[picked]
+
+
+@dataclass
+class Cell:
+    """What is known of a cell: its items, its shards, and how far they lie from the pivot."""
 
+    rows: int = 0
+    shards: int = 0
+    least: float = 180.0
+    most: float = 0.0
 
-def nearest(items: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vector_col: str = "vector", exclude_self: bool = True, most: float | None = None, digits: int | None = 4) -> DataFrame:
-    """(query_id, place, id, angle): the ``k`` items of least angle, ties to the smaller id.
 
-    ``most`` leaves out items beyond that angle. Vectors without length stand
-    at 90 degrees to everything. Null vectors take no part. Angles are rounded to
-    ``digits`` unless it is None.
+@dataclass
+class AngularIndex:
+    """Items (id, vector, group) by cell, stored in the shared folder.
+
+    A null id or vector takes no part. Vectors without length stand at ``zero`` degrees to
+    everything. With a ``group`` only items and queries of one group meet.
     """
-    spark = items.sparkSession
-    items, queries = (t.select(F.col(id_col).cast("long").alias("_id"), F.col(vector_col).alias("_x")).where("_id IS NOT NULL AND _x IS NOT NULL") for t in (items, queries))
-    n, m = items.count(), queries.count()
-    shards, blocks = max(1, -(-n // SHARD_ROWS)), max(1, -(-m // BLOCK_ROWS))
-    x = items.select("*", F.pmod(F.xxhash64("_id"), F.lit(shards)).cast("int").alias("_s"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b"))
-    q = queries.select("*", F.pmod(F.xxhash64("_id"), F.lit(blocks)).cast("int").alias("_b"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("_s"))
-
-    def cell(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: tuple[list, list, list] = ([], [], [])
-        if left.num_rows and right.num_rows:
-            ids, qids = left.column("_id").to_numpy(), right.column("_id").to_numpy()
-            t = _angles(np.array(right.column("_x").to_pylist(), float), np.array(left.column("_x").to_pylist(), float))
-            for row, own in zip(t, qids):
-                ok = ids != own if exclude_self else np.ones(len(ids), bool)
-                if most is not None:
-                    ok &= row <= most
+
+    spark: SparkSession
+    path: str
+    pivots: np.ndarray
+    zero: float = 90.0
+    cells: dict[tuple[str, int], Cell] = field(default_factory=dict)
+    #: Pairs compared by the last search.
+    compared: int = 0
+
+    @staticmethod
+    def build(items: DataFrame, id_col: str = "id", vector_col: str = "vector", group: str | None = None, zero: float = 90.0) -> AngularIndex:
+        """Pivots far apart from a sample of at most 8 rows a cell, drawn by a hash of the id."""
+        rows = _plain(items, id_col, vector_col, group)
+        n, wide = rows.agg(F.count("*"), F.max(F.size("_x"))).first()
+        want = 1 if n <= SHARD_ROWS else min(MOST_CELLS, -(-n // CELL_ROWS))
+        pivots = np.eye(1, wide or 1)
+        if want > 1:
+            drawn = rows.select("_x", F.xxhash64("_id").alias("h")).orderBy("h").limit(8 * want).collect()
+            x = np.array([r["_x"] for r in drawn], float)
+            x = x[_norms(x) >= 1e-10]
+            pivots = _spread_out(x, want) if len(x) else pivots
+        index = AngularIndex(items.sparkSession, new_path(items.sparkSession, "index"), pivots, zero)
+        index._add(rows)
+        return index
+
+    def append(self, items: DataFrame, id_col: str = "id", vector_col: str = "vector", group: str | None = None) -> None:
+        """Add items to the cells of the pivots there are, in new shards; what is stored stays as it is."""
+        self._add(_plain(items, id_col, vector_col, group))
+
+    def _assigned(self, rows: DataFrame) -> DataFrame:
+        pivots = self.pivots
+
+        def run(batches):
+            for b in batches:
+                x = _matrix(b.column("_x"))
+                t, ok = (_angles(x, pivots), _norms(x) >= 1e-10) if len(x) else (np.zeros((0, 1)), np.zeros(0, bool))
+                cell = np.where(ok, t.argmin(axis=1), LOST)
+                far = np.where(ok, t.min(axis=1), 0.0)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell.astype(np.int32)), pa.array(far)], names=[*b.schema.names, "_c", "_r"])
+
+        return rows.mapInArrow(run, "_g string, _id long, _x array<double>, _c int, _r double")
+
+    def _add(self, rows: DataFrame) -> None:
+        got = self._assigned(rows)
+        if len(self.pivots) > 1:
+            at = new_path(self.spark, "assigned")
+            got.write.parquet(at)
+            got = self.spark.read.schema(got.schema).parquet(at)
+        counts = got.groupBy("_g", "_c").agg(F.count("*").alias("n"), F.min("_r").alias("lo"), F.max("_r").alias("hi")).collect()  # a line a cell
+        new = []
+        for r in counts:
+            c = self.cells.setdefault((r["_g"], r["_c"]), Cell())
+            more = -(-r["n"] // SHARD_ROWS)
+            new.append((r["_g"], r["_c"], c.shards, more))
+            c.rows, c.shards, c.least, c.most = c.rows + r["n"], c.shards + more, min(c.least, r["lo"]), max(c.most, r["hi"])
+        if new:
+            first = self.spark.createDataFrame(new, "_g string, _c int, base int, more int")
+            sharded = got.join(F.broadcast(first), ["_g", "_c"]).select("_g", "_c", (F.col("base") + F.pmod(F.xxhash64("_id"), F.col("more"))).cast("int").alias("_s"), "_id", "_x", "_r")
+            sharded.repartition("_g", "_c", "_s").sortWithinPartitions("_g", "_c", "_s").write.mode("append").parquet(self.path)
+
+    def compact(self, least: int = CELL_ROWS // 4) -> AngularIndex:
+        """A new index in which cells under ``least`` items are merged into their neighbours and shards are whole again."""
+        rows: dict[int, int] = {}
+        for (_, c), cell in self.cells.items():
+            rows[c] = rows.get(c, 0) + cell.rows
+        keep = sorted(c for c, n in rows.items() if c != LOST and n >= least) or sorted(c for c in rows if c != LOST)[:1]
+        out = AngularIndex(self.spark, new_path(self.spark, "index"), self.pivots[keep] if keep else self.pivots, self.zero)
+        if self.cells:
+            out._add(self.items().select("_g", "_id", "_x"))
+        return out
+
+    def items(self) -> DataFrame:
+        """All stored items with their cell, shard and angle to the pivot."""
+        return self.spark.read.schema("_g string, _c int, _s int, _id long, _x array<double>, _r double").parquet(self.path)
+
+    # -- queries to cells
+
+    def _routed(self, queries: DataFrame, reach) -> DataFrame:
+        """A copy of each query (_g, _q, _x, _tau, _home) for every cell that ``reach(angles to pivots, tau, home, least, most)`` names."""
+        pivots, zero, cells = self.pivots, self.zero, self.cells
+        groups: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for g in {g for g, _ in cells}:
+            own = sorted(c for h, c in cells if h == g)
+            groups[g] = (np.array(own), np.array([cells[g, c].least for c in own]), np.array([cells[g, c].most for c in own]))
+
+        def run(batches):
+            for b in batches:
+                x, tau, home = _matrix(b.column("_x")), b.column("_tau").to_numpy(), b.column("_home").to_numpy()
+                short = _norms(x) < 1e-10 if len(x) else np.zeros(0, bool)
+                at, to = [], []
+                names = np.array(b.column("_g").to_pylist(), object)
+                for g in set(names):
+                    if g not in groups:
+                        continue
+                    rows, (own, lo, hi) = np.flatnonzero(names == g), groups[g]
+                    t = np.full((len(rows), len(own)), zero)
+                    real = own != LOST
+                    if real.any():
+                        t[:, real] = _angles(x[rows], pivots[own[real]], zero)
+                    low = np.maximum(0, np.maximum(t - hi, lo - t))
+                    high = np.minimum(180, t + hi)
+                    exact = short[rows][:, None] | ~real[None, :]  # all at ``zero`` degrees
+                    low, high = np.where(exact, zero, low), np.where(exact, zero, high)
+                    i, j = np.nonzero(reach(t, low, high, tau[rows], home[rows], own))
+                    at.append(rows[i])
+                    to.append(own[j])
+                at, to = (np.concatenate(v) if v else np.zeros(0, int) for v in (at, to))
+                took = pa.Table.from_batches([b]).take(pa.array(at)).combine_chunks()
+                cols = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in took.columns]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(to.astype(np.int32))], names=[*b.schema.names, "_c"])
+
+        return queries.mapInArrow(run, "_g string, _q long, _x array<double>, _tau double, _home int, _c int")
+
+    def _meet(self, routed: DataFrame, compare, schema: str) -> DataFrame:
+        """Every shard of a cell with every block of the queries sent there."""
+        at = new_path(self.spark, "routed")
+        routed.write.parquet(at)
+        sent = self.spark.read.parquet(at)
+        counts = sent.groupBy("_g", "_c").count().collect()  # a line a cell
+        pairs = sum(r["count"] * self.cells[r["_g"], r["_c"]].rows for r in counts)
+        self.compared += pairs
+        if not counts:
+            return self.spark.createDataFrame([], schema)
+        sizes = F.broadcast(self.spark.createDataFrame([(r["_g"], r["_c"], self.cells[r["_g"], r["_c"]].shards, -(-r["count"] // BLOCK_ROWS)) for r in counts], "_g string, _c int, shards int, blocks int"))
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        x = self.items().join(sizes, ["_g", "_c"]).select("_g", "_c", "_s", "_id", "_x", every("blocks").alias("_b"))
+        q = sent.join(sizes, ["_g", "_c"]).select("_g", "_c", F.pmod(F.xxhash64("_q"), F.col("blocks")).cast("int").alias("_b"), "_q", "_x", "_tau", every("shards").alias("_s"))
+        zero = self.zero
+
+        def cell(items: pa.Table, asked: pa.Table) -> pa.Table:
+            if not items.num_rows or not asked.num_rows:
+                return pa.table({n: [] for n in names}, schema=arrow)
+            t = _angles(_matrix(asked.column("_x")), _matrix(items.column("_x")), zero)
+            return compare(t, asked.column("_q").to_numpy(), items.column("_id").to_numpy(), asked.column("_tau").to_numpy())
+
+        arrow = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("angle", pa.float64())])
+        names = arrow.names
+        key = ("_g", "_c", "_s", "_b")
+        return x.groupBy(*key).cogroup(q.groupBy(*key)).applyInArrow(cell, schema)
+
+    def nearest(self, queries: DataFrame, k: int, id_col: str = "id", vector_col: str = "vector", group: str | None = None, exclude_self: bool = True, most: float | None = None, digits: int | None = 4, ties: int = 9) -> DataFrame:
+        """(query_id, place, id, angle): the ``k`` items of least angle, by the angle to ``ties`` digits and then the smaller id.
+
+        ``most`` leaves out items beyond that angle. Angles are rounded to ``digits`` unless it is None.
+        """
+        far, slack = 180.0 if most is None else float(most), max(SLACK, 2 * 10.0**-ties)
+        q = _plain(queries, id_col, vector_col, group).select("_g", F.col("_id").alias("_q"), "_x", F.lit(far).alias("_tau"), F.lit(LOST - 1).alias("_home"))
+        self.compared = 0
+
+        def best(t, qs, ids, tau):
+            out: tuple[list, list, list] = ([], [], [])
+            for row, own, limit in zip(t, qs, tau):
+                ok = row <= limit + slack
+                if exclude_self:
+                    ok &= ids != own
                 at = np.flatnonzero(ok)
                 if len(at) > 4 * k:
                     cut = np.partition(row[at], k)[k]
-                    at = at[row[at] <= cut + 1e-9]
-                best = at[np.lexsort((ids[at], np.round(row[at], 9)))[:k]]
-                out[0].extend([own] * len(best))
-                out[1].extend(ids[best].tolist())
-                out[2].extend(row[best].tolist())
-        return pa.table({"query_id": pa.array(out[0], pa.int64()), "id": pa.array(out[1], pa.int64()), "angle": pa.array(out[2], pa.float64())})
-
-    lists = x.groupBy("_s", "_b").cogroup(q.groupBy("_s", "_b")).applyInArrow(cell, "query_id long, id long, angle double")
-    w = Window.partitionBy("query_id").orderBy(F.round("angle", 9), "id")
-    return lists.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select("query_id", "place", "id", (F.col("angle") if digits is None else F.round("angle", digits)).alias("angle"))
+                    at = at[row[at] <= cut + slack]
+                at = at[np.lexsort((ids[at], np.round(row[at], ties)))[:k]]
+                out[0].append(np.full(len(at), own))
+                out[1].append(ids[at])
+                out[2].append(row[at])
+            a, b, c = (np.concatenate(v) for v in out)
+            return pa.table({"query_id": a.astype(np.int64), "id": b, "angle": c})
+
+        schema = "query_id long, id long, angle double"
+        first = lambda t, low, high, tau, home, own: np.arange(len(own))[None, :] == np.where(low <= tau[:, None] + slack, t, 999.0).argmin(axis=1)[:, None]
+        lists = self._meet(self._routed(q, first), best, schema)
+        if len(self.cells) > len({g for g, _ in self.cells}):
+            at = new_path(self.spark, "home")
+            lists.write.parquet(at)
+            lists = self.spark.read.schema(schema).parquet(at)
+            w = Window.partitionBy("query_id").orderBy(F.round("angle", ties), "id")
+            kth = lists.withColumn("p", F.row_number().over(w)).where(F.col("p") == k).select(F.col("query_id").alias("_q"), F.least("angle", F.lit(far)).alias("_kth"))
+            again = q.join(kth.hint("merge"), "_q", "left").select("_g", "_q", "_x", F.coalesce("_kth", "_tau").alias("_tau"), "_home")
+            # the home cell is the same as before, whatever the bound is by now
+            rest = lambda t, low, high, tau, home, own: (low <= tau[:, None] + slack) & ~first(t, low, high, np.full(len(tau), far), home, own)
+            lists = lists.union(self._meet(self._routed(again, rest), best, schema))
+        w = Window.partitionBy("query_id").orderBy(F.round("angle", ties), "id")
+        out = lists if most is None else lists.where(F.col("angle") <= most)
+        return out.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select("query_id", "place", "id", (F.col("angle") if digits is None else F.round("angle", digits)).alias("angle"))
+
+    def within(self, queries: DataFrame, low: float, high: float, id_col: str = "id", vector_col: str = "vector", group: str | None = None, once: bool = False) -> DataFrame:
+        """(query_id, id, angle): all pairs at ``low`` to ``high`` degrees, both included, but for a query with itself; ``once`` keeps those whose item has the greater id."""
+        q = _plain(queries, id_col, vector_col, group).select("_g", F.col("_id").alias("_q"), "_x", F.lit(180.0).alias("_tau"), F.lit(LOST - 1).alias("_home"))
+        self.compared = 0
+
+        def band(t, qs, ids, tau):
+            ok = (t >= low) & (t <= high) & ((ids[None, :] > qs[:, None]) if once else (ids[None, :] != qs[:, None]))
+            i, j = np.nonzero(ok)
+            return pa.table({"query_id": qs[i], "id": ids[j], "angle": t[i, j]})
+
+        return self._meet(self._routed(q, lambda t, lo, hi, tau, home, own: (lo <= high + SLACK) & (hi >= low - SLACK)), band, "query_id long, id long, angle double")
+
+
+def _plain(df: DataFrame, id_col: str, vector_col: str, group: str | None) -> DataFrame:
+    g = F.lit("") if group is None else F.coalesce(F.col(group).cast("string"), F.lit(""))
+    return df.select(g.alias("_g"), F.col(id_col).cast("long").alias("_id"), F.col(vector_col).cast("array<double>").alias("_x")).where("_id IS NOT NULL AND _x IS NOT NULL")
+
+
+def nearest(items: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vector_col: str = "vector", exclude_self: bool = True, most: float | None = None, digits: int | None = 4, group: str | None = None, ties: int = 9, zero: float = 90.0) -> DataFrame:
+    """(query_id, place, id, angle): :meth:`AngularIndex.nearest` over an index of ``items``."""
+    return AngularIndex.build(items, id_col, vector_col, group, zero).nearest(queries, k, id_col, vector_col, group, exclude_self, most, digits, ties)
 
 
 def knn_angle_7d(spark: SparkSession, sf_dir: str) -> DataFrame:
