@@ -14,9 +14,10 @@ Defined cases: null and empty pages give an empty text; broken markup is
 closed by the rules of its tags; an unfinished tag or comment at the end is no
 text; a quote left open ends with its tag; white space (also no-break and other
 Unicode spaces) in a block becomes one space; blocks are joined in page order; a
-block whose marginal is exactly one half is kept; pages of any length are read
-whole, in linear time; repeated rows give equal rows, null ids stay null, an empty
-table gives no rows, and other columns are not read.
+block whose marginal is exactly one half is kept; text without markup is one
+block, the root; pages of any length are read whole, in linear time; each row is done
+by itself, so rows that share an id, and repeated rows, each get their own text; null ids
+stay null, an empty table gives no rows, and other columns are not read.
 """
 
 from __future__ import annotations
@@ -106,7 +107,8 @@ def _tokens(html: str) -> list[tuple[str, str, str]]:
         if m.start() > at:
             out.append(("text", "", html[at : m.start()]))
         if m[0][1] in "!?":
-            end = html.find("-->", m.end()) + 3 if m[0] == "<!--" else html.find(">", m.end()) + 1
+            data = html.startswith("[CDATA[", m.end())
+            end = html.find("-->", m.end()) + 3 if m[0] == "<!--" else html.find("]]>", m.end()) + 3 if data else html.find(">", m.end()) + 1
             at = end if end > m.end() - 1 and end > 2 else n
             continue
         name = _TAG.match(html, m.end() - 1)
@@ -154,6 +156,7 @@ def parse(html: str) -> tuple[list[Node], list[tuple[Node, str]]]:
     """Block nodes in page order (the root first) and the (node, text) runs between block borders."""
     root = Node("html", (), None)
     nodes, stack = [root], [root]  # open blocks only; inline tags do not nest blocks
+    opened: dict[str, int] = {}  # how many of a tag are on the stack, so that none is looked for in vain
     runs: list[tuple[Node, str]] = []
     buffer: list[str] = []
     links = 0
@@ -166,6 +169,11 @@ def parse(html: str) -> tuple[list[Node], list[tuple[Node, str]]]:
                 stack[-1].text.append(text)
             buffer.clear()
 
+    def leave(k):
+        for v in stack[k:]:
+            opened[v.tag] -= 1
+        del stack[k:]
+
     for kind, tag, body in _visible(_tokens(html)):
         if kind == "text":
             buffer.append(body)
@@ -177,9 +185,9 @@ def parse(html: str) -> tuple[list[Node], list[tuple[Node, str]]]:
             elif tag in BLOCK:
                 border()
                 links = 0
-                for k in range(len(stack) - 1, 0, -1):
+                for k in range(len(stack) - 1, 0, -1) if opened.get(tag) else ():
                     if stack[k].tag == tag:
-                        del stack[k:]
+                        leave(k)
                         break
                     if tag in ("p", "li") and stack[k].tag in ("article", "section", "main", "body", "table", "div", "td"):
                         break
@@ -194,29 +202,30 @@ def parse(html: str) -> tuple[list[Node], list[tuple[Node, str]]]:
         elif tag in BLOCK:
             border()
             if tag in ("html", "body") and len(stack) == 1:
+                root.label = _names(body)[1] or root.label
                 continue
             links = 0
             if tag in CLOSES_P:
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k].tag == "p" or (tag[0] == "h" and tag[1:].isdigit() and stack[k].tag[0] == "h" and stack[k].tag[1:].isdigit()):
-                        del stack[k:]
+                        leave(k)
                         break
                     if stack[k].tag in BLOCK:
                         break
             if tag in IMPLIED:
                 ends, fence = IMPLIED[tag]
-                cut = None
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag in fence:
-                        break
+                cut, left, k = None, sum(opened.get(t, 0) for t in ends), len(stack) - 1
+                while left and stack[k].tag not in fence:
                     if stack[k].tag in ends:
-                        cut = k
+                        cut, left = k, left - 1
+                    k -= 1
                 if cut:
-                    del stack[cut:]
+                    leave(cut)
             names, label = _names(body)
             node = Node(tag, names, stack[-1], label)
             nodes.append(node)
             stack.append(node)
+            opened[tag] = opened.get(tag, 0) + 1
     border()
     return nodes, runs
 
@@ -227,9 +236,17 @@ def _bucket(n: int) -> int:
 
 def _features(nodes: list[Node]) -> list[list[str]]:
     out = []
+    bare = not any(v.tag in ("article", "main") for v in nodes)
+    for v in nodes:
+        v.under = sum(map(len, v.text))
+    for v in nodes[:0:-1]:  # children stand behind their parents
+        v.parent.under += v.under
+    whole = max(1, nodes[0].under)
     for v in nodes:
         text = " ".join(v.text)
-        f = ["bias", f"t:{v.tag}", f"len:{_bucket(len(text))}"]
+        f = ["bias", f"t:{v.tag}", f"len:{_bucket(len(text))}", f"share:{min(4, 5 * v.under // whole)}"]
+        if bare:
+            f.append(f"bare:{v.tag}<{v.parent.tag}" if v.parent else "bare")
         f += [f"c:{x}" for x in v.names]
         if text:
             f.append(f"link:{min(4, 5 * v.linked // max(1, len(text)))}")
@@ -237,7 +254,7 @@ def _features(nodes: list[Node]) -> list[list[str]]:
             if v.tag == "p":
                 f.append(f"p-len:{_bucket(len(text))}")
         if v.parent is not None:
-            f.append(f"up:{v.parent.tag}")
+            f += [f"up:{v.parent.tag}", f"up-share:{min(4, 5 * v.parent.under // whole)}"]
             f += [f"uc:{x}" for x in v.parent.names]
             f.append(f"t-up:{v.tag}<{v.parent.tag}")
         out.append(f)
@@ -312,7 +329,7 @@ def fit(forest: Forest, width: int, steps: int = 250, rate: float = 0.1, ridge:
     return theta[:width], theta[width:].reshape(N_KINDS, 2, 2)
 
 
-def labelled_pages(n: int = 240, seed: int = 7) -> list[str]:
+def labelled_pages(n: int = 640, seed: int = 7) -> list[str]:
     """Pages of many layouts; ``data-y="1"`` marks the elements whose own text is content."""
     rng = random.Random(seed)
     rough = False
@@ -387,10 +404,44 @@ def labelled_pages(n: int = 240, seed: int = 7) -> list[str]:
             block("nav", rng.choice(["pagination", "pager", ""]), link * 3),
         ])
 
+    def plain(kind):
+        """Content without a shell that tells of it, or in an unusual one; also of very few words."""
+        if kind == "text":
+            return rng.choice(["<br>", "<br><br>", "\n"]).join(prose(8, 40) for _ in range(rng.randint(1, 5)))
+        short = rng.random() < 0.5
+        out = f'<h{rng.randint(1, 3)} data-y="1">{words(1, 7)}</h1>' if rng.random() < 0.4 else ""
+        if kind == "header":
+            out = f'<header data-y="1"><h1 data-y="1">{words(2, 8)}</h1>' + (f'<p data-y="1">{words(2, 8)}</p>' if rng.random() < 0.5 else "") + "</header>"
+        for _ in range(rng.choice([1, 1, 2, 3, 4, 5, 6])):
+            para = f'<p data-y="1">{prose(8, 20) if short else prose()}</p>'
+            if kind == "details":
+                para = f'<details data-y="1"><summary data-y="1">{words(1, 6)}</summary>{para}</details>'
+            out += f'<div data-y="1">{prose()}</div>' if kind == "divs" and rng.random() < 0.4 else para
+        if kind == "td":
+            return f'<table data-y="1"><tr data-y="1"><td data-y="1">{out}</td></tr></table>'
+        if kind == "named":
+            return block(*rng.choice(shells), out, 1)
+        if kind in ("header", "details"):
+            return block(*rng.choice([("article", ""), ("main", ""), ("article", "post"), ("div", "content"), ("section", "")]), out, 1)
+        if kind == "section":
+            return block("section", "", out, 1)
+        for _ in range(rng.randint(1, 4) if kind == "divs" else 0):
+            out = f'<div data-y="1">{out}</div>' if rng.random() < 0.7 else f'<div class="{rng.choice(["wrapper", "container", "row", "site", "layout", "page"])}" data-y="1">{out}</div>'
+        return out
+
     shells = [("article", ""), ("article", ""), ("article", "post"), ("main", ""), ("div", "content"), ("div", "article"), ("div", "post"), ("div", "entry"), ("div", "main"), ("div", "story"), ("section", "content"), ("section", "article"), ("div", "article-body"), ("div", "page"), ("div", "text"), ("section", ""), ("div", "")]
     pages = []
     for _ in range(n):
         rough = rng.random() < 0.2
+        if rng.random() < 0.5:
+            kind = rng.choice(["text", "body", "body", "divs", "divs", "divs", "named", "named", "header", "details", "td", "section"])
+            some = rng.random() < 0.5
+            top = "".join(noise("top") for _ in range(rng.randint(0, 2))) if some else ""
+            end = "".join(noise("end") for _ in range(rng.randint(0, 2))) if some else ""
+            inner = plain(kind)
+            page = f'<body data-y="1">{top}{inner}{end}</body>'
+            pages.append(rng.choice([f"<html>{page}</html>", page]) if kind != "text" or some or rng.random() < 0.7 else f'<html data-y="1">{inner}')
+            continue
         tag, cls = rng.choice(shells)
         inner = block(tag, cls, body(), 1)
         if rng.random() < 0.25:

@@ -158,7 +158,7 @@ class Model:
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES, n_features: int = FEATURES) -> Model:
-    """Train on at most ``sample_rows`` labelled documents of ``docs``, as far as ``sample_bytes`` go."""
+    """Train on at most ``sample_rows`` labelled documents of ``docs``, as far as ``sample_bytes`` go; where they do not reach for all, very long texts are left out first."""
     spark = docs.sparkSession
     common.small_batches(spark)
     known = labels.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{label_col}`").cast("int").alias("_y")).where("_id IS NOT NULL AND _y IS NOT NULL").groupBy("_id").agg(F.max("_y").alias("_y"))
@@ -167,8 +167,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = common.stage(rows, "toxic-sample")
     size = F.octet_length("_text")
     if (rows.agg(F.sum(size)).first()[0] or 0) > sample_bytes:
-        # in the order of the sample; a table of at most sample_rows ids
-        so_far = F.sum(size).over(Window.orderBy(F.xxhash64("_id"), "_id"))
+        # in the order of the sample, but texts of over a sixteenth of the bound come last, so that none crowds out the others; a table of at most sample_rows ids
+        so_far = F.sum(size).over(Window.orderBy(size > sample_bytes // 16, F.xxhash64("_id"), "_id"))
         fits = rows.select("_id", so_far.alias("_bytes")).where(F.col("_bytes") <= sample_bytes).select("_id").distinct()
         fewer = common.stage(common.again(rows).join(F.broadcast(fits), "_id", "left_semi").repartition(min(16, common.parts(spark)), "_id").sortWithinPartitions("_id"), "toxic-sample")
         common.discard(rows)

@@ -209,3 +209,14 @@ def test_toxicity_bounds_and_odd_rows(spark):
     kept = toxicity.keep_clean(docs, labels)
     assert kept.columns == docs.columns and {(r.score, r._y) for r in kept.collect()} == {("x", "y")}
     assert toxicity.score(docs.limit(0), model).count() == 0 and toxicity.learn(docs, labels, sample_rows=0).weights == {}
+
+
+def test_a_very_long_text_leaves_the_lesson(spark):
+    texts, toxic = planted(300)
+    first = spark.range(300).orderBy(F.xxhash64("id")).first().id
+    labels = spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int")
+    for size in (39_000, 80_000):  # under the bound, and over it
+        odd = [("plain word. " * (size // 12)) if i == first else t for i, t in enumerate(texts)]
+        model = toxicity.learn(documents(spark, odd), labels, sample_bytes=40_000)
+        want = toxicity.learn(documents(spark, texts), labels, sample_bytes=40_000)
+        assert model.weights and len(model.weights) > 0.5 * len(want.weights)
