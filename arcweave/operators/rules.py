@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
 from ..model import CORE, DOMAIN, angle, concepts, cosine, r, relations, undirected
 from ..plans.dialect import query
+from . import ordered
 
 QUERIES: list = []
-Q = lambda ids: query(QUERIES, ids)
+Q = lambda ids, **views: query(QUERIES, ids, **views)
 
 #: Common words of the corpora, left out of content words.
 STOP = ("the", "and", "that", "with", "this", "from", "die", "der", "das", "les", "des", "que", "los", "las", "una", "por")
@@ -79,10 +83,17 @@ def coin_cast(d):
     CAST(sum((v % 2) * CAST(power(2, ln) AS BIGINT)) AS BIGINT) AS code, CAST(sum(CASE WHEN v IN (7, 6) THEN CAST(power(2, ln) AS BIGINT) ELSE 0 END) AS BIGINT) AS resolved FROM v GROUP BY k"""
 
 
-@Q("ORC-07 ORC-08 WIN-01 WIN-02 TOP-11")
+def with_previous(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(event_id, sym, prev): the corpus with the symbol before, over ranges of its order."""
+    s = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", (F.col("user_id") % 64 + 1).alias("sym"))
+    return ordered.previous(s, ["event_id"], prev="sym")
+
+
+@Q("ORC-07 ORC-08 WIN-01 WIN-02 TOP-11", with_previous=with_previous)
 def sequence_corpus(d):
     """A corpus of symbols: frequency, repeats, transitions with the next, and members never seen."""
-    return f"""WITH s AS (SELECT event_id, user_id % 64 + 1 AS sym FROM events), w AS (SELECT *, lag(sym) OVER (ORDER BY event_id) AS prev FROM s),
+    w = "w AS (SELECT * FROM with_previous)" if d.name == "spark" else "s AS (SELECT event_id, user_id % 64 + 1 AS sym FROM events), w AS (SELECT *, lag(sym) OVER (ORDER BY event_id) AS prev FROM s)"
+    return f"""WITH {w},
     u AS (SELECT {d.explode(d.seq(1, 80))} AS sym), f AS (SELECT sym, count(*) AS n, CAST(sum(CASE WHEN prev = sym THEN 1 ELSE 0 END) AS BIGINT) AS repeats FROM w GROUP BY sym),
     t AS (SELECT prev, sym, count(*) AS n FROM w WHERE prev IS NOT NULL GROUP BY prev, sym), top AS (SELECT prev, sym AS nxt, n, row_number() OVER (PARTITION BY prev ORDER BY n DESC, sym) AS place FROM t)
     SELECT u.sym, coalesce(f.n, 0) AS n, coalesce(repeats, 0) AS repeats, f.sym IS NULL AS absent, CAST((u.sym - 1) % 8 AS BIGINT) AS lower_, CAST(floor((u.sym - 1) / 8) AS BIGINT) AS upper_, nxt, top.n AS next_n

@@ -7,11 +7,15 @@ the size. Monte-Carlo p-values are (1 + hits) / (1 + draws).
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+
 from ..model import CORE, ESSENCE, FUNCTION, angle, concepts, r, relations, undirected
-from ..plans.dialect import query
+from ..plans.dialect import SPARK, query, rows
+from ..sources.workspace import keep
+from . import ordered
 
 QUERIES: list = []
-Q = lambda ids: query(QUERIES, ids)
+Q = lambda ids, **views: query(QUERIES, ids, **views)
 
 INT = "CAST({} AS BIGINT)"
 
@@ -92,26 +96,46 @@ def latency_quantiles(d):
     SELECT *, level = (SELECT max(level) FROM c WHERE limited < n / 5) AS best FROM c"""
 
 
-@Q("STR-03 AGG-30")
+def spending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(event_id, spent): what the log has spent up to each call, over ranges of its order."""
+    calls = rows(spark, sf_dir, f"WITH {runlog(SPARK)} SELECT t, event_id, CAST(floor(coalesce(latency, 0e0) * 100) AS BIGINT) AS cents FROM runlog")
+    return ordered.running_sums(calls, ["t", "event_id"], "cents", "spent").select("event_id", "spent")
+
+
+@Q("STR-03 AGG-30", spending=spending)
 def spend_stop(d):
-    return f"""WITH {runlog(d)}, s AS (SELECT event_id, sum(CAST(floor(coalesce(latency, 0e0) * 100) AS BIGINT)) OVER (ORDER BY t, event_id) AS spent FROM runlog), c AS (SELECT sum(CAST(floor(coalesce(latency, 0e0) * 100) AS BIGINT)) / 3 AS cap FROM runlog)
+    s = "s AS (SELECT * FROM spending)" if d.name == "spark" else "s AS (SELECT event_id, sum(CAST(floor(coalesce(latency, 0e0) * 100) AS BIGINT)) OVER (ORDER BY t, event_id) AS spent FROM runlog)"
+    return f"""WITH {runlog(d)}, {s}, c AS (SELECT sum(CAST(floor(coalesce(latency, 0e0) * 100) AS BIGINT)) / 3 AS cap FROM runlog)
     SELECT count(*) AS calls, CAST(max(spent) AS BIGINT) AS spent FROM s CROSS JOIN c WHERE spent <= cap"""
 
 
-@Q("STR-04 STR-05 STR-11")
+def stages(d):
+    return f"""{runlog(d)}, one AS (SELECT user_id, count(*) AS n FROM runlog WHERE status = 'ok' AND event_type = 'view' GROUP BY user_id),
+    two AS (SELECT r.user_id, count(*) AS n2, min(r.event_id) AS first_ FROM runlog r JOIN one ON one.user_id = r.user_id WHERE r.event_type = 'click' GROUP BY r.user_id)"""
+
+
+def numbered_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordered.row_numbers(rows(spark, sf_dir, f"WITH {stages(SPARK)} SELECT * FROM two"), ["user_id"], "rn")
+
+
+@Q("STR-04 STR-05 STR-11", numbered_users=numbered_users)
 def staged_plan(d):
     """The second stage takes the users whose first stage ended ok, in rounds of bounded size."""
-    return f"""WITH {runlog(d)}, one AS (SELECT user_id, count(*) AS n FROM runlog WHERE status = 'ok' AND event_type = 'view' GROUP BY user_id),
-    two AS (SELECT r.user_id, count(*) AS n2, min(r.event_id) AS first_ FROM runlog r JOIN one ON one.user_id = r.user_id WHERE r.event_type = 'click' GROUP BY r.user_id)
-    SELECT user_id, n2, first_, CAST(floor((row_number() OVER (ORDER BY user_id) - 1) / 16) AS BIGINT) AS round_, CASE WHEN n2 >= 3 THEN 'large' ELSE 'small' END AS tier FROM two"""
+    k = "" if d.name == "spark" else f"WITH {stages(d)}, numbered_users AS (SELECT *, row_number() OVER (ORDER BY user_id) AS rn FROM two)"
+    return f"""{k} SELECT user_id, n2, first_, CAST(floor((rn - 1) / 16) AS BIGINT) AS round_, CASE WHEN n2 >= 3 THEN 'large' ELSE 'small' END AS tier FROM numbered_users"""
 
 
 # -- windows --------------------------------------------------------------------------------
 
 
-@Q("WIN-04 WIN-05")
+def ranked_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordered.average_ranks(rows(spark, sf_dir, "SELECT p_partkey, p_size FROM part"), "p_size", "p_partkey")
+
+
+@Q("WIN-04 WIN-05", ranked_parts=ranked_parts)
 def avg_tie_ranks(d):
-    return f"""WITH t AS (SELECT p_partkey, p_size, {avg_rank('p_size')} AS rk, count(*) OVER () AS n FROM part)
+    t = "ranked_parts" if d.name == "spark" else f"(SELECT p_partkey, p_size, {avg_rank('p_size')} AS rk, count(*) OVER () AS n FROM part) z"
+    return f"""WITH t AS (SELECT * FROM {t})
     SELECT p_partkey, rk, {r('(rk - 1) / (n - 1)')} AS scaled, CAST(floor(10 * (rk - 1) / (n - 1) + 0.5e0) AS BIGINT) AS label FROM t"""
 
 
@@ -284,9 +308,14 @@ def auroc_by_group(d):
     SELECT stratum, n, {r('(rs - pos * (pos + 1) / 2e0) / nullif(pos * (n - pos), 0e0)')} AS auroc FROM s"""
 
 
-@Q("STAT-10")
+def _tiled(n: int):
+    return lambda spark, sf_dir: ordered.tiles(rows(spark, sf_dir, f"WITH {scored(SPARK)} SELECT id, y, p FROM scored"), ["p", "id"], n, "bin")
+
+
+@Q("STAT-10", tenths=_tiled(10))
 def ece_equal_mass(d):
-    return f"""WITH {scored(d)}, t AS (SELECT y, p, ntile(10) OVER (ORDER BY p, id) AS bin FROM scored), b AS (SELECT bin, count(*) AS n, avg(CAST(y AS DOUBLE)) AS acc, avg(p) AS conf FROM t GROUP BY bin)
+    t = "WITH t AS (SELECT * FROM tenths)" if d.name == "spark" else f"WITH {scored(d)}, t AS (SELECT y, p, ntile(10) OVER (ORDER BY p, id) AS bin FROM scored)"
+    return f"""{t}, b AS (SELECT bin, count(*) AS n, avg(CAST(y AS DOUBLE)) AS acc, avg(p) AS conf FROM t GROUP BY bin)
     SELECT {r('sum(n * abs(acc - conf)) / sum(n)')} AS ece, {r('max(abs(acc - conf))')} AS worst FROM b"""
 
 
@@ -296,9 +325,10 @@ def brier_murphy(d):
     SELECT {r('max(brier)')} AS brier, {r('sum(n * (p - o) * (p - o)) / sum(n)')} AS reliability, {r('sum(n * (o - base_) * (o - base_)) / sum(n)')} AS resolution, {r('max(base_ * (1 - base_))')} AS uncertainty FROM b CROSS JOIN k"""
 
 
-@Q("STAT-12")
+@Q("STAT-12", eighths=_tiled(8))
 def mutual_info_bins(d):
-    return f"""WITH {scored(d)}, t AS (SELECT y, ntile(8) OVER (ORDER BY p, id) AS bin FROM scored), j AS (SELECT y, bin, count(*) AS n FROM t GROUP BY y, bin),
+    t = "WITH t AS (SELECT * FROM eighths)" if d.name == "spark" else f"WITH {scored(d)}, t AS (SELECT y, ntile(8) OVER (ORDER BY p, id) AS bin FROM scored)"
+    return f"""{t}, j AS (SELECT y, bin, count(*) AS n FROM t GROUP BY y, bin),
     m AS (SELECT n, CAST(sum(n) OVER (PARTITION BY y) AS DOUBLE) AS ny, CAST(sum(n) OVER (PARTITION BY bin) AS DOUBLE) AS nb, CAST(sum(n) OVER () AS DOUBLE) AS nn FROM j) SELECT {r('sum(n / nn * ln(n * nn / (ny * nb))) / ln(2e0)')} AS bits FROM m"""
 
 
@@ -345,11 +375,23 @@ def calibration_line(d):
     SELECT m.arm, {r('max(b)')} AS slope, {r('max(c)')} AS intercept, {r('max(ob)')} AS other_slope, {r('avg(abs(y - oc - ob * x)) - avg(abs(y - c - b * x))')} AS penalty FROM t JOIN m ON m.arm = t.arm GROUP BY m.arm"""
 
 
-@Q("STAT-37")
+def both_angles(d):
+    """``p``: every pair of concepts with its two angles; the statistic is about all of them."""
+    return f"""{concepts(d)}, c AS (SELECT * FROM concepts), p AS (SELECT a.id AS i, b.id AS j, round({angle('a.', 'b.', CORE)}, 9) AS s, round({angle('a.', 'b.', FUNCTION)}, 9) AS t FROM c a JOIN c b ON a.id < b.id)"""
+
+
+def ranked_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(rs, rt): both ranks of every pair, over ranges of either angle."""
+    pairs = keep(rows(spark, sf_dir, f"WITH {both_angles(SPARK)} SELECT * FROM p"), "pairs")
+    first = ordered.row_numbers(pairs, ["s", "i", "j"], "rs").select("t", "i", "j", "rs")
+    return ordered.row_numbers(first, ["t", "i", "j"], "rt").select("rs", "rt")
+
+
+@Q("STAT-37", ranked_pairs=ranked_pairs)
 def mantel(d):
     """Correlation of two distance matrices by ordinal ranks."""
-    return f"""WITH {concepts(d)}, c AS (SELECT * FROM concepts), p AS (SELECT a.id AS i, b.id AS j, {angle('a.', 'b.', CORE)} AS s, {angle('a.', 'b.', FUNCTION)} AS t FROM c a JOIN c b ON a.id < b.id),
-    k AS (SELECT row_number() OVER (ORDER BY round(s, 9), i, j) AS rs, row_number() OVER (ORDER BY round(t, 9), i, j) AS rt FROM p) SELECT count(*) AS pairs, {r('corr(CAST(rs AS DOUBLE), CAST(rt AS DOUBLE))')} AS rho FROM k"""
+    k = "" if d.name == "spark" else f"WITH {both_angles(d)}, ranked_pairs AS (SELECT row_number() OVER (ORDER BY s, i, j) AS rs, row_number() OVER (ORDER BY t, i, j) AS rt FROM p)"
+    return f"{k} SELECT count(*) AS pairs, {r('corr(CAST(rs AS DOUBLE), CAST(rt AS DOUBLE))')} AS rho FROM ranked_pairs"
 
 
 @Q("STAT-63 STAT-64")
@@ -423,10 +465,15 @@ def stratified_draw(d):
     SELECT k.doc_id, k.lang, CAST(quota AS BIGINT) AS quota, {d.hash("concat('split|', CAST(k.doc_id AS STRING))")} % 5 = 0 AS held FROM k JOIN z ON z.lang = k.lang WHERE place <= quota"""
 
 
-@Q("STAT-71")
+def ranked_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordered.average_ranks(rows(spark, sf_dir, f"WITH {concepts(SPARK)} SELECT id, x FROM concepts"), "x", "id")
+
+
+@Q("STAT-71", ranked_concepts=ranked_concepts)
 def training_rows(d):
     """Quantile labels with flipped twins."""
-    return f"""WITH {concepts(d)}, k AS (SELECT id, {avg_rank('x')} AS rk, count(*) OVER () AS n FROM concepts), f AS (SELECT {d.explode(d.seq(0, 1))} AS flip)
+    k = "WITH k AS (SELECT * FROM ranked_concepts)" if d.name == "spark" else f"WITH {concepts(d)}, k AS (SELECT id, {avg_rank('x')} AS rk, count(*) OVER () AS n FROM concepts)"
+    return f"""{k}, f AS (SELECT {d.explode(d.seq(0, 1))} AS flip)
     SELECT id, CAST(flip AS BIGINT) AS flip, CASE WHEN flip = 1 THEN 10 - CAST(floor(10 * (rk - 1) / (n - 1) + 0.5e0) AS BIGINT) ELSE CAST(floor(10 * (rk - 1) / (n - 1) + 0.5e0) AS BIGINT) END AS label FROM k CROSS JOIN f"""
 
 

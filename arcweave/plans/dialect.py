@@ -216,6 +216,14 @@ class Duck(Spark):
 SPARK, DUCK = Spark(), Duck()
 
 
+def rows(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """The rows of a Spark text over the tables of ``sf_dir``."""
+    for t in TABLES:
+        if t in sql:
+            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+    return spark.sql(sql)
+
+
 @dataclass(frozen=True)
 class Query:
     name: str
@@ -225,13 +233,9 @@ class Query:
     views: tuple[tuple[str, Callable[[SparkSession, str], DataFrame]], ...] = ()
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        sql = self.text(SPARK)
-        for t in TABLES:
-            if t in sql:
-                spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
         for name, fill in self.views:
             fill(spark, sf_dir).createOrReplaceTempView(name)
-        out = spark.sql(sql)
+        out = rows(spark, sf_dir, self.text(SPARK))
         # ranks are int here and bigint there
         return out.withColumns({c: out[c].cast("long") for c, t in out.dtypes if t == "int" and c in RANKS})
 
