@@ -7,6 +7,7 @@ levels; no group of rows is taken into one task.
 
 from __future__ import annotations
 
+import functools
 import math
 from statistics import NormalDist
 
@@ -17,9 +18,23 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..plans.dialect import DUCK, SPARK
 from ..sources.workspace import keep
-from . import search
+from . import ordered, rewiring, search
+
+
+def unless_empty(table: str, schema: str):
+    """A query that gives no rows, of ``schema``, where ``table`` has none: there is nothing to fit."""
+
+    def wrap(f):
+        @functools.wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            if not spark.read.parquet(f"{sf_dir}/{table}.parquet").limit(1).count():
+                return spark.createDataFrame([], schema)
+            return f(spark, sf_dir)
+
+        return run
+
+    return wrap
 
 
 def gram(rows: DataFrame, folds: int) -> dict[int, np.ndarray]:
@@ -60,6 +75,7 @@ def _sse(g: np.ndarray, w: np.ndarray) -> np.ndarray:
     return np.diag(g[k:, k:]) - 2 * (w * g[:k, k:]).sum(axis=0) + np.einsum("ij,ik,kj->j", w, g[:k, :k], w)
 
 
+@unless_empty("embeddings", "axis string, r2 double")
 def ols_projection_r2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R2 of each of the 14 components from 50 raw ones, without intercept."""
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
@@ -71,6 +87,7 @@ def ols_projection_r2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(k, round(float(x), 5)) for k, x in zip(G.ESSENCE + G.FUNCTION, r2)], "axis string, r2 double")
 
 
+@unless_empty("embeddings", "lam double, r2 double, chosen boolean")
 def ridge_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Held-out error of each ridge strength over five contiguous folds; the best is marked."""
     grams = gram(_projection_rows(spark, sf_dir, 5), 5)
@@ -108,6 +125,7 @@ def ridge_bridge_loo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.mapInPandas(residuals, "id long, level long, loo_error double, own_angle double")
 
 
+@unless_empty("embeddings", "axis string, r2 double")
 def axis_r2_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Held-out R2 of each axis over five contiguous folds, ridge of strength one, against the axis's mean."""
     rows = _projection_rows(spark, sf_dir, 5).select("fold", F.concat("v", F.array(F.lit(1.0))).alias("v"))
@@ -122,6 +140,7 @@ def axis_r2_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(k, round(float(1 - e / t), 5)) for k, e, t in zip(G.ESSENCE + G.FUNCTION, err, sst)], "axis string, r2 double")
 
 
+@unless_empty("embeddings", "id long, nearest long, hit1 boolean, hit5 boolean, own_angle double")
 def heldout_transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Function vectors predicted from essences by a ridge fitted without their fold: angle to the own one, the nearest of all by blocked search, and hits at one and five."""
     e = G.concepts(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
@@ -140,6 +159,7 @@ def heldout_transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.join(hits, got.id == hits.query_id).select("id", "nearest", "hit1", "hit5", F.round(G.array_angle(F.col("vector"), F.col("own")), 3).alias("own_angle"))
 
 
+@unless_empty("embeddings", "level long, n long, read double, calibrated double, error double, band string")
 def probe_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A ridge probe of the first axis, read out of fold, its isotonic calibration from sums over fifty levels, and error by band of the read value."""
     rows = _projection_rows(spark, sf_dir, 5)
@@ -157,71 +177,90 @@ def probe_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(int(r.level), r.n, round(r.read, 5), round(float(a), 5), round(r.error, 5), "low" if r.read < -0.05 else "high" if r.read > 0.05 else "middle") for r, a in zip(g, fitted)], "level long, n long, read double, calibrated double, error double, band string")
 
 
-#: Vectors that the small network is trained on, at most.
-MLP_ROWS = 4000
+#: Units of the network's layer, epochs at most, and epochs without a better validation error after which it ends.
+HIDDEN, EPOCHS, PATIENCE = 128, 40, 6
 
 
-def mlp_fit(x: np.ndarray, y: np.ndarray, xv: np.ndarray, yv: np.ndarray, hidden: int = 32, epochs: int = 300, patience: int = 20):
-    """Weights of a network of one tanh layer by Adam, those of the epoch with the least validation error."""
+def mlp_sums(p: list[np.ndarray], x: np.ndarray, y: np.ndarray, fit: np.ndarray) -> np.ndarray:
+    """Sums over rows, flat: the squared error's gradient by all weights and the rows where ``fit``, the error and the rows elsewhere."""
+    h = np.tanh(x @ p[0] + p[1])
+    d = 2 * (h @ p[2] + p[3] - y)
+    error = float((d[~fit] ** 2).sum()) / 4
+    d, h, x = d[fit], h[fit], x[fit]
+    back = (d @ p[2].T) * (1 - h * h)
+    return np.concatenate([*(g.ravel() for g in (x.T @ back, back.sum(axis=0), h.T @ d, d.sum(axis=0))), [fit.sum(), error, (~fit).sum()]])
+
+
+def mlp_train(sums, width: int, out: int, hidden: int = HIDDEN, epochs: int = EPOCHS, patience: int = PATIENCE) -> list[np.ndarray]:
+    """Weights of a network of one tanh layer by Adam over all rows, those of the epoch with the least validation error; ``sums(p)`` takes :func:`mlp_sums` over the rows."""
     rng = np.random.default_rng(3)
-    p = [rng.normal(0, x.shape[1] ** -0.5, (x.shape[1], hidden)), np.zeros(hidden), rng.normal(0, hidden**-0.5, (hidden, y.shape[1])), np.zeros(y.shape[1])]
+    p = [rng.normal(0, width**-0.5, (width, hidden)), np.zeros(hidden), rng.normal(0, hidden**-0.5, (hidden, out)), np.zeros(out)]
+    edges = np.cumsum([a.size for a in p])
     m, v = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p]
-    best, kept, since = np.inf, [a.copy() for a in p], 0
-    for t in range(1, epochs + 1):
-        h = np.tanh(x @ p[0] + p[1])
-        d = 2 * (h @ p[2] + p[3] - y) / len(x)
-        back = (d @ p[2].T) * (1 - h * h)
-        for k, g in enumerate((x.T @ back, back.sum(axis=0), h.T @ d, d.sum(axis=0))):
-            m[k], v[k] = 0.9 * m[k] + 0.1 * g, 0.999 * v[k] + 0.001 * g * g
-            p[k] = p[k] - 0.01 * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-9)
-        err = float(((np.tanh(xv @ p[0] + p[1]) @ p[2] + p[3] - yv) ** 2).mean())
-        best, kept, since = (err, [a.copy() for a in p], 0) if err < best else (best, kept, since + 1)
-        if since >= patience:
+    best, kept, since = np.inf, p, 0
+    for t in range(1, epochs + 2):
+        got = sums(p)
+        n, error, rest = got[-3:]
+        if rest and error / rest < best:
+            best, kept, since = error / rest, p, 0
+        else:
+            since += 1
+        if since >= patience or not n:
             break
+        new = []
+        for k, g in enumerate(np.split(got[:-3], edges[:-1])):
+            g = g.reshape(p[k].shape) / n
+            m[k], v[k] = 0.9 * m[k] + 0.1 * g, 0.999 * v[k] + 0.001 * g * g
+            new.append(p[k] - 0.02 * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-9))
+        p = new
     return kept
 
 
+def mlp_fit(rows: DataFrame, width: int, **how) -> list[np.ndarray]:
+    """:func:`mlp_train` over (v array<double>, fit boolean): each epoch is one pass whose sums Spark takes."""
+    sc = rows.sparkSession.sparkContext
+
+    def sums(p: list[np.ndarray]) -> np.ndarray:
+        shared = sc.broadcast(p)  # some thousand weights
+
+        def part(batches):
+            total = 0.0
+            for b in batches:
+                v = search._matrix(b.column(0))
+                if len(v):
+                    total = total + mlp_sums(shared.value, v[:, :width], v[:, width:], b.column(1).to_numpy(zero_copy_only=False))
+            if not np.isscalar(total):
+                yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["g"])
+
+        got = rows.select("v", "fit").mapInArrow(part, "g array<double>").select(F.posexplode("g").alias("pos", "g")).groupBy("pos").agg(F.sum("g").alias("g")).toPandas()  # as many rows as weights
+        shared.unpersist()
+        return got.sort_values("pos").g.to_numpy() if len(got) else np.zeros(sum(a.size for a in p) + 3)
+
+    first = rows.select(F.size("v").alias("n")).first()
+    return mlp_train(sums, width, (first.n if first else width + 1) - width, **how)
+
+
+@unless_empty("embeddings", "axis string, n long, network_r2 double, linear_r2 double")
 def mlp_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """R2 of each component by a small network beside the linear map, both trained on a bounded sample and read on all rows outside of it, from sums."""
-    rows = _projection_rows(spark, sf_dir, 1).withColumn("part", F.pmod(F.xxhash64("v"), F.lit(5)))
-    sample = rows.where("part < 4").orderBy(F.xxhash64("v", F.lit(1))).limit(MLP_ROWS).select("v", "part").toPandas()  # at most MLP_ROWS
-    v = np.array(sample.v.tolist(), float).reshape(-1, 64)
-    fit, val = v[sample.part.to_numpy() < 3], v[sample.part.to_numpy() == 3]
-    net = mlp_fit(fit[:, :50], fit[:, 50:], val[:, :50], val[:, 50:])
-    linear = np.linalg.lstsq(fit[:, :50], fit[:, 50:], rcond=None)[0]
+    """R2 of each component by a small network beside the linear map, both fitted over all rows outside of a held-out fifth and read on that, from sums."""
+    rows = keep(_projection_rows(spark, sf_dir, 1).withColumn("part", F.pmod(F.xxhash64("v"), F.lit(5))), "projection")
+    net = mlp_fit(rows.where("part < 4").select("v", (F.col("part") < 3).alias("fit")), 50)
+    linear = _solve(gram(rows.where("part < 4").select("fold", "v"), 1).get(0, np.eye(64)), 50, 1e-9)
     shared = spark.sparkContext.broadcast((net, linear))
 
     def errors(batches):
         net, linear = shared.value
         for b in batches:
-            v = np.array(b.column(0).to_pylist(), float).reshape(-1, 64)
+            v = search._matrix(b.column(0))
             x, y = v[:, :50], v[:, 50:]
-            e1 = ((np.tanh(x @ net[0] + net[1]) @ net[2] + net[3] - y) ** 2).sum(axis=0)
-            e2 = ((x @ linear - y) ** 2).sum(axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(range(14), pa.int32()), pa.array(e1), pa.array(e2), pa.array(y.sum(axis=0)), pa.array((y * y).sum(axis=0)), pa.array([len(y)] * 14, pa.int64())], names=["j", "e1", "e2", "s", "ss", "n"])
+            if len(v):
+                e1 = ((np.tanh(x @ net[0] + net[1]) @ net[2] + net[3] - y) ** 2).sum(axis=0)
+                e2 = ((x @ linear - y) ** 2).sum(axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(range(14), pa.int32()), pa.array(e1), pa.array(e2), pa.array(y.sum(axis=0)), pa.array((y * y).sum(axis=0)), pa.array([len(y)] * 14, pa.int64())], names=["j", "e1", "e2", "s", "ss", "n"])
 
     t = rows.where("part = 4").select("v").mapInArrow(errors, "j int, e1 double, e2 double, s double, ss double, n long").groupBy("j").agg(*[F.sum(c).alias(c) for c in ("e1", "e2", "s", "ss", "n")])
     sst = F.col("ss") - F.col("s") * F.col("s") / F.col("n")
-    return t.select(F.element_at(F.array(*map(F.lit, G.ESSENCE + G.FUNCTION)), F.col("j") + 1).alias("axis"), "n", F.round(1 - F.col("e1") / sst, 4).alias("network_r2"), F.round(1 - F.col("e2") / sst, 4).alias("linear_r2"))
-
-
-def _irls(x: np.ndarray, y: np.ndarray, ridge: float = 1e-6, steps: int = 25):
-    w = np.zeros(x.shape[1])
-    h = np.eye(x.shape[1])
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(x.shape[1])
-        step = np.linalg.solve(h, x.T @ (y - p) - ridge * w)
-        w = w + step
-        if np.abs(step).max() < 1e-10:
-            break
-    return w, np.linalg.inv(h)
-
-
-def _auroc(s: np.ndarray, y: np.ndarray) -> float:
-    r = pd.Series(s).rank().to_numpy()
-    pos = y.sum()
-    return float((r[y == 1].sum() - pos * (pos + 1) / 2) / max(1, pos * (len(y) - pos)))
+    return t.select(F.element_at(F.array(*map(F.lit, G.ESSENCE + G.FUNCTION)), F.col("j") + 1).alias("axis"), "n", F.round(1 - F.col("e1") / F.nullif(sst, F.lit(0.0)), 4).alias("network_r2"), F.round(1 - F.col("e2") / F.nullif(sst, F.lit(0.0)), 4).alias("linear_r2"))
 
 
 def logistic_fits(rows: DataFrame, steps: int = 12, ridge: float = 1e-3) -> dict[tuple, tuple[np.ndarray, np.ndarray]]:
@@ -387,10 +426,13 @@ def sharpened(p: np.ndarray, part: float) -> np.ndarray:
     return p**lo / (p**lo).sum()
 
 
+@unless_empty("embeddings", "id long, trigram string, predicted string, confidence double")
 def softmax_bar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Multinomial logistic of the class from the core, trained on even ids; odd ids scored at a fitted temperature."""
     c = G.concepts(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).select("id", "trigram", *G.ESSENCE)
     train = c.where("id % 2 = 0").orderBy(F.xxhash64("id")).limit(4000).toPandas()  # a bounded sample
+    if not len(train):
+        return c.where("id % 2 = 1").select("id", "trigram", F.lit(None).cast("string").alias("predicted"), F.lit(None).cast("double").alias("confidence"))
     names = sorted(train.trigram.unique())
     x = np.c_[np.ones(len(train)), train[list(G.ESSENCE)].to_numpy()]
     y = np.eye(len(names))[[names.index(t) for t in train.trigram]]
@@ -441,6 +483,7 @@ def _simplex(f, x0: np.ndarray, steps: int = 400) -> np.ndarray:
     return pts[int(np.argmin(vals))]
 
 
+@unless_empty("lineitem", "midpoint double, slope double, at_75 double, loss double")
 def psychometric_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Guess, lapse, midpoint and slope of accuracy over the level, and the level at 75 per cent, for hash-drawn answers."""
     o = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy(F.floor("l_quantity").alias("level")).agg(F.avg((F.pmod(F.xxhash64("l_orderkey", "l_linenumber"), F.lit(100)) < 100 - 50 * F.exp(-F.col("l_quantity") / 15)).cast("double")).alias("acc"), F.count("*").alias("n")).orderBy("level").collect()  # 50 levels
@@ -460,43 +503,29 @@ def psychometric_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(round(float(p[2] * 10), 2), round(float(p[3]), 3), round(at, 2), round(float(loss(p) / n.sum()), 5))], "midpoint double, slope double, at_75 double, loss double")
 
 
-SWAP_REPS, SWAP_ROUNDS = 6, 2
-
-
-def _first_edges(d) -> str:
-    """Rater graphs: each line number a family, its edges parts with suppliers; copies of all for the replicates, 0 being the real ones."""
-    return f"SELECT rep, fam, a, b FROM (SELECT DISTINCT l_linenumber AS fam, l_partkey AS a, l_suppkey AS b FROM lineitem) f CROSS JOIN (SELECT {d.explode(d.seq(0, SWAP_REPS))} AS rep) r"
+def _graphs(spark: SparkSession, sf_dir: str, replicates: int) -> DataFrame:
+    """Rater graphs (each line number a family, its edges suppliers with parts) and their null graphs, by node."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    edges = rows.select(F.col("l_linenumber").alias("fam"), F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b"))
+    return rewiring.rewired(edges, replicates)
 
 
-def _swap_round(d, e: str, k: int) -> str:
-    """Edges after a round: they are drawn into pairs by hash, a pair swaps its suppliers, and a swap that would make an edge twice is taken back; degrees stay."""
-    h = d.hash(f"concat('swap{k}|', CAST(rep AS STRING), '|', CAST(fam AS STRING), '|', CAST(a AS STRING), '|', CAST(b AS STRING))")
-    same = lambda x, y, *c: " AND ".join(f"{x}.{n} = {y}.{n}" for n in ("rep", "fam", *c))
-    return f"""WITH p{k} AS (SELECT rep, fam, a, b, h % 64 AS part, row_number() OVER (PARTITION BY rep, fam, h % 64 ORDER BY h, a, b) - 1 AS k FROM (SELECT *, {h} AS h FROM {e}) z),
-    q{k} AS (SELECT x.rep, x.fam, x.part, x.k, x.a AS a1, x.b AS b1, y.a AS a2, y.b AS b2 FROM p{k} x JOIN p{k} y ON {same('x', 'y', 'part')} AND y.k = x.k + 1 WHERE x.k % 2 = 0 AND x.rep > 0),
-    n{k} AS (SELECT rep, fam, part, k, a1 AS a, b2 AS b FROM q{k} UNION ALL SELECT rep, fam, part, k, a2, b1 FROM q{k}), c{k} AS (SELECT rep, fam, a, b FROM n{k} GROUP BY rep, fam, a, b HAVING count(*) > 1),
-    bad{k} AS (SELECT n.rep, n.fam, n.part, n.k FROM n{k} n JOIN c{k} c ON {same('n', 'c', 'a', 'b')} UNION SELECT n.rep, n.fam, n.part, n.k FROM n{k} n JOIN {e} e ON {same('n', 'e', 'a', 'b')}),
-    good{k} AS (SELECT q.* FROM q{k} q LEFT JOIN bad{k} z ON {same('q', 'z', 'part', 'k')} WHERE z.k IS NULL)
-    SELECT rep, fam, a1 AS a, b2 AS b FROM good{k} UNION ALL SELECT rep, fam, a2, b1 FROM good{k} UNION ALL SELECT p.rep, p.fam, p.a, p.b FROM p{k} p LEFT JOIN good{k} g ON {same('p', 'g', 'part')} AND g.k = p.k - p.k % 2 WHERE g.k IS NULL"""
+def edge_swap_null(spark: SparkSession, sf_dir: str, replicates: int = rewiring.REPLICATES) -> DataFrame:
+    """Agreement of the families' graphs against graphs of the same degrees, mixed by curveball trades."""
+    got = rewiring.agreement(_graphs(spark, sf_dir, replicates)).where("kind = 'rep'").groupBy("rep").agg(F.sum("n").alias("t"))
+    every = spark.range(replicates + 1).select(F.col("id").alias("rep")).join(got, "rep", "left").select("rep", F.coalesce("t", F.lit(0)).alias("t"))  # a line a replicate
+    real = every.where("rep = 0").select(F.col("t").alias("real"))
+    null = F.col("rep") > 0
+    return every.crossJoin(F.broadcast(real)).agg(
+        F.max("real").alias("observed"), F.round(F.avg(F.when(null, F.col("t"))), 3).alias("null_mean"), F.max(F.when(null, F.col("t"))).alias("null_max"),
+        F.round((1 + F.sum((null & (F.col("t") >= F.col("real"))).cast("int"))) / (replicates + 1), 6).alias("p_value"),
+    )
 
 
-def _swap_result(e: str) -> str:
-    return f"""SELECT max(CASE WHEN rep = 0 THEN t END) AS observed, round(avg(CASE WHEN rep > 0 THEN t END), 3) + 0e0 AS null_mean, max(CASE WHEN rep > 0 THEN t END) AS null_max, round((1e0 + sum(CASE WHEN rep > 0 AND t >= real_ THEN 1 ELSE 0 END)) / {SWAP_REPS + 1}e0, 6) + 0e0 AS p_value
-      FROM (SELECT rep, t, max(CASE WHEN rep = 0 THEN t END) OVER () AS real_ FROM (SELECT rep, CAST(sum(k * (k - 1) / 2) AS BIGINT) AS t FROM (SELECT rep, a, b, count(*) AS k FROM {e} GROUP BY rep, a, b) x GROUP BY rep) y) z"""
-
-
-def edge_swap_null(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Agreement of rater graphs against degree-preserving double edge swaps, in rounds over all families and replicates at once."""
-    spark.read.parquet(f"{sf_dir}/lineitem.parquet").createOrReplaceTempView("lineitem")
-    e = keep(spark.sql(_first_edges(SPARK)), "edges")
-    for k in range(SWAP_ROUNDS):
-        e.createOrReplaceTempView("swap_edges")
-        e = keep(spark.sql(_swap_round(SPARK, "swap_edges", k)), "edges")
-    e.createOrReplaceTempView("swap_edges")
-    return spark.sql(_swap_result("swap_edges"))
-
-
-EDGE_SWAPS = f"WITH e0 AS ({_first_edges(DUCK)}), " + ", ".join(f"e{k + 1} AS ({_swap_round(DUCK, f'e{k}', k)})" for k in range(SWAP_ROUNDS)) + " " + _swap_result(f"e{SWAP_ROUNDS}")
+def edge_swap_pairs(spark: SparkSession, sf_dir: str, replicates: int = rewiring.REPLICATES) -> DataFrame:
+    """Each edge that several families share, and the share of null graphs in which at least as many do."""
+    got = rewiring.agreement(_graphs(spark, sf_dir, replicates)).where("kind = 'pair'").groupBy("a", "b", F.col("rep").alias("families")).agg(F.sum("n").alias("hits"))
+    return got.select("a", "b", "families", F.round((1 + F.col("hits")) / (replicates + 1), 6).alias("p_value"))
 
 
 SHIFTS, BLOCK = 60, 4096
@@ -505,8 +534,7 @@ SHIFTS, BLOCK = 60, 4096
 def relabel_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Held-out fit of a fixed hat matrix under cyclic derangements of the labels, from sums over blocks of all rows."""
     c = G.concepts(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
-    v = c.orderBy("id").select(F.array(F.lit(1.0), *G.ESSENCE).alias("x"), F.array(*G.FUNCTION).alias("y"))
-    v = v.rdd.zipWithIndex().map(lambda r: (r[1], [float(a) for a in r[0].x], [float(a) for a in r[0].y])).toDF("i long, x array<double>, y array<double>")
+    v = ordered.row_numbers(c.select("id", F.array(F.lit(1.0), *G.ESSENCE).alias("x"), F.array(*G.FUNCTION).alias("y")), ["id"], "i").select((F.col("i") - 1).alias("i"), "x", "y")
     n = c.count()
     a = gram(v.select(F.lit(0).alias("fold"), F.col("x").alias("v")), 1).get(0, np.zeros((8, 8))) + 0.1 * np.eye(8)
     inverse = np.linalg.inv(a)
@@ -560,28 +588,40 @@ def constrained_cores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("id", "x", "y", "z").repartition("id").mapInPandas(solve, "id long, x double, y double, z double, loss double")
 
 
+#: Degrees under which a new concept is too near to an old one or to one added before it.
+TOO_NEAR = 15.0
+
+
+def insert_batches(old: search.AngularIndex, rows: DataFrame, limit: float = TOO_NEAR) -> DataFrame:
+    """(batch, id, nearest, state) of ``rows`` (batch, id, vector), each batch checked by itself; what is added is appended to ``old``.
+
+    First all rows of a batch are checked against the old index: one too near, and the
+    whole batch is ``rejected``. Then its rows go in one by one in the order of ids: ``added``,
+    or ``near`` if a row added before is under ``limit`` degrees away. The second pass is the
+    first-fit set of the conflict graph, found in parallel rounds. Ids are unique over all batches.
+    """
+    rows = keep(rows.select(F.col("batch").cast("long").alias("batch"), F.col("id").cast("long").alias("id"), "vector"), "batch")
+    near = keep(old.nearest(rows, 1, exclude_self=False, digits=None).select(F.col("query_id").alias("id"), F.col("angle").alias("nearest")), "nearest")
+    checked = keep(rows.join(near.hint("merge"), "id", "left"), "checked")
+    bad = checked.where(F.col("nearest") < limit).select("batch").distinct()
+    fit = keep(checked.join(bad.hint("merge"), "batch", "left_anti"), "fit")
+    own = search.AngularIndex.build(fit, group="batch")
+    pairs = own.within(fit, 0.0, float(np.nextafter(limit, 0)), group="batch", once=True).select(F.col("query_id").alias("a"), F.col("id").alias("b"))
+    state = keep(rewiring.first_fit(fit, pairs).select("id", F.when(F.col("added"), "added").otherwise("near").alias("state")), "state")
+    old.append(fit.join(state.where("state = 'added'").hint("merge"), "id", "left_semi"))
+    return checked.join(state.hint("merge"), "id", "left").select("batch", "id", F.round("nearest", 4).alias("nearest"), F.coalesce("state", F.lit("rejected")).alias("state"))
+
+
 def batch_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A batch (each fortieth concept) against all old rows, all or nothing; then its rows one by one against what it has added."""
+    """Each fortieth concept, and a slightly turned copy of it, in batches of four against all others; ``found`` tells whether the grown index gives a row back as its own nearest."""
     c = G.concepts(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).select("id", F.array(*G.ESSENCE).alias("vector"))
-    batch, old = c.where("id % 40 = 0"), c.where("id % 40 <> 0")
-    near = batch.select("id", "vector").join(search.nearest(old, batch, 1, exclude_self=False).select(F.col("query_id").alias("id"), F.col("angle").alias("old")), "id", "left")
-    if search.nearest(old, batch, 1, exclude_self=False, most=float(np.nextafter(45.0, 0))).limit(1).count():
-        return near.select("id", F.col("old").alias("nearest"), F.lit(False).alias("added"))
-
-    def insert(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, out = pdf.sort_values("id"), []
-        kept = np.empty((len(pdf), len(G.ESSENCE)))
-        n = 0
-        for r in pdf.itertuples():
-            v = np.array([r.vector], float)
-            least = float(search._angles(v, kept[:n]).min()) if n else 180.0
-            if least >= 45.0:
-                kept[n] = v[0]
-                n += 1
-            out.append((int(r.id), round(min(least, r.old if r.old == r.old else 180.0), 4), least >= 45.0))
-        return pd.DataFrame(out, columns=["id", "nearest", "added"])
-
-    return near.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(insert, "id long, nearest double, added boolean")
+    index = search.AngularIndex.build(c.where("id % 40 <> 0"))
+    asked = c.where("id % 40 = 0").select(F.floor(F.col("id") / 80).alias("batch"), F.explode(F.array(F.lit(0), F.lit(1))).alias("turned"), "id", "vector")
+    turned = F.zip_with("vector", F.reverse("vector"), lambda x, y: x + 0.05 * y)
+    asked = asked.select("batch", (F.col("id") + F.col("turned") * F.lit(1 << 40)).alias("id"), F.when(F.col("turned") == 1, turned).otherwise(F.col("vector")).alias("vector"))
+    got = keep(insert_batches(index, asked), "inserted")
+    again = index.nearest(asked, 1, exclude_self=False).select(F.col("query_id").alias("id"), (F.col("query_id") == F.col("id")).alias("found"))
+    return got.join(again.hint("merge"), "id", "left")
 
 
 QUERIES = {
@@ -599,8 +639,9 @@ QUERIES = {
     "entropy_matched": ("STAT-22", entropy_matched, None),
     "softmax_bar": ("PRJN-17", softmax_bar, None),
     "psychometric_fit": ("PRJN-18", psychometric_fit, None),
-    "edge_swap_null": ("STAT-48", edge_swap_null, EDGE_SWAPS),
+    "edge_swap_null": ("STAT-48", edge_swap_null, None),
+    "edge_swap_pairs": ("STAT-48", edge_swap_pairs, None),
     "relabel_null": ("STAT-38", relabel_null, None),
     "constrained_cores": ("CUR-10", constrained_cores, None),
-    "batch_insert": ("CUR-03 CUR-09", batch_insert, None),
+    "batch_insert": ("CUR-03 CUR-09 STR-07", batch_insert, None),
 }

@@ -90,8 +90,6 @@ def test_models_on_planted_data(spark):
     import numpy as np
 
     assert models.pav(np.array([1.0, 3, 2, 4]), np.ones(4)).tolist() == [1, 2.5, 2.5, 4]
-    assert models._auroc(np.array([0.1, 0.2, 0.8, 0.9]), np.array([0, 0, 1, 1])) == 1.0
-    assert models._auroc(np.ones(4), np.array([0, 0, 1, 1])) == 0.5
     rows = [(0, [float(i), 2.0 * i]) for i in range(1, 30)]
     g = models.gram(spark.createDataFrame(rows, "fold int, v array<double>"), 1)[0]
     assert models._solve(g, 1)[0, 0] == pytest.approx(2.0)

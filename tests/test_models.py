@@ -77,12 +77,30 @@ def test_network_learns_what_a_line_cannot():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(600, 3))
     y = np.c_[np.tanh(2 * x[:, 0]) * 1.5, np.abs(x[:, 1])]
-    net = models.mlp_fit(x[:400], y[:400], x[400:500], y[400:500])
+    fit = np.arange(500) < 400
+    net = models.mlp_train(lambda p: models.mlp_sums(p, x[:500], y[:500], fit), 3, 2, hidden=32, epochs=300, patience=20)
     err = lambda p: ((p - y[500:]) ** 2).mean()
     line = np.linalg.lstsq(np.c_[x[:400], np.ones(400)], y[:400], rcond=None)[0]
     assert err(np.tanh(x[500:] @ net[0] + net[1]) @ net[2] + net[3]) < 0.3 * err(np.c_[x[500:], np.ones(100)] @ line)
 
 
+def test_network_over_partitions_is_the_network_in_one_place(spark):
+    rng = np.random.default_rng(5)
+    v, fit = rng.normal(size=(200, 7)), rng.random(200) < 0.7
+    v[:, 5:] += np.tanh(v[:, :2])
+    rows = spark.createDataFrame([(a.tolist(), bool(f)) for a, f in zip(v, fit)], "v array<double>, fit boolean").repartition(4)
+    got = models.mlp_fit(rows, 5, hidden=9, epochs=12, patience=4)
+    want = models.mlp_train(lambda p: models.mlp_sums(p, v[:, :5], v[:, 5:], fit), 5, 2, hidden=9, epochs=12, patience=4)
+    assert all(np.abs(a - b).max() < 1e-6 for a, b in zip(got, want))
+    # the gradient is that of the error
+    p, flat = want, models.mlp_sums(want, v[:, :5], v[:, 5:], fit)
+    loss = lambda q: ((np.tanh(v[fit, :5] @ q[0] + q[1]) @ q[2] + q[3] - v[fit, 5:]) ** 2).sum()
+    up, down = [a.copy() for a in p], [a.copy() for a in p]
+    up[0][2, 3] += 1e-5
+    down[0][2, 3] -= 1e-5
+    assert flat[2 * 9 + 3] == pytest.approx((loss(up) - loss(down)) / 2e-5, rel=1e-5)
+
+
 def test_logistic_fits(spark):
     rng = np.random.default_rng(2)
     n = 3000
@@ -146,21 +164,6 @@ def test_softmax_bar(spark):
     assert np.mean([r.predicted == r.trigram for r in t]) > 1.5 * most and all(0 < r.confidence <= 1 for r in t)
 
 
-def test_swaps_keep_degrees(spark):
-    from arcweave.plans.dialect import SPARK
-
-    spark.read.parquet(f"{SF}/lineitem.parquet").createOrReplaceTempView("lineitem")
-    e = models.keep(spark.sql(models._first_edges(SPARK)), "e")
-    e.createOrReplaceTempView("swap_edges")
-    s = models.keep(spark.sql(models._swap_round(SPARK, "swap_edges", 0)), "s")
-    for end in "ab":
-        a, b = (sorted(map(tuple, t.groupBy("rep", "fam", end).count().collect())) for t in (e, s))
-        assert a == b
-    assert s.distinct().count() == s.count() == e.count()
-    moved = s.where("rep = 1").join(e.where("rep = 1"), ["fam", "a", "b"], "left_anti").count()
-    assert moved > 0.15 * e.where("rep = 1").count() and s.where("rep = 0").join(e, ["rep", "fam", "a", "b"], "left_anti").count() == 0
-
-
 def test_constrained_cores_meet_their_anchors(spark):
     c = {r.id: (r.x, r.y, r.z) for r in G.concepts(spark.read.parquet(f"{SF}/embeddings.parquet")).collect()}
     for r in run(spark, "constrained_cores").collect()[::25]:

@@ -96,11 +96,38 @@ def test_every_core_is_solved(spark):
     assert sorted(r.id for r in rows) == list(range(500))
 
 
-def test_batch_meets_the_old_rows(spark, tmp_path):
-    base = np.zeros((81, 64))
-    base[:, :7] = np.eye(7)[6]
-    base[0, :7], base[40, :7], base[80, :7] = np.eye(7)[0], np.eye(7)[1], np.eye(7)[0]
-    run = lambda at: [tuple(r) for r in sorted(registry.queries()["batch_insert"](spark, at).collect())]
-    assert run(vectors(spark, tmp_path / "clean", base)) == [(0, 90.0, True), (40, 90.0, True), (80, 0.0, False)]
-    base[7, :7] = np.eye(7)[1]
-    assert run(vectors(spark, tmp_path / "old", base)) == [(0, 90.0, False), (40, 0.0, False), (80, 90.0, False)]
+def test_batches_against_one_by_one(spark):
+    """Batches that fit, fit in part and do not fit, against the old rows and then row by row."""
+    from arcweave.operators import models, search
+
+    rng = np.random.default_rng(6)
+    old = rng.normal(size=(60, 4))
+    new = rng.normal(size=(90, 4))
+    new[::9] = new[1::9] + 0.01
+    ids = [int(i) for i in range(90)]
+    table = spark.createDataFrame([(i // 15, 1000 + i, new[i].tolist()) for i in ids], "batch long, id long, vector array<double>").repartition(3)
+    index = search.AngularIndex.build(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(old)], "id long, vector array<double>"))
+    got = {r.id - 1000: r.state for r in models.insert_batches(index, table, 9.0).collect()}
+    far = search._angles(new, old).min(axis=1)
+    want = {}
+    for b in range(6):
+        own, kept = ids[15 * b : 15 * b + 15], []
+        for i in own:
+            if (far[own] < 9.0).any():
+                want[i] = "rejected"
+                continue
+            near = bool(kept) and search._angles(new[[i]], new[kept]).min() < 9.0
+            want[i] = "near" if near else "added"
+            if not near:
+                kept.append(i)
+    assert got == want and set(want.values()) == {"rejected", "near", "added"}
+    added = [1000 + i for i, s in want.items() if s == "added"]
+    assert sum(c.rows for c in index.cells.values()) == 60 + len(added)
+    back = index.nearest(table, 1, exclude_self=False).where(f"id = query_id AND id IN ({', '.join(map(str, added))})")
+    assert back.count() == len(added)
+
+
+def test_batches_of_the_tables(spark):
+    rows = registry.queries()["batch_insert"](spark, DIR).collect()
+    assert len(rows) == 26 and all(r.found for r in rows if r.state == "added")
+    assert {r.state for r in rows} >= {"added", "near"}
