@@ -18,56 +18,72 @@ from . import search
 QUERIES: list = []
 Q = lambda ids, **views: query(QUERIES, ids, **views)
 
-BE = ("is", "are")
-PAST = ("is", "are", "was", "were")
-
-
-def _forms(verb: str) -> tuple[str, ...]:
-    """Third person, plain and past form of a regular verb, and what follows it."""
-    head, _, tail = verb.partition(" ")
-    stem = head[:-1] if head.endswith("e") else head
-    return tuple(f"{v} {tail}".strip() for v in (head, head + "s", stem + "ed"))
+# The words by which a claim tells its type, from the most specific to the least; a
+# checker that knew other words would judge other claims.
+BE, BE_PAST = ("is", "are"), ("is", "are", "was", "were")
+OPPOSITE = ("opposite",)
+SORTS = ("type", "kind", "form", "sort", "category")
+HAPPEN = ("comes", "come", "came", "happens", "happen", "happened", "occurs", "occur", "occurred")
+EARLIER, LATER = ("before", "prior to", "earlier than"), ("after", "later than")
+LEADING, TRAILING = ("precedes", "precede", "preceded"), ("follows", "follow", "followed")
+LIE, TENSES = ("lies", "lie", "lay"), ("past", "future", "present")
+DEICTIC, DAYS = ("happened", "occurred", "happens", "happen", "occurs", "occur"), ("yesterday", "today", "tomorrow", "now")
+CAUSE = ("causes", "cause", "leads to", "lead to", "produces", "produce", "creates", "create", "results in", "result in", "generates", "generate")
+LOOSE = ("can", "will", "should", "must", "has", "have", "had", "does", "do", "did", "was", "were", "means", "mean", "implies", "imply", "requires", "require", "involves", "involve", "contains", "contain", "includes", "include", "represents", "represent", "symbolizes", "symbolize", "embodies", "embody", "reflects", "reflect", "denotes", "denote")
+ARTICLES = ("a", "an", "the")
 
 
 def grammar() -> list[tuple[int, str, str, str]]:
     """(priority, phrase, claim type, hint) of all connectives."""
-    rows: list[tuple[int, str, str, str]] = []
-
-    def add(kind: str, hint: str, phrases) -> None:
-        prio = len({(k, h) for _, _, k, h in rows})
-        rows.extend((prio, p, kind, hint) for p in dict.fromkeys(phrases) if p not in {x[1] for x in rows})
-
-    add("opposition", "opposition", [f"{b} {a}{w} of" for b in BE for a in ("the ", "") for w in ("opposite", "reverse", "contrary")])
-    add("taxonomic", "affinity", [f"{b} {a}{w} of" for b in BE for a in ("a ", "") for w in ("kind", "type", "form", "sort", "category")])
-    add("temporal", "order_before", [f"{v} {w}" for v in ("come", "comes", "came", "happens", "happened", *PAST) for w in ("before", "prior to", "earlier than")] + ["before", "prior to", "earlier than"])
-    add("temporal", "order_after", [f"{v} {w}" for v in ("come", "comes", "came", "happens", "happened", *PAST) for w in ("after", "later than")] + ["after", "later than"])
-    add("temporal", "order_first", _forms("precede"))
-    add("temporal", "order_second", _forms("follow"))
-    add("temporal", "locative", [f"{v} in the" for v in (*PAST, "lies", "lie", "lay")])
-    add("causal", "affinity", [p for v in ("cause", "produce", "create", "generate", "result in") for p in _forms(v)] + ["lead to", "leads to", "led to"])
-    add("identity", "synonym", [f"{b}{a}" for b in BE for a in (" a", " an", " the", "")])
-    add("freeform", "", ["can", "will", "should", "must", "has", "have", "mean", "means", "require", "requires", "contain", "contains", "include", "includes"])
-    return rows
+    when = lambda words: [*(f"{v} {w}" for v in (*HAPPEN, *BE_PAST) for w in words), *words]
+    kinds = (
+        ("opposition", "opposition", [f"{b} {a}{w} of" for b in BE for a in ("the ", "") for w in OPPOSITE]),
+        ("taxonomic", "affinity", [f"{b} {a}{w} of" for b in BE for a in ("a ", "") for w in SORTS]),
+        ("temporal", "order_before", when(EARLIER)),
+        ("temporal", "order_after", when(LATER)),
+        ("temporal", "order_first", LEADING),
+        ("temporal", "order_second", TRAILING),
+        ("temporal", "locative", [f"{v} in the" for v in (*BE_PAST, *LIE)]),
+        ("temporal", "deictic", (*DEICTIC, *BE_PAST)),
+        ("causal", "affinity", CAUSE),
+        ("identity", "synonym", [f"{b} {a}".strip() for b in BE for a in (*ARTICLES, "")]),
+        ("freeform", "", LOOSE),
+    )
+    # both directions of an order are one rule: the earlier place decides between them
+    rank = {"order_after": 2, "order_second": 4}
+    return [(rank.get(hint, i), p, kind, hint) for i, (kind, hint, phrases) in enumerate(kinds) for p in phrases]
 
 
 LONGEST = max(p.count(" ") + 1 for _, p, _, _ in grammar())
 
 
 def parsed(d, source: str = "claims", to: str = "parsed"):
-    """``to``: the claims (claim_id, text) of ``source`` with type, hint, subject and predicate."""
+    """``to``: the claims (claim_id, text) of ``source`` with type, hint, subject and predicate.
+
+    A claim without a connective is split in the middle of its words; one word is both ends.
+    """
     rows = ", ".join(f"({i}, '{p}', '{k}', '{h}')" for i, p, k, h in grammar())
-    tail = f"substring(lower({d.concat(d.slice('w', 'p + n', d.size('w')), ' ')}), 1, 9)"
-    ends = lambda i, n: d.concat(d.slice("s.w", i, n), " ")
+    tail = f"substring(lower({d.concat(d.slice('w', 'p + n', d.size('w')), ' ')}), 1, 10)"
+    one_of = lambda words: ", ".join(f"'{w}'" for w in words)
+    ends = lambda w, i, n: d.concat(d.slice(w, i, n), " ")
+    half = f"CAST(floor({d.size('t.w')} / 2e0) AS INT)"
     return f"""{to}_tok AS (SELECT claim_id, text, {d.split("trim(" + d.rr('text', '[.!?]+$', '') + ")", " ")} AS w FROM {source}),
     {to}_at AS (SELECT claim_id, w, {d.explode(d.seq(2, f"greatest(2, {d.size('w')} - 1)"))} AS p FROM {to}_tok WHERE {d.size('w')} >= 3),
     {to}_run AS (SELECT claim_id, w, p, n, lower({d.concat(d.slice('w', 'p', 'n'), ' ')}) AS run FROM {to}_at CROSS JOIN (SELECT {d.explode(d.seq(1, LONGEST))} AS n) z WHERE p + n <= {d.size('w')}),
     {to}_grammar AS (SELECT * FROM (VALUES {rows}) AS g(prio, phrase, claim_type, hint)),
-    {to}_spot AS (SELECT claim_id, w, p, n, claim_type, hint, row_number() OVER (PARTITION BY claim_id ORDER BY prio, p, n DESC) AS place FROM {to}_run JOIN {to}_grammar ON phrase = run WHERE hint <> 'locative' OR {tail} IN ('past', 'present', 'future')),
-    {to} AS (SELECT t.claim_id, t.text, coalesce(s.claim_type, 'freeform') AS claim_type, CASE s.hint WHEN 'order_first' THEN 'order_before' WHEN 'order_second' THEN 'order_after' ELSE coalesce(s.hint, '') END AS hint,
-      CASE WHEN p IS NULL THEN t.text ELSE {ends('1', 'p - 1')} END AS subject, CASE WHEN p IS NULL THEN t.text ELSE {ends('p + n', d.size('s.w'))} END AS predicate
+    {to}_spot AS (SELECT claim_id, w, p, n, claim_type, hint, row_number() OVER (PARTITION BY claim_id ORDER BY prio, p, n DESC) AS place FROM {to}_run JOIN {to}_grammar ON phrase = run
+      WHERE (hint <> 'locative' OR {tail} IN ({one_of(TENSES)})) AND (hint <> 'deictic' OR {tail} IN ({one_of(DAYS)}))),
+    {to} AS (SELECT t.claim_id, t.text, coalesce(s.claim_type, 'freeform') AS claim_type, CASE s.hint WHEN 'order_first' THEN 'order_before' WHEN 'order_second' THEN 'order_after' WHEN 'deictic' THEN 'locative' ELSE coalesce(s.hint, '') END AS hint,
+      CASE WHEN p IS NOT NULL THEN {ends('s.w', '1', 'p - 1')} WHEN {d.size('t.w')} >= 2 THEN {ends('t.w', '1', half)} ELSE t.text END AS subject,
+      CASE WHEN p IS NOT NULL THEN {ends('s.w', 'p + n', d.size('s.w'))} WHEN {d.size('t.w')} >= 2 THEN {ends('t.w', f'{half} + 1', d.size('t.w'))} ELSE t.text END AS predicate
       FROM {to}_tok t LEFT JOIN {to}_spot s ON s.claim_id = t.claim_id AND s.place = 1)"""
 
 
+def tense(x: str) -> str:
+    """The tense that a day stands for; a tense stands for itself."""
+    return f"CASE lower({x}) WHEN 'yesterday' THEN 'past' WHEN 'today' THEN 'present' WHEN 'now' THEN 'present' WHEN 'tomorrow' THEN 'future' ELSE lower({x}) END"
+
+
 def graph(d):
     return f"{concepts(d)}, {relations(d)}, {undirected(d)}"
 
@@ -75,7 +91,7 @@ def graph(d):
 #: The forms in which a relation's ends are stated.
 STATED = ("is the opposite of", "is a kind of", "causes", "comes before", "is")
 #: More forms, some without any connective.
-MANY = ("are the reverse of", "is a", "follows", "results in", "has", "was earlier than", "was in the past with", "leads to", "beside", "requires", "precedes", "is a sort of")
+MANY = ("are the opposite of", "is a", "follows", "results in", "has", "was earlier than", "was in the past with", "leads to", "beside", "requires", "precedes", "is a sort of", "occurred before", "denotes")
 
 
 def claims(d, forms=STATED):
@@ -168,7 +184,7 @@ def graph_signal(d):
     CASE WHEN n_opp > 0 THEN 'opposition' WHEN n_comp > 0 THEN 'complement' WHEN n_syn > 0 THEN 'synonym' WHEN n_aff > 0 THEN 'affinity' ELSE 'none' END AS strongest, {INVERTED} AS inverted FROM ev"""
 
 
-#: Angle limits by claim type: consistent, plausible, suspicious. Opposition reads them the other way round.
+#: Angle limits by claim type (consistent, plausible, suspicious). Opposition reads them the other way round.
 LIMITS = {"identity": (35, 55, 75), "causal": (45, 65, 80), "taxonomic": (40, 60, 78), "opposition": (60, 45, 30), "freeform": (40, 60, 78)}
 
 
@@ -322,7 +338,7 @@ def locative_verdicts(d):
 
 # -- the self-claim layer -------------------------------------------------------------------
 
-#: The declared capabilities, and our own markers.
+#: The names of the capabilities; the markers below are our own.
 PROFILE = {"cross_session_memory": False, "vision": False, "audio": False, "persistent_processing": False, "online_learning": False, "embodiment": False}
 OVERRIDES = {"audio": True}
 FIRST = r"(?i)\b(i|my|me|i'm)\b"
@@ -387,8 +403,8 @@ def full_check(d):
     told AS (SELECT first_, second_, concat(first_, {told}, second_) AS text FROM orders_ UNION ALL SELECT n, 'past', concat(n, ' lies in the past') FROM side),
     every AS (SELECT 'vector' AS source, CAST(claim_id AS STRING) AS k, text FROM claims UNION ALL SELECT 'order', concat(first_, '|', second_), text FROM told UNION ALL SELECT 'self', CAST(claim_id AS STRING), text FROM self_claims),
     claims2 AS (SELECT concat(source, ':', k) AS claim_id, text FROM every), {self_judged(d, 'claims2')}, {parsed(d, 'claims2', 'parsed2')},
-    tmp AS (SELECT p.claim_id, CASE WHEN hint = 'locative' THEN CASE WHEN z.s IS NULL THEN 'ABSTAIN' WHEN z.s = lower(p.predicate) THEN 'CONSISTENT' ELSE 'INCONSISTENT' END ELSE coalesce(o.verdict, 'ABSTAIN') END AS verdict,
-      CASE WHEN hint = 'locative' THEN CASE WHEN z.s IS NULL THEN 0 WHEN z.s = lower(p.predicate) THEN 85 ELSE 92 END ELSE coalesce(o.confidence, 0) END AS confidence
+    tmp AS (SELECT p.claim_id, CASE WHEN hint = 'locative' THEN CASE WHEN z.s IS NULL THEN 'ABSTAIN' WHEN z.s = {tense('p.predicate')} THEN 'CONSISTENT' ELSE 'INCONSISTENT' END ELSE coalesce(o.verdict, 'ABSTAIN') END AS verdict,
+      CASE WHEN hint = 'locative' THEN CASE WHEN z.s IS NULL THEN 0 WHEN z.s = {tense('p.predicate')} THEN 85 ELSE 92 END ELSE coalesce(o.confidence, 0) END AS confidence
       FROM parsed2 p LEFT JOIN orders_ o ON o.first_ = CASE hint WHEN 'order_before' THEN p.subject ELSE p.predicate END AND o.second_ = CASE hint WHEN 'order_before' THEN p.predicate ELSE p.subject END LEFT JOIN side z ON z.n = p.subject WHERE p.claim_type = 'temporal'),
     vec AS (SELECT concat('vector:', CAST(claim_id AS STRING)) AS claim_id, label, confidence FROM verdicts)
     SELECT p.claim_id, CASE WHEN p.claim_type = 'temporal' AND coalesce(t.verdict, 'ABSTAIN') = 'ABSTAIN' THEN 'freeform' ELSE p.claim_type END AS judged_as,

@@ -298,17 +298,20 @@ def bar_primaries(d):
 
 @Q("STAT-57")
 def presence_rows(d):
-    """By dose: reports of presence, the AUROC of each dose against none, the share of the nearest name, and how far the halves agree."""
-    return f"""WITH {scored(d)}, t AS (SELECT id, card AS dose, p, y, toxic, id % 2 AS half FROM scored), base_ AS (SELECT p FROM t WHERE dose = 0), x AS (SELECT t.dose, t.p FROM t UNION ALL SELECT -1, p FROM base_), h AS (SELECT DISTINCT p FROM base_),
-    a AS (SELECT t.dose, avg(z.below / CAST(z.n AS DOUBLE) + z.ties / (2e0 * z.n)) AS auroc FROM t JOIN (SELECT q.p, sum(CASE WHEN base_.p < q.p THEN 1 ELSE 0 END) AS below, sum(CASE WHEN base_.p = q.p THEN 1 ELSE 0 END) AS ties, count(*) AS n FROM (SELECT DISTINCT p FROM t) q CROSS JOIN base_ GROUP BY q.p) z ON z.p = t.p GROUP BY t.dose)
-    SELECT t.dose, count(*) AS n, {r('avg(CAST(y AS DOUBLE))')} AS present_, {r('max(auroc)')} AS auroc, {r(share('toxic = 1'))} AS nearest_share, {r('avg(CASE WHEN half = 0 THEN CAST(y AS DOUBLE) END) - avg(CASE WHEN half = 1 THEN CAST(y AS DOUBLE) END)')} AS half_diff FROM t JOIN a ON a.dose = t.dose GROUP BY t.dose"""
+    """By dose: reports of presence, the AUROC of each dose against none, how often the dose whose mean is nearest is a row's own, and whether both halves of the rows report on the same side of a half."""
+    return f"""WITH {scored(d)}, t AS (SELECT id, card AS dose, p, y, id % 2 AS half FROM scored), base_ AS (SELECT p FROM t WHERE dose = 0),
+    a AS (SELECT t.dose, avg(z.below / CAST(z.n AS DOUBLE) + z.ties / (2e0 * z.n)) AS auroc FROM t JOIN (SELECT q.p, sum(CASE WHEN base_.p < q.p THEN 1 ELSE 0 END) AS below, sum(CASE WHEN base_.p = q.p THEN 1 ELSE 0 END) AS ties, count(*) AS n FROM (SELECT DISTINCT p FROM t) q CROSS JOIN base_ GROUP BY q.p) z ON z.p = t.p GROUP BY t.dose),
+    mean_ AS (SELECT dose AS name_, avg(p) AS m FROM t GROUP BY dose), near AS (SELECT id, dose, name_, row_number() OVER (PARTITION BY id ORDER BY round(abs(p - m), 12), name_) AS place FROM t CROSS JOIN mean_),
+    own AS (SELECT dose, {share('name_ = dose')} AS nearest_share FROM near WHERE place = 1 GROUP BY dose), h AS (SELECT dose, avg(CASE WHEN half = 0 THEN CAST(y AS DOUBLE) END) AS h0, avg(CASE WHEN half = 1 THEN CAST(y AS DOUBLE) END) AS h1 FROM t GROUP BY dose)
+    SELECT t.dose, count(*) AS n, {r('avg(CAST(y AS DOUBLE))')} AS present_, {r('max(auroc)')} AS auroc, {r('max(nearest_share)')} AS nearest_share, {r('max(h0 - h1)')} AS half_diff, max(CASE WHEN (h0 > 0.5e0) = (h1 > 0.5e0) THEN 1 ELSE 0 END) = 1 AS halves_agree
+    FROM t JOIN a ON a.dose = t.dose JOIN own ON own.dose = t.dose JOIN h ON h.dose = t.dose GROUP BY t.dose"""
 
 
 @Q("STAT-61")
 def secondaries(d):
     """One measure under several readings: like for like, by choice, by wording, by nation and by sham, each beside the primary."""
     base = "SELECT 'primary' AS kind, '' AS level_, v0 - v1 AS diff FROM wide WHERE v0 IS NOT NULL AND v1 IS NOT NULL"
-    return f"""WITH {cells(d)}, u AS ({base} UNION ALL SELECT 'like for like', arm, v0 - v1 FROM wide WHERE v0 IS NOT NULL AND v1 IS NOT NULL AND n >= 4 UNION ALL SELECT 'choice', CASE WHEN v0 > v1 THEN 'first' ELSE 'second' END, v0 - v1 FROM wide WHERE v0 IS NOT NULL AND v1 IS NOT NULL
+    return f"""WITH {cells(d)}, u AS ({base} UNION ALL SELECT 'like for like', arm, v0 - v1 FROM wide WHERE v0 IS NOT NULL AND v1 IS NOT NULL AND n >= 4 UNION ALL SELECT 'choice', CASE WHEN i % 2 = 0 THEN 'asked first' ELSE 'asked second' END, v0 - v1 FROM wide WHERE v0 IS NOT NULL AND v1 IS NOT NULL
       UNION ALL SELECT 'nation', CAST(i % 5 AS STRING), v0 - v1 FROM wide WHERE v0 IS NOT NULL AND v1 IS NOT NULL UNION ALL SELECT 'sham', arm, CASE WHEN i % 2 = 0 THEN v0 - v1 ELSE v1 - v0 END FROM wide WHERE v0 IS NOT NULL AND v1 IS NOT NULL)
     SELECT kind, level_, count(*) AS n, {r('avg(diff)', 3)} AS mean, {r('stddev_pop(diff) / sqrt(count(*))', 3)} AS se, {r(share('diff > 0'))} AS positive FROM u GROUP BY kind, level_"""
 
@@ -320,22 +323,27 @@ def bar_cards(d):
     SELECT id, {', '.join(r(f's{k}') + f' AS share_{k}' for k in CORE)}, {r('sx * sx + sy * sy + sz * sz')} AS peak, CASE WHEN sx >= sy AND sx >= sz THEN 'x' WHEN sy >= sz THEN 'y' ELSE 'z' END AS largest, CASE WHEN sx > 0.5e0 THEN 'x' WHEN sy > 0.5e0 THEN 'y' WHEN sz > 0.5e0 THEN 'z' ELSE 'none' END AS over_half FROM t"""
 
 
-@Q("STAT-67 STAT-51")
+@Q("STAT-67")
 def stimuli(d):
-    """Stimuli by hash: Gaussian arrays (sums of twelve draws), candidates a stated distance apart, and ladders of evidence; with the power to tell two means at each size."""
+    """Stimuli by hash: Gaussian arrays (sums of twelve draws), candidates a stated distance apart, ladders of evidence, and how far the halves of an array agree over all of them."""
     gauss = " + ".join(d.rand(f"concat('g{i}|', CAST(k AS STRING), '|', CAST(j AS STRING))") for i in range(12))
-    return f"""WITH s AS (SELECT s_suppkey AS k FROM supplier), j AS (SELECT {d.explode(d.seq(0, 7))} AS j), g AS (SELECT k, j, ({gauss}) - 6e0 AS v FROM s CROSS JOIN j), a AS (SELECT k, avg(v) AS mean, stddev_pop(v) AS sd, sum(CASE WHEN v > 0 THEN 1 ELSE 0 END) AS positive FROM g GROUP BY k),
-    near AS (SELECT x.k, min(abs(x.mean - y.mean)) AS gap FROM a x JOIN a y ON y.k <> x.k AND y.k % 3 = x.k % 3 GROUP BY x.k), pw AS (SELECT 1 + k % 5 AS size_, avg(CASE WHEN abs(mean) * sqrt(8e0 * (1 + k % 5)) > 1.96e0 THEN 1e0 ELSE 0e0 END) AS power_ FROM a GROUP BY 1 + k % 5)
-    SELECT a.k, {r('mean')} AS mean, {r('sd')} AS sd, CAST(positive AS BIGINT) AS rung, {r('gap')} AS gap, gap >= 0.05e0 AS apart, {r('power_')} AS power_ FROM a JOIN near ON near.k = a.k JOIN pw ON size_ = 1 + a.k % 5"""
+    return f"""WITH s AS (SELECT s_suppkey AS k FROM supplier), j AS (SELECT {d.explode(d.seq(0, 7))} AS j), g AS (SELECT k, j, ({gauss}) - 6e0 + (k % 7 - 3) / 3e0 AS v FROM s CROSS JOIN j),
+    a AS (SELECT k, avg(v) AS mean, stddev_pop(v) AS sd, sum(CASE WHEN v > 0 THEN 1 ELSE 0 END) AS positive, avg(CASE WHEN j % 2 = 0 THEN v END) AS even_, avg(CASE WHEN j % 2 = 1 THEN v END) AS odd_ FROM g GROUP BY k),
+    near AS (SELECT x.k, min(abs(x.mean - y.mean)) AS gap FROM a x JOIN a y ON y.k <> x.k AND y.k % 3 = x.k % 3 GROUP BY x.k), rel AS (SELECT corr(even_, odd_) AS c FROM a)
+    SELECT a.k, {r('mean')} AS mean, {r('sd')} AS sd, CAST(positive AS BIGINT) AS rung, {r('gap')} AS gap, gap >= 0.05e0 AS apart, {r('2e0 * c / (1e0 + c)')} AS reliability FROM a JOIN near ON near.k = a.k CROSS JOIN rel"""
 
 
 @Q("STAT-70 STAT-74")
 def integrity_gates(d):
-    """Gates over tables: keys that no plan row has, captures that are complete, norms and residuals in bounds, rows present by model; reasons of each failed gate."""
+    """Gates over tables: keys that no plan row has, captures that are complete, norms of unit vectors, a direction whose halves have one sign, pinned row counts, rows present by model; reasons of each failed gate."""
+    unit = " + ".join(f"({k} / sqrt({dot('', '', ESSENCE + FUNCTION)})) * ({k} / sqrt({dot('', '', ESSENCE + FUNCTION)}))" for k in ESSENCE + FUNCTION)
+    half = lambda n: ", ".join(f"avg(CASE WHEN c1 % 2 = {n} THEN q.{k} - p.{k} END) AS {k}{n}" for k in ESSENCE)
+    along = lambda a, b: " + ".join(f"{k}{a} * {k}{b}" for k in ESSENCE)
     return f"""WITH {concepts(d)}, {relations(d)}, g AS (SELECT 'order keys' AS gate, CAST(count(*) AS DOUBLE) AS value, 0e0 AS least, 0e0 AS most FROM lineitem l LEFT JOIN orders o ON o_orderkey = l_orderkey WHERE o_orderkey IS NULL
-      UNION ALL SELECT 'unit norms', max(abs({dot('', '', ESSENCE + FUNCTION)})), 0e0, 4e0 FROM concepts UNION ALL SELECT 'edges of each concept', CAST(min(n) AS DOUBLE), 1e0, 1e9 FROM (SELECT me, count(*) AS n FROM (SELECT c1 AS me FROM relations UNION ALL SELECT c2 FROM relations) z GROUP BY me) y
+      UNION ALL SELECT 'unit norms', max(abs({unit} - 1e0)), 0e0, 1e-9 FROM concepts WHERE {dot('', '', ESSENCE + FUNCTION)} > 0e0 UNION ALL SELECT 'edges of each concept', CAST(min(n) AS DOUBLE), 1e0, 1e9 FROM (SELECT me, count(*) AS n FROM (SELECT c1 AS me FROM relations UNION ALL SELECT c2 FROM relations) z GROUP BY me) y
       UNION ALL SELECT 'cents', max(abs(l_extendedprice * 100 - round(l_extendedprice * 100))), 0e0, 1e-3 FROM lineitem UNION ALL SELECT 'turns in a row', CAST(max(last_ + 1 - n) AS DOUBLE), 0e0, 0e0 FROM (SELECT conv_id, max(turn) AS last_, count(*) AS n FROM conversations GROUP BY conv_id) x
-      UNION ALL SELECT concat('rows of ', coalesce(lang, 'no language')), CAST(count(*) AS DOUBLE), 10e0, 1e18 FROM documents GROUP BY lang UNION ALL SELECT 'sign of direction', sum(angle4 - 90e0) / count(*), -30e0, 30e0 FROM relations)
+      UNION ALL SELECT concat('rows of ', coalesce(lang, 'no language')), CAST(count(*) AS DOUBLE), 10e0, 1e18 FROM documents GROUP BY lang UNION ALL SELECT 'pinned regions', CAST(count(*) AS DOUBLE), 5e0, 5e0 FROM region UNION ALL SELECT 'pinned nations', CAST(count(*) AS DOUBLE), 25e0, 25e0 FROM nation
+      UNION ALL SELECT 'direction of both halves', ({along(0, 1)}) / nullif(sqrt({along(0, 0)}) * sqrt({along(1, 1)}), 0e0), 0e0, 1e0 FROM (SELECT {half(0)}, {half(1)} FROM relations JOIN concepts p ON p.id = c1 JOIN concepts q ON q.id = c2) dir_)
     SELECT gate, {r('value', 3)} AS value, value BETWEEN least AND most AS passed, CASE WHEN value < least THEN concat(gate, ': too low') WHEN value > most THEN concat(gate, ': too high') ELSE '' END AS reason FROM g"""
 
 
