@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..model import ESSENCE, FUNCTION, PRESENT, angle, concepts, r, relations, succession, undirected
+from ..model import ESSENCE, FUNCTION, PRESENT, aliases, angle, concepts, r, relations, succession, undirected
 from ..plans.dialect import query
 from . import search
 
@@ -249,42 +249,36 @@ def angle_only_check(d):
 
 # -- projection of stored text vectors ------------------------------------------------------
 
-RAW = range(15, 65)
-
-
-def projection(d):
-    """``w``: a stored matrix from the 50 raw components to the 14 of a concept, of marginal slopes; ``proj``: every raw vector times it."""
-    full = ESSENCE + FUNCTION
-    slopes = [f"sum(r{i} * {k}) / nullif(sum(r{i} * r{i}), 0e0) / {len(RAW)}e0 AS w{i}_{k}" for i in RAW for k in full]
-    raw = ", ".join(f"CAST({d.at('embedding', i)} AS DOUBLE) AS r{i}" for i in RAW)
-    times = ", ".join("(" + " + ".join(f"r{i} * w{i}_{k}" for i in RAW) + f") AS {k}" for k in full)
-    return f"""rawv AS (SELECT vec_id, {raw} FROM embeddings), both_ AS (SELECT c.*, v.* FROM concepts c JOIN rawv v ON v.vec_id = c.id), w AS (SELECT {', '.join(slopes)} FROM both_), proj AS (SELECT vec_id AS id, {times} FROM rawv CROSS JOIN w)"""
-
-
 def projected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, n, t): for each text vector, projected by the stored matrix, the four concepts nearest in 14 dimensions, its own left out."""
-    import numpy as np
-
-    from .models import gram
+    """(id, n, t): for each text vector, projected by the fitted map, the four concepts nearest in 14 dimensions, its own left out."""
+    from . import curation
 
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    g = gram(e.select(F.lit(0).alias("fold"), F.concat(F.slice("embedding", 15, 50), F.slice("embedding", 1, 14)).cast("array<double>").alias("v")), 1).get(0, np.eye(64))
-    w = g[:50, 50:] / np.diag(g[:50, :50])[:, None] / 50
+    w = {(m.i, m.j): m.w for m in curation.fitted_map(spark, sf_dir).collect()}  # 700 numbers
     v = F.slice("embedding", 15, 50).cast("array<double>")
-    times = F.array(*[F.aggregate(F.zip_with(v, F.array(*map(F.lit, w[:, k].tolist())), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x) for k in range(14)])
+    times = F.array(*[F.aggregate(F.zip_with(v, F.array(*[F.lit(w.get((i + 15, k + 1), 0.0)) for i in range(50)]), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x) for k in range(14)])
     items = G.concepts(e).select("id", F.array(*G.ESSENCE, *G.FUNCTION).alias("vector"))
     return search.nearest(items, e.select(F.col("vec_id").alias("id"), times.alias("vector")), 4, digits=None).select(F.col("query_id").alias("id"), F.col("id").alias("n"), F.col("angle").alias("t"))
 
 
 @Q("CHK-02 CHK-03 TOP-03", projected=projected)
 def projected_matches(d):
-    """Nearest concepts of each text vector by its projection; the concept that the text names is pinned first."""
+    """Nearest concepts of each text vector by its projection; the concept whose name or alias the asked term is, if any, is pinned first.
+
+    Of three terms one is the next concept's name, one an alias in lower case, and one names nothing.
+    """
+    from . import curation
+
     if d.name == "spark":
         near = "near0 AS (SELECT id, n, t FROM projected)"
     else:
-        near = f"""{projection(d)}, near1 AS (SELECT q.id, c.id AS n, {angle('q.', 'c.', ESSENCE + FUNCTION, '90e0')} AS t FROM proj q JOIN concepts c ON c.id <> q.id),
+        wide = ", ".join(f"max(CASE WHEN j = {k} THEN v END) AS {a}" for k, a in enumerate(ESSENCE + FUNCTION, 1))
+        near = f"""{curation.projection(d)}, wide AS (SELECT id, {wide} FROM proj GROUP BY id), near1 AS (SELECT q.id, c.id AS n, {angle('q.', 'c.', ESSENCE + FUNCTION, '90e0')} AS t FROM wide q JOIN concepts c ON c.id <> q.id),
         near0 AS (SELECT id, n, t FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(t, 9), n) AS place FROM near1) z WHERE place <= 4)"""
-    return f"""WITH {concepts(d)}, {near}, u AS (SELECT id, id AS n, 0e0 AS t, 0 AS pinned FROM concepts UNION ALL SELECT id, n, t, 1 FROM near0)
+    return f"""{curation.with_map(d)} {concepts(d)}, {aliases(d)}, {near},
+    asked AS (SELECT id, CASE id % 3 WHEN 0 THEN concat('C', {d.left_pad('id + 1', 5)}) WHEN 1 THEN concat('a', {d.left_pad('id - 1', 5)}) ELSE 'nothing' END AS term FROM concepts),
+    pin AS (SELECT k.id, coalesce(c.id, a.concept_id) AS n FROM asked k LEFT JOIN concepts c ON upper(c.name) = upper(term) LEFT JOIN aliases a ON upper(a.alias) = upper(term) WHERE c.id IS NOT NULL OR a.concept_id IS NOT NULL),
+    u AS (SELECT id, n, 0e0 AS t, 0 AS pinned FROM pin UNION ALL SELECT m.id, m.n, t, 1 FROM near0 m LEFT JOIN pin ON pin.id = m.id AND pin.n = m.n WHERE pin.n IS NULL)
     SELECT id, row_number() OVER (PARTITION BY id ORDER BY pinned, round(t, 9), n) AS place, n AS match_, pinned = 0 AS direct, {r('t', 4)} AS angle FROM u"""
 
 

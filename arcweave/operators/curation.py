@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -253,12 +254,33 @@ def interpretations(d):
 # -- projection -----------------------------------------------------------------------------
 
 
+def fitted_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(i, j, w): the least-squares map from the 50 raw components (15 to 64) to the 14 of a concept, from sums over all rows."""
+    from .models import gram
+
+    v = F.concat(F.slice("embedding", 15, 50), F.slice("embedding", 1, 14)).cast("array<double>")
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("embedding IS NOT NULL").select(F.lit(0).alias("fold"), v.alias("v"))
+    g = gram(rows, 1).get(0)
+    w = [] if g is None else np.linalg.lstsq(g[:50, :50], g[:50, 50:], rcond=None)[0]
+    return spark.createDataFrame([(i + 15, j + 1, float(x)) for i, r_ in enumerate(w) for j, x in enumerate(r_)], "i int, j int, w double")  # 700 rows
+
+
+#: Steps of the twin's descent to the least-squares map, far more than the tables need.
+DESCENT = 250
+
+
 def projection(d):
-    """``proj``: raw components of each text vector times a stored matrix of marginal slopes, in long form; ``true_`` beside it."""
+    """``proj``: raw components of each text vector times the fitted map ``w``, in long form; ``true_`` beside it. The twin reaches the same map by steps down the gradient."""
     at = f"CAST({d.at('embedding', 'CAST(i AS INT)')} AS DOUBLE)"
+    w = "w AS (SELECT i, j, w FROM fitted_map)" if d.name == "spark" else f"""gg AS (SELECT a.i, b.i AS k, sum(a.v * b.v) AS g FROM raw a JOIN raw b ON b.id = a.id GROUP BY a.i, b.i), xy AS (SELECT raw.i, j, sum(raw.v * true_.v) AS xy FROM raw JOIN true_ ON true_.id = raw.id GROUP BY raw.i, j),
+    step_ AS (SELECT 1e0 / max(s) AS eta FROM (SELECT i, sum(abs(g)) AS s FROM gg GROUP BY i) z), mm AS (SELECT i, k, CASE WHEN i = k THEN 1e0 ELSE 0e0 END - eta * g AS m FROM gg CROSS JOIN step_), bb AS (SELECT i, j, eta * xy AS b FROM xy CROSS JOIN step_),
+    ww AS (SELECT 0 AS n, i, j, b AS w FROM bb UNION ALL SELECT max(ww.n) + 1, mm.i, ww.j, sum(mm.m * ww.w) + max(bb.b) FROM ww JOIN mm ON mm.k = ww.i JOIN bb ON bb.i = mm.i AND bb.j = ww.j WHERE ww.n < {DESCENT} GROUP BY mm.i, ww.j), w AS (SELECT i, j, w FROM ww WHERE n = {DESCENT})"""
     return f"""k64 AS (SELECT {d.explode(d.seq(1, 64))} AS i), long_ AS (SELECT vec_id AS id, i, {at} AS v FROM embeddings CROSS JOIN k64), raw AS (SELECT id, i, v FROM long_ WHERE i > 14), true_ AS (SELECT id, i AS j, v FROM long_ WHERE i <= 14),
-    xx AS (SELECT i, sum(v * v) AS xx FROM raw GROUP BY i), xy AS (SELECT raw.i, j, sum(raw.v * true_.v) AS xy FROM raw JOIN true_ ON true_.id = raw.id GROUP BY raw.i, j), w AS (SELECT xy.i, j, xy / nullif(xx, 0e0) AS w FROM xy JOIN xx ON xx.i = xy.i),
-    proj AS (SELECT id, j, sum(v * w) AS v FROM raw JOIN w ON w.i = raw.i GROUP BY id, j)"""
+    {w}, proj AS (SELECT id, j, sum(v * w) AS v FROM raw JOIN w ON w.i = raw.i GROUP BY id, j)"""
+
+
+def with_map(d) -> str:
+    return "WITH" if d.name == "spark" else "WITH RECURSIVE"
 
 
 def _long_angle(a: str, b: str) -> str:
@@ -272,42 +294,42 @@ def text_vectors(d):
     SELECT c.id, c.name, CAST(length(t.text) AS BIGINT) AS chars, {r('size_')} AS size_, {r('first_')} AS first_ FROM concepts c JOIN n ON n.id = c.id LEFT JOIN documents t ON t.doc_id = c.id"""
 
 
-@Q("PRJN-04 PRJN-07")
+@Q("PRJN-04 PRJN-07", fitted_map=fitted_map)
 def angle_preservation(d):
     """True, projected and raw angles of related pairs by type: mean error, its spread, their correlations, and how many complements the projection draws together."""
     pair = lambda t, n: f"{n} AS (SELECT c1, c2, {_long_angle('p', 'q')} AS t FROM relations JOIN {t} p ON p.id = c1 JOIN {t} q ON q.id = c2 AND q.{'i' if t == 'raw' else 'j'} = p.{'i' if t == 'raw' else 'j'} GROUP BY c1, c2)"
-    return f"""WITH {graph(d)}, {projection(d)}, {pair('true_', 'a')}, {pair('proj', 'b')}, {pair('raw', 'c')}, t AS (SELECT k.rel_type, a.t AS t, b.t AS p, c.t AS raw_ FROM relations k JOIN a ON a.c1 = k.c1 AND a.c2 = k.c2 JOIN b ON b.c1 = k.c1 AND b.c2 = k.c2 JOIN c ON c.c1 = k.c1 AND c.c2 = k.c2)
+    return f"""{with_map(d)} {graph(d)}, {projection(d)}, {pair('true_', 'a')}, {pair('proj', 'b')}, {pair('raw', 'c')}, t AS (SELECT k.rel_type, a.t AS t, b.t AS p, c.t AS raw_ FROM relations k JOIN a ON a.c1 = k.c1 AND a.c2 = k.c2 JOIN b ON b.c1 = k.c1 AND b.c2 = k.c2 JOIN c ON c.c1 = k.c1 AND c.c2 = k.c2)
     SELECT rel_type, count(*) AS n, {r('avg(p - t)', 4)} AS shift, {r('avg(abs(p - t))', 4)} AS error, {r('stddev_pop(p - t)', 4)} AS spread, {r('corr(t, p)', 4)} AS corr_projected, {r('corr(t, raw_)', 4)} AS corr_raw, {n_if('p < t')} AS compressed, {n_if('p < 80e0')} AS under_80 FROM t GROUP BY rel_type"""
 
 
-@Q("PRJN-07 AGG-09")
+@Q("PRJN-07 AGG-09", fitted_map=fitted_map)
 def compression_histogram(d):
     """Changes of angle by the projection in bins of five degrees from -60 to 65."""
     pair = lambda t, n: f"{n} AS (SELECT c1, c2, {_long_angle('p', 'q')} AS t FROM relations JOIN {t} p ON p.id = c1 JOIN {t} q ON q.id = c2 AND q.j = p.j GROUP BY c1, c2)"
-    return f"""WITH {graph(d)}, {projection(d)}, {pair('true_', 'a')}, {pair('proj', 'b')}, t AS (SELECT floor((b.t - a.t) / 5e0) AS bin FROM a JOIN b ON b.c1 = a.c1 AND b.c2 = a.c2), k AS (SELECT {d.explode(d.seq(-12, 12))} AS bin), n AS (SELECT CAST(bin AS BIGINT) AS bin, count(*) AS n FROM t GROUP BY bin)
+    return f"""{with_map(d)} {graph(d)}, {projection(d)}, {pair('true_', 'a')}, {pair('proj', 'b')}, t AS (SELECT floor((b.t - a.t) / 5e0) AS bin FROM a JOIN b ON b.c1 = a.c1 AND b.c2 = a.c2), k AS (SELECT {d.explode(d.seq(-12, 12))} AS bin), n AS (SELECT CAST(bin AS BIGINT) AS bin, count(*) AS n FROM t GROUP BY bin)
     SELECT CAST(k.bin * 5 AS BIGINT) AS from_, coalesce(n, 0) AS n, (SELECT count(*) FROM t WHERE bin < -12 OR bin > 12) AS outside FROM k LEFT JOIN n ON n.bin = k.bin"""
 
 
-@Q("PRJN-05")
+@Q("PRJN-05", fitted_map=fitted_map)
 def midpoint_ranks(d):
     """Whether the midpoint of two projected synonyms lies nearer to them than to others: the rank of both true vectors among all, by angle."""
-    return f"""WITH {graph(d)}, {projection(d)}, m AS (SELECT c1, c2, p.j, p.v + q.v AS v FROM relations JOIN proj p ON p.id = c1 JOIN proj q ON q.id = c2 AND q.j = p.j WHERE rel_type = 'synonym'), t AS (SELECT c1, c2, x.id, {_long_angle('m', 'x')} AS t FROM m JOIN true_ x ON x.j = m.j GROUP BY c1, c2, x.id),
+    return f"""{with_map(d)} {graph(d)}, {projection(d)}, m AS (SELECT c1, c2, p.j, p.v + q.v AS v FROM relations JOIN proj p ON p.id = c1 JOIN proj q ON q.id = c2 AND q.j = p.j WHERE rel_type = 'synonym'), t AS (SELECT c1, c2, x.id, {_long_angle('m', 'x')} AS t FROM m JOIN true_ x ON x.j = m.j GROUP BY c1, c2, x.id),
     k AS (SELECT c1, c2, id, rank() OVER (PARTITION BY c1, c2 ORDER BY round(t, 9)) AS rk FROM t)
     SELECT c1, c2, CAST(max(CASE WHEN id = c1 THEN rk END) AS BIGINT) AS rank1, CAST(max(CASE WHEN id = c2 THEN rk END) AS BIGINT) AS rank2, min(CASE WHEN id IN (c1, c2) THEN rk END) <= 5 AS hit FROM k GROUP BY c1, c2"""
 
 
-@Q("PRJN-06")
+@Q("PRJN-06", fitted_map=fitted_map)
 def projection_errors(d):
     """Error of the projection by concept, class, level and component: mean square, R2, and its length over the true one's."""
     e = lambda kind, key: f"SELECT '{kind}' AS kind, {key} AS key_, count(DISTINCT id) AS n, avg((v - p) * (v - p)) AS mse, 1e0 - sum((v - p) * (v - p)) / nullif(sum((v - m) * (v - m)), 0e0) AS r2, sqrt(sum((v - p) * (v - p))) / nullif(sqrt(sum(v * v)), 0e0) AS rel FROM e GROUP BY {key}"
-    return f"""WITH {concepts(d)}, {projection(d)}, mean_ AS (SELECT j, avg(v) AS m FROM true_ GROUP BY j), e AS (SELECT t.id, t.j, t.v, proj.v AS p, m, c.trigram, c.level FROM true_ t JOIN proj ON proj.id = t.id AND proj.j = t.j JOIN mean_ ON mean_.j = t.j JOIN concepts c ON c.id = t.id),
+    return f"""{with_map(d)} {concepts(d)}, {projection(d)}, mean_ AS (SELECT j, avg(v) AS m FROM true_ GROUP BY j), e AS (SELECT t.id, t.j, t.v, proj.v AS p, m, c.trigram, c.level FROM true_ t JOIN proj ON proj.id = t.id AND proj.j = t.j JOIN mean_ ON mean_.j = t.j JOIN concepts c ON c.id = t.id),
     u AS ({e('concept', 'CAST(id AS STRING)')} UNION ALL {e('class', 'trigram')} UNION ALL {e('level', 'CAST(level AS STRING)')} UNION ALL {e('component', 'CAST(j AS STRING)')}) SELECT kind, key_, n, {r('mse')} AS mse, {r('r2', 5)} AS r2, {r('rel', 5)} AS relative FROM u"""
 
 
-@Q("PRJN-09")
+@Q("PRJN-09", fitted_map=fitted_map)
 def layer_probe(d):
     """Probes of five layers of raw components: each layer's R2 with the true components, how far it shifts complements, and the share that it draws together."""
-    return f"""WITH {graph(d)}, {projection(d)}, lay AS (SELECT i, CAST(floor((i - 15) / 10) AS BIGINT) AS layer FROM k64 WHERE i > 14), lp AS (SELECT layer, raw.id, j, sum(v * w) AS v FROM raw JOIN w ON w.i = raw.i JOIN lay ON lay.i = raw.i GROUP BY layer, raw.id, j), mean_ AS (SELECT j, avg(v) AS m FROM true_ GROUP BY j),
+    return f"""{with_map(d)} {graph(d)}, {projection(d)}, lay AS (SELECT i, CAST(floor((i - 15) / 10) AS BIGINT) AS layer FROM k64 WHERE i > 14), lp AS (SELECT layer, raw.id, j, sum(v * w) AS v FROM raw JOIN w ON w.i = raw.i JOIN lay ON lay.i = raw.i GROUP BY layer, raw.id, j), mean_ AS (SELECT j, avg(v) AS m FROM true_ GROUP BY j),
     f AS (SELECT layer, 1e0 - sum((t.v - lp.v) * (t.v - lp.v)) / sum((t.v - m) * (t.v - m)) AS r2 FROM lp JOIN true_ t ON t.id = lp.id AND t.j = lp.j JOIN mean_ ON mean_.j = t.j GROUP BY layer),
     a AS (SELECT p.layer, c1, c2, {_long_angle('p', 'q')} AS t FROM relations JOIN lp p ON p.id = c1 JOIN lp q ON q.id = c2 AND q.j = p.j AND q.layer = p.layer WHERE rel_type = 'complement' GROUP BY p.layer, c1, c2), z AS (SELECT c1, c2, {_long_angle('p', 'q')} AS t FROM relations JOIN true_ p ON p.id = c1 JOIN true_ q ON q.id = c2 AND q.j = p.j WHERE rel_type = 'complement' GROUP BY c1, c2),
     s AS (SELECT layer, avg(a.t - z.t) AS shift, avg(CASE WHEN a.t < z.t THEN 1e0 ELSE 0e0 END) AS compressed FROM a JOIN z ON z.c1 = a.c1 AND z.c2 = a.c2 GROUP BY layer) SELECT f.layer, {r('r2', 5)} AS r2, {r('shift', 4)} AS shift, {r('compressed')} AS compressed FROM f JOIN s ON s.layer = f.layer"""
