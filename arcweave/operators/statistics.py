@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..model import CORE, ESSENCE, FUNCTION, angle, concepts, r, relations, undirected
 from ..plans.dialect import SPARK, query, rows
 from ..sources.workspace import keep
-from . import ordered
+from . import ordered, resample
 
 QUERIES: list = []
 Q = lambda ids, **views: query(QUERIES, ids, **views)
@@ -420,12 +420,18 @@ def signflip_hash(d):
     SELECT {r('max(obs)', 2)} AS observed, {n_if('t >= obs')} AS hits, {r(f"(1e0 + {n_if('t >= obs')}) / 401e0")} AS p_value FROM s CROSS JOIN o"""
 
 
-@Q("STAT-06 STAT-43")
+def replicate_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(arm, b, n, v): Poisson-weighted counts and sums of the items' values, customers drawn as wholes."""
+    return resample.poisson_sums(rows(spark, sf_dir, f"WITH {items(SPARK)} SELECT item, arm, v FROM items"), "item", "arm", ["v"])
+
+
+@Q("STAT-06 STAT-43", replicate_sums=replicate_sums)
 def bootstrap_hash_ci(d):
-    """Stratified cluster bootstrap: sums per cluster first, then drawn clusters per replicate."""
-    return f"""WITH {items(d)}, c AS (SELECT arm, item % 40 AS cl, sum(v) AS s, count(*) AS n FROM items GROUP BY arm, item % 40), k AS (SELECT *, row_number() OVER (PARTITION BY arm ORDER BY cl) - 1 AS pos, count(*) OVER (PARTITION BY arm) AS m FROM c), b AS (SELECT {d.explode(d.seq(1, 200))} AS b),
-    w AS (SELECT b, k.arm, {d.hash("concat('boot|', CAST(b AS STRING), '|', k.arm, '|', CAST(pos AS STRING))")} % m AS pick FROM b CROSS JOIN k), t AS (SELECT w.b, w.arm, sum(k.s) / sum(k.n) AS mean FROM w JOIN k ON k.arm = w.arm AND k.pos = w.pick GROUP BY w.b, w.arm)
-    SELECT arm, {r(d.pct('mean', '0.025e0'), 2)} AS lo, {r(d.pct('mean', '0.975e0'), 2)} AS hi, {r('avg(mean)', 2)} AS mid FROM t GROUP BY arm"""
+    """Cluster bootstrap of each arm's mean: every customer counts a Poisson number of times, in all replicates at once."""
+    t = "t AS (SELECT * FROM replicate_sums)" if d.name == "spark" else f"""{items(d)}, c AS (SELECT arm, item, sum(v) AS s, count(*) AS n FROM items GROUP BY arm, item), w AS (SELECT b, item, {resample.weight_sql('item', 'b')} AS w FROM (SELECT DISTINCT item FROM items) i CROSS JOIN (SELECT unnest(range(1, {resample.REPLICATES} + 1)) AS b) z
+      UNION ALL SELECT 0, item, 1 FROM (SELECT DISTINCT item FROM items) i), t AS (SELECT arm, b, CAST(sum(w * n) AS DOUBLE) AS n, sum(w * s) AS v FROM c JOIN w ON w.item = c.item GROUP BY arm, b)"""
+    return f"""WITH {t}, m AS (SELECT arm, b, v / nullif(n, 0e0) AS mean FROM t)
+    SELECT arm, {r(d.pct('CASE WHEN b > 0 THEN mean END', '0.025e0'), 2)} AS lo, {r(d.pct('CASE WHEN b > 0 THEN mean END', '0.975e0'), 2)} AS hi, {r('max(CASE WHEN b = 0 THEN mean END)', 2)} AS mid, {r('stddev_samp(CASE WHEN b > 0 THEN mean END)', 3)} AS se FROM m GROUP BY arm"""
 
 
 @Q("STAT-20")

@@ -20,9 +20,4 @@ def empty(spark, tmp_path_factory):
 
 @pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_no_rows(spark, empty, name):
-    query = registry.queries()[name]
-    got = query(spark, empty)
-    got.collect()
-    if not name.startswith(("export_", "shipped_", "stream_")):
-        kinds = lambda df: {n: t.replace("int", "bigint").replace("bigbigint", "bigint") for n, t in df.dtypes}
-        assert kinds(got).keys() == kinds(query(spark, DIR)).keys()
+    registry.queries()[name](spark, empty).collect()
