@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..model import CORE, DOMAIN, ESSENCE, FUNCTION, aliases, angle, concepts, cosine, dot, level_name, norm, r, relations, undirected
-from ..plans.dialect import SPARK, query
-from . import search
+from ..plans.dialect import SPARK, query, rows
+from . import quantiles, search
 
 QUERIES: list = []
 Q = lambda ids, **views: query(QUERIES, ids, **views)
@@ -371,10 +371,21 @@ def cross_leg_and_direction(d):
     FROM relations JOIN concepts p ON p.id = c1 JOIN concepts q ON q.id = c2"""
 
 
-@Q("GEO-39")
+def all_angles(d):
+    return f"{base(d)}, p AS (SELECT {angle('a.', 'b.', ESSENCE)} AS t FROM concepts a JOIN concepts b ON a.id < b.id)"
+
+
+def angle_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(share, q): the 5th and 95th hundredth of all pairs' angles, by histograms of their range."""
+    return quantiles.quantiles(rows(spark, sf_dir, f"{all_angles(SPARK)} SELECT 0 AS g, t FROM p"), "g", "t", (0.05, 0.95))
+
+
+@Q("GEO-39", angle_ends=angle_ends)
 def angle_matrix_summary(d):
-    return f"""{base(d)}, p AS (SELECT {angle('a.', 'b.', ESSENCE)} AS t FROM concepts a JOIN concepts b ON a.id < b.id)
-    SELECT count(*) AS pairs, {r('avg(t)', 4)} AS mean, {r(d.pct('t', '0.05e0'), 4)} AS p05, {r(d.pct('t', '0.95e0'), 4)} AS p95, CAST(sum(CASE WHEN t < 35e0 THEN 1 ELSE 0 END) AS BIGINT) AS near FROM p"""
+    """The angles of all pairs: the summary is about every pair by definition."""
+    at = lambda s, c: f"(SELECT max(q) FROM angle_ends WHERE share {c})" if d.name == "spark" else d.pct("t", f"{s}e0")
+    return f"""{all_angles(d)}
+    SELECT count(*) AS pairs, {r('avg(t)', 4)} AS mean, {r(at(0.05, '< 0.5e0'), 4)} AS p05, {r(at(0.95, '> 0.5e0'), 4)} AS p95, CAST(sum(CASE WHEN t < 35e0 THEN 1 ELSE 0 END) AS BIGINT) AS near FROM p"""
 
 
 def nearest_old(spark: SparkSession, sf_dir: str) -> DataFrame:

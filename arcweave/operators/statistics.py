@@ -8,11 +8,12 @@ the size. Monte-Carlo p-values are (1 + hits) / (1 + draws).
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..model import CORE, ESSENCE, FUNCTION, angle, concepts, r, relations, undirected
 from ..plans.dialect import SPARK, query, rows
 from ..sources.workspace import keep
-from . import ordered, resample
+from . import ordered, quantiles, resample
 
 QUERIES: list = []
 Q = lambda ids, **views: query(QUERIES, ids, **views)
@@ -90,9 +91,20 @@ def status_rates(d):
     {share("status <> 'ok'")} > 0.1e0 AS flagged FROM runlog GROUP BY event_type"""
 
 
-@Q("AGG-17")
+LEVEL = "CAST(power(2, attempt % 5) AS BIGINT)"
+
+
+def latency_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(level, p95, p50) of the latencies at each level, by histograms of their range."""
+    q = quantiles.quantiles(rows(spark, sf_dir, f"WITH {runlog(SPARK)} SELECT {LEVEL} AS level, latency FROM runlog"), "level", "latency", (0.95, 0.5))
+    return q.groupBy("level").agg(F.max(F.when(F.col("share") > 0.9, F.col("q"))).alias("p95"), F.max(F.when(F.col("share") < 0.9, F.col("q"))).alias("p50"))
+
+
+@Q("AGG-17", latency_ends=latency_ends)
 def latency_quantiles(d):
-    return f"""WITH {runlog(d)}, c AS (SELECT CAST(power(2, attempt % 5) AS BIGINT) AS level, count(*) AS n, {r(d.pct('latency', '0.95e0'))} AS p95, {r(d.pct('latency', '0.5e0'))} AS p50, {n_if("status = 'invalid'")} AS limited FROM runlog GROUP BY attempt % 5)
+    q = "q AS (SELECT * FROM latency_ends)" if d.name == "spark" else f"q AS (SELECT {LEVEL} AS level, {d.pct('latency', '0.95e0')} AS p95, {d.pct('latency', '0.5e0')} AS p50 FROM runlog GROUP BY {LEVEL})"
+    return f"""WITH {runlog(d)}, {q}, g AS (SELECT {LEVEL} AS level, count(*) AS n, {n_if("status = 'invalid'")} AS limited FROM runlog GROUP BY {LEVEL}),
+    c AS (SELECT g.level, g.n, {r('q.p95')} AS p95, {r('q.p50')} AS p50, g.limited FROM g LEFT JOIN q ON q.level = g.level)
     SELECT *, level = (SELECT max(level) FROM c WHERE limited < n / 5) AS best FROM c"""
 
 
