@@ -30,18 +30,26 @@ def windowed_rates(events: DataFrame, late: str = "10 minutes", width: str = "1
     return t.groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
 
 
-def latest(stream: DataFrame, keys: list[str]) -> DataFrame:
-    """Drain what is available of an aggregated stream: each batch writes the rows it changed, and the last row of a key is its result."""
-    spark, path = stream.sparkSession, new_path(stream.sparkSession, "changes")
+def latest(stream: DataFrame, keys: list[str], folder: str | None = None) -> DataFrame:
+    """Drain what is available of an aggregated stream: each batch writes the rows it changed, and the last row of a key is its result.
+
+    With a ``folder`` of one's own, its checkpoint and changes stay: the next call, of this
+    driver or of a later one, reads only files that came since, and goes on from the state that was kept.
+    ``_read`` of the result is the number of rows that this call read.
+    """
+    spark = stream.sparkSession
+    path, checkpoint = (f"{folder}/changes", f"{folder}/checkpoint") if folder else (new_path(spark, "changes"), new_path(spark, "checkpoint"))
 
     def write(batch: DataFrame, number: int) -> None:
         batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/batch={number}")  # a batch that runs again replaces its rows
 
-    q = stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", new_path(spark, "checkpoint")).trigger(availableNow=True).start()
+    q = stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     rows = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("_batch", T.IntegerType())])).parquet(f"{path}/batch=*")
     values = [c for c in stream.columns if c not in keys]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "_batch").alias("_v")).select(*keys, *[F.col(f"_v.{c}").alias(c) for c in values])
+    out = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "_batch").alias("_v")).select(*keys, *[F.col(f"_v.{c}").alias(c) for c in values])
+    out._read = sum(p.numInputRows for p in q.recentProgress)
+    return out
 
 
 def closed_windows(stream: DataFrame) -> DataFrame:

@@ -109,3 +109,19 @@ def test_stream_windows(spark, tmp_path):
     got = runlog.latest(runlog.final_stream(s), ["call_id"])
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, runlog.final_stream(e).collect()))
     assert runlog.latest(runlog.windowed_rates(s, late="400 days"), ["window", "event_type"]).agg(F.sum("n")).first()[0] == e.count()
+
+
+def test_a_stream_goes_on_after_a_restart(spark, tmp_path):
+    """Two drops of files with a new query between them: the second reads its own files only and adds to the kept state."""
+    e = spark.read.parquet(f"{SF}/events.parquet")
+    drop, folder = str(tmp_path / "drop"), str(tmp_path / "state")
+    read = lambda: spark.readStream.schema(e.schema).parquet(drop)
+    first, second = e.where("event_id % 3 = 0"), e.where("event_id % 3 <> 0")
+    first.write.mode("append").parquet(drop)
+    one = runlog.latest(runlog.final_stream(read()), ["call_id"], folder)
+    assert one._read == first.count() and sorted(map(tuple, one.collect())) == sorted(map(tuple, runlog.final_stream(first).collect()))
+    second.repartition(3).write.mode("append").parquet(drop)
+    two = runlog.latest(runlog.final_stream(read()), ["call_id"], folder)
+    assert two._read == second.count() and sorted(map(tuple, two.collect())) == sorted(map(tuple, runlog.final_stream(e).collect()))
+    three = runlog.latest(runlog.final_stream(read()), ["call_id"], folder)
+    assert three._read == 0 and three.count() == two.count()
