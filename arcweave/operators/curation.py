@@ -10,7 +10,7 @@ from ..model import CORE, DOMAIN, ESSENCE, FUNCTION, aliases, angle, band, conce
 from ..plans.dialect import SPARK, query
 from . import search
 from .claims import NEAR, nearest5
-from .rules import words
+from .rules import LINES, words
 from .statistics import n_if
 
 QUERIES: list = []
@@ -238,9 +238,13 @@ def span_residual(d):
 
 @Q("ORC-03 ORC-09")
 def cross_map(d):
-    """A second system's sixty-four numbers beside the first's, both ways: each number's pair of classes, its place in the other list, and the way back."""
-    return f"""WITH n AS (SELECT {d.explode(d.seq(1, 64))} AS n), f AS (SELECT n, floor((n - 1) / 8) AS lower_, (n - 1) % 8 AS upper_ FROM n), m AS (SELECT n, lower_, upper_, 8 * upper_ + (lower_ * 3 + upper_) % 8 + 1 AS other FROM f), back AS (SELECT other, count(*) AS n, min(m.n) AS first_ FROM m GROUP BY other)
-    SELECT CAST(m.n AS BIGINT) AS number_, CAST(lower_ AS BIGINT) AS lower_, CAST(upper_ AS BIGINT) AS upper_, CAST(m.other AS BIGINT) AS other, CAST(first_ AS BIGINT) AS way_back, first_ = m.n AS round_trip, back.n AS shared FROM m JOIN back ON back.other = m.other"""
+    """The number that the classes of two related concepts make, its entry in a second list of numbers (none, where that has none), and both ways back: to the first number, and from it to a pair of classes."""
+    code = lambda x: "CASE " + x + " " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in LINES.items()) + " END"
+    return f"""WITH {graph(d)}, t AS (SELECT c1, c2, p.trigram AS lower_, q.trigram AS upper_, CAST(8 * {code('p.trigram')} + {code('q.trigram')} + 1 AS BIGINT) AS n FROM {PAIR}),
+    k AS (SELECT {d.explode(d.seq(1, 64))} AS n), m AS (SELECT CAST(n AS BIGINT) AS n, CAST(8 * ((n - 1) % 8) + (floor((n - 1) / 8) * 3 + (n - 1) % 8) % 8 + 1 AS BIGINT) AS other FROM k), back AS (SELECT other, min(n) AS first_ FROM m GROUP BY other),
+    entry AS (SELECT s_suppkey % 96 AS n, min(s_name) AS reading FROM supplier GROUP BY s_suppkey % 96), pairs AS (SELECT n, min(concat(lower_, '/', upper_)) AS classes, count(*) AS seen FROM t GROUP BY n)
+    SELECT t.c1, t.c2, t.lower_, t.upper_, t.n AS number_, m.other, reading, first_ AS way_back, first_ = t.n AS round_trip, classes, seen
+    FROM t JOIN m ON m.n = t.n JOIN back ON back.other = m.other JOIN pairs ON pairs.n = t.n LEFT JOIN entry ON entry.n = m.other"""
 
 
 @Q("ORC-06")
