@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 from ..model import ESSENCE, angle, concepts, r
-from ..operators import claims, exchange, markers, models, search
+from ..operators import claims, exchange, markers, models, placement, search
 from ..streaming import runlog
 from .dialect import DUCK
 
@@ -23,6 +23,7 @@ NATIVE = {
     "stream_final_records": ("STR-01 STR-02 SNK-06", runlog.stream_final_records, runlog.ORACLE),
     "stream_window_rates": ("STR-01", runlog.stream_window_rates, runlog.RATES_ORACLE),
     "self_claim_sentences": ("MCH-01 MCH-02 MCH-03 MCH-04 TXT-07", markers.self_claim_sentences, markers.oracle({**claims.PROFILE, **claims.OVERRIDES})),
+    "placed_cores": ("CUR-15", placement.placed_cores, None),
     **exchange.QUERIES,
     **models.QUERIES,
 }
