@@ -178,7 +178,7 @@ def probe_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Units of the network's layer, epochs at most, and epochs without a better validation error after which it ends.
-HIDDEN, EPOCHS, PATIENCE = 128, 40, 6
+HIDDEN, EPOCHS, PATIENCE = 128, 60, 10
 
 
 def mlp_sums(p: list[np.ndarray], x: np.ndarray, y: np.ndarray, fit: np.ndarray) -> np.ndarray:
@@ -194,7 +194,7 @@ def mlp_sums(p: list[np.ndarray], x: np.ndarray, y: np.ndarray, fit: np.ndarray)
 def mlp_train(sums, width: int, out: int, hidden: int = HIDDEN, epochs: int = EPOCHS, patience: int = PATIENCE) -> list[np.ndarray]:
     """Weights of a network of one tanh layer by Adam over all rows, those of the epoch with the least validation error; ``sums(p)`` takes :func:`mlp_sums` over the rows."""
     rng = np.random.default_rng(3)
-    p = [rng.normal(0, width**-0.5, (width, hidden)), np.zeros(hidden), rng.normal(0, hidden**-0.5, (hidden, out)), np.zeros(out)]
+    p = [rng.normal(0, width**-0.5, (width, hidden)), np.zeros(hidden), rng.normal(0, 0.1 * hidden**-0.5, (hidden, out)), np.zeros(out)]
     edges = np.cumsum([a.size for a in p])
     m, v = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p]
     best, kept, since = np.inf, p, 0
