@@ -283,8 +283,47 @@ def _plain(df: DataFrame, id_col: str, vector_col: str, group: str | None) -> Da
     return df.select(g.alias("_g"), F.col(id_col).cast("long").alias("_id"), F.col(vector_col).cast("array<double>").alias("_x")).where("_id IS NOT NULL AND _x IS NOT NULL")
 
 
+def _nearest_few(few: pa.Table, queries: DataFrame, k: int, exclude_self: bool, most: float, digits: int | None, ties: int, zero: float) -> DataFrame:
+    """The same over items that are known to be few: every task has them all, and nothing is shuffled."""
+    shared = queries.sparkSession.sparkContext.broadcast((np.array(few.column("_g").to_pylist(), object), few.column("_id").to_numpy(), _matrix(few.column("_x"))))
+
+    def run(batches):
+        groups, ids, x = shared.value
+        for b in batches:
+            out: tuple[list, list, list, list] = ([], [], [], [])
+            asked, own = np.array(b.column("_g").to_pylist(), object), b.column("_id").to_numpy()
+            q = _matrix(b.column("_x"))
+            for g in set(asked):
+                mine, there = np.flatnonzero(asked == g), np.flatnonzero(groups == g)
+                for lo in range(0, len(mine), BLOCK_ROWS):
+                    part = mine[lo : lo + BLOCK_ROWS]
+                    t = _angles(q[part], x[there], zero) if len(there) else np.zeros((len(part), 0))
+                    for i, row in zip(part, t):
+                        ok = row <= most
+                        if exclude_self:
+                            ok &= ids[there] != own[i]
+                        at = np.flatnonzero(ok)
+                        if len(at) > 4 * k:
+                            cut = np.partition(row[at], k)[k]
+                            at = at[row[at] <= cut + 2 * 10.0**-ties]
+                        at = at[np.lexsort((ids[there][at], np.round(row[at], ties)))[:k]]
+                        out[0].append(np.full(len(at), own[i]))
+                        out[1].append(np.arange(1, len(at) + 1))
+                        out[2].append(ids[there][at])
+                        out[3].append(row[at])
+            cols = [np.concatenate(v) if v else np.zeros(0) for v in out]
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(t)) for c, t in zip(cols, (np.int64, np.int32, np.int64, float))], names=["query_id", "place", "id", "angle"])
+
+    parts = max(1, int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    got = queries.repartition(parts).mapInArrow(run, "query_id long, place int, id long, angle double")
+    return got if digits is None else got.withColumn("angle", F.round("angle", digits))
+
+
 def nearest(items: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vector_col: str = "vector", exclude_self: bool = True, most: float | None = None, digits: int | None = 4, group: str | None = None, ties: int = 9, zero: float = 90.0) -> DataFrame:
-    """(query_id, place, id, angle): :meth:`AngularIndex.nearest` over an index of ``items``."""
+    """(query_id, place, id, angle): :meth:`AngularIndex.nearest` over an index of ``items``; up to SHARD_ROWS of them are sent to all tasks instead."""
+    few = _plain(items, id_col, vector_col, group).limit(SHARD_ROWS + 1).toArrow()
+    if few.num_rows <= SHARD_ROWS:
+        return _nearest_few(few, _plain(queries, id_col, vector_col, group), k, exclude_self, 180.0 if most is None else float(most), digits, ties, zero)
     return AngularIndex.build(items, id_col, vector_col, group, zero).nearest(queries, k, id_col, vector_col, group, exclude_self, most, digits, ties)
 
 
