@@ -216,11 +216,16 @@ class Duck(Spark):
 SPARK, DUCK = Spark(), Duck()
 
 
-def rows(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """The rows of a Spark text over the tables of ``sf_dir``."""
+def bind(spark: SparkSession, sf_dir: str, sql: str) -> None:
+    """Views of the tables of ``sf_dir`` that a text names."""
     for t in TABLES:
         if t in sql:
             spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+
+
+def rows(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """The rows of a Spark text over the tables of ``sf_dir``."""
+    bind(spark, sf_dir, sql)
     return spark.sql(sql)
 
 
@@ -233,9 +238,11 @@ class Query:
     views: tuple[tuple[str, Callable[[SparkSession, str], DataFrame]], ...] = ()
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        sql = self.text(SPARK)
+        bind(spark, sf_dir, sql)  # before the views, which may read the same tables
         for name, fill in self.views:
             fill(spark, sf_dir).createOrReplaceTempView(name)
-        out = rows(spark, sf_dir, self.text(SPARK))
+        out = rows(spark, sf_dir, sql)
         # ranks are int here and bigint there
         return out.withColumns({c: out[c].cast("long") for c, t in out.dtypes if t == "int" and c in RANKS})
 
