@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..model import CORE, DOMAIN, angle, concepts, cosine, r, relations, undirected
 from ..plans.dialect import query
-from . import ordered
+from . import ordered, pairs
 
 QUERIES: list = []
 Q = lambda ids, **views: query(QUERIES, ids, **views)
@@ -62,12 +62,20 @@ def shingle_firewall(d):
 LINES = {"QIAN": 7, "DUI": 3, "LI": 5, "ZHEN": 1, "XUN": 6, "KAN": 2, "GEN": 4, "KUN": 0}
 
 
-@Q("ORC-01 ORC-02 JSN-01")
+def first_complements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, id): the best complement of each concept, and others."""
+    from .dictionary import complement_rows
+
+    return pairs.complements(complement_rows(spark, sf_dir), 1, False)
+
+
+@Q("ORC-01 ORC-02 JSN-01", first_complements=first_complements)
 def diagnosis(d):
     """Every concept as a question: its class, best complement, hexagram code, profile and witness, as JSON."""
     code = lambda x: "CASE " + x + " " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in LINES.items()) + " END"
+    met = "first_complements m JOIN q ON q.id = m.query_id JOIN concepts c ON c.id = m.id" if d.name == "spark" else "q CROSS JOIN concepts c"
     return f"""WITH {concepts(d)}, q AS (SELECT * FROM concepts),
-    p AS (SELECT q.id AS k, q.trigram AS lower_, c.id, c.trigram AS upper_, {angle('q.', 'c.', CORE, '90e0')} AS t, {cosine('q.', 'c.', DOMAIN)} AS sim, greatest(0.3e0, least(1e0, c.level / 7e0)) AS wt FROM q CROSS JOIN concepts c),
+    p AS (SELECT q.id AS k, q.trigram AS lower_, c.id, c.trigram AS upper_, {angle('q.', 'c.', CORE, '90e0')} AS t, {cosine('q.', 'c.', DOMAIN)} AS sim, greatest(0.3e0, least(1e0, c.level / 7e0)) AS wt FROM {met}),
     s AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY round(sim * 0.5e0 + wt * 0.3e0 - abs(t - 90e0) / 90e0 * 0.2e0, 9) DESC, id) AS place FROM p WHERE abs(t - 90e0) < 30e0)
     SELECT k, lower_, id AS complement, upper_, CAST(8 * {code('lower_')} + {code('upper_')} + 1 AS BIGINT) AS hexagram, {r('1e0 - cos(radians(t))')} AS witness,
     concat('{{"k":', CAST(k AS STRING), ',"class":"', lower_, '","complement":', CAST(id AS STRING), '}}') AS json FROM s WHERE place = 1"""
