@@ -32,8 +32,10 @@ def export_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     S.write_json(c, a, compact, compact=True)
     group = lambda cols: "struct<" + ",".join(f"{k}:double" for k in cols) + ">"
     back = spark.read.schema(f"name string, level long, trigram string, core {group(ESSENCE[:3])}, domain {group(ESSENCE[3:])}, function {group(FUNCTION)}, aliases array<string>").json(full)
-    small = spark.read.schema("name string, trigram string, v array<double>").json(compact).select("name", F.size("v").cast("long").alias("compact_size"))
-    return back.join(small, "name").select("name", "level", "trigram", *_round(*[f"core.{k}" for k in ESSENCE[:3]], *[f"domain.{k}" for k in ESSENCE[3:]], *[f"function.{k}" for k in FUNCTION]), F.array_join("aliases", ",").alias("aliases"), "compact_size")
+    # names of six digits are cut to five and not unique: a concept meets its own vector, and equal rows of the compact file are one
+    small = spark.read.schema("name string, trigram string, v array<double>").json(compact).distinct().select(F.col("name").alias("n"), F.col("trigram").alias("c"), "v", F.size("v").cast("long").alias("compact_size"))
+    own = F.array(*[f"core.{k}" for k in ESSENCE[:3]], *[f"domain.{k}" for k in ESSENCE[3:]])
+    return back.join(small, F.col("name").eqNullSafe(F.col("n")) & F.col("trigram").eqNullSafe(F.col("c")) & own.eqNullSafe(F.col("v"))).select("name", "level", "trigram", *_round(*[f"core.{k}" for k in ESSENCE[:3]], *[f"domain.{k}" for k in ESSENCE[3:]], *[f"function.{k}" for k in FUNCTION]), F.array_join("aliases", ",").alias("aliases"), "compact_size")
 
 
 EXPORT_JSON = f"{BASE} SELECT name, level, trigram, {COLS}, coalesce(array_to_string(aliases, ','), '') AS aliases, CAST(7 AS BIGINT) AS compact_size FROM concepts LEFT JOIN al ON al.id = concepts.id"
