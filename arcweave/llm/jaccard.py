@@ -46,6 +46,8 @@ through :func:`keep_one`.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -132,6 +134,39 @@ def hot_tokens(base: DataFrame) -> np.ndarray:
     return np.sort(np.array([r.t for r in got], np.int64).astype(np.uint64))
 
 
+#: Words of the filter of wanted ids, at most (16 MB); more ids only let more texts pass in vain.
+WORDS = 1 << 21
+
+
+def _place(ids: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The word and the bit of each id."""
+    h = mix(ids.astype(np.uint64))
+    return (h >> np.uint64(6)) % np.uint64(words), np.uint64(1) << (h & np.uint64(63))
+
+
+def _bits(wanted: DataFrame) -> np.ndarray:
+    """A bit set for each ``_id`` of ``wanted``, in about half a word an id; some three in a hundred others share one."""
+    words = max(1, min(WORDS, wanted.count() // 2))
+
+    def run(batches):
+        for b in batches:
+            word, bit = _place(b.column(0).to_numpy(), words)
+            at, back = np.unique(word, return_inverse=True)
+            out = np.zeros(len(at), np.uint64)
+            np.bitwise_or.at(out, back, bit)
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(out.view(np.int64))], names=["word", "bits"])
+
+    got = wanted.select("_id").mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(words, np.uint64)
+    out[got.column("word").to_numpy()] = got.column("bits").to_numpy().astype(np.int64).view(np.uint64)
+    return out
+
+
+def _marked(ids: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    word, bit = _place(ids, len(bits))
+    return bits[word] & bit > 0
+
+
 def _is_hot(t: np.ndarray, hot: np.ndarray) -> np.ndarray:
     if not len(hot):
         return np.zeros(len(t), bool)
@@ -703,6 +738,8 @@ def _bundle_links(cells: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a_out, pa.int64()), "b": pa.array(b_out, pa.int64())})
 
 
+#: Times the members that the cells of one part hold, about.
+COPIES = 2
 #: Bundles of several components whose plan may be broadcast; beyond, the plan is joined by shuffling.
 PLANS = 200_000
 
@@ -719,7 +756,7 @@ def _bundled(kept: DataFrame, groups: DataFrame, ties: DataFrame, buckets: int)
     label = groups.select(F.col("node").alias("rep"), "component")
     members = kept.join(bundles.select(F.col("node").alias("rep"), F.col("component").alias("bundle")).hint("merge"), "rep").join(label.hint("merge"), "rep", "left").select("rep", "tokens", "bundle", F.coalesce("component", "rep").alias("component"))
     members = common.stage(members, "members")
-    sizes = members.groupBy("bundle", "component").agg(F.count("*").alias("n"))
+    sizes = common.stage(members.groupBy("bundle", "component").agg(F.count("*").alias("n")), "sizes")
     plan = sizes.groupBy("bundle").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
     plan = common.stage(plan.select("bundle", F.col("top.component").alias("main"), blocks(F.col("n") - F.col("top.n")).alias("rows"), blocks(F.col("top.n")).alias("cols")), "plan")
@@ -727,12 +764,26 @@ def _bundled(kept: DataFrame, groups: DataFrame, ties: DataFrame, buckets: int)
     own = F.when(rest, F.pmod(h, F.col("rows"))).otherwise(F.col("rows") + F.pmod(h, F.col("cols"))).cast("int")
     last = F.when(rest, F.col("rows") + F.col("cols")).otherwise(F.col("rows")) - 1
     small = plan.count() <= PLANS
-    cells = common.again(members).join(F.broadcast(common.again(plan)) if small else common.again(plan).hint("merge"), "bundle")
-    cells = cells.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
-    cells = cells.withColumn("block", F.least("own", "other").cast("long") * (F.col("rows") + F.col("cols")) + F.greatest("own", "other"))
-    cells = cells.select("bundle", "block", "rep", "component", "tokens", (F.col("own") <= F.col("other")).alias("is_left"), (F.col("own") >= F.col("other")).alias("is_right"), F.pmod(F.xxhash64("bundle", "block"), F.lit(buckets)).cast("int").alias("w"))
-    links = common.stage(cells.groupBy("w").applyInArrow(_bundle_links, "a long, b long"), "bundle-links")
-    common.discard(members, plan, bundles)
+    both = F.col("rows") + F.col("cols")
+    # copies of sets that all cells hold, against the sets: where bundles are large, cells are made in parts, so that a part is about as large as the members
+    copies, one = common.again(plan).join(common.again(sizes).hint("merge"), "bundle").agg(F.sum(F.col("n") * F.when(F.col("component") != F.col("main"), both).otherwise(F.col("rows"))), F.sum("n")).first()
+    parts = max(1, -(-(copies or 0) // (COPIES * (one or 1))))
+    found = []
+    for part in range(parts):
+        cells = common.again(members).join(F.broadcast(common.again(plan)) if small else common.again(plan).hint("merge"), "bundle")
+        cells = cells.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+        cells = cells.withColumn("block", F.least("own", "other").cast("long") * both + F.greatest("own", "other"))
+        if parts > 1:
+            cells = cells.where(F.pmod(F.xxhash64("block", "bundle"), F.lit(parts)) == part)
+        cells = cells.select("bundle", "block", "rep", "component", "tokens", (F.col("own") <= F.col("other")).alias("is_left"), (F.col("own") >= F.col("other")).alias("is_right"), F.pmod(F.xxhash64("bundle", "block"), F.lit(buckets)).cast("int").alias("w"))
+        found.append(common.stage(cells.groupBy("w").applyInArrow(_bundle_links, "a long, b long"), "bundle-links"))
+        if parts > 1:
+            common.release(members.sparkSession)
+    links = found[0]
+    if parts > 1:
+        links = common.stage(functools.reduce(DataFrame.union, found), "bundle-links")
+        common.discard(*found)
+    common.discard(members, sizes, plan, bundles)
     return links
 
 
@@ -769,20 +820,23 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     asks = common.stage(entries().groupBy("b").applyInArrow(_asks(buckets), PACKED), "asks")
     nodes = asks.select("b", "payload").groupBy("b").applyInArrow(_nodes, "d1 long, d2 long")
-    wanted = nodes.join(sets, ["d1", "d2"]).select(F.col("rep").alias("_id"), "d1", "d2")
+    wanted = common.stage(nodes.join(sets, ["d1", "d2"]).select(F.col("rep").alias("_id"), "d1", "d2"), "wanted")
+    bits = spark.sparkContext.broadcast(_bits(wanted))
 
     def tokens(batches):
-        hashes = WordHashes()
+        hashes, have = WordHashes(), bits.value
         for b in batches:
             out: tuple[list, ...] = ([], [], [], [])
-            for rep, d1, d2, t in zip(*(c.to_pylist() for c in b.columns)):
+            b = b.filter(pa.array(_marked(b.column(0).to_numpy(), have)))
+            for i, t in zip(*(c.to_pylist() for c in b.columns)):
                 s = shingle_set(hashes.of(t.lower().split()), SHINGLE)
-                if set_digest(s) == (d1, d2):  # another row of a repeated id may bring another text
-                    for o, v in zip(out, (d1, d2, rep, s.tobytes())):
-                        o.append(v)
-            yield pa.RecordBatch.from_arrays([*(pa.array(o, pa.int64()) for o in out[:3]), pa.array(out[3], pa.binary())], names=["d1", "d2", "rep", "tokens"])
+                for o, v in zip(out, (i, *set_digest(s), s.tobytes())):
+                    o.append(v)
+            yield pa.RecordBatch.from_arrays([*(pa.array(o, pa.int64()) for o in out[:3]), pa.array(out[3], pa.binary())], names=["_id", "d1", "d2", "tokens"])
 
-    kept = wanted.hint("merge").join(base, "_id").select("_id", "d1", "d2", "_text").mapInArrow(tokens, "d1 long, d2 long, rep long, tokens binary")
+    # texts do not travel, only token sets; another row of a repeated id may have another set, which is not wanted
+    found = base.select("_id", "_text").mapInArrow(tokens, "_id long, d1 long, d2 long, tokens binary")
+    kept = common.again(wanted).hint("merge").join(found, ["_id", "d1", "d2"]).select("d1", "d2", F.col("_id").alias("rep"), "tokens")
     kept = common.stage(kept, "tokens")
     common.release(spark)
     shared = kept.select("d1", "d2", "tokens").mapInArrow(_set_tokens(buckets, hot), PACKED).groupBy("b").applyInArrow(_shared_counts(buckets), PACKED)
@@ -818,7 +872,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ties = _thinned(entries().groupBy("b").cogroup(answers.groupBy("b")).applyInArrow(_torn(), "a long, b long"))
     common.release(spark)
     more = _bundled(common.again(kept).select("rep", "tokens"), groups, ties, buckets)
-    common.discard(lists, asks, kept, shared, counts, answers, ties)
+    common.discard(lists, asks, wanted, kept, shared, counts, answers, ties)
     final = components(links.union(more))
     of_set = common.stage(sets.join(final, sets.rep == final.node, "left").select("d1", "d2", F.coalesce("component", "rep").alias("component_id")), "of-set")
     common.discard(sets, links, more, groups, final)
